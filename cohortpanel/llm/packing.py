@@ -124,10 +124,11 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
                 for name, ids in zip(part[key], encode(part[text].tolist())):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     out += [(name, s, min(capacity, len(ids) - s), zlib.crc32(ids[s : s + capacity].tobytes()), len(ids)) for s in range(0, len(ids), capacity)]
-            yield pd.DataFrame(out, columns=["key", "start", "length", "ids_crc32", "doc_tokens"]).astype({"key": pdf[key].dtype})
+            yield pd.DataFrame(out, columns=["key", "start", "length", "ids_crc32", "doc_tokens"])
 
-    schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    return docs.select(key, text).mapInPandas(cut, schema).withColumnRenamed("key", key)
+    schema = "key string, start long, length long, ids_crc32 long, doc_tokens long"
+    cut_up = docs.select(F.col(key).cast("string").alias(key), text).mapInPandas(cut, schema)
+    return cut_up.select(F.col("key").cast(kind).alias(key), "start", "length", "ids_crc32", "doc_tokens")
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, seed: int = 11, group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -143,13 +144,15 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     kind = dict(docs.dtypes)[key]
 
     def place(group, pdf):
-        pdf = pdf.sort_values(["length", key, "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "key", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
         return pdf.drop(columns="_group").assign(sequence_id=(int(group[0]) << 40) + bins, offset=offsets)
 
-    schema = f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    deal = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string"), "doc_tokens"), F.lit(groups))
-    return cut.withColumn("_group", deal).groupBy("_group").applyInPandas(place, schema)
+    schema = "key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    deal = F.pmod(F.xxhash64(F.lit(seed), "key", "doc_tokens"), F.lit(groups))
+    cut = cut.withColumn("key", F.col(key).cast("string")).select("key", "start", "length", "ids_crc32", "doc_tokens")
+    placed = cut.withColumn("_group", deal).groupBy("_group").applyInPandas(place, schema)
+    return placed.select(F.col("key").cast(kind).alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
