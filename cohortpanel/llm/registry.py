@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import archives, mixing, packing, quality, search, toxicity, urls
+from . import archives, extraction, mixing, packing, quality, search, toxicity, urls
 
 QUERIES = {
+    "op1_main_text": extraction.query,
     "op2_source_mixing": mixing.query,
     "op3_quality_rules": quality.query,
     "op4_sequence_packing": packing.query,
