@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from . import archives, extraction, mixing, packing, quality, search, toxicity, urls
+from . import archives, extraction, mixing, neardup, packing, quality, search, toxicity, urls
 
 QUERIES = {
     "op1_main_text": extraction.query,
     "op2_source_mixing": mixing.query,
     "op3_quality_rules": quality.query,
     "op4_sequence_packing": packing.query,
+    "op5_near_duplicates": neardup.query,
     "op6_exact_top_k": search.query,
     "op8_toxicity": toxicity.query,
     "op9_url_rules": urls.query,
     "op10_arc_to_warc": archives.query,
 }
 ORACLES = {
+    "op5_near_duplicates": neardup.query,
     "op6_exact_top_k": search.ORACLE_SQL,
     "op9_url_rules": urls.ORACLE_SQL,
     "op10_arc_to_warc": archives.ORACLE_SQL,
