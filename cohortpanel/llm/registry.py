@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, extraction, mixing, neardup, packing, quality, search, toxicity, urls
+from . import archives, extraction, mixing, neardup, packing, pii, quality, search, toxicity, urls
 
 QUERIES = {
     "op1_main_text": extraction.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sequence_packing": packing.query,
     "op5_near_duplicates": neardup.query,
     "op6_exact_top_k": search.query,
+    "op7_personal_data": pii.query,
     "op8_toxicity": toxicity.query,
     "op9_url_rules": urls.query,
     "op10_arc_to_warc": archives.query,
