@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import archives, extraction, mixing, neardup, packing, pii, quality, search, toxicity, urls
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_url_rules": urls.query,
     "op10_arc_to_warc": archives.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op5_near_duplicates": neardup.query,
@@ -22,3 +25,5 @@ ORACLES = {
     "op9_url_rules": urls.ORACLE_SQL,
     "op10_arc_to_warc": archives.ORACLE_SQL,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
