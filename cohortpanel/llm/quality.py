@@ -72,11 +72,10 @@ def repeat_words(words: Column) -> Column:
 
     def covered(places: Column) -> Column:
         """Words in the windows that start at these places (sorted): three each, less what the next window takes up."""
-        places = F.array_sort(places)
-        gaps = F.transform(places, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - p, F.lit(3))))
-        return F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x)
+        gaps = lambda ps: F.transform(ps, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(ps, k + 1) - p, F.lit(3))))
+        return F.aggregate(bound(F.sort_array(places), gaps), F.lit(0), lambda acc, x: acc + x)
 
-    packed = F.array_sort(F.transform(starts, lambda i: F.xxhash64(*window(i)).bitwiseAND(mask).bitwiseOR(i.cast("long"))))
+    packed = F.sort_array(F.transform(starts, lambda i: F.xxhash64(*window(i)).bitwiseAND(mask).bitwiseOR(i.cast("long"))))
 
     def from_packed(s: Column) -> Column:
         head = lambda v: v.bitwiseAND(mask)
@@ -93,7 +92,7 @@ def repeat_words(words: Column) -> Column:
         return bound(beside, lambda b: F.when(F.size(b) < 2, 0).otherwise(checked(b)))
 
     def plainly() -> Column:
-        s = F.array_sort(F.transform(starts, lambda i: F.struct(F.struct(*[w.alias(n) for w, n in zip(window(i), "abc")]).alias("w"), i.alias("i"))))
+        s = F.sort_array(F.transform(starts, lambda i: F.struct(F.struct(*[w.alias(n) for w, n in zip(window(i), "abc")]).alias("w"), i.alias("i"))))
         twice = lambda s: F.filter(s, lambda v, k: (v["w"] == F.get(s, k + 1)["w"]) | (v["w"] == F.get(s, k - 1)["w"]))
         return bound(s, lambda s: covered(F.transform(twice(s), lambda v: v["i"])))
 
