@@ -83,7 +83,7 @@ def listed(classes: DataFrame) -> DataFrame:
     """(value, cls): classes under the rarest values of their sketches, for values that two classes have at least."""
     spread = classes.select("cls", "n", F.explode("sketch").alias("value"))
     common = spread.groupBy("value").agg(F.count("*").alias("freq")).where("freq > 1")
-    ranked = spread.join(common, "value", "left").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(1)).alias("freq"), "value"))).alias("all"))
+    ranked = spread.join(common, "value", "left").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(1)).alias("freq"), "value"))).alias("all"))
     ranked = ranked.withColumn("total", F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["freq"]))
     prefix = F.slice("all", 1, F.size("all") - needed(F.col("n")) + 1)
     return ranked.select("cls", "total", F.explode(F.filter(prefix, lambda x: x["freq"] > 1)).alias("v")).select(F.col("v.value").alias("value"), "cls", "total")

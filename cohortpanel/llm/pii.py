@@ -58,7 +58,7 @@ def matches(text: Column, pattern: str, original: Column | None = None) -> Colum
 
             return F.transform(pair["found"], one)
 
-        return bound(cumulative(steps), spans)
+        return bound(bound(steps, lambda s: cumulative(s)), spans)
 
     return bound(F.struct(found.alias("found"), gaps.alias("gaps")), built)
 
@@ -95,7 +95,7 @@ def base_spans(text: Column) -> Column:
     phone = F.filter(phone, lambda m: F.length(digits(m["value"])).between(10, 15))
     named = lambda k: lambda m: span(m["start"], k, KINDS[k], m["end"], m["value"])
     parts = [F.transform(a, named(k)) for k, a in enumerate((email, ip, card, phone))]
-    return F.array_sort(F.concat(*parts))
+    return F.sort_array(F.concat(*parts))
 
 
 def span(start: Column, order: int | Column, kind: str | Column, end: Column, value: Column) -> Column:
@@ -162,7 +162,7 @@ def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         return F.transform(kept, lambda m: span(m["start"], F.lit(len(KINDS)), of(m), m["end"], m["value"]))
 
     terms = F.when(F.col("_told").isNotNull(), marked(matches(t, LETTERS)))
-    found = found.withColumn("spans", F.when(F.col("_told").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", terms))))
+    found = found.withColumn("spans", F.when(F.col("_told").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", terms))))
     return found.drop("_key", "_mark", "_mark2", "_told")
 
 
