@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import PopulationConfig
+from ..functions.lineage import cut
 from ..functions.normalize import allele_name, fraction, frequency_from_carriers, number, trimmed
 
 
@@ -113,8 +114,8 @@ class PopulationMetrics:
         hit_loci = F.lit(False)
         for prefix in loci:
             hit_loci = hit_loci | F.col("allele").startswith(prefix)
-        self.locus_pmf = locus_pmf(self.clean.where(F.col("locus").isin(*config.loci)), self.hits.where(hit_loci))
-        self.pmf = population_pmf(self.locus_pmf, config.loci)
+        self.locus_pmf = cut(locus_pmf(self.clean.where(F.col("locus").isin(*config.loci)), self.hits.where(hit_loci)))
+        self.pmf = cut(population_pmf(self.locus_pmf, config.loci))
         self.weights = population_weights(self.clean, config.weight_mode)
 
     @property

@@ -92,7 +92,7 @@ def raw_clusters(samples: DataFrame, tree: DataFrame, epsilon: DataFrame) -> Dat
     """
     short = tree.join(F.broadcast(epsilon)).where(F.col("d") <= F.col("threshold")).select("i", "j")
     edges = short.unionByName(samples.select(F.col("sample_idx").alias("i"), F.col("sample_idx").alias("j")))
-    return edges.groupBy(F.lit(1)).applyInPandas(_label, "sample_idx int, raw_cluster int")
+    return edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_label, "sample_idx int, raw_cluster int")
 
 
 def _label(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,4 +117,4 @@ def merge_events(tree: DataFrame) -> DataFrame:
                 groups[x] = merged
         return pd.DataFrame(out, columns=["step", "epsilon", "left", "right", "merged"])
 
-    return tree.groupBy(F.lit(1)).applyInPandas(trace, "step int, epsilon double, left array<int>, right array<int>, merged array<int>")
+    return tree.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(trace, "step int, epsilon double, left array<int>, right array<int>, merged array<int>")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import PANEL_WEIGHTS, PanelConfig, TopologyConfig
+from ..functions.lineage import cut
 from ..operators import distance, families, features, panel, population, topology
 from ..operators.grouping import audit_summary
 from ..sources import testdata
@@ -38,7 +39,7 @@ def _sample(df: DataFrame) -> DataFrame:
 
 
 def _vectors(spark, d):
-    return features.feature_vectors(features.sample_features(_rows(spark, d)))[0]
+    return cut(features.feature_vectors(cut(features.sample_features(_rows(spark, d))))[0])
 
 
 def _embedding_vectors(spark, d):
@@ -57,8 +58,8 @@ def _bound(spark, d):
 
 
 def _metrics(spark, d):
-    pairs = panel.binders(_rows(spark, d), 2.0).select("peptide", "mhc")
-    return population.PopulationMetrics(pairs, testdata.reference_panel(spark, d))
+    pairs = panel.binders(_rows(spark, d), 2.0).select("peptide", "mhc").distinct()
+    return population.PopulationMetrics(cut(pairs), cut(testdata.reference_panel(spark, d)))
 
 
 def hla_filtered_rows(spark, d):
@@ -87,18 +88,18 @@ def panel_jaccard(spark, d):
 
 
 def suite_results(spark, d):
-    rows = _rows(spark, d)
+    rows = cut(_rows(spark, d))
     analysis = workflow.analyse(rows, LIMITS)
     return suite.unions(analysis.history)
 
 
 def sweep_fast(spark, d):
-    rows = _rows(spark, d)
+    rows = cut(_rows(spark, d))
     return robustness.sweep(rows, _vectors(spark, d), robustness.grid("fast")).drop("weights", "group_sizes")
 
 
 def sweep_full(spark, d):
-    rows = _rows(spark, d)
+    rows = cut(_rows(spark, d))
     return robustness.overall(robustness.sweep(rows, _vectors(spark, d), robustness.grid("full")))
 
 
@@ -126,7 +127,7 @@ QUERIES = {
     "embedding_barcode": lambda s, d: rounded(workflow.topology(_embedding_vectors(s, d)).barcode()),
     "practical_groups": lambda s, d: _topology(s, d, LIMITS).mapping(),
     "grouping_audit": lambda s, d: _topology(s, d, LIMITS).audit(),
-    "grouping_audit_summary": lambda s, d: (lambda t: audit_summary(t.mapping(), t.audit()))(_topology(s, d, LIMITS)),
+    "grouping_audit_summary": lambda s, d: (lambda t: audit_summary(cut(t.mapping()), cut(t.audit())))(_topology(s, d, LIMITS)),
     "peptide_scores": lambda s, d: rounded(panel.peptide_scores(_bound(s, d), TAU)),
     "greedy_first_pick": lambda s, d: rounded(panel.first_pick(_bound(s, d), PanelConfig())),
     "greedy_panel": lambda s, d: rounded(panel.greedy_panels(_bound(s, d), PanelConfig())),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PANEL_WEIGHTS, PanelConfig, TopologyConfig
+from ..functions.lineage import cut
 from ..functions.text import clip, normalised, weight_label
 
 MODES = {0: "none", 1: "fast", 2: "standard", 3: "full"}
@@ -142,13 +143,13 @@ def sweep(rows: DataFrame, vectors: DataFrame, runs: list[Run], topology: Topolo
     from ..operators.topology import percentile_threshold, raw_clusters, spanning_tree
 
     spark = rows.sparkSession
-    tree = spanning_tree(distances(weighted_vectors(vectors, topology.weights), topology.metric)).persist()
+    tree = cut(spanning_tree(distances(cut(weighted_vectors(vectors, topology.weights)), topology.metric)))
     samples = vectors.select("sample_idx", "id")
     by_percent = None
     for p in sorted({r.percentile for r in runs}):
         part = raw_clusters(samples, tree, percentile_threshold(tree, p)).withColumn("percentile", F.lit(float(p)))
         by_percent = part if by_percent is None else by_percent.unionByName(part)
-    by_percent = by_percent.persist()
+    by_percent = cut(by_percent)
     table = grid_table(spark, runs)
     labels = table.select("run_id", "percentile").join(by_percent, "percentile").select("run_id", "sample_idx", F.col("raw_cluster").alias("label"))
     groups = by_percent.join(samples, "sample_idx").select("percentile", F.col("raw_cluster").alias("group"), F.col("id").alias("file_name"))
@@ -161,7 +162,7 @@ def sweep(rows: DataFrame, vectors: DataFrame, runs: list[Run], topology: Topolo
         items = part if items is None else items.unionByName(part)
     # panels of one setting differ in length alone: the longest holds the others as its beginnings
     longest = table.groupBy("percentile", "rank_threshold", "weights").agg(F.max("max_peptides").alias("most"))
-    work = items.join(F.broadcast(longest), ["percentile", "rank_threshold"])
+    work = cut(items).join(F.broadcast(longest), ["percentile", "rank_threshold"])
 
     def pick(name, pdf):
         weights = dict(zip(PANEL_WEIGHTS, pdf["weights"].iloc[0]))
@@ -171,7 +172,7 @@ def sweep(rows: DataFrame, vectors: DataFrame, runs: list[Run], topology: Topolo
 
     picks = work.groupBy(*key, "weights").applyInPandas(pick, "step int, peptide string, percentile double, rank_threshold double, group int, weights array<double>")
     chosen = table.join(picks, ["percentile", "rank_threshold", "weights"]).where(F.col("step") <= F.col("max_peptides"))
-    panels = table.select("run_id").join(chosen.groupBy("run_id").agg(F.sort_array(F.collect_set("peptide")).alias("peptides")), "run_id", "left").withColumn("peptides", F.coalesce("peptides", F.array().cast("array<string>")))
+    panels = cut(table.select("run_id").join(chosen.groupBy("run_id").agg(F.sort_array(F.collect_set("peptide")).alias("peptides")), "run_id", "left").withColumn("peptides", F.coalesce("peptides", F.array().cast("array<string>"))))
     return stability(table, labels, panels)
 
 

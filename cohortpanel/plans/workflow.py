@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PanelConfig, TopologyConfig
+from ..functions.lineage import cut
 from ..operators.distance import distances, weighted_vectors
 from ..operators.features import feature_vectors, sample_features
 from ..operators.grouping import grouping_audit, practical_groups
@@ -40,11 +41,12 @@ class Topology:
 def topology(vectors: DataFrame, config: TopologyConfig = TopologyConfig()) -> Topology:
     """Distances, tree, threshold and raw clusters of (sample_idx, id, features). Distances are computed once and kept: the
     threshold must meet the very numbers that made it."""
-    edges = distances(weighted_vectors(vectors, config.weights), config.metric).persist()
-    tree = spanning_tree(edges).persist()
-    epsilon = threshold(tree, config)
+    vectors = cut(vectors)
+    edges = cut(distances(cut(weighted_vectors(vectors, config.weights)), config.metric))
+    tree = cut(spanning_tree(edges))
+    epsilon = cut(threshold(tree, config))
     samples = vectors.select("sample_idx", "id")
-    return Topology(samples, edges, tree, epsilon, samples.join(raw_clusters(samples, tree, epsilon), "sample_idx"), config)
+    return Topology(samples, edges, tree, epsilon, cut(samples.join(raw_clusters(samples, tree, epsilon), "sample_idx")), config)
 
 
 @dataclass
@@ -58,8 +60,9 @@ class Analysis:
 
 def analyse(rows: DataFrame, topology_config: TopologyConfig = TopologyConfig(), panel: PanelConfig = PanelConfig(), run_mode: str = "all") -> Analysis:
     features = sample_features(rows)
+    features = cut(features)
     vectors, bad = feature_vectors(features)
     groups = topology(vectors, topology_config)
-    samples = groups.mapping().select(F.col("id").alias("file_name"), "raw_cluster", "practical_group")
+    samples = cut(groups.mapping().select(F.col("id").alias("file_name"), "raw_cluster", "practical_group"))
     assigned = suite.assignments(samples, run_mode, topology_config.min_group_size)
-    return Analysis(features, bad, groups, assigned, suite.run_suite(rows, assigned, panel))
+    return Analysis(features, bad, groups, assigned, cut(suite.run_suite(rows, assigned, panel)))
