@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 
@@ -21,13 +22,17 @@ GROUP_DOCS = 8192
 CACHE_WORDS = 400_000
 
 _WORD = re.compile(f"[^{re.escape(SPACE)}]+")
+_CONTROL = re.compile("[\x1c-\x1f]")
+_PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 class WordTokenizer:
     """Ids of a whole text from the ids of its words.
 
     The vocabulary drops white space and never merges across it, so ids of white-space-separated words, each encoded by
-    itself, are those of the text. Words are encoded once a worker and kept as rows of one flat array.
+    itself, are those of the text. A word of lower-cased Latin letters with ASCII punctuation after them is two pieces,
+    which the vocabulary never merges either; the model alone encodes them, as nothing is left to normalise. Other words
+    are one piece, encoded in full. Pieces are encoded once a worker and kept as rows of one flat array.
     """
 
     def __init__(self, vocabulary: str):
@@ -35,35 +40,67 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.tokenize = self.encoder.model.tokenize
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
+        others = [b for b in range(256) if b not in set(plain)]
+        self.byte = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
         self.clear()
 
     def clear(self):
-        self.row: dict[str, int] = {}
+        self.code: dict[str, int] = {}  # of words
+        self.piece: dict[str, int] = {"": 0}
+        self.parts = np.zeros((1024, 2), np.int32)  # a word's pieces
         self.starts, self.lengths, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
+    def piece_ids(self, piece: str) -> list[int]:
+        if not piece.isascii():
+            piece = "".join(map(self.byte.__getitem__, piece.encode()))
+        return [t.id for t in self.tokenize(piece)]
+
     def learn(self, words: list[str]):
-        for word, encoding in zip(words, self.encoder.encode_batch_fast(words, add_special_tokens=False)):
-            ids, k = encoding.ids, len(self.row)
-            if k == len(self.starts):
-                self.starts, self.lengths = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.row[word], self.starts[k], self.lengths[k] = k, self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        pieces, code, plain, parts = self.piece, self.code, _PLAIN.fullmatch, []
+        known, bare, rest = len(pieces), [], []
+        for word in words:
+            match = plain(word.lower())
+            stem, tail = match.groups() if match else (word, "")
+            for x in (stem, tail):
+                k = pieces.get(x)
+                if k is None:
+                    k = pieces[x] = len(pieces)
+                    (bare if match else rest).append(k)
+                parts.append(k)
+            code[word] = len(code)
+        names = list(itertools.islice(pieces, known, None))
+        ids: list = [None] * len(names)
+        for k in bare:
+            ids[k - known] = self.piece_ids(names[k - known])
+        for k, encoding in zip(rest, self.encoder.encode_batch_fast([names[k - known] for k in rest], add_special_tokens=False)):
+            ids[k - known] = encoding.ids
+        at = len(code) - len(words)
+        self.parts = _grown(self.parts, len(code))
+        self.parts[at : len(code)] = np.array(parts, np.int32).reshape(-1, 2)
+        self.starts, self.lengths = _grown(self.starts, len(pieces)), _grown(self.lengths, len(pieces))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(sizes.sum())
+        self.flat = _grown(self.flat, self.used + total)
+        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+        self.starts[known : len(pieces)], self.lengths[known : len(pieces)] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += total
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text. The memory is emptied between calls once it holds more than CACHE_WORDS words."""
-        if len(self.row) > CACHE_WORDS:
+        if len(self.code) > CACHE_WORDS:
             self.clear()
-        split = [_WORD.findall(t) if t else [] for t in texts]
-        row = self.row
-        fresh = {w for words in split for w in words if w not in row}
+        # str.split knows the tokenizer's white space and four control characters that are none to it
+        split = [(_WORD.findall(t) if _CONTROL.search(t) else t.split()) if t else [] for t in texts]
+        code = self.code
+        fresh = set().union(*split).difference(code)
         if fresh:
             self.learn(list(fresh))
         found = []
         for words in split:
-            rows = np.fromiter(map(row.__getitem__, words), dtype=np.int64, count=len(words))
+            codes = np.fromiter(map(code.__getitem__, words), np.int64, len(words))
+            rows = self.parts[codes].ravel()
             lengths = self.lengths[rows]
             ends = np.cumsum(lengths)
             total = int(ends[-1]) if len(ends) else 0
@@ -72,6 +109,15 @@ class WordTokenizer:
         return found
 
 
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for ``size`` rows at least; room at least doubles."""
+    if size <= len(array):
+        return array
+    out = np.zeros((max(size, 2 * len(array)), *array.shape[1:]), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
