@@ -20,6 +20,8 @@ MAX_FEATURES = 16_384
 MIN_DOCS = 4
 FIT_TASKS = 16
 CHUNK = 1 << 12
+#: Features are numbered in two bytes.
+FEATURE = np.dtype("<u2")
 HOLD_OUT = 5
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -90,6 +92,8 @@ def counted(train: DataFrame) -> DataFrame:
 
 def fit(train: DataFrame, max_features: int = MAX_FEATURES) -> Model:
     """Fit on rows (text, toxic); at most MAX_TRAIN_ROWS rows and ``max_features`` features reach the driver."""
+    if max_features > 1 << 16:
+        raise ValueError("at most 65536 features")
     train = checkpointed(train.repartition(FIT_TASKS))
     n = {int(r["toxic"]): r["count"] for r in train.groupBy("toxic").count().collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
@@ -109,26 +113,36 @@ def fit(train: DataFrame, max_features: int = MAX_FEATURES) -> Model:
 
     def select(batches):
         for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "features": [present(shared.value, x) for x in pdf["text"]]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "features": [present(shared.value, x).astype(FEATURE).tobytes() for x in pdf["text"]]})
 
-    rows = train.mapInPandas(select, "toxic int, features array<int>").toPandas()
-    weight, bias = logistic(rows["features"].to_list(), rows["toxic"].to_numpy(dtype=float), ratio)
+    rows = train.mapInPandas(select, "toxic int, features binary").toPandas()
+    packed = [np.frombuffer(x, FEATURE) for x in rows["features"]]
+    weight, bias = logistic(packed, rows["toxic"].to_numpy(dtype=float), ratio)
     return Model(place, weight * ratio, bias)
 
 
-def logistic(features: list, y: np.ndarray, scale: np.ndarray, steps: int = 300, ridge: float = 2e-4, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on presence times ``scale`` by full-batch Adam; classes weigh alike."""
-    lengths = np.array([len(f) for f in features])
-    row = np.repeat(np.arange(len(features)), lengths)
-    col = np.concatenate([np.asarray(f, dtype=np.int64) for f in features]) if len(features) else np.empty(0, dtype=np.int64)
-    value = scale[col]
+def logistic(features: list[np.ndarray], y: np.ndarray, scale: np.ndarray, steps: int = 300, ridge: float = 2e-4, rate: float = 0.05, chunk: int = 1 << 20) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on presence times ``scale`` by full-batch Adam; classes weigh alike.
+
+    Rows are taken about ``chunk`` features at a time, so beside the features themselves memory is bounded.
+    """
+    lengths = np.array([len(f) for f in features], dtype=np.int64)
+    flat = np.concatenate([*features, np.empty(0, FEATURE)]).astype(FEATURE)
+    ends = np.cumsum(lengths)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(chunk, len(flat) + chunk, chunk), side="right"), [len(features)]]))
     share = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
     w, bias = np.zeros(len(scale)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = bias + np.bincount(row, value * w[col], minlength=len(features))
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        g, gb = np.bincount(col, error[row] * value, minlength=len(scale)) + ridge * w, error.sum()
+        g, gb, scaled = np.zeros_like(w), 0.0, w * scale
+        for i, j in zip(cuts, cuts[1:]):
+            col = flat[ends[i] - lengths[i] : ends[j - 1]]
+            row = np.repeat(np.arange(j - i), lengths[i:j])
+            z = bias + np.bincount(row, scaled[col], minlength=j - i)
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j]) * share[i:j]
+            g += np.bincount(col, error[row], minlength=len(w))
+            gb += error.sum()
+        g = g * scale + ridge * w
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
         w = w - rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
