@@ -69,6 +69,7 @@ def sketches(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 s = shingle_set(t, n)
                 out.append((name, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None, s[:SKETCH]))
             yield pd.DataFrame(out, columns=["key", "n_shingles", "same", "sketch"])
+        _hashes.clear()  # workers outlive their task
 
     return docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(make, "key string, n_shingles long, same string, sketch array<long>").withColumn("key", F.col("key").cast("long"))
 
@@ -286,6 +287,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         for pdf in batches:
             sets = [shingle_set(t, n) for t in pdf["text"]]
             yield pd.DataFrame({"same": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "full": sets})
+        _hashes.clear()
 
     sets = sources.mapInPandas(full, "same string, full array<long>").join(wanted.select("cls", "same"), "same").dropDuplicates(["cls"])
     confirmed = kept.join(sets.select("cls", "full"), "cls").select(*order, "cls", "side", "full").repartition(*order).sortWithinPartitions(*order)

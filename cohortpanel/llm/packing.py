@@ -171,6 +171,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     out += [(name, s, min(capacity, len(ids) - s), zlib.crc32(ids[s : s + capacity].tobytes()), len(ids)) for s in range(0, len(ids), capacity)]
             yield pd.DataFrame(out, columns=["key", "start", "length", "ids_crc32", "doc_tokens"])
+        tokenizer(vocabulary).clear()  # workers outlive their task
 
     schema = "key string, start long, length long, ids_crc32 long, doc_tokens long"
     cut_up = docs.select(F.col(key).cast("string").alias(key), text).mapInPandas(cut, schema)
