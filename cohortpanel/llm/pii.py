@@ -1,8 +1,10 @@
 """Personal data: patterns, and terms that reveal them by corpus co-occurrence, with DataFrame operations only.
 
-Protected entities are the values that the patterns find. A term near an entity reveals it as far as it leaves little
-doubt about it: -log2 P(entity | term) bits, by document counts over the whole corpus. Terms below a threshold of doubt
-are disclosures wherever they stand: generalised, or removed if they leave almost none.
+Protected entities are the values that the patterns find, and pools of them: a mail domain, a network, the issuer of a
+card, the prefix of a number. A term near an entity reveals it as far as it leaves little doubt about it:
+-log2 P(entity | term) bits, smoothed towards the entity's base rate, by counts of distinct texts over the whole corpus.
+No count is too small: one text leaves 0.58 bits, four leave 0.17. Terms below a threshold of doubt are disclosures
+wherever they stand: generalised, or removed if they leave almost none.
 """
 
 from __future__ import annotations
@@ -15,12 +17,12 @@ from .quality import bound
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("generalised", "removed")
-#: Documents in which a term stands near an entity, at least; doubt in bits up to which a term is generalised or removed;
-#: information on the entity, in bits above its base rate, at least.
-MIN_SUPPORT, GENERALISE_BITS, REMOVE_BITS, MIN_INFORMATION = 3, 1.0, 0.2, 3.0
+#: Texts at the entity's base rate that are added to a term's (Jeffreys' half); doubt in bits up to which a term is
+#: generalised or removed; information on the entity, in bits above its base rate, at least.
+PRIOR_TEXTS, GENERALISE_BITS, REMOVE_BITS, MIN_INFORMATION = 0.5, 1.0, 0.2, 3.0
 #: Words on each side of an entity that are looked at, and characters they are taken from.
 CONTEXT_WORDS, CONTEXT_CHARS = 8, 240
-#: Tables of terms and of documents with terms are broadcast up to these counts, joined by a shuffle beyond.
+#: Tables of terms, and of documents with terms or copies, are broadcast up to these counts, joined by a shuffle beyond.
 BROADCAST_TERMS, BROADCAST_DOCS = 200_000, 100_000
 
 LETTERS = r"[\p{L}\p{M}]+"
@@ -112,27 +114,46 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), lambda x: x != ""))
 
 
+def pool(kind: Column, value: Column) -> Column:
+    """What values of a kind share: mail domain, first two octets, first six digits of a card, a phone number but its
+    last seven digits."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    email, ip = F.substring_index(value, "@", -1), F.substring_index(value, ".", 2)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, F.lit(1), F.length(digits) - 7))
+
+
 def disclosures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, kind): terms that reveal an entity. ``docs`` needs the text alone; documents count, copies included."""
+    """(term, kind): terms that reveal an entity. ``docs`` needs the text alone.
+
+    Copies of a text are one piece of evidence. An entity's base rate is the lower of its shares of documents and of
+    distinct texts, so copies make it no less worth protecting.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    near = docs.select(t.alias("t"), base_spans(t).alias("base")).where(F.size("base") > 0)
-    near = near.withColumn("doc", F.monotonically_increasing_id()).select("doc", "t", F.explode("base").alias("s"))
+    mark = F.xxhash64(t)
+    texts = checkpointed(docs.groupBy(mark.alias("mark")).agg(F.count("*").alias("copies")))
+    total = texts.agg(F.count("*").alias("texts"), F.coalesce(F.sum("copies"), F.lit(0)).alias("docs")).first()
+    copied = bounded_broadcast(texts.where("copies > 1"), BROADCAST_DOCS)
+    near = docs.select(t.alias("t"), mark.alias("mark"), base_spans(t).alias("base")).where(F.size("base") > 0)
+    near = near.withColumn("doc", F.monotonically_increasing_id()).select("doc", "mark", "t", F.explode("base").alias("s"))
     left = F.slice(F.reverse(F.regexp_extract_all(F.substring("t", F.greatest(F.lit(0), F.col("s.start") - CONTEXT_CHARS) + 1, F.least(F.col("s.start"), F.lit(CONTEXT_CHARS))), F.lit(LETTERS), F.lit(0))), 1, CONTEXT_WORDS)
     right = F.slice(F.regexp_extract_all(F.substring("t", F.col("s.end") + 1, F.lit(CONTEXT_CHARS)), F.lit(LETTERS), F.lit(0)), 1, CONTEXT_WORDS)
-    entity = F.concat_ws(":", "s.kind", F.lower("s.value"))
-    pairs = near.select("doc", entity.alias("entity"), F.transform(F.concat(left, right), F.lower).alias("terms"))
-    pairs = checkpointed(pairs.select("doc", "entity", F.explode(F.array_distinct("terms")).alias("term")))
-    with_entity = pairs.groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"))
-    both = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_SUPPORT)
+    value = F.lower("s.value")
+    entities = F.array(F.concat_ws(":", "s.kind", value), F.concat_ws(":", F.lit("pool"), "s.kind", pool(F.col("s.kind"), value)))
+    pairs = near.select("doc", "mark", F.explode(entities).alias("entity"), F.transform(F.concat(left, right), F.lower).alias("terms"))
+    pairs = checkpointed(pairs)
+    with_entity = pairs.groupBy("entity").agg(F.count_distinct("mark").alias("entity_texts"), F.count_distinct("doc").alias("entity_docs"))
+    both = pairs.select("mark", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     both = checkpointed(both.join(with_entity, "entity"))
     asked = bounded_broadcast(both.select("term").distinct(), BROADCAST_TERMS)
     # counts are made before the join where the terms are too many to broadcast: partial sums are smaller than all words
-    words = docs.select(F.explode(terms_of(t)).alias("term"))
+    words = docs.select(t.alias("t"), mark.alias("mark")).join(copied, "mark", "left")
+    words = words.select(F.explode(terms_of(F.col("t"))).alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("part"))
     small = both.select("term").distinct().limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    with_term = (words.join(asked, "term", "left_semi") if small else words).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.count()
-    doubt = -F.log2(F.col("n_both") / F.greatest(F.col("n_term"), F.col("n_both")))
-    information = -F.log2(F.col("n_entity") / F.lit(float(max(1, total)))) - doubt
+    # a text's copies hold the same terms, so their parts sum to a whole number but for rounding
+    with_term = (words.join(asked, "term", "left_semi") if small else words).groupBy("term").agg(F.round(F.sum("part")).alias("n_term"))
+    base_rate = F.least(F.col("entity_texts") / F.lit(float(max(1, total["texts"]))), F.col("entity_docs") / F.lit(float(max(1, total["docs"]))))
+    doubt = -F.log2((F.col("n_both") + PRIOR_TEXTS * base_rate) / (F.greatest(F.col("n_term"), F.col("n_both")) + PRIOR_TEXTS))
+    information = -F.log2(base_rate) - doubt
     told = both.join(with_term, "term").withColumn("doubt", doubt).where((F.col("doubt") <= GENERALISE_BITS) & (information >= MIN_INFORMATION))
     best = told.groupBy("term").agg(F.min("doubt").alias("doubt"))
     return checkpointed(best.select("term", F.when(F.col("doubt") <= REMOVE_BITS, "removed").otherwise("generalised").alias("kind")))

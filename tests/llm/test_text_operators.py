@@ -121,6 +121,17 @@ def test_terms_and_sanitised(spark):
     assert pii.with_spans(docs.limit(0)).count() == 0
 
 
+def test_terms_of_rare_entities(spark):
+    common = [(100 + i, f"the office said w{i}x is about to leave again with the other people of the street") for i in range(300)]
+    # one value in one text; values of one domain in two texts; the same text copied is no more evidence than once
+    rows = [(1, "the office of Zorbix is with ann@one.example.org again"), (2, "the other street of Quibble said bob@two.example.org again"), (3, "Quibble is about to leave the office with eve@two.example.org again")]
+    rows += [(10 + i, "Mumblet said to cy@three.example.org the office") for i in range(60)] + [(90, "Mumblet is about to leave"), (91, "Mumblet said the street")]
+    got = {r["term"]: r["kind"] for r in pii.disclosures(spark.createDataFrame(rows + common, "doc_id int, text string")).collect()}
+    assert got == {"zorbix": "generalised", "quibble": "generalised"}
+    copies = pii.disclosures(spark.createDataFrame([r for r in rows if r[0] < 90] + common, "doc_id int, text string")).collect()
+    assert {r["term"]: r["kind"] for r in copies} == {"zorbix": "generalised", "quibble": "generalised", "mumblet": "generalised"}
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choices("etaoinshrdlu", k=r.randint(2, 8)))
