@@ -74,10 +74,10 @@ def locus_pmf(clean: DataFrame, hits: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("a.population").alias("population"), F.col("a.locus").alias("locus"), h.alias("h")).agg(F.sum(p).alias("p"))
 
 
-def population_pmf(loci: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """(population, h, p): the loci's distributions convolved; a locus that a population lacks adds nothing."""
-    acc = loci.select("population").distinct().withColumns({"h": F.lit(0).cast("long"), "p": F.lit(1.0)})
-    for name in names:
+def population_pmf(loci: DataFrame, clean: DataFrame) -> DataFrame:
+    """(population, h, p): the distributions of the panel's loci convolved; a locus that a population lacks adds nothing."""
+    acc = clean.select("population").distinct().withColumns({"h": F.lit(0).cast("long"), "p": F.lit(1.0)})
+    for name in sorted(r["locus"] for r in clean.select("locus").distinct().collect()):
         step = loci.where(F.col("locus") == name).select("population", F.col("h").alias("h2"), F.col("p").alias("p2"))
         joined = acc.join(step, "population", "left").withColumns({"h2": F.coalesce("h2", F.lit(0)), "p2": F.coalesce("p2", F.lit(1.0))})
         acc = joined.groupBy("population", (F.col("h") + F.col("h2")).alias("h")).agg(F.sum(F.col("p") * F.col("p2")).alias("p"))
@@ -104,18 +104,17 @@ def population_weights(clean: DataFrame, mode: str) -> DataFrame:
 
 
 class PopulationMetrics:
-    """Frames of one evaluation; ``did_evaluate`` is false where nothing is hit or a table is empty."""
+    """Frames of one evaluation; ``did_evaluate`` is false where nothing is hit or a table is empty.
+
+    All loci of the panel count. Alleles of loci other than A, B and C get no prefix: hits and panel must name them alike.
+    """
 
     def __init__(self, pairs: DataFrame, panel: DataFrame, config: PopulationConfig = PopulationConfig()):
         self.config = config
         self.hits = hit_counts(pairs, config.hit_mode)
         self.clean = cleaned(panel, config)
-        loci = [f"HLA-{x}*" for x in config.loci]
-        hit_loci = F.lit(False)
-        for prefix in loci:
-            hit_loci = hit_loci | F.col("allele").startswith(prefix)
-        self.locus_pmf = cut(locus_pmf(self.clean.where(F.col("locus").isin(*config.loci)), self.hits.where(hit_loci)))
-        self.pmf = cut(population_pmf(self.locus_pmf, config.loci))
+        self.locus_pmf = cut(locus_pmf(self.clean, self.hits))
+        self.pmf = cut(population_pmf(self.locus_pmf, self.clean))
         self.weights = population_weights(self.clean, config.weight_mode)
 
     @property

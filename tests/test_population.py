@@ -36,6 +36,15 @@ def test_closed_forms(spark, pairs, rows, config, expected):
     assert sum(r["p"] for r in found.mixture_pmf().collect()) == pytest.approx(1)
 
 
+def test_all_loci_of_the_panel(spark):
+    rows = [("Pop1", "A", "A*01:01", 0.5, None, 100.0), ("Pop1", "DRB1", "DRB1*01:01", 0.5, None, 100.0), ("Pop2", "DRB1", "DRB1*01:01", 0.1, None, 300.0), ("Pop3", "DQB1", "DQB1*02:01", 0.5, None, 100.0)]
+    found = metrics(spark, [("PEP1", "HLA-A*01:01"), ("PEP2", "DRB1*01:01")], rows)
+    got = {r["population"]: (r["coverage_percent"], r["expected_hits"]) for r in found.populations().collect()}
+    assert got["Pop1"] == pytest.approx((93.75, 1.5)) and got["Pop2"] == pytest.approx((19, 0.19)) and got["Pop3"] == pytest.approx((0, 0))
+    assert sum(r["p"] for r in found.mixture_pmf().collect()) == pytest.approx(1)
+    assert found.mixture().first()["coverage_percent"] == pytest.approx(0.2 * 93.75 + 0.6 * 19)
+
+
 def test_errors_and_warnings(spark):
     with pytest.raises(Exception, match="out of"):
         metrics(spark, A, [("Pop1", "A", "A*01:01", 250.0, None, 1.0)]).mixture()
