@@ -20,7 +20,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
-    "op5_near_duplicates": neardup.query,
     "op6_exact_top_k": search.ORACLE_SQL,
     "op9_url_rules": urls.ORACLE_SQL,
     "op10_arc_to_warc": archives.ORACLE_SQL,
