@@ -20,8 +20,8 @@ TERM_KINDS = ("generalised", "removed")
 #: Texts at the entity's base rate that are added to a term's (Jeffreys' half); doubt in bits up to which a term is
 #: generalised or removed; information on the entity, in bits above its base rate, at least.
 PRIOR_TEXTS, GENERALISE_BITS, REMOVE_BITS, MIN_INFORMATION = 0.5, 1.0, 0.2, 3.0
-#: Words on each side of an entity that are looked at, and characters they are taken from.
-CONTEXT_WORDS, CONTEXT_CHARS = 8, 240
+#: Words on each side of an entity that are looked at.
+CONTEXT_WORDS = 8
 #: Tables of terms, and of documents with terms or copies, are broadcast up to these counts, joined by a shuffle beyond.
 BROADCAST_TERMS, BROADCAST_DOCS = 200_000, 100_000
 
@@ -114,6 +114,12 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), lambda x: x != ""))
 
 
+def first_words(text: Column) -> Column:
+    """The first whole words, however far off, after the rest of a word that the text begins with."""
+    head = F.regexp_extract(text, r"^[\p{L}\p{M}]*+((?:[^\p{L}\p{M}]*+[\p{L}\p{M}]++){0,%d})" % CONTEXT_WORDS, 1)
+    return F.regexp_extract_all(head, F.lit(LETTERS), F.lit(0))
+
+
 def pool(kind: Column, value: Column) -> Column:
     """What values of a kind share: mail domain, first two octets, first six digits of a card, a phone number but its
     last seven digits."""
@@ -135,8 +141,9 @@ def disclosures(docs: DataFrame, text: str = "text") -> DataFrame:
     copied = bounded_broadcast(texts.where("copies > 1"), BROADCAST_DOCS)
     near = docs.select(t.alias("t"), mark.alias("mark"), base_spans(t).alias("base")).where(F.size("base") > 0)
     near = near.withColumn("doc", F.monotonically_increasing_id()).select("doc", "mark", "t", F.explode("base").alias("s"))
-    left = F.slice(F.reverse(F.regexp_extract_all(F.substring("t", F.greatest(F.lit(0), F.col("s.start") - CONTEXT_CHARS) + 1, F.least(F.col("s.start"), F.lit(CONTEXT_CHARS))), F.lit(LETTERS), F.lit(0))), 1, CONTEXT_WORDS)
-    right = F.slice(F.regexp_extract_all(F.substring("t", F.col("s.end") + 1, F.lit(CONTEXT_CHARS)), F.lit(LETTERS), F.lit(0)), 1, CONTEXT_WORDS)
+    # both sides begin with the entity's own character there, so that a word it cuts is passed over as a whole
+    left = F.transform(first_words(F.reverse(F.substring(F.col("t"), F.lit(1), F.col("s.start") + 1))), F.reverse)
+    right = first_words(F.substring(F.col("t"), F.col("s.end"), F.length("t")))
     value = F.lower("s.value")
     entities = F.array(F.concat_ws(":", "s.kind", value), F.concat_ws(":", F.lit("pool"), "s.kind", pool(F.col("s.kind"), value)))
     pairs = near.select("doc", "mark", F.explode(entities).alias("entity"), F.transform(F.concat(left, right), F.lower).alias("terms"))

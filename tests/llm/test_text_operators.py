@@ -132,6 +132,14 @@ def test_terms_of_rare_entities(spark):
     assert {r["term"]: r["kind"] for r in copies} == {"zorbix": "generalised", "quibble": "generalised", "mumblet": "generalised"}
 
 
+def test_context_words_are_whole(spark):
+    gap = " 1" * 300 + "\n" * 300
+    text = f"Outside one two three four five six seven Farleft{gap} éann@one.example.orgé {gap}Farright two three four five six seven {'z' * 400} beyond"
+    common = [(100 + i, "one two three four five six seven") for i in range(300)]
+    docs = spark.createDataFrame([(1, text)] + [(i, f"{w} w{i}") for i, w in common], "doc_id int, text string")
+    assert {r["term"] for r in pii.disclosures(docs).collect()} == {"farleft", "farright", "z" * 400}
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choices("etaoinshrdlu", k=r.randint(2, 8)))
