@@ -104,9 +104,13 @@ def mix(
 
 
 def repeated(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each whole repetition that ``mix`` decided, and one for the part of an epoch, cut after its last word."""
+    """One row for each whole repetition that ``mix`` decided, and one for the part of an epoch, cut after its last word.
+
+    Documents without words are repeated as often as their source is taken whole; of a part of an epoch they have no share.
+    """
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(epochs).cast("int")
     words = F.slice(word_array(F.col(text)), 1, F.greatest(part, F.lit(1)).cast("int"))
     cut = F.when(part > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
     return mixed.withColumn(text, F.explode(F.concat(F.array_repeat(F.col(text), whole), cut)))

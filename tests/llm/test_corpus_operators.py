@@ -49,6 +49,15 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), F.lit(1)).count() == 0
 
 
+def test_documents_without_words_are_repeated(spark):
+    rows = [(i, "a b", "x") for i in range(4)] + [(10, None, "x"), (11, "", "x"), (12, " \n", "x")] + [(20 + i, "c d e f", "y") for i in range(4)] + [(30, None, "y"), (40, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    # 24 words, half of them from each of x (8 words: one and a half epochs) and y (16: three quarters); z has none
+    mixed = mixing.mix(docs, F.size(word_array(F.col("text"))), weights=(1.0, 1.0, 1.0))
+    got = [(r["doc_id"], r["text"]) for r in mixing.repeated(mixed).collect() if r["doc_id"] in (10, 11, 12, 30, 40)]
+    assert sorted(got, key=str) == sorted([(10, None), (11, ""), (12, " \n")], key=str)
+
+
 def test_first_fit_decreasing():
     r = np.random.default_rng(0)
     for sizes in (r.integers(1, 101, 300), np.full(7, 100), np.array([60, 50, 40, 50]), np.array([], int)):
