@@ -2,40 +2,58 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that separate words in every contract of this package.
 SPACE = "\t\n\x0b\x0c\r "
+#: Bytes of text that a Python task works on at once, about; Spark bounds the batches that it gets by bytes too.
+TEXT_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder the cluster names in ``spark.checkpoint.dir``.
-
-    A folder of our own is set only where the session names none, as in tests.
-    """
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``. Where none is named, a session within one process
+    (tests) gets one of its own; on a cluster that is an error, as executors would not share it."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohortpanel-ckpt-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the folder the cluster names in ``spark.checkpoint.dir``."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder name below the shared checkpoint folder, for tables and archives written between jobs."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohortpanel-ckpt-"))
-    root = context._jsc.sc().getCheckpointDir().get()
-    return f"{root}/{spark.sql('SELECT uuid()').first()[0]}"
+    return f"{_checkpoint_folder(spark)}/{spark.sql('SELECT uuid()').first()[0]}"
+
+
+def arrow_slices(batch: pa.RecordBatch, column: str, limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in slices of about ``limit`` bytes of a text column; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def word_array(text: Column) -> Column:

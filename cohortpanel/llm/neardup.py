@@ -6,103 +6,119 @@
    share by chance is common, hence late in this order, and mostly not listed at all.
 3. Each value names a pivot, the class of its list whose sketch is the most common. Lists of one pivot are one group, so
    the many lists of a large family of copies fall together and its pairs are looked at once.
-4. Groups are cut into blocks; a task compares two blocks, first by sketches (the union's bottom-k estimates Jaccard),
-   then on full sets. It returns links that span the linked classes, not all of them: nothing quadratic leaves a task.
-5. Links are contracted to components by alternating star operations.
+4. Every class of a group is compared with its pivot, first by sketches (the union's bottom-k estimates Jaccard), then on
+   full sets. Classes linked with the pivot are of one component, so pairs among them need no look.
+5. What is left of a group is cut into blocks, compared with one another and with the blocks of linked classes in the
+   same two steps. Tasks return links that span the linked classes, not all of them: nothing quadratic leaves a task.
+6. Links are contracted to components by alternating star operations.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpointed, table
+from .common import arrow_slices, checkpointed, table
+from .shingles import shingle_sets
 
 SHINGLE_WORDS, THRESHOLD = 5, 80  # percent
 SKETCH = 32
 #: Sketch values that two full sketches of linked sets share at least; fewer has a chance of about 3e-9 a pair.
 NEED = 11
-#: Classes in a block; a task holds two blocks.
-BLOCK = 256
-#: Words whose hashes a Python worker remembers.
-CACHE_WORDS = 1_000_000
-
-_WORD = re.compile(f"[^{re.escape(SPACE)}]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_hashes: dict[str, int] = {}
-
-
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles of the text, A-Z lower-cased; fewer words: one of all; none: empty."""
-    words = _WORD.findall((text or "").translate(_LOWER))
-    if not words:
-        return np.empty(0, np.int64)
-    if len(words) < n:
-        return np.array([xxhash.xxh64_intdigest(" ".join(words), seed=n)], np.uint64).view(np.int64)
-    if len(_hashes) > CACHE_WORDS:
-        _hashes.clear()
-    for w in set(words):
-        if w not in _hashes:
-            _hashes[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    mixed = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        mixed = (mixed ^ h[k : k + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed.view(np.int64))
+#: Estimates below this rule a link out; at Jaccard 0.8 a sketch of 32 gives one with a chance of about 2e-8.
+LOW = 0.36
+#: Classes in a block, and shingles of their full sets; a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Keys that the members of a group of several blocks are dealt to where they meet the group's size.
+SALTS = 64
+
+
+def digest(shingles: np.ndarray) -> bytes | None:
+    """Of a full set; null for the empty set."""
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
 def sketches(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, n_shingles, same, sketch): ``same`` is a digest of the full set, null for the empty set."""
 
     def make(batches):
-        for pdf in batches:
-            out = []
-            for name, t in zip(pdf["key"], pdf["text"]):
-                s = shingle_set(t, n)
-                out.append((name, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None, s[:SKETCH]))
-            yield pd.DataFrame(out, columns=["key", "n_shingles", "same", "sketch"])
-        _hashes.clear()  # workers outlive their task
+        for batch in batches:
+            for part in arrow_slices(batch, "text"):
+                sets = list(shingle_sets(part["text"], n))
+                kept = [s[:SKETCH] for s in sets]
+                ends = np.cumsum([0, *map(len, kept)], dtype=np.int32)
+                sketch = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept)))
+                yield pa.RecordBatch.from_arrays([part["key"], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(digest, sets), pa.binary()), sketch], ["key", "n_shingles", "same", "sketch"])
 
-    return docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(make, "key string, n_shingles long, same string, sketch array<long>").withColumn("key", F.col("key").cast("long"))
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(make, "key long, n_shingles long, same binary, sketch array<long>")
 
 
-def needed(n: pd.Series | F.Column):
+def needed(n: Column) -> Column:
     """Sketch values a class shares at least with each class it is linked with: 3/4 of a set that is all in its sketch
     (its partner has at most 5/4 of its size), NEED of others."""
     return F.when(n <= SKETCH, F.least(F.lit(NEED), F.ceil(n * 0.75))).otherwise(NEED).cast("int")
 
 
 def listed(classes: DataFrame) -> DataFrame:
-    """(value, cls): classes under the rarest values of their sketches, for values that two classes have at least."""
+    """(value, cls, total, n): classes under the rarest values of their sketches, for values that two classes have at least.
+
+    Values of one class alone are its rarest; they are counted, not carried along.
+    """
     spread = classes.select("cls", "n", F.explode("sketch").alias("value"))
     common = spread.groupBy("value").agg(F.count("*").alias("freq")).where("freq > 1")
-    ranked = spread.join(common, "value", "left").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(1)).alias("freq"), "value"))).alias("all"))
-    ranked = ranked.withColumn("total", F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["freq"]))
-    prefix = F.slice("all", 1, F.size("all") - needed(F.col("n")) + 1)
-    return ranked.select("cls", "total", F.explode(F.filter(prefix, lambda x: x["freq"] > 1)).alias("v")).select(F.col("v.value").alias("value"), "cls", "total")
+    ranked = spread.join(common, "value").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "value"))).alias("shared"))
+    alone = F.least(F.col("n"), F.lit(SKETCH)).cast("int") - F.size("shared")
+    ranked = ranked.withColumn("total", F.aggregate("shared", alone.cast("long"), lambda a, x: a + x["freq"]))
+    prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.size("shared") - needed(F.col("n")) + 1))
+    return ranked.select("cls", "total", "n", F.explode(prefix).alias("v")).select(F.col("v.value").alias("value"), "cls", "total", "n")
 
 
 def grouped(lists: DataFrame) -> DataFrame:
-    """(pivot, cls): lists put together by their pivots; groups of one class are left out."""
+    """(pivot, cls, n): lists put together by their pivots; groups of one class are left out."""
     pivots = lists.groupBy("value").agg(F.max_by("cls", F.struct("total", -F.col("cls"))).alias("pivot"), F.count("*").alias("k")).where("k > 1")
-    members = lists.join(pivots, "value").select("pivot", "cls").distinct()
-    return members
+    return lists.join(pivots, "value").select("pivot", "cls", "n").distinct()
 
 
-def dealt(members: DataFrame, block: int) -> DataFrame:
-    """(pivot, i, j, cls, side): each class once for every pair of blocks i <= j that its block is in."""
-    sizes = members.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = members.join(sizes, "pivot").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return own.withColumn("o", other).select("pivot", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "cls", (F.col("b") > F.col("o")).alias("side"))
+def blocks_of(members: DataFrame, side: Column, block: int) -> DataFrame:
+    """``members`` with ``left`` and ``right``, the blocks of the rows of its group with and without ``side``, and ``b``,
+    the row's own block. Groups of several blocks are few; their members are salted to meet them."""
+    count = lambda cond: F.ceil(F.greatest(F.count_if(cond) / block, F.sum(F.when(cond, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    members = members.withColumn("_side", side)
+    sizes = members.groupBy("pivot").agg(count(F.col("_side")).alias("left"), count(~F.col("_side")).alias("right"))
+    large = sizes.where("left > 1 OR right > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = members.withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(large, ["pivot", "_salt"], "left").drop("_salt")
+    # no hot group is among the others
+    rest = met.where("left IS NULL").drop("left", "right").join(sizes, "pivot")
+    both = met.where("left IS NOT NULL").unionByName(rest)
+    return both.withColumn("b", F.pmod(F.xxhash64(F.lit(1), "cls"), F.when(F.col("_side"), F.col("left")).otherwise(F.col("right"))).cast("int")).drop("_side")
+
+
+def star(members: DataFrame, block: int) -> DataFrame:
+    """(pivot, kind, i, j, cls, side): every class once in a block of its group, and the pivot (side) in each of them."""
+    placed = blocks_of(members, F.col("cls") != F.col("pivot"), block)
+    hub = F.col("cls") == F.col("pivot")
+    at = F.explode(F.when(hub, F.sequence(F.lit(0), F.col("left") - 1)).otherwise(F.array("b")))
+    return placed.select("pivot", F.lit(2).alias("kind"), at.alias("i"), F.lit(0).alias("j"), "cls", hub.alias("side"))
+
+
+def dealt(members: DataFrame, linked: DataFrame, block: int) -> DataFrame:
+    """(pivot, kind, i, j, cls, side): what ``linked`` (pivot, cls) leaves over, once for every pair of blocks i <= j of its
+    own (kind 0) and every block of linked classes (kind 1: i of the rest, j of the linked, side True)."""
+    marked = members.where("cls <> pivot").join(linked.select("pivot", "cls", F.lit(True).alias("done")), ["pivot", "cls"], "left").withColumn("open", F.col("done").isNull())
+    placed = blocks_of(marked, F.col("open"), block).where("left > 0")
+    other = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    among = F.transform(other(F.col("left")), lambda o: place(0, F.least("b", o), F.greatest("b", o), F.col("b") > o))
+    beside = F.transform(other(F.col("right")), lambda o: place(1, F.col("b"), o, F.lit(False)))
+    facing = F.transform(other(F.col("left")), lambda o: place(1, o, F.col("b"), F.lit(True)))
+    return placed.select("pivot", "cls", F.explode(F.when(F.col("open"), F.concat(among, beside)).otherwise(facing)).alias("at")).select("pivot", "at.kind", "at.i", "at.j", "cls", "at.side")
+
+
+ORDER = ["pivot", "kind", "i", "j"]
 
 
 def by_group(batches, keys: list[str]):
@@ -127,10 +143,17 @@ def by_group(batches, keys: list[str]):
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
+def common_values(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of sorted distinct arrays that are not empty."""
+    if len(x) < len(y):
+        x, y = y, x
+    return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of sorted distinct arrays, by a product of 0/1 matrices over the values both sides have."""
-    if len(a) * len(b) <= 4:
-        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a], dtype=np.int64)
+    if len(a) == 1 or len(b) == 1 or len(a) * len(b) <= 4:
+        return np.array([[common_values(x, y) for y in b] for x in a], dtype=np.int64)
     va, vb = np.concatenate(a), np.concatenate(b)
     ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
     shared = np.intersect1d(va, vb)
@@ -139,8 +162,9 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     ka, kb = np.zeros(len(va), bool), np.zeros(len(vb), bool)
     if len(shared):
         ka, kb = shared[np.minimum(ca, len(shared) - 1)] == va, shared[np.minimum(cb, len(shared) - 1)] == vb
-    for at in range(0, len(shared), 8192):  # bounded matrices whatever the sets
-        width = min(8192, len(shared) - at)
+    step = 4096
+    for at in range(0, len(shared), step):  # bounded matrices whatever the sets
+        width = min(step, len(shared) - at)
         ma, mb = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
         ia, ib = ka & (ca >= at) & (ca < at + width), kb & (cb >= at) & (cb < at + width)
         ma[ra[ia], ca[ia] - at] = 1
@@ -157,41 +181,33 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
 
 def sides(pdf: pd.DataFrame):
     """Rows of the two blocks; a pair of a block with itself has one side only."""
-    if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+    if pdf["kind"].iloc[0] == 0 and pdf["i"].iloc[0] == pdf["j"].iloc[0]:
         return pdf, pdf, True
-    return pdf[~pdf["side"]], pdf[pdf["side"]], False
-
+    side = pdf["side"].to_numpy(bool)
+    return pdf[~side], pdf[side], False
 
-def survivors(batches):
-    """Keep the classes of each pair of blocks that have a partner whose sketch does not rule the link out."""
-    for out in _batched(by_group(batches, ["pivot", "i", "j"]), _survive):
-        yield out
 
+def survivors(percent: int):
+    """Keep the classes of each pair of blocks that have a partner whose sketch and size do not rule the link out."""
 
-def _survive(pdf: pd.DataFrame):
-    a, b, same = sides(pdf)
-    if not len(a) or not len(b) or (same and len(a) < 2):
-        return None
-    xs, ys = [np.asarray(x) for x in a["sketch"]], [np.asarray(y) for y in b["sketch"]]
-    if same and len(a) == 2:
-        if estimate(xs[0], xs[1]) < LOW:
+    def survive(pdf: pd.DataFrame):
+        a, b, same = sides(pdf)
+        if not len(a) or not len(b) or (same and len(a) < 2):
             return None
-        return pdf.drop(columns="sketch")
-    shared = overlaps(xs, ys)
-    if same:
-        np.fill_diagonal(shared, 0)
-    need_a, need_b = a["need"].to_numpy(), b["need"].to_numpy()
-    fits = shared >= np.minimum(need_a[:, None], need_b[None, :])
-    if len(a) <= 32 and len(b) <= 32:
-        for i, j in zip(*np.nonzero(fits)):
-            fits[i, j] = estimate(xs[i], ys[j]) >= LOW
-    left, right = fits.any(axis=1), fits.any(axis=0)
-    kept = a[left | right] if same else pd.concat([a[left], b[right]])
-    return kept.drop(columns="sketch") if len(kept) > 1 else None
+        xs, ys = [np.asarray(x) for x in a["sketch"]], [np.asarray(y) for y in b["sketch"]]
+        shared = overlaps(xs, ys)
+        if same:
+            np.fill_diagonal(shared, 0)
+        na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
+        fits = (shared >= np.minimum(a["need"].to_numpy()[:, None], b["need"].to_numpy()[None, :])) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        if len(a) <= 32 and len(b) <= 32 or len(b) == 1:
+            for i, j in zip(*np.nonzero(fits)):
+                fits[i, j] = estimate(xs[i], ys[j]) >= LOW
+        left, right = fits.any(axis=1), fits.any(axis=0)
+        kept = a[left | right] if same else pd.concat([a[left], b[right]])
+        return kept[[*ORDER, "cls", "side"]] if len(kept) > 1 else None
 
-
-#: Estimates below this rule a link out; at Jaccard 0.8 a sketch of 32 gives one with a chance of about 2e-8.
-LOW = 0.36
+    return lambda batches: _batched(by_group(batches, ORDER), survive)
 
 
 def _batched(groups, work, rows: int = 4096):
@@ -227,7 +243,9 @@ def spanning(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> list[tuple[int
     return out
 
 
-def links_of(percent: int):
+def confirmed(percent: int):
+    """Links (a, b) of each pair of blocks on full sets; with a pivot as the one side, all of its links (cls, pivot)."""
+
     def confirm(pdf: pd.DataFrame):
         a, b, same = sides(pdf)
         if not len(a) or not len(b) or (same and len(a) < 2):
@@ -240,25 +258,25 @@ def links_of(percent: int):
             linked = np.triu(linked, 1)
         return pd.DataFrame(spanning(a["cls"].to_numpy(), b["cls"].to_numpy(), linked), columns=["a", "b"], dtype="int64")
 
-    def run(batches):
-        yield from _batched(by_group(batches, ["pivot", "i", "j"]), confirm)
-
-    return run
+    return lambda batches: _batched(by_group(batches, ORDER), confirm)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of links (a, b): the smallest node reachable, by alternating large-star and small-star steps."""
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = state(edges)
     while True:
-        before = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpointed(small)
-        if edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == before:
+        after = state(edges)
+        if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        before = after
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE_WORDS, percent: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -268,31 +286,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     texts have no shingles and are linked with nothing: component_id is their own id. Ids must be integers; rows of one
     id with different texts are linked by their texts alone, repeated rows share a component and are kept alike. Rows
     without id are kept only if their component has no id; texts that only such rows have are linked with equal ones alone.
-    An empty table gives no rows.
+    Very long texts are hashed in pieces; a task of full sets holds two blocks of about BLOCK_SHINGLES shingles, or one
+    longer text. Other columns of docs are not looked at, whatever their names. An empty table gives no rows.
     """
     if percent < THRESHOLD:
         raise ValueError("sketch bounds hold from 80 percent on")
     base = checkpointed(sketches(docs, key, text, n))
     classes = base.where("same is not null").groupBy("same").agg(F.min("key").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes.withColumn("cls", F.monotonically_increasing_id()))
-    groups = dealt(checkpointed(grouped(listed(classes))), block)
-    order = ["pivot", "i", "j"]
-    paired = groups.join(classes.select("cls", "sketch", needed(F.col("n")).alias("need")), "cls")
-    paired = paired.select(*order, "cls", "side", "need", "sketch").repartition(*order).sortWithinPartitions(*order)
-    kept = checkpointed(paired.mapInPandas(survivors, "pivot long, i int, j int, cls long, side boolean, need int").drop("need"))
-    wanted = kept.select("cls").distinct().join(classes.select("cls", "same", "id"), "cls")
-    sources = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted.select("id").distinct(), "id", "left_semi")
+    members = checkpointed(grouped(listed(classes)))
 
     def full(batches):
-        for pdf in batches:
-            sets = [shingle_set(t, n) for t in pdf["text"]]
-            yield pd.DataFrame({"same": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "full": sets})
-        _hashes.clear()
-
-    sets = sources.mapInPandas(full, "same string, full array<long>").join(wanted.select("cls", "same"), "same").dropDuplicates(["cls"])
-    confirmed = kept.join(sets.select("cls", "full"), "cls").select(*order, "cls", "side", "full").repartition(*order).sortWithinPartitions(*order)
-    links = confirmed.mapInPandas(links_of(percent), "a long, b long")
-    joined = classes.select("cls", "same", "id").join(components(links), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("component", "cls"))
+        for batch in batches:
+            for part in arrow_slices(batch, "text"):
+                sets = list(shingle_sets(part["text"], n))
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["same", "full"])
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """Links (a, b) of pairs of blocks: sketches first, then the full sets of what they leave."""
+        paired = pairs.join(classes.select("cls", "n", needed(F.col("n")).alias("need"), "sketch"), "cls")
+        paired = paired.select(*ORDER, "cls", "side", "n", "need", "sketch").repartition(*ORDER).sortWithinPartitions(*ORDER)
+        kept = checkpointed(paired.mapInPandas(survivors(percent), "pivot long, kind int, i int, j int, cls long, side boolean"))
+        wanted = kept.select("cls").distinct().join(classes.select("cls", "same", "id"), "cls")
+        sources = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(wanted.select("id").distinct(), "id", "left_semi").select("text")
+        sets = sources.mapInArrow(full, "same binary, full array<long>").join(wanted.select("cls", "same"), "same").dropDuplicates(["cls"])
+        faced = kept.join(sets.select("cls", "full"), "cls").select(*ORDER, "cls", "side", "full").repartition(*ORDER).sortWithinPartitions(*ORDER)
+        return checkpointed(faced.mapInPandas(confirmed(percent), "a long, b long"))
+
+    hubs = links_of(star(members, block))
+    rest = links_of(dealt(members, hubs.select(F.col("b").alias("pivot"), F.col("a").alias("cls")), block))
+    joined = classes.select("cls", "same", "id").join(components(hubs.unionByName(rest)), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("component", "cls"))
     least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
     member = joined.join(least, "root").select("same", "component_id")
     out = base.select("key", "n_shingles", "same").join(member, "same", "left").withColumn("component_id", F.when(F.col("same").isNull(), F.col("key")).otherwise(F.col("component_id")))
@@ -302,3 +326,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4)
+
+
+#: Words lower-cased by A-Z alone, as the shingles are; lists joined by their shingles, and the least id reachable.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     '), ' '), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') || ' ' || len(w) ELSE array_to_string(w[i : i + 3], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id AS doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(m.y, d.doc_id)) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) m ON m.x = d.doc_id
+"""
