@@ -3,23 +3,32 @@
 from __future__ import annotations
 
 import itertools
+import json
 import re
+import struct
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, arrow_slices, checkpointed, table
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Documents a group of first-fit decreasing holds about.
-GROUP_DOCS = 8192
-#: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+#: Pieces a group of first-fit decreasing holds about.
+GROUP_PIECES = 8192
+#: Bytes of words whose ids a Python worker remembers, about; and what a word takes beside its characters.
+CACHE_BYTES, WORD_BYTES = 48 << 20, 320
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 1 << 20
+#: The normaliser and pre-tokeniser that let words be encoded by themselves.
+BY_WORDS = (
+    ["NFC", "Replace", "Lowercase"], r"\s+", " ",
+    ["Split", "ByteLevel"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "Removed", True, False, False,
+)
 
 _WORD = re.compile(f"[^{re.escape(SPACE)}]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -32,14 +41,16 @@ class WordTokenizer:
     The vocabulary drops white space and never merges across it, so ids of white-space-separated words, each encoded by
     itself, are those of the text. A word of lower-cased Latin letters with ASCII punctuation after them is two pieces,
     which the vocabulary never merges either; the model alone encodes them, as nothing is left to normalise. Other words
-    are one piece, encoded in full. Pieces are encoded once a worker and kept as rows of one flat array.
+    are one piece, encoded in full. Ids are kept as little-endian 32-bit numbers, so a text's are its words' joined.
+    All this holds for the steps named in BY_WORDS; texts are encoded in full by vocabularies that have others.
     """
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.encoder = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        path = public_tokenizers.path(vocabulary)
+        self.encoder, self.by_words = Tokenizer.from_file(path), steps_of(path) == BY_WORDS
         self.tokenize = self.encoder.model.tokenize
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
         others = [b for b in range(256) if b not in set(plain)]
@@ -47,75 +58,60 @@ class WordTokenizer:
         self.clear()
 
     def clear(self):
-        self.code: dict[str, int] = {}  # of words
-        self.piece: dict[str, int] = {"": 0}
-        self.parts = np.zeros((1024, 2), np.int32)  # a word's pieces
-        self.starts, self.lengths, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
-
-    def piece_ids(self, piece: str) -> list[int]:
-        if not piece.isascii():
-            piece = "".join(map(self.byte.__getitem__, piece.encode()))
-        return [t.id for t in self.tokenize(piece)]
+        self.word: dict[str, bytes] = {}
+        self.piece: dict[str, bytes] = {"": b""}  # stems and tails of words
+        self.bytes = 0
+
+    def piece_ids(self, piece: str) -> bytes:
+        found = self.piece.get(piece)
+        if found is None:
+            spelt = piece if piece.isascii() else "".join(map(self.byte.__getitem__, piece.encode()))
+            found = self.piece[piece] = packed([t.id for t in self.tokenize(spelt)])
+        return found
 
     def learn(self, words: list[str]):
-        pieces, code, plain, parts = self.piece, self.code, _PLAIN.fullmatch, []
-        known, bare, rest = len(pieces), [], []
+        word_ids, piece_ids, plain, rest = self.word, self.piece_ids, _PLAIN.fullmatch, []
         for word in words:
-            match = plain(word.lower())
-            stem, tail = match.groups() if match else (word, "")
-            for x in (stem, tail):
-                k = pieces.get(x)
-                if k is None:
-                    k = pieces[x] = len(pieces)
-                    (bare if match else rest).append(k)
-                parts.append(k)
-            code[word] = len(code)
-        names = list(itertools.islice(pieces, known, None))
-        ids: list = [None] * len(names)
-        for k in bare:
-            ids[k - known] = self.piece_ids(names[k - known])
-        for k, encoding in zip(rest, self.encoder.encode_batch_fast([names[k - known] for k in rest], add_special_tokens=False)):
-            ids[k - known] = encoding.ids
-        at = len(code) - len(words)
-        self.parts = _grown(self.parts, len(code))
-        self.parts[at : len(code)] = np.array(parts, np.int32).reshape(-1, 2)
-        self.starts, self.lengths = _grown(self.starts, len(pieces)), _grown(self.lengths, len(pieces))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        self.flat = _grown(self.flat, self.used + total)
-        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
-        self.starts[known : len(pieces)], self.lengths[known : len(pieces)] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used += total
+            match = plain(word) or plain(word.lower())
+            if match is None:
+                rest.append(word)
+                continue
+            stem, tail = match.groups()
+            word_ids[word] = piece_ids(stem) + piece_ids(tail) if tail else piece_ids(stem)
+        for word, encoding in zip(rest, self.encoder.encode_batch_fast(rest, add_special_tokens=False)):
+            word_ids[word] = packed(encoding.ids)
+        self.bytes += sum(map(len, words)) + WORD_BYTES * len(words)
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text. The memory is emptied between calls once it holds more than CACHE_WORDS words."""
-        if len(self.code) > CACHE_WORDS:
+        """Ids of each text. The memory is emptied between calls once it holds more than CACHE_BYTES."""
+        if not self.by_words:
+            return [np.array(e.ids, "<u4") for e in self.encoder.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        if self.bytes > CACHE_BYTES:
             self.clear()
         # str.split knows the tokenizer's white space and four control characters that are none to it
         split = [(_WORD.findall(t) if _CONTROL.search(t) else t.split()) if t else [] for t in texts]
-        code = self.code
-        fresh = set().union(*split).difference(code)
+        fresh = set(itertools.chain.from_iterable(split)).difference(self.word)
         if fresh:
             self.learn(list(fresh))
-        found = []
-        for words in split:
-            codes = np.fromiter(map(code.__getitem__, words), np.int64, len(words))
-            rows = self.parts[codes].ravel()
-            lengths = self.lengths[rows]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.arange(total) + np.repeat(self.starts[rows] - ends + lengths, lengths)
-            found.append(self.flat[at])
-        return found
+        return [np.frombuffer(b"".join(map(self.word.__getitem__, words)), "<u4") for words in split]
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _grown(array: np.ndarray, size: int) -> np.ndarray:
-    """The array with room for ``size`` rows at least; room at least doubles."""
-    if size <= len(array):
-        return array
-    out = np.zeros((max(size, 2 * len(array)), *array.shape[1:]), array.dtype)
-    out[: len(array)] = array
-    return out
+def steps_of(path: str) -> tuple:
+    """What of a vocabulary file BY_WORDS names; empty where it has other steps."""
+    with open(path, encoding="utf-8") as file:
+        described = json.load(file)
+    try:
+        norms, splits = described["normalizer"]["normalizers"], described["pre_tokenizer"]["pretokenizers"]
+        return (
+            [n["type"] for n in norms], norms[1]["pattern"]["Regex"], norms[1]["content"],
+            [p["type"] for p in splits], splits[0]["pattern"]["Regex"], splits[0]["behavior"], splits[0]["invert"], splits[1]["add_prefix_space"], splits[1]["use_regex"],
+        )
+    except (KeyError, TypeError, IndexError):
+        return ()
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -160,35 +156,40 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens): each document's ids and ``end_id``, cut every ``capacity`` ids."""
     kind = dict(docs.dtypes)[key]
+    names = ["key", "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches):
-        encode = tokenizer(vocabulary).ids
-        for pdf in batches:
-            out = []
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                for name, ids in zip(part[key], encode(part[text].tolist())):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    out += [(name, s, min(capacity, len(ids) - s), zlib.crc32(ids[s : s + capacity].tobytes()), len(ids)) for s in range(0, len(ids), capacity)]
-            yield pd.DataFrame(out, columns=["key", "start", "length", "ids_crc32", "doc_tokens"])
-        tokenizer(vocabulary).clear()  # workers outlive their task
+        words = tokenizer(vocabulary)
+        try:
+            for batch in batches:
+                for part in arrow_slices(batch, "text", SLICE_BYTES):
+                    out = []
+                    for row, ids in enumerate(words.ids(part["text"].to_pylist())):
+                        ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                        out += [(row, s, min(capacity, len(ids) - s), zlib.crc32(ids[s : s + capacity].tobytes()), len(ids)) for s in range(0, len(ids), capacity)]
+                    rows, *figures = (pa.array(c, pa.int64()) for c in zip(*out))
+                    yield pa.RecordBatch.from_arrays([part["key"].take(rows), *figures], names)
+        finally:
+            words.clear()  # workers outlive their task
 
     schema = "key string, start long, length long, ids_crc32 long, doc_tokens long"
-    cut_up = docs.select(F.col(key).cast("string").alias(key), text).mapInPandas(cut, schema)
-    return cut_up.select(F.col("key").cast(kind).alias(key), "start", "length", "ids_crc32", "doc_tokens")
+    cut_up = docs.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(cut, schema)
+    return cut_up.select(F.col("key").cast(kind).alias(key), *names[1:])
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, seed: int = 11, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, seed: int = 11, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pieces of all documents with sequence_id and offset: gapless sequences of at most ``capacity`` ids.
 
-    Documents are dealt to groups of about ``group_docs`` by a seeded hash; each group is packed by itself, so groups
-    are tasks of one size whatever the input. Pieces of a group are taken in (length, key, start, crc) order, so a rerun
-    gives the same sequences. Null text: only the end id. Null keys and repeated rows are documents of their own. An
-    empty table gives no rows. Other columns of docs are dropped.
+    Pieces, written once, are dealt to groups of about ``group_pieces`` by a seeded hash of all of them and of their
+    place in what was written, so neither one long document nor repeated rows make a large group; each group is packed
+    by itself. Its pieces are taken in (length, key, start, crc) order. Null text: only the end id. Null keys and
+    repeated rows are documents of their own. An empty table gives no rows. Other columns of docs are dropped, whatever
+    their names.
     """
-    groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, key, text, capacity, vocabulary)
     kind = dict(docs.dtypes)[key]
+    cut = pieces(docs, key, text, capacity, vocabulary).withColumn("key", F.col(key).cast("string"))
+    cut = checkpointed(cut.select("key", "start", "length", "ids_crc32", "doc_tokens"))
+    groups = max(1, -(-cut.count() // group_pieces))
 
     def place(group, pdf):
         pdf = pdf.sort_values(["length", "key", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
@@ -196,8 +197,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
         return pdf.drop(columns="_group").assign(sequence_id=(int(group[0]) << 40) + bins, offset=offsets)
 
     schema = "key string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    deal = F.pmod(F.xxhash64(F.lit(seed), "key", "doc_tokens"), F.lit(groups))
-    cut = cut.withColumn("key", F.col(key).cast("string")).select("key", "start", "length", "ids_crc32", "doc_tokens")
+    deal = F.pmod(F.xxhash64(F.lit(seed), "key", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
     placed = cut.withColumn("_group", deal).groupBy("_group").applyInPandas(place, schema)
     return placed.select(F.col("key").cast(kind).alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
