@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, checkpointed, table
+from .common import arrow_slices, bounded_broadcast, checkpointed, table
 from .shingles import shingle_sets
 
 SHINGLE_WORDS, THRESHOLD = 5, 80  # percent
@@ -32,9 +32,11 @@ NEED = 11
 #: Estimates below this rule a link out; at Jaccard 0.8 a sketch of 32 gives one with a chance of about 2e-8.
 LOW = 0.36
 #: Classes in a block, and shingles of their full sets; a task holds two blocks.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Keys that the members of a group of several blocks are dealt to where they meet the group's size.
 SALTS = 64
+#: Ids of documents whose full sets are made are broadcast up to this many; beyond, their texts are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def digest(shingles: np.ndarray) -> bytes | None:
@@ -291,6 +293,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """
     if percent < THRESHOLD:
         raise ValueError("sketch bounds hold from 80 percent on")
+    # a stated number, as partitions of few bytes may hold much work
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = checkpointed(sketches(docs, key, text, n))
     classes = base.where("same is not null").groupBy("same").agg(F.min("key").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes.withColumn("cls", F.monotonically_increasing_id()))
@@ -306,12 +310,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     def links_of(pairs: DataFrame) -> DataFrame:
         """Links (a, b) of pairs of blocks: sketches first, then the full sets of what they leave."""
         paired = pairs.join(classes.select("cls", "n", needed(F.col("n")).alias("need"), "sketch"), "cls")
-        paired = paired.select(*ORDER, "cls", "side", "n", "need", "sketch").repartition(*ORDER).sortWithinPartitions(*ORDER)
+        paired = paired.select(*ORDER, "cls", "side", "n", "need", "sketch").repartition(parts, *ORDER).sortWithinPartitions(*ORDER)
         kept = checkpointed(paired.mapInPandas(survivors(percent), "pivot long, kind int, i int, j int, cls long, side boolean"))
-        wanted = kept.select("cls").distinct().join(classes.select("cls", "same", "id"), "cls")
-        sources = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(wanted.select("id").distinct(), "id", "left_semi").select("text")
+        wanted = checkpointed(kept.select("cls").distinct().join(classes.select("cls", "same", "id"), "cls"))
+        ids = bounded_broadcast(wanted.select("id").distinct(), BROADCAST_IDS)
+        sources = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi").select("text")
         sets = sources.mapInArrow(full, "same binary, full array<long>").join(wanted.select("cls", "same"), "same").dropDuplicates(["cls"])
-        faced = kept.join(sets.select("cls", "full"), "cls").select(*ORDER, "cls", "side", "full").repartition(*ORDER).sortWithinPartitions(*ORDER)
+        faced = kept.join(sets.select("cls", "full"), "cls").select(*ORDER, "cls", "side", "full").repartition(parts, *ORDER).sortWithinPartitions(*ORDER)
         return checkpointed(faced.mapInPandas(confirmed(percent), "a long, b long"))
 
     hubs = links_of(star(members, block))
