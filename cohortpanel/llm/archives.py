@@ -2,36 +2,40 @@
 
 An ARC file holds a version block and records; each begins with a line of space-separated fields, whose last declares
 the length of what follows. Version 1 lines end "... ip date type length"; version 2 lines end "... ip date type
-result-code checksum location offset filename length". WARC records are text lines of Spark's text writer: the archive
-text has no other way to a store that only Spark reaches, and its commit protocol survives lost executors.
+result-code checksum location offset filename length".
+
+WARC files are gzip members, one a record, and are written by Spark's text writer, which puts bytes down as they are:
+there is no other way to a store that only Spark reaches, and its commit protocol survives lost executors. A row of the
+writer is one file's bundle of members. The writer ends it with a zero byte, which is the last byte of every bundle.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_folder, table
+from .common import arrow_slices, bounded_broadcast, checkpointed, shared_folder, table
 
 MIN_REVISIT_BYTES = 1000
-#: Records a WARC file holds at most; readers take one file at a time.
-FILE_RECORDS = 1024
-#: Pages that one ARC blob of the query holds at most, and bytes after which it is closed.
-ARC_PAGES, ARC_BYTES = 256, 4 << 20
+#: Compressed bytes after which a WARC file is closed, and bytes of pages after which an ARC blob of the query is.
+FILE_BYTES, ARC_BYTES = 16 << 20, 4 << 20
 #: Duplicates are broadcast up to this many rows.
 BROADCAST_REVISITS = 100_000
 ARC_FIELDS = {1: 4, 2: 9}  # after the url
 ARC_COLUMNS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+DATE = "20240101000000"
+_DATE = re.compile("[0-9]{14}")
 
 
 @dataclass
@@ -50,33 +54,45 @@ def arc_version_block(version: int, name: str, date: str) -> bytes:
     return f"filedesc://{name} {rest}{len(body)}\n".encode() + body + b"\n"
 
 
+def arc_url(url: str) -> str:
+    """The url with its line ends as percent codes, which a header line can hold."""
+    return re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
 def arc_record(version: int, record: ArcRecord, offset: int = 0) -> bytes:
-    url = re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", record.url)
+    url = arc_url(record.url)
     middle = "" if version == 1 else f"200 - - {offset} {record.filename} "
     return f"{url} {record.ip} {record.date} {record.mime} {middle}{len(record.content)}\n".encode() + record.content + b"\n"
 
 
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file of version 1 or 2, by declared lengths; urls may hold spaces. Stops at a cut-off record."""
+    """Records of an ARC file of version 1 or 2, by declared lengths; urls may hold spaces.
+
+    A line that is no header (too few fields, no date or no length) is passed over up to the next one that is, so a broken
+    record costs itself alone. A cut-off record at the end is left out. A version block that doesn't tell its version
+    leaves it to the number of its own fields.
+    """
     at, version = 0, None
     while at < len(data):
         end = data.find(b"\n", at)
         if end < 0:
             return
         line = data[at:end].decode("utf-8", "replace").rstrip("\r")
-        if not line:  # the blank line between records
+        first = line.startswith("filedesc:")
+        fields = line.rsplit(" ", ARC_FIELDS[(2 if len(line.split(" ")) >= 10 else 1) if first else version or 1])
+        sized = len(fields) > 4 and fields[-1].isascii() and fields[-1].isdigit() and len(fields[-1]) < 16 and _DATE.fullmatch(fields[2])
+        if not sized:
             at = end + 1
             continue
-        length = int(line.rsplit(" ", 1)[1])
+        length = int(fields[-1])
         body = data[end + 1 : end + 1 + length]
         if len(body) < length:
-            return
+            at = end + 1  # cut off, or a line that only looks like a header
+            continue
         at = end + 1 + length
-        if version is None:
-            version = int(body[:1]) if line.startswith("filedesc:") else 1
-            if line.startswith("filedesc:"):
-                continue
-        fields = line.rsplit(" ", ARC_FIELDS[version])
+        if first:
+            version = int(body[:1]) if body[:1] in (b"1", b"2") else len(fields) // 5
+            continue
         yield ArcRecord(fields[0], fields[1], fields[2], fields[3], fields[-2] if version == 2 else "-", body)
 
 
@@ -91,33 +107,85 @@ def sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def base32(hex_digest: str) -> str:
+    return "sha1:" + base64.b32encode(bytes.fromhex(hex_digest)).decode()
+
+
 def record_id(url: str, date: str, name: str, digest: str) -> str:
     """Depends on the record alone, so every run synthesises the same identifier."""
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((url, date, name, digest)))}>"
 
 
-def to_warc(record: ArcRecord, revisits: str | None = None) -> str:
-    """A WARC record for an ARC record; ``revisits``: name of the record whose equal payload it refers to."""
+@dataclass
+class Original:
+    """The record that a revisit refers to."""
+
+    record_id: str
+    url: str
+    date: str
+
+
+def to_warc(record: ArcRecord, original: Original | None = None, warcinfo: str | None = None) -> bytes:
+    """A WARC record for an ARC record: a response (resource without HTTP head), or a revisit of ``original``. The name that
+    version 2 gives a record is kept in an extension field."""
     payload = http_payload(record.content)
     digest = sha1(payload)
-    block = record.content if revisits is None else record.content[: len(record.content) - len(payload)]
-    d = record.date
+    block = record.content if original is None else record.content[: len(record.content) - len(payload)]
     http = record.content.startswith(b"HTTP/")
     head = {
-        "WARC-Type": ("response" if http else "resource") if revisits is None else "revisit",
-        "WARC-Record-ID": record_id(record.url, d, record.filename, digest),
-        "WARC-Date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
+        "WARC-Type": ("response" if http else "resource") if original is None else "revisit",
+        "WARC-Record-ID": record_id(record.url, record.date, record.filename, digest),
+        "WARC-Date": iso(record.date),
         "WARC-Target-URI": record.url,
         "WARC-IP-Address": record.ip,
-        "WARC-Filename": record.filename,
+        "ARC-Filename": record.filename,
         "WARC-Block-Digest": sha1(block),
         "WARC-Payload-Digest": digest,
         "Content-Type": "application/http; msgtype=response" if http else record.mime,
     }
-    if revisits is not None:
-        head |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To-Filename": revisits}
+    if warcinfo is not None:
+        head["WARC-Warcinfo-ID"] = warcinfo
+    if original is not None:
+        head |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": original.record_id, "WARC-Refers-To-Target-URI": original.url, "WARC-Refers-To-Date": iso(original.date)}
+    return warc_bytes(head, block)
+
+
+def iso(d: str) -> str:
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def warc_bytes(head: dict[str, str], block: bytes) -> bytes:
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items()) + f"Content-Length: {len(block)}\r\n\r\n"
-    return "WARC/1.0\r\n" + lines + block.decode("utf-8", "surrogateescape") + "\r\n\r\n"
+    return f"WARC/1.0\r\n{lines}".encode("utf-8", "replace") + block + b"\r\n\r\n"
+
+
+def warcinfo(of: str) -> tuple[str, bytes]:
+    """Id and bytes of the record that begins a file; ``of`` tells files apart."""
+    name = record_id("", DATE, "", of)
+    block = b"software: arc to warc converter\r\nformat: WARC File Format 1.0\r\n"
+    return name, warc_bytes({"WARC-Type": "warcinfo", "WARC-Record-ID": name, "WARC-Date": iso(DATE), "Content-Type": "application/warc-fields"}, block)
+
+
+def bundles(records: Iterable[tuple[ArcRecord, Original | None]], limit: int = FILE_BYTES) -> Iterator[bytes]:
+    """Gzipped WARC files of about ``limit`` bytes at most, or of one longer record; each ends with a zero byte."""
+    parts, size, about = [], 0, None
+    for record, original in records:
+        if not parts:
+            about, info = warcinfo(f"{record.url} {record.filename} {sha1(record.content)}")
+            parts, size = [gzip.compress(info, 4, mtime=0)], 0
+        member = gzip.compress(to_warc(record, original, about), 4, mtime=0)
+        parts.append(member)
+        size += len(member)
+        if size >= limit:
+            yield ended(parts)
+            parts = []
+    if parts:
+        yield ended(parts)
+
+
+def ended(parts: list[bytes]) -> bytes:
+    """Members joined; after one of 16 MB or more, whose length may end with another byte, an empty member stands last."""
+    return b"".join(parts if parts[-1][-1] == 0 else [*parts, gzip.compress(b"", 4, mtime=0)])
 
 
 def read_warc(data: bytes, gzipped: bool) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -148,89 +216,116 @@ def _plain(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:
                 member = zlib.decompressobj(31)
 
 
-def page_arcs(pages: pd.DataFrame, version: int = 2) -> Iterator[bytes]:
-    """ARC files (whole, with version block) of rows page_id, url, html, of bounded size."""
-    date = "20240101000000"
-    parts: list[bytes] = []
-    for page_id, url, html in zip(pages["page_id"], pages["url"], pages["html"]):
-        if not parts:
-            parts, size = [arc_version_block(version, "pages", date)], 0
-        body = (html or "").encode("utf-8")
+def page_arc(urls: list[str | None], names: list[str], bodies: list[bytes | None], version: int = 2) -> bytes:
+    """An ARC file (whole, with version block) of pages."""
+    parts = [arc_version_block(version, "pages", DATE)]
+    size = len(parts[0])
+    for url, name, body in zip(urls, names, bodies):
+        body = body or b""
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-        parts.append(arc_record(version, ArcRecord(url or "-", "0.0.0.0", date, "text/html", f"page-{page_id or ''}", head + body), size))
+        parts.append(arc_record(version, ArcRecord(url or "-", "0.0.0.0", DATE, "text/html", name, head + body), size))
         size += len(parts[-1])
-        if len(parts) > ARC_PAGES or size > ARC_BYTES:
-            yield b"".join(parts)
-            parts = []
-    if parts:
-        yield b"".join(parts)
+    return b"".join(parts)
 
 
 def revisit_plan(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(digest, response): for payloads of at least ``min_bytes`` that more than one row has, the largest page_id."""
+    """(digest, response, response_url): for payloads of at least ``min_bytes`` that more than one row has, the row of the
+    largest page_id."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    digests = pages.select("page_id", F.sha1(payload).alias("digest"), F.length(payload).alias("bytes")).where(F.col("bytes") >= min_bytes)
-    return digests.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response")
+    digests = pages.select("page_id", "url", F.sha1(payload).alias("digest"), F.length(payload).alias("bytes")).where(F.col("bytes") >= min_bytes)
+    best = digests.groupBy("digest").agg(F.max(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("best"), F.count("*").alias("n"))
+    return best.where("n > 1 AND best.page_id IS NOT NULL").select("digest", F.col("best.page_id").alias("response"), F.col("best.url").alias("response_url"))
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Write a WARC record for each row (page_id, url, html) below ``path``, by way of ARC bytes, gzipped.
+    """Write a WARC record for each row (page_id, url, html) below ``path``, by way of ARC bytes.
 
     Of rows with equal payloads the one with the largest page_id is the response; a row repeated with the same page_id
     gives a response each time. Null ids are never referred to, and such rows revisit another's payload if there is one.
     """
-    plan = checkpointed(revisit_plan(pages, min_bytes))
-    plan = F.broadcast(plan) if plan.count() <= BROADCAST_REVISITS else plan
-    digest = F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
-    marked = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", digest.alias("digest")).join(plan, "digest", "left")
-    refers = F.when(F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response").cast("string")), F.col("response").cast("string"))
-    marked = marked.select("page_id", "url", "html", refers.alias("refers"))
+    plan = bounded_broadcast(checkpointed(revisit_plan(pages.select("page_id", "url", "html"), min_bytes)), BROADCAST_REVISITS)
+    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    marked = pages.select("page_id", "url", body.alias("body"), F.sha1(body).alias("digest")).join(plan, "digest", "left")
+    again = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
+    marked = marked.select(F.concat(F.lit("page-"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("name"), "url", "body", "digest", F.when(again, F.concat(F.lit("page-"), "response")).alias("original"), "response_url")
 
     def convert(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), ARC_PAGES):
-                part = pdf.iloc[at : at + ARC_PAGES]
-                records = (r for data in page_arcs(part) for r in read_arc(data))
-                out = [to_warc(r, None if pd.isna(ref) else f"page-{ref}") for r, ref in zip(records, part["refers"])]
-                yield pd.DataFrame({"value": [x[:-1] for x in out]})  # the writer ends each with the last \n
-
-    lines = marked.mapInPandas(convert, "value string")
-    lines.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+        def records():
+            for batch in batches:
+                for part in arrow_slices(batch, "body", ARC_BYTES):
+                    names, sources, places = part["name"].to_pylist(), part["original"].to_pylist(), part["response_url"].to_pylist()
+                    digests = part["digest"].to_pylist()
+                    # the row is part of the name on the way, so a lost record could not shift the others
+                    arc = page_arc(part["url"].to_pylist(), [f"{n}#{k}" for k, n in enumerate(names)], part["body"].to_pylist())
+                    for record in read_arc(arc):
+                        name, _, row = record.filename.partition("#")
+                        row, source = int(row), None
+                        if sources[row] is not None:
+                            url = arc_url(places[row] or "-")
+                            source = Original(record_id(url, DATE, sources[row], base32(digests[row])), url, DATE)
+                        yield replace(record, filename=name), source
+
+        for bundle in bundles(records()):
+            yield pa.RecordBatch.from_arrays([pa.array([bundle[:-1]], pa.binary())], ["value"])
+
+    files = marked.mapInArrow(convert, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(name, record_type, payload_bytes, payload_digest hex, refers_name) of every WARC record below ``path``."""
+    """(record_id, name, record_type, payload_bytes, payload_digest hex, refers_id) of every WARC record below ``path`` but
+    the files' own descriptions."""
+    names = ["record_id", "name", "record_type", "payload_bytes", "payload_digest", "refers_id"]
 
     def parse(batches):
-        for pdf in batches:
-            for data in pdf["content"]:
+        for batch in batches:
+            for data in batch["content"]:
                 out = []
-                for head, block in read_warc(bytes(data), True):
+                for head, block in read_warc(data.as_buffer().to_pybytes(), True):
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
                     revisit = head["WARC-Type"] == "revisit"
                     payload = http_payload(block)
                     digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex() if revisit else hashlib.sha1(payload).hexdigest()
-                    out.append((head["WARC-Filename"], head["WARC-Type"], None if revisit else len(payload), digest, head.get("WARC-Refers-To-Filename")))
-                yield pd.DataFrame(out, columns=["name", "record_type", "payload_bytes", "payload_digest", "refers_name"]).astype({"payload_bytes": "Int64"})
+                    out.append((head["WARC-Record-ID"], head["ARC-Filename"], head["WARC-Type"], None if revisit else len(payload), digest, head.get("WARC-Refers-To")))
+                kinds = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(parse, "name string, record_type string, payload_bytes long, payload_digest string, refers_name string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return files.mapInArrow(parse, "record_id string, name string, record_type string, payload_bytes long, payload_digest string, refers_id string")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Write the archives, read them back, and give each record's page_id, payload_bytes, payload_digest, record_type and
-    refers_to. A revisit has the length of the response that it refers to. An empty table gives no rows."""
+    refers_to. A revisit has the id and length of the response that it refers to. Null html is empty, null urls are "-",
+    very long pages are files of their own. Columns of pages but page_id, url and html are not looked at, whatever their
+    names. An empty table gives no rows."""
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc"
     write_warc(pages, path, min_bytes)
-    number = lambda c: F.when(F.length(c) > 5, F.substring(c, 6, 40)).cast("long")
-    records = checkpointed(read_archives(spark, path)).withColumns({"page_id": number(F.col("name")), "refers_to": number(F.col("refers_name"))})
-    revisits = records.where("record_type = 'revisit'").drop("payload_bytes")
-    asked = revisits.select("refers_to").distinct()
-    answers = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
-    answers = answers.join(asked, "refers_to", "left_semi").groupBy("refers_to", "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    full = revisits.join(answers, ["refers_to", "payload_digest"], "left")
+    page = F.when(F.length("name") > 5, F.substring("name", 6, 40)).cast("long")
+    records = checkpointed(read_archives(spark, path)).withColumn("page_id", page)
+    revisits = records.where("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", "refers_id")
+    answers = records.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), "payload_bytes")
+    answers = answers.join(revisits.select("refers_id").distinct(), "refers_id", "left_semi").groupBy("refers_id").agg(F.max("refers_to").alias("refers_to"), F.max("payload_bytes").alias("payload_bytes"))
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return records.where("record_type != 'revisit'").select(*names).unionByName(full.select(*names))
+    single = records.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
+    return single.select(*names).unionByName(revisits.join(answers, "refers_id", "left").select(*names))
+
+
+def convert_arcs(spark: SparkSession, source: str, path: str) -> None:
+    """Convert the ARC files (gzipped or not) below ``source`` to WARC files below ``path``."""
+
+    def convert(batches):
+        for batch in batches:
+            for data in batch["content"]:
+                data = data.as_buffer().to_pybytes()
+                plain = b"".join(_plain(data)) if data[:2] == b"\x1f\x8b" else data
+                for bundle in bundles((record, None) for record in read_arc(plain)):
+                    yield pa.RecordBatch.from_arrays([pa.array([bundle[:-1]], pa.binary())], ["value"])
+
+    files = spark.read.format("binaryFile").load(source).select("content").mapInArrow(convert, "value binary")
+    files.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
