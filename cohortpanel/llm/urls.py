@@ -15,6 +15,11 @@ RULES = (("net", "/", BLOCK), ("example.net", "/en/", ALLOW), ("example.com", "/
 DEFAULT = ALLOW
 #: A trie is broadcast up to this many rules; larger rule sets go through ``judge_by_join``.
 MAX_BROADCAST_RULES = 200_000
+#: Keys that the pages of one host are dealt to where they meet its rules.
+SALTS = 16
+UPPER_CASE, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Hosts are the same in any case of A-Z, in urls and in rules.
+LOWER = str.maketrans(UPPER_CASE, LOWER_CASE)
 
 
 class Trie:
@@ -27,7 +32,7 @@ class Trie:
         self.hosts: dict = {}
         for host, path, verdict in rules:
             node = self.hosts
-            for label in reversed(host.lower().split(".")):
+            for label in reversed(host.translate(LOWER).split(".")):
                 node = node.setdefault(label, {})
             node = node.setdefault(None, {})  # the path trie of this host
             *full, rest = path.split("/")
@@ -36,8 +41,8 @@ class Trie:
             node.setdefault(None, []).append((rest, host + path, verdict))
 
     def find(self, host: str, path: str):
-        """(rule, verdict) of the longest rule that fits: most host labels, then longest path; block before allow on a tie."""
-        node, best = self.hosts, None
+        """(rule, verdict) of the longest rule that fits: most host labels, then longest path; block before allow on a tie. An empty host fits none."""
+        node, best = self.hosts if host else {}, None
         for label in reversed(host.split(".")):
             node = node.get(label)
             if node is None:
@@ -62,20 +67,24 @@ class Trie:
 def host_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url; both empty for a null or a text without ``://``."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
-    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), UPPER_CASE, LOWER_CASE)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     return host, path
 
 
-def judge(urls: DataFrame, rules=RULES, default: str = DEFAULT, url: str = "url") -> DataFrame:
-    """``urls`` with host, path, rule and verdict columns (replacing any of those names).
+def judge(urls: DataFrame, rules=RULES, default: str = DEFAULT, url: str = "url", max_broadcast: int = MAX_BROADCAST_RULES) -> DataFrame:
+    """``urls`` with host, path, rule and verdict columns (replacing any of those names but ``url``'s own).
 
     Null, empty or relative urls have an empty host and path, fit no rule and get ``default``. Rows stay as they
-    are, repeated or not. Equal rules that disagree: block wins.
+    are, repeated or not; an empty table gives no rows. Hosts of rules are taken in any case. Equal rules that disagree:
+    block wins. Up to ``max_broadcast`` rules go through the trie, more through ``judge_by_join``; both give the same.
     """
+    names = ("host", "path", "rule", "verdict")
+    if url in names:
+        raise ValueError(f"the url column must not be named {url!r}")
     host, path = host_path(F.col(url))
-    parts = urls.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url]).withColumns({"host": host, "path": path})
-    if len(rules) > MAX_BROADCAST_RULES:
+    parts = urls.drop(*names).withColumns({"host": host, "path": path})
+    if len(rules) > max_broadcast:
         return judge_by_join(parts, rules, default)
     trie = urls.sparkSession.sparkContext.broadcast(Trie(rules))
 
@@ -88,16 +97,30 @@ def judge(urls: DataFrame, rules=RULES, default: str = DEFAULT, url: str = "url"
     return parts.withColumn("_found", look("host", "path")).withColumns({"rule": F.col("_found.rule"), "verdict": F.col("_found.verdict")}).drop("_found")
 
 
-def judge_by_join(parts: DataFrame, rules, default: str = DEFAULT) -> DataFrame:
-    """The same verdicts for rule sets too large to broadcast: (host, path) pairs meet rules on host suffixes by a shuffled join."""
-    listed = parts.sparkSession.createDataFrame(list(rules), "rule_host string, rule_path string, rule_verdict string")
-    pairs = parts.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fits = pairs.withColumn("rule_host", F.explode(suffixes)).join(listed, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-    rank = F.struct(F.size(F.split("rule_host", r"\.")), F.length("rule_path"), F.col("rule_verdict") == BLOCK)
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), rank).alias("_best"))
-    return parts.join(best, ["host", "path"], "left").withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best")
+def judge_by_join(parts: DataFrame, rules, default: str = DEFAULT, salts: int = SALTS) -> DataFrame:
+    """The same verdicts for rule sets too large to broadcast: nodes of the trie as keys of a shuffled join.
+
+    A rule stands at its host and the full segments of its path; a pair (host, path) asks at every suffix of its host and
+    every run of its first segments, as deep as rules go. Hosts that many pages share are salted. ``parts`` has host and
+    path; empty hosts fit no rule.
+    """
+    node = lambda path: path[: path.rfind("/") + 1]
+    stated = [(host.translate(LOWER), node(path), path, host + path, verdict) for host, path, verdict in rules]
+    listed = parts.sparkSession.createDataFrame(stated, "rule_host string, rule_node string, rule_path string, rule string, verdict string")
+    listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    labels_deep = max((len(h.split(".")) for h, *_ in stated), default=1)
+    nodes_deep = max((n.count("/") for _, n, *_ in stated), default=0)
+    pairs = parts.where("host <> ''").select("host", "path").distinct()
+    labels = F.slice(F.reverse(F.split("host", r"\.")), 1, labels_deep)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.reverse(F.slice(labels, F.lit(1), i)), "."))
+    # all but the last piece of a path's first pieces are full segments
+    pieces = F.slice(F.split("path", "/"), 1, nodes_deep + 1)
+    nodes = F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(pieces, F.lit(1), i), "/"), F.lit("/"))))
+    asked = pairs.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int")).withColumn("rule_host", F.explode(suffixes)).withColumn("rule_node", F.explode(nodes))
+    fits = asked.join(listed, ["rule_host", "rule_node", "salt"]).where(F.col("path").startswith(F.col("rule_path")))
+    rank = F.struct(F.size(F.split("rule_host", r"\.")), F.length("rule_path"), F.col("verdict") == BLOCK, "rule")
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("_best"))
+    return parts.join(best, ["host", "path"], "left").select(*[f"`{c}`" for c in parts.columns], F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
