@@ -57,8 +57,8 @@ def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
 
 
 def seeded(key: Column, seed: int) -> Column:
-    """An order that depends on the key and the seed alone, so reruns agree."""
-    return F.xxhash64(F.lit(seed), key)
+    """A number from 0 to 2**60 that depends on the key and the seed alone, so reruns agree: digits of an MD5 sum."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key, F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def mix(
@@ -88,10 +88,11 @@ def mix(
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     stats = ranked(stats, "_source").withColumn("weight", F.get(cycle, (F.col("rank") % len(weights)).cast("int")))
     plan = checkpointed(water_fill(stats, max_epochs).select("_source", "source_size", "target", "_rows"))
+    sized = sized.drop("_source", "_rows", "_epochs", "_order", "_run", "_before", "_run_size")
     joined = sized.join(bounded_broadcast(plan, BROADCAST_SOURCES), F.col(source).eqNullSafe(F.col("_source")), "left")
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     order = seeded(F.col(key).cast("string"), seed)
-    run = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key).cast("string"), "size"), F.ceil(F.col("_rows") / run_rows))
+    run = seeded(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("null")), "size"), seed + 1) % F.ceil(F.col("_rows") / run_rows)
     runs = Window.partitionBy("_source", "_run").orderBy("_order", "size", key)
     joined = joined.withColumn("_epochs", epochs).withColumn("_order", order).withColumn("_run", run)
     before = F.coalesce(F.sum("size").over(runs.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -119,3 +120,33 @@ def repeated(mixed: DataFrame, text: str = "text") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(word_array(F.col("text"))).alias("_size"))
     return mix(docs, F.col("_size")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Sources of no size are full from the start; each round clamps what is above, as many rounds as there are sources at most.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> '')) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS total, count(*) AS n, CAST(1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS DOUBLE) AS w FROM d GROUP BY source
+), f AS (
+  SELECT 0 AS k, source, total, n, w, total = 0 AS sated FROM s
+  UNION ALL
+  SELECT k + 1, source, total, n, w, sated OR w * level > 3 * total FROM (
+    SELECT *, greatest(0.0, sum(total) OVER () - sum(CASE WHEN sated THEN 3 * total ELSE 0 END) OVER ()) / nullif(sum(CASE WHEN sated THEN 0 ELSE w END) OVER (), 0) AS level
+    FROM f WHERE k < (SELECT count(*) FROM s)
+  )
+), t AS (
+  SELECT source, total, n, CASE WHEN sated THEN 3 * total ELSE w * (greatest(0.0, sum(total) OVER () - sum(CASE WHEN sated THEN 3 * total ELSE 0 END) OVER ()) / sum(CASE WHEN sated THEN 0 ELSE w END) OVER ()) END AS target
+  FROM f WHERE k = (SELECT max(k) FROM f)
+), r AS (
+  SELECT d.doc_id, d.size, t.*, CASE WHEN total > 0 THEN target / total ELSE 0 END AS epochs,
+         CAST('0x' || md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null'))[1:15] AS BIGINT) AS ord,
+         CAST('0x' || md5('8:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || d.size)[1:15] AS BIGINT) % CAST(ceil(n / 4096.0) AS BIGINT) AS run
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), p AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, run ORDER BY ord, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior, sum(size) OVER (PARTITION BY source, run) AS run_size FROM r
+)
+SELECT doc_id, size, CAST(total AS BIGINT) AS source_size, target,
+       CAST(floor(epochs) * size + greatest(0, least(size, round((epochs - floor(epochs)) * run_size) - prior)) AS BIGINT) AS taken
+FROM p
+"""

@@ -224,4 +224,55 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda k: lambda s: s["kind"] == k
     counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    total = F.size("base").cast("long").alias("n_personal")
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), total)
+
+
+#: The contract's patterns as they are stated; words, entities and terms counted by plain grouping.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
+hit AS (
+  SELECT row, ord, kind, generate_subscripts(found, 1) AS i, unnest(found) AS v, unnest(gaps[1 : len(found)]) AS gap FROM (
+    SELECT row, 0 AS ord, 'email' AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS found, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS gaps FROM d
+    UNION ALL SELECT row, 1, 'ip', regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d
+    UNION ALL SELECT row, 2, 'card', regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), string_split_regex(t, '[0-9]([\x20-]?[0-9])+') FROM d
+    UNION ALL SELECT row, 3, 'phone', regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
+    UNION ALL SELECT row, 4, 'word', regexp_extract_all(t, '[\p{L}\p{M}]+'), string_split_regex(t, '[\p{L}\p{M}]+') FROM d
+  )
+), placed AS (
+  SELECT row, ord, kind, v, lower(v) AS low, regexp_replace(v, '[^0-9]', '', 'g') AS digits, CAST(sum(length(gap) + length(v)) OVER w - length(v) AS BIGINT) AS start, CAST(sum(length(gap) + length(v)) OVER w AS BIGINT) AS stop
+  FROM hit WINDOW w AS (PARTITION BY row, ord ORDER BY i ROWS UNBOUNDED PRECEDING)
+), word AS (SELECT row, low AS term, start, stop FROM placed WHERE ord = 4),
+base AS (
+  SELECT row, ord, kind, low, digits, start, stop FROM placed WHERE
+    kind = 'email'
+    OR (kind = 'ip' AND len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST('0' || ltrim(x, '0') AS INT), 256) > 255)) = 0)
+    OR (kind = 'phone' AND length(digits) BETWEEN 10 AND 15)
+    OR (kind = 'card' AND length(digits) BETWEEN 14 AND 19 AND list_sum([
+         CASE WHEN k % 2 = 0 THEN CAST(reverse(digits)[k + 1] AS INT) ELSE CAST(reverse(digits)[k + 1] AS INT) * 2 - CASE WHEN CAST(reverse(digits)[k + 1] AS INT) > 4 THEN 9 ELSE 0 END END FOR k IN range(0, length(digits))]) % 10 = 0)
+), entity AS (
+  SELECT row, start, stop, unnest([kind || ':' || low, 'pool:' || kind || ':' || CASE kind WHEN 'email' THEN split_part(low, '@', -1) WHEN 'ip' THEN split_part(low, '.', 1) || '.' || split_part(low, '.', 2)
+    WHEN 'card' THEN substr(digits, 1, 6) ELSE substr(digits, 1, length(digits) - 7) END]) AS entity FROM base
+), near AS (
+  SELECT row, entity, term FROM (
+    SELECT e.row, entity, term, w.stop <= e.start AS before, row_number() OVER (PARTITION BY e.row, entity, e.start, e.stop, w.stop <= e.start ORDER BY CASE WHEN w.stop <= e.start THEN -w.stop ELSE w.start END) AS k
+    FROM entity e JOIN word w ON w.row = e.row AND (w.stop <= e.start OR w.start >= e.stop)
+  ) WHERE k <= 8
+), sizes AS (SELECT count(DISTINCT t) AS texts, count(*) AS docs FROM d),
+per AS (SELECT entity, count(DISTINCT t) / any_value(texts) AS by_texts, count(DISTINCT row) / any_value(docs) AS by_docs FROM entity JOIN d USING (row), sizes GROUP BY entity),
+together AS (SELECT entity, term, count(DISTINCT t) AS n_both FROM near JOIN d USING (row) GROUP BY ALL),
+terms AS (SELECT term, count(DISTINCT t) AS n_term FROM word JOIN d USING (row) WHERE term IN (SELECT term FROM together) GROUP BY term),
+doubts AS (
+  SELECT term, -log2((n_both + 0.5 * least(by_texts, by_docs)) / (greatest(n_term, n_both) + 0.5)) AS doubt, -log2(least(by_texts, by_docs)) AS bits FROM together JOIN per USING (entity) JOIN terms USING (term)
+), told AS (SELECT term, CASE WHEN min(doubt) <= 0.2 THEN 'removed' ELSE 'generalised' END AS kind FROM doubts WHERE doubt <= 1 AND bits - doubt >= 3 GROUP BY term),
+spans AS (
+  SELECT row, start, ord, kind, stop FROM base
+  UNION ALL SELECT w.row, w.start, 4, told.kind, w.stop FROM word w JOIN told USING (term) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = w.row AND b.start < w.stop AND w.start < b.stop)
+), lists AS (
+  SELECT row, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (ord < 4) AS n_personal,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord, stop) FILTER (ord < 4) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord, stop) AS spans
+  FROM spans GROUP BY row
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_personal, 0) AS n_personal
+FROM d LEFT JOIN lists USING (row)
+"""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, checkpointed, spaceless, table, word_array
+from .common import SPACE, bounded_broadcast, checkpointed, spaceless, table, word_array
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -153,30 +153,69 @@ def risk_controlled(labelled: DataFrame, stratum: str, rules: dict = RULES, alph
 
 
 def judge(docs: DataFrame, labels: DataFrame, rules: dict = RULES, alpha: float = ALPHA, delta: float = DELTA, stratum: str = "lang") -> DataFrame:
-    """``docs`` with the base figures, base_failed and kept.
+    """``docs`` but its text, with the base figures, base_failed and kept.
 
     kept is false if the base rules fail or a ratio is above its stratum's cutoff; null strata form one of their own.
     Labels: doc_id and quality (1 good, 0 bad, null unknown); repeated labels count once, and a document that has both
-    counts as good. Rows are kept as they are, repeated or not; an empty table gives an empty result. Columns that are
-    named as the figures are replaced.
+    counts as good. Of labelled rows of one id the first in the order of stratum and ratios is held out. Rows are kept as
+    they are, repeated or not, whatever their texts' length; an empty table gives an empty result. Columns that are named
+    as the figures are replaced, all others kept.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *RULES, "base_failed", "kept"]
     figures = base_figures(docs.drop(*names)).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
     small = checkpointed(figures.drop("text"))
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("_good")).where("_good = 1").select("doc_id")
-    held = small.where(~F.col("base_failed")).dropDuplicates(["doc_id"]).join(good, "doc_id", "left_semi")
-    cutoffs = checkpointed(
-        risk_controlled(held, stratum, rules, alpha, delta).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut"))
-    )
-    plan = F.broadcast(cutoffs) if cutoffs.count() <= BROADCAST_STRATA else cutoffs
+    held = small.where(~F.col("base_failed")).select("doc_id", F.struct(F.col(stratum).alias("stratum"), *rules).alias("held")).join(good, "doc_id", "left_semi")
+    held = held.groupBy("doc_id").agg(F.min("held").alias("held")).select("held.*")
+    cutoffs = risk_controlled(held, "stratum", rules, alpha, delta).groupBy(F.col("stratum").alias("_stratum"))
+    cutoffs = checkpointed(cutoffs.agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut")))
     above = F.lit(False)
     for rule in rules:
         above = above | F.coalesce(F.col(rule) > F.col("_cut")[rule], F.lit(False))
-    judged = small.join(plan, F.col(stratum).eqNullSafe(F.col("stratum")), "left")
-    return judged.withColumn("kept", ~F.col("base_failed") & ~above).drop("stratum", "_cut")
+    judged = small.join(bounded_broadcast(cutoffs, BROADCAST_STRATA), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~above).drop("_stratum", "_cut")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return judge(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_CUTOFFS = ", ".join(f"('{rule}', {step}, {float(cutoff)!r})" for rule, cuts in RULES.items() for step, cutoff in enumerate(cuts))
+_SHARE, _RULE = ALPHA / len(RULES), "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in RULES) + " END"
+#: Figures word by word; cutoffs by the binomial sum in full.
+ORACLE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t,
+         list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: translate(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') <> '') AS lines
+  FROM documents
+), win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+), rep AS (
+  SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS word FROM win WHERE n > 1) GROUP BY doc_id
+), g AS (
+  SELECT d.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+         len(lines) AS n_lines, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper
+  FROM d LEFT JOIN rep USING (doc_id)
+), h AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio,
+         coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_ratio, coalesce(n_upper / nullif(word_chars, 0), 0) AS upper_ratio
+  FROM g
+), held AS (
+  SELECT h.* FROM h JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1) USING (doc_id) WHERE NOT base_failed
+), c(rule, step, cutoff) AS (VALUES {_CUTOFFS}),
+k AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER ({_RULE} > cutoff) AS k FROM held, c GROUP BY ALL),
+p AS (
+  SELECT *, CASE WHEN k > n * {_SHARE!r} THEN 1.0 ELSE
+    list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE!r}) + (n - i) * ln(1 - {_SHARE!r})) FOR i IN range(0, k + 1)]) END AS p_value FROM k
+), safe AS (
+  SELECT lang, rule, step, cutoff, bool_and(p_value <= {DELTA!r} / (SELECT greatest(1, count(DISTINCT coalesce(lang, '-')) * {len(RULES)}) FROM held)) OVER (PARTITION BY lang, rule ORDER BY step) AS ok FROM p
+), cut AS (SELECT lang, rule, max_by(cutoff, step) AS cutoff FROM safe WHERE ok GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT EXISTS (SELECT 1 FROM cut WHERE cut.lang IS NOT DISTINCT FROM h.lang AND {_RULE} > cut.cutoff) AS kept
+FROM h
+"""

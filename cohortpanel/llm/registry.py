@@ -20,7 +20,11 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
+    "op2_source_mixing": mixing.ORACLE_SQL,
+    "op3_quality_rules": quality.ORACLE_SQL,
+    "op5_near_duplicates": neardup.ORACLE_SQL,
     "op6_exact_top_k": search.ORACLE_SQL,
+    "op7_personal_data": pii.ORACLE_SQL,
     "op9_url_rules": urls.ORACLE_SQL,
     "op10_arc_to_warc": archives.ORACLE_SQL,
 }

@@ -69,8 +69,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id",
     """(query_id, rank, vec_id, score): the k rows of highest inner product for each row with ``is_query``.
 
     Rows are told apart by their id: a query's own id is no candidate of it, and a repeated row is a candidate as often
-    as it is there. Null ids and vectors that ``quantised`` rejects take no part, empty vectors neither; a query meets
-    only vectors of its own length. Fewer candidates than k: all of them. Components beyond 2**26 may overflow.
+    as it is there. An id asked with several vectors asks with the least of them. Null ids and vectors that ``quantised``
+    rejects take no part, empty vectors neither; a query meets only vectors of its own length. Fewer candidates than k:
+    all of them; an empty table gives no rows. Components beyond 2**26 may overflow. Other columns are not looked at,
+    whatever their names.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector)).alias("v"), is_query.alias("q"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).withColumn("n", F.size("v"))
@@ -80,13 +82,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id",
     deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.lit(n)).cast("int")
     # a candidate goes to its block once for each query block, a query to its block once for each candidate block
     as_candidate = rows.select("n", deal(1, c_blocks).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.lit(False).alias("q"), "id", "v")
-    as_query = rows.where("q").select("n", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"), deal(2, q_blocks).alias("qb"), F.lit(True).alias("q"), "id", "v")
+    one = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("n", F.size("v"))
+    as_query = one.select("n", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"), deal(2, q_blocks).alias("qb"), F.lit(True).alias("q"), "id", "v")
 
     def search(pdf):
         asked, block = pdf[pdf["q"]], pdf[~pdf["q"]]
         if asked.empty or block.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        asked = asked.drop_duplicates(subset="id")
         vertical = np.ascontiguousarray(np.stack(block["v"].to_list()).astype(np.int64).T)
         found = top_of_block(block["id"].to_numpy(), vertical, np.stack(asked["v"].to_list()).astype(np.int64), asked["id"].to_numpy(), k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")

@@ -1,20 +1,25 @@
 """Mixing, packing, near-duplicates, search, URL rules, archives and the pipeline against plain Python."""
 
 import collections
+import gzip
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from cohortpanel.llm import archives, mixing, neardup, packing, search, urls
+from cohortpanel.llm import shingles as shingles_of
 from cohortpanel.llm.common import word_array
 from pyspark.sql import functions as F
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
 def water(sizes, weights, cap):
     left, full = float(sum(sizes)), set()
@@ -80,28 +85,75 @@ def test_packing_round_trip(spark):
     r = random.Random(4)
     texts = [None, "", "It's 42 <|endoftext|>x", "É ΟΔΟΣ.\x0bf\u0301i ﬁ"] + [" ".join("".join(r.choices("abcdeé.", k=r.randint(1, 9))) for _ in range(r.choice((3, 80, 3000)))) for _ in range(60)]
     rows = [(2**60 + i, t, "x") for i, t in enumerate(texts)] + [(None, "null id", "x"), (2**60 + 2, texts[2], "x")]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, offset string"), group_docs=20).toPandas()
-    have = collections.Counter((None if pd.isna(k) else int(k), s, n, c, t) for k, s, n, c, t in got[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].itertuples(index=False)) if got["doc_id"].notna().all() else None
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, offset string"), group_pieces=20).cache()
     want = collections.Counter()
     for k, t, _ in rows:
         ids = whole.encode(t or "", add_special_tokens=False).ids + [1]
         for s in range(0, len(ids), 2048):
-            want[k if have is not None else 0, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes()), len(ids)] += 1
-    if have is None:  # pandas turns ids with a null into floats
-        have = collections.Counter((0, *x) for x in got[["start", "length", "ids_crc32", "doc_tokens"]].itertuples(index=False, name=None))
-    assert have == want
+            want[k, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes()), len(ids)] += 1
+    assert collections.Counter(tuple(r)[:5] for r in found.collect()) == want
+    got = found.drop("doc_id").toPandas()
     for _, part in got.groupby("sequence_id"):
         part = part.sort_values("offset")
         assert part["offset"].tolist() == [0, *part["length"].cumsum()[:-1]] and part["length"].sum() <= 2048
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_packing_deals_repeated_and_long_documents_out(spark):
+    rows = [(None, None)] * 500 + [(1, "a b " * 40_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), group_pieces=50)
+    assert got.count() == 500 + -(-80_001 // 2048)
+    assert got.groupBy(F.shiftright("sequence_id", 40)).count().agg(F.max("count")).first()[0] < 120
+
+
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokenizer_equals_whole_texts(vocabulary):
+    words = packing.WordTokenizer(vocabulary)
+    assert words.by_words == (vocabulary == packing.VOCABULARY)
+    texts = ["It's 42%% <|endoftext|>x", "É ΟΔΟΣ.\x0bf\u0301i ﬁ", "a\x1cb c\u2028d 'll I'LL don't", "", None, "ÀÉ!? İstanbul ſt ß"]
+    for t, ids in zip(texts, words.ids(texts)):
+        assert ids.tolist() == words.encoder.encode(t or "", add_special_tokens=False).ids, t
+
+
 def shingles(text, n):
-    words = (text or "").translate(neardup._LOWER).split(" ") if text else []
-    words = [w for w in words if w]
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
 
 
+def test_shingle_sets_equal_words(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choices("ABab \n\té", k=r.randint(0, 50))) for _ in range(400)] + [None, "", " \x0b", "x" * 5000, None, "a B " * 300]
+    column = pa.array(texts).slice(3)
+    for piece in (1 << 18, 7, 64):
+        monkeypatch.setattr(shingles_of, "PIECE", piece)
+        for n in (1, 4):
+            seen = {}
+            for t, got in zip(texts[3:], shingles_of.shingle_sets(column, n)):
+                want = frozenset(shingles(t, n))
+                assert len(got) == len(want) and (got[1:] > got[:-1]).all()
+                assert seen.setdefault(want, got.tobytes()) == got.tobytes()
+            assert len(set(seen.values())) == len(seen)
+
+
+def test_near_duplicates_of_one_hub(spark):
+    """A family larger than a block, whose members are linked with the hub or only with one another."""
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(3000)]
+    root = words[:120]
+    rows = [(i, " ".join(root[:60] + [words[200 + i]] + root[60:])) for i in range(90)]
+    far = [root[k] if k % 9 else words[1000 + k] for k in range(120)]
+    rows += [(500 + i, " ".join(far[:80] + [words[600 + i]] + far[80:])) for i in range(50)] + [(900, " ".join(words[2000:2100]))]
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=4, block=16).collect()}
+    sets = {i: shingles(t, 4) for i, t in rows}
+    want = {i: i for i in sets}
+    for _ in range(4):
+        for a, b in itertools.permutations(sets, 2):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                want[a] = min(want[a], want[b])
+    assert got == want and len(set(want.values())) == 3
+
+
 def test_near_duplicates(spark):
     r = random.Random(8)
     vocabulary = ["".join(r.choices("abcdefgh", k=5)) for _ in range(400)]
@@ -147,11 +199,16 @@ def test_top_k(spark):
     r = np.random.default_rng(3)
     vectors = [(int(i), [float(x) for x in np.round(r.normal(size=24), 1)]) for i in range(300)]
     vectors += [(300, None), (350, [1.0, None] + [0.0] * 22), (400, [float("nan")] * 24), (450, [float("inf")] + [0.0] * 23), (500, []), (550, [1.0, 2.0]), (551, [3.0, 4.0]), (None, [1.0] * 24), (600, vectors[1][1]), (601, vectors[1][1]), (50, vectors[50][1])]
-    df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<double>, rank string")
+    vectors += [(100, [-9.0] * 24), (700, [0.5] * 24), (700, [0.5, 0.25] * 12)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in vectors], "vec_id long, embedding array<double>, rank string, q int")
     got = {(q, k): (i, s) for q, k, i, s in search.top_k(df, F.col("vec_id") % 50 == 0, candidates=64, queries=4).collect()}
     fine = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in vectors if i is not None and v and None not in v and np.isfinite(v).all()]
     want = {}
-    for q, v in {i: v for i, v in fine if i % 50 == 0}.items():
+    asked = {}
+    for i, v in fine:
+        if i % 50 == 0:
+            asked[i] = min(asked.get(i, v), v, key=list)
+    for q, v in asked.items():
         best = sorted((-int(v @ w), i) for i, w in fine if i != q and len(w) == len(v))[:5]
         want |= {(q, k): (i, -s) for k, (s, i) in enumerate(best, 1)}
     assert got == want
@@ -167,41 +224,103 @@ def test_url_rules(spark):
         host = rest[: min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))]
         path = rest[len(host) :]
         path = path[: min((path.find(c) for c in "?#" if c in path), default=len(path))]
-        host = host.translate(neardup._LOWER)
+        host = host.translate(LOWER)
         fits = [(h.count("."), len(p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
 
-    for found in (urls.judge(df), urls.judge_by_join(df.drop("rule").withColumns(dict(zip(("host", "path"), urls.host_path(F.col("url"))))), urls.RULES)):
+    for found in (urls.judge(df), urls.judge(df, max_broadcast=0)):
+        assert found.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
         assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found.collect()} == {i: judge(u) for i, u in enumerate(given)}
     odd = urls.Trie([("a.b", "/x", "block"), ("b", "/x/y/long", "allow"), ("b", "/", "allow"), ("b", "/", "block")])
     assert odd.find("z.a.b", "/xylophone") == ("a.b/x", "block") and odd.find("b", "/x/y/longer") == ("b/x/y/long", "allow") and odd.find("b", "/q") == ("b/", "block")
 
 
+ARCS = [archives.ArcRecord("http://a/ b\n", "1.2.3.4", "20200102030405", "text/html", "-", b"HTTP/1.1 200 OK\r\n\r\nbody\nhttp://x 1 2 3 4"), archives.ArcRecord("http://c", "1.2.3.4", "20200102030405", "text/plain", "f", b"")]
+
+
+def test_url_rules_by_trie_and_join_agree(spark):
+    r = random.Random(7)
+    label, segment = lambda: r.choice(["a", "B", "c", "É", ""]), lambda: r.choice(["x", "xy", "X", ""])
+    host = lambda n: ".".join(label() for _ in range(n))
+    path = lambda n: "/".join([""] + [segment() for _ in range(n)])
+    rules = [(host(r.randint(1, 3)), path(r.randint(0, 3)), r.choice(["allow", "block"])) for _ in range(60)] + [("Example.NET", "/", "block"), ("example.net", "/", "allow")]
+    given = [f"h://{host(r.randint(1, 4))}{path(r.randint(0, 4))}" for _ in range(400)] + [None, "", "h://", "http://a.example.net/x", "http://EXAMPLE.net/"] + ["h://" + "a." * 3000 + "c/" + "x/" * 3000]
+    df = spark.createDataFrame([(i % 350, u, "x", "y") for i, u in enumerate(given)], "page_id int, url string, host string, verdict string")
+    trie, join = (sorted(map(tuple, urls.judge(df, rules, "none", max_broadcast=n).collect()), key=str) for n in (1000, 0))
+    assert trie == join and len(trie) == len(given) and {x[-1] for x in trie} == {"allow", "block", "none"}
+
+    def plainly(u):
+        rest = (u or "").partition("://")[2]
+        h, slash, p = rest.partition("/")
+        h = h.translate(LOWER)
+        fits = [(g.count("."), len(q), v == "block") for g, q, v in rules for g in [g.translate(LOWER)] if h and (h == g or h.endswith("." + g)) and (slash + p).startswith(q)]
+        return "none" if not fits else "block" if max(fits)[2] else "allow"
+
+    assert all(x[-1] == plainly(x[1]) for x in trie)
+    for n in (1000, 0):
+        assert urls.judge(df.limit(0), rules, max_broadcast=n).count() == 0
+    with pytest.raises(ValueError):
+        urls.judge(df.select(F.col("url").alias("host")), url="host")
+
+
 def test_arc_versions():
-    records = [archives.ArcRecord("http://a/ b\n", "1.2.3.4", "20200102030405", "text/html", "-", b"HTTP/1.1 200 OK\r\n\r\nbody\nhttp://x 1 2 3 4"), archives.ArcRecord("http://c", "1.2.3.4", "20200102030405", "text/plain", "f", b"")]
     for version in (1, 2):
-        data = archives.arc_version_block(version, "n", "20200102030405") + b"".join(archives.arc_record(version, r) for r in records)
+        data = archives.arc_version_block(version, "n", "20200102030405") + b"".join(archives.arc_record(version, r) for r in ARCS)
         got = list(archives.read_arc(data))
-        assert [r.content for r in got] == [r.content for r in records] and got[0].url == "http://a/ b%0A"
-        assert [r.content for r in archives.read_arc(data[:-2])] == [records[0].content]  # its last line is cut off
-    warc = archives.to_warc(records[0]).encode()
+        assert [r.content for r in got] == [r.content for r in ARCS] and got[0].url == "http://a/ b%0A"
+        assert [r.content for r in archives.read_arc(data[:-2])] == [ARCS[0].content]  # its last line is cut off
+    warc = archives.to_warc(ARCS[0])
     (head, block), = archives.read_warc(warc, False)
-    assert head["WARC-Date"] == "2020-01-02T03:04:05Z" and block == records[0].content and head["WARC-Type"] == "response"
-    import gzip
-
+    assert head["WARC-Date"] == "2020-01-02T03:04:05Z" and block == ARCS[0].content and head["WARC-Type"] == "response" and "WARC-Filename" not in head
     assert len(list(archives.read_warc(gzip.compress(warc) + gzip.compress(warc), True))) == 2
+    (again, nothing), = archives.read_warc(archives.to_warc(ARCS[0], archives.Original(head["WARC-Record-ID"], "http://o", "20190102030405")), False)
+    assert again["WARC-Type"] == "revisit" and again["WARC-Refers-To"] == head["WARC-Record-ID"] and again["WARC-Refers-To-Date"] == "2019-01-02T03:04:05Z"
+    assert again["WARC-Refers-To-Target-URI"] == "http://o" and nothing == b"HTTP/1.1 200 OK\r\n\r\n" and again["WARC-Payload-Digest"] == head["WARC-Payload-Digest"]
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("broken", [b"word\n", b"\n\n", b"http://x 1.2.3.4 20200102030405 text/html\n", b"http://x 1.2.3.4 20200102030405 text/html many\n", b"http://x 1 2 3 4\n", b"http://x 1.2.3.4 20200102030405 text/html 999999\n"])
+def test_broken_arc_records_cost_themselves_alone(version, broken):
+    one, two = (archives.arc_record(version, r) for r in ARCS)
+    for head in (archives.arc_version_block(version, "n", "20200102030405"), b"filedesc://n 0.0.0.0 20200102030405 text/plain " + (b"" if version == 1 else b"200 - - 0 - ") + b"0\n\n"):
+        got = list(archives.read_arc(head + one + broken + two))
+        assert [r.content for r in got] == [r.content for r in ARCS] and (version == 1 or got[1].filename == "f")
+
+
+def test_warc_bundles():
+    r = random.Random(3)
+    records = [archives.ArcRecord(f"http://{k}", "-", "20200102030405", "text/html", "-", b"HTTP/1.1 200 OK\r\n\r\n" + r.randbytes(n)) for k, n in enumerate([10, 5000, 40_000, 0, 300, 17 << 20])]
+    files = list(archives.bundles(((x, None) for x in records), limit=20_000))
+    assert len(files) == 2 and all(f[-1] == 0 for f in files)
+    found = [list(archives.read_warc(f, True)) for f in files]
+    assert [block for f in found for head, block in f[1:]] == [x.content for x in records]
+    assert all(f[0][0]["WARC-Type"] == "warcinfo" and {h["WARC-Warcinfo-ID"] for h, _ in f[1:]} == {f[0][0]["WARC-Record-ID"]} for f in found)
+    import io
+
+    plain = io.BytesIO(files[0])
+    with gzip.GzipFile(fileobj=plain) as whole:
+        assert whole.read().count(b"WARC/1.0\r\n") == 4
 
 
-def test_archives_round_trip(spark):
+def test_archives_round_trip(spark, tmp_path):
     body = "é\r\n\r\nWARC/1.0\r\n" * 100
-    rows = [(1, "http://a", body), (9, "http://b", body), (4, None, body), (2, "http://c d", None), (3, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "x" * 300_000), (3, "u", "")]
-    got = collections.Counter(map(tuple, archives.round_trip(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record_type string").drop("record_type")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()))
+    rows = [(1, "http://a", body), (9, "http://b\n", body), (4, None, body), (None, "n", body), (2, "http://c d", None), (3, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "x" * 300_000), (3, "u", ""), (None, None, "y" * 2000), (None, None, "y" * 2000)]
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    pages = spark.createDataFrame([(*r, "x", "x", "x") for r in rows], "page_id long, url string, html string, record_type string, digest string, response string")
+    got = collections.Counter(map(tuple, archives.round_trip(pages).select(*names).collect()))
     want = collections.Counter()
     for i, _, h in rows:
         data = (h or "").encode()
         want[i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if h == body and i != 9 else "response", 9 if h == body and i != 9 else None] += 1
     assert got == want
     assert archives.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    (tmp_path / "arcs").mkdir()
+    data = archives.arc_version_block(1, "n", "20200102030405") + b"".join(archives.arc_record(1, r) for r in ARCS)
+    (tmp_path / "arcs" / "a.arc").write_bytes(data)
+    (tmp_path / "arcs" / "b.arc.gz").write_bytes(gzip.compress(data))
+    archives.convert_arcs(spark, str(tmp_path / "arcs"), str(tmp_path / "warcs"))
+    read = archives.read_archives(spark, str(tmp_path / "warcs")).collect()
+    assert sorted(r["record_type"] for r in read) == ["resource", "resource", "response", "response"]
 
 
 def test_pipeline_stages(spark, tmp_path):

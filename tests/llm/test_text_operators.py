@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -29,6 +30,94 @@ def test_extraction_held_out(chain):
     assert wrong / total < 0.02
 
 
+def test_extraction_of_unseen_layouts():
+    """Roots and boilerplate of a fold are in no training page; some folds are far from all the others."""
+    wrong = [extraction.unseen_layouts(fold, n_pages=300) for fold in range(4)]
+    assert max(wrong) < 0.25 and sorted(wrong)[1] < 0.08, wrong
+
+
+def small_chain():
+    maker = extraction.labelled_pages(12, seed=3)
+    return [(blocks[:7], labels[:7]) for blocks, labels in maker if blocks]
+
+
+def score_of(chain, blocks, labels):
+    emitted = [chain.bias + sum(chain.emission.get(f, 0.0) for f in extraction.features(b)) for b in blocks]
+    total = chain.begin[labels[0]] + chain.end[labels[-1]] + sum(e for e, y in zip(emitted, labels) if y)
+    return total + sum(chain.move[a][b] for a, b in zip(labels, labels[1:]))
+
+
+def test_viterbi_equals_enumeration():
+    r = random.Random(4)
+    for blocks, _ in small_chain():
+        chain = extraction.Chain(
+            {f: r.uniform(-1, 1) for b in blocks for f in extraction.features(b)}, r.uniform(-1, 1), [[r.uniform(-2, 2) for _ in "ab"] for _ in "ab"], [r.uniform(-1, 1), r.uniform(-1, 1)], [r.uniform(-1, 1), r.uniform(-1, 1)]
+        )
+        best = max(itertools.product((0, 1), repeat=len(blocks)), key=lambda y: score_of(chain, blocks, y))
+        assert [int(x) for x in chain.decode(blocks)] == list(best)
+
+
+def test_likelihood_equals_enumeration():
+    pages = small_chain()
+    data = extraction.arrays(pages)
+    r, k = np.random.default_rng(1), len(data.names)
+    w = r.normal(size=k + 9)
+    chain = extraction.Chain({f: w[c] for f, c in data.names.items()}, w[k], w[k + 1 : k + 5].reshape(2, 2), w[k + 5 : k + 7], w[k + 7 :])
+    want = 0.0
+    for blocks, labels in pages:
+        scores = [score_of(chain, blocks, y) for y in itertools.product((0, 1), repeat=len(blocks))]
+        want += np.logaddexp.reduce(scores) - score_of(chain, blocks, [int(x) for x in labels])
+    value, gradient = extraction.likelihood(w, data)
+    assert value == pytest.approx(want)
+    for c in [*r.choice(k, 12), *range(k, k + 9)]:
+        step = np.zeros_like(w)
+        step[c] = 1e-5
+        slope = (extraction.likelihood(w + step, data)[0] - extraction.likelihood(w - step, data)[0]) / 2e-5
+        assert gradient[c] == pytest.approx(slope, abs=1e-5)
+
+
+def named(n):
+    return "".join(f"<div class={''.join(chr(97 + int(c)) for c in str(i))}>x" for i in range(n))
+
+
+LONG = {
+    "open tags": "<a " * 350_000, "nested": "<div>x " * 150_000, "declarations": "<!" * 500_000, "quotes": '<a " > " ' * 110_000, "items": "<div>" * 60_000 + "<li>x" * 60_000,
+    "end tags": "<div>" * 100_000 + "</p>" * 100_000, "raw": "<script>" + "</script " * 110_000, "names": named(50_000), "apostrophes": "<a '" * 250_000 + ">", "numbers": "&#" + "9" * 1_000_000 + ";",
+    "comments": "<!--" * 250_000, "long value": '<a title="' + "x" * 1_000_000 + '">y', "paragraphs": "<p>x" * 250_000, "links": "<a href='x'>y</a>" * 60_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_pages_take_linear_time(chain, name):
+    import time
+    import tracemalloc
+
+    part = LONG[name][: len(LONG[name]) // 4]
+    seconds = []
+    for page in (part, LONG[name]):
+        began = time.process_time()
+        chain.text(page)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 8 and seconds[1] < 0.2 + 10 * seconds[0], seconds  # sixteen times if quadratic
+    tracemalloc.start()
+    extraction.leaf_blocks(LONG[name])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
+def test_odd_markup():
+    text = lambda page: [b.text for b in extraction.leaf_blocks(page)]
+    assert text('<p title="a>b">x<p title=">y') == ["x", "y"] and text("1 < 2 <b>3</b> <4") == ["1 < 2 3 <4"]
+    assert text("<p>a<!-- <p> -->b<!---->c<!-- d") == ["abc"] and text("<script>x</scripty>y</script >z") == ["z"]
+    assert text("&#65;&#0000000066;&#x43; &#99999999999; &amp;lt; &nope;") == ["ABC � &lt; &nope;"]
+    path = lambda page: [[e.tag for e in b.element.path()] for b in extraction.leaf_blocks(page)]
+    assert path("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul>") == [["li", "ul"], ["li", "ul", "li", "ul"], ["li", "ul", "li", "ul"], ["li", "ul"], ["li", "ul"]]
+    assert path("<table><tr><td>a<td>b<tr><td><p>c<th>d</table>e<p>f</nav>") [:4] == [["td", "tr", "table"]] * 2 + [["p", "td", "tr", "table"], ["th", "tr", "table"]]
+    once = extraction.leaf_blocks("<div class='a b'><div class=a><p>x")[0]
+    assert sorted(f for e in once.element.path() for f in e.fresh) == ["in:div", "in:p", "name:a", "name:b"]
+
+
 def test_extraction_pages(spark, chain):
     page = (
         "<html><head><title>T</title><style>p{}</style><script>var x='</p>';</script></head><body><nav><ul><li><a href=/a>Home page</a></ul></nav><!-- ad -->"
