@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -11,9 +12,13 @@ def cut(df: DataFrame) -> DataFrame:
     """The frame's rows, computed once and kept in the shared folder of ``spark.checkpoint.dir``.
 
     Plans of iterative analyses would otherwise grow with every step that refers to them more than once; what is kept
-    there survives lost executors. A folder of our own is set only where the session names none.
+    there survives lost executors. Where the session names no folder, one within one process (tests) gets one of its
+    own; on a cluster that is an error, as executors would not share it.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cohortpanel-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohortpanel-"))
     return df.checkpoint(eager=True)

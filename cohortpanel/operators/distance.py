@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -58,9 +59,9 @@ def pairwise(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(out) if metric == "euclidean" else out
 
 
-def distances(vectors: DataFrame, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
-    """(i, j, d) for all i < j. The result is quadratic; the work is dealt as pairs of blocks of ``block`` samples, so a
-    task's memory does not grow with their number."""
+def distances(vectors: DataFrame, metric: str = "euclidean", block: int = BLOCK, thinned: Callable[[pd.DataFrame], pd.DataFrame] = lambda edges: edges) -> DataFrame:
+    """(i, j, d) for all i < j. The work is dealt as pairs of blocks of ``block`` samples, so a task's memory does not grow
+    with their number. The result is quadratic, unless ``thinned`` leaves less of each pair of blocks."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
     blocks = max(1, -(-vectors.count() // block))
@@ -75,7 +76,7 @@ def distances(vectors: DataFrame, metric: str = "euclidean", block: int = BLOCK)
         d = pairwise(np.stack(left["v"].to_list()), np.stack(right["v"].to_list()), metric)
         i, j = np.meshgrid(left["sample_idx"].to_numpy(), right["sample_idx"].to_numpy(), indexing="ij")
         keep = i < j if p == q else np.ones_like(i, dtype=bool)
-        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "d": d[keep]})
+        return thinned(pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "d": d[keep]}))
 
     return dealt.groupBy("p", "q").applyInPandas(measure, "i int, j int, d double")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import TopologyConfig
+from .distance import distances
 
 EDGE = "i int, j int, d double"
 
@@ -57,6 +58,12 @@ def spanning_tree(edges: DataFrame, fan_in: int = 8) -> DataFrame:
     return forests
 
 
+def tree_of(vectors: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """The minimum spanning tree of (sample_idx, v). Pairs of blocks leave only their forests, so no more than the number
+    of samples times that of blocks ever leaves a task, and not all pairs."""
+    return spanning_tree(distances(vectors, metric, thinned=spanning_forest))
+
+
 def barcode(tree: DataFrame) -> DataFrame:
     """(bar, birth, death): deaths in order, then one bar that never ends."""
     finite = tree.select(F.row_number().over(Window.orderBy("d", "i", "j")).alias("bar"), F.lit(0.0).alias("birth"), F.col("d").alias("death"))

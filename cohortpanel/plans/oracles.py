@@ -119,15 +119,88 @@ _P0 = "greatest(0, 1 - coalesce(sum(p) FILTER (h = 0), 0))"
 _MOMENTS = MOMENTS.format(by="", c=r(f"100 * {_P0}"), e=r("sum(h * p)"), m=r(f"CASE WHEN {_P0} > 0 THEN sum(h * p) / {_P0} ELSE 0 END"))
 
 
-def _grid_sql() -> str:
-    from . import robustness
-
-    rows = ", ".join(f"({x.run_id}, CAST({x.percentile!r} AS DOUBLE), CAST({x.rank_threshold!r} AS DOUBLE), {x.max_peptides}, " + ", ".join(f"CAST({w!r} AS DOUBLE)" for w in x.weights) + ")" for x in robustness.grid("full"))
-    names = [f"w_{n}" for n in PANEL_WEIGHTS]
-    return f"""WITH {BINDING}, g(run_id, percentile, rank_threshold, max_peptides, {", ".join(names)}) AS (VALUES {rows}),
-bins AS (SELECT floor(r * 10) AS bin, count(*) AS n, max(r) AS high FROM b GROUP BY 1)
-SELECT CAST(run_id AS BIGINT) AS run_id, {r("percentile")} AS percentile, {r("rank_threshold")} AS rank_threshold, CAST(max_peptides AS BIGINT) AS max_peptides,
-{", ".join(f"{r(n)} AS {n}" for n in names)}, CAST((SELECT coalesce(sum(n), 0) FROM bins WHERE high < rank_threshold) AS BIGINT) AS rows_in_full_bins FROM g"""
+#: The six shifts by rule: what is raised, by how much, what is lowered by equal parts; then the full product, baseline first.
+GRID = f"""base AS (SELECT [{", ".join(map(repr, PANEL_WEIGHTS.values()))}] AS w),
+shift(k, up, gain, down) AS (VALUES (1, 1, 0.08, [3, 6]), (2, 2, 0.08, [5, 6]), (3, 5, 0.06, [6]), (4, 3, 0.1, [1, 4]), (5, 4, 0.1, [5, 6]), (6, 6, 0.1, [1, 5])),
+moved AS (SELECT k, [CASE WHEN i = up THEN w[i] + gain WHEN list_contains(down, i) THEN greatest(0.0, w[i] - gain / len(down)) ELSE w[i] END FOR i IN range(1, 7)] AS m FROM shift, base),
+wset AS (SELECT 0 AS k, w FROM base UNION ALL SELECT k, [x / list_sum(m) FOR x IN m] FROM moved),
+opts AS (
+  SELECT pct, thr, most, k, w, row_number() OVER (ORDER BY pct, thr, most, k) AS place FROM (SELECT unnest([65.0, 75.0, 85.0]) AS pct), (SELECT unnest([{TAU}, 40.0]) AS thr), (SELECT unnest([20, 22]) AS most), wset
+), g AS (
+  SELECT row_number() OVER (ORDER BY NOT (pct = 75 AND thr = {TAU} AND most = 20 AND k = 0), place) - 1 AS run_id, * FROM opts
+)"""
+#: Rows of each minute's bin of ranks, whole bins below a threshold.
+GRID_SQL = f"""WITH {BINDING}, {GRID}, bins AS (SELECT floor(r * 10) AS bin, count(*) AS n, max(r) AS high FROM b GROUP BY 1)
+SELECT CAST(run_id AS BIGINT) AS run_id, {r("CAST(pct AS DOUBLE)")} AS percentile, {r("CAST(thr AS DOUBLE)")} AS rank_threshold, CAST(most AS BIGINT) AS max_peptides,
+{", ".join(f"{r(f'CAST(w[{k + 1}] AS DOUBLE)')} AS w_{n}" for k, n in enumerate(PANEL_WEIGHTS))}, CAST((SELECT coalesce(sum(n), 0) FROM bins WHERE high < thr) AS BIGINT) AS rows_in_full_bins FROM g"""
+
+#: Panels step by step: items of each group with what they cover; families by the least ordinal that windows pass on.
+GREEDY = f"""km AS (SELECT DISTINCT p, CASE WHEN length(p) < 7 THEN '#' || p ELSE substr(p, CAST(i AS INT), 7) END AS g FROM (SELECT p, unnest(range(1, greatest(length(p) - 6, 1) + 1)) AS i FROM (SELECT DISTINCT p FROM bd))),
+fl AS (
+  SELECT 0 AS it, panel_group, p, ordinal AS lab FROM sc
+  UNION ALL
+  SELECT it + 1, panel_group, p, min(lab) FROM (SELECT it, panel_group, p, min(lab) OVER (PARTITION BY panel_group, g) AS lab FROM fl JOIN km USING (p) WHERE it < 30) GROUP BY it, panel_group, p
+), fm AS (SELECT panel_group, p, dense_rank() OVER (PARTITION BY panel_group ORDER BY lab) AS family FROM fl WHERE it = 30),
+cv AS (SELECT panel_group, p, list(DISTINCT s) AS fs, list(DISTINCT m) AS hs FROM bd GROUP BY ALL),
+kl AS (SELECT p, list(g) AS ks FROM km GROUP BY p),
+items AS (SELECT panel_group, p, ordinal, nf, nh, x_b, x_pc, family, fs, hs, ks FROM sc JOIN fm USING (panel_group, p) JOIN cv USING (panel_group, p) JOIN kl USING (p)),
+gr AS (
+  SELECT DISTINCT 0 AS step, panel_group, CAST('' AS VARCHAR) AS p, CAST(0 AS BIGINT) AS family, CAST(0 AS DOUBLE) AS pat, CAST(0 AS DOUBLE) AS hla, CAST(0 AS DOUBLE) AS nov, CAST(0 AS DOUBLE) AS red, CAST(0 AS DOUBLE) AS bin, CAST(0 AS DOUBLE) AS prev,
+         CAST(0 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS done_f, CAST(0 AS DOUBLE) AS done_h, CAST([] AS VARCHAR[]) AS cf, CAST([] AS VARCHAR[]) AS ch, CAST([] AS VARCHAR[]) AS ck, CAST([] AS VARCHAR[]) AS cp, CAST([] AS BIGINT[]) AS cm FROM items
+  UNION ALL
+  SELECT step + 1, panel_group, p, family, pat, hla, nov, red, x_b, x_pc, total, len(list_distinct(list_concat(cf, fs))) / nf, len(list_distinct(list_concat(ch, hs))) / nh,
+         list_distinct(list_concat(cf, fs)), list_distinct(list_concat(ch, hs)), list_distinct(list_concat(ck, ks)), list_append(cp, p), list_distinct(list_append(cm, family))
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY panel_group ORDER BY total DESC, ordinal) AS k FROM (
+      SELECT *, (((({W["patient"]} * pat + {W["hla"]} * hla) + {W["binding"]} * x_b) + {W["prevalence"]} * x_pc) + {W["novelty"]} * nov) - {W["redundancy"]} * red AS total FROM (
+        SELECT a.step, a.cf, a.ch, a.ck, a.cp, a.cm, i.*, len(list_filter(i.fs, lambda x: NOT list_contains(a.cf, x))) / i.nf AS pat, len(list_filter(i.hs, lambda x: NOT list_contains(a.ch, x))) / i.nh AS hla,
+               CASE WHEN list_contains(a.cm, i.family) THEN 0.0 ELSE 1.0 END AS nov, CASE WHEN list_has_any(a.ck, i.ks) THEN 1.0 ELSE 0.0 END AS red
+        FROM gr a JOIN items i ON i.panel_group = a.panel_group WHERE a.step < 20 AND NOT list_contains(a.cp, i.p)
+      )
+    )
+  ) WHERE k = 1
+)"""
+GREEDY_SQL = f"""WITH RECURSIVE {BOUND}, {SCORES}, {GREEDY} SELECT panel_group, CAST(step AS BIGINT) AS step, p AS peptide, family AS family_id, {r("pat")} AS incremental_patient_coverage, {r("hla")} AS incremental_hla_coverage,
+{r("nov")} AS family_novelty_score, {r("red")} AS redundancy_penalty, {r(f"{W['patient']} * pat")} AS patient_term, {r(f"{W['hla']} * hla")} AS hla_term, {r(f"{W['binding']} * bin")} AS binding_term, {r(f"{W['prevalence']} * prev")} AS prevalence_term,
+{r(f"{W['novelty']} * nov")} AS family_novelty_term, {r(f"-{W['redundancy']} * red")} AS redundancy_term, {r("total")} AS total_score, {r("done_f")} AS cumulative_patient_coverage, {r("done_h")} AS cumulative_hla_coverage,
+CAST(len(cm) AS BIGINT) AS num_families_represented FROM gr WHERE step > 0"""
+PANEL_SETS = "t AS (SELECT panel_group, list(p) AS ps FROM gr WHERE step > 0 GROUP BY panel_group)"
+JACCARD = "len(list_intersect(t.ps, q.ps)) / len(list_distinct(list_concat(t.ps, q.ps)))"
+JACCARD_SQL = f"""WITH RECURSIVE {BOUND}, {SCORES}, {GREEDY}, {PANEL_SETS} SELECT t.panel_group AS panel_group, {r(JACCARD)} AS jaccard, list_sort(t.ps) = list_sort(q.ps) AS exact FROM t, (SELECT ps FROM t WHERE panel_group = 'all') q"""
+#: Clusters at three percentiles, the panels of the cohort and of each cluster, and their unions compared with the middle one's.
+SWEEP_SQL = f"""{BARS}, ths AS (
+  SELECT pct, max(d) FILTER (k = floor(h)) + max(h - floor(h)) * (max(d) FILTER (k = least(floor(h) + 1, n)) - max(d) FILTER (k = floor(h))) AS threshold
+  FROM (SELECT *, greatest(1.0, least(n * pct / 100 + 0.5, CAST(n AS DOUBLE))) AS h FROM death, (SELECT unnest([65.0, 75.0, 85.0]) AS pct)) GROUP BY pct
+), cl AS (SELECT pct, i, dense_rank() OVER (PARTITION BY pct ORDER BY min(j)) AS label FROM (SELECT pct, i, j FROM mm, ths WHERE d <= threshold UNION SELECT pct, i, i FROM es, ths) GROUP BY pct, i),
+nm AS (SELECT DISTINCT i, s FROM z),
+bd AS (
+  SELECT pct || ':' || label AS panel_group, b.* FROM b JOIN nm ON nm.s = b.s JOIN cl ON cl.i = nm.i WHERE r < {TAU}
+  UNION ALL SELECT pct || ':0', b.* FROM b, ths WHERE r < {TAU}
+), {SCORES}, {GREEDY},
+t AS (SELECT CAST(split_part(panel_group, ':', 1) AS DOUBLE) AS pct, list(DISTINCT p) AS ps FROM gr WHERE step > 0 GROUP BY 1),
+ng AS (SELECT pct, count(DISTINCT label) AS groups FROM cl GROUP BY pct),
+ag AS (SELECT a.pct, avg(CASE WHEN a.label = c.label THEN 1.0 ELSE 0.0 END) AS same FROM cl a JOIN cl c ON c.i = a.i AND c.pct = 75 GROUP BY a.pct)
+SELECT CASE t.pct WHEN 75 THEN 0 WHEN 65 THEN 1 ELSE 2 END::BIGINT AS run_id, CASE t.pct WHEN 75 THEN 'baseline' WHEN 65 THEN 'percentile 65.00' ELSE 'percentile 85.00' END AS label, {r("t.pct")} AS percentile, {r(f"CAST({TAU} AS DOUBLE)")} AS rank_threshold,
+CAST(20 AS BIGINT) AS max_peptides, ng.groups AS num_groups, ng.groups = n0.groups AS same_num_groups, ag.same = 1 AS assignment_exact_match, {r("ag.same")} AS assignment_agreement, CAST(len(t.ps) AS BIGINT) AS num_selected_peptides,
+{r(JACCARD)} AS peptide_jaccard, list_sort(t.ps) = list_sort(q.ps) AS peptide_set_exact_match, ng.groups = n0.groups AND {JACCARD} >= 0.8 AS stable_overall
+FROM t JOIN ng USING (pct) JOIN ag USING (pct), (SELECT ps FROM t WHERE pct = 75) q, (SELECT groups FROM ng WHERE pct = 75) n0"""
+#: What each death joins: the samples that shorter ways reach from either end of its edge.
+MERGES_SQL = f"""{BARS}, ev AS (SELECT es.i, es.j, es.d, row_number() OVER (ORDER BY es.d, es.i, es.j) AS step FROM es JOIN mm USING (i, j) WHERE es.i < es.j AND es.d = mm.d),
+le AS (SELECT step, list_sort(list_distinct(list_append(list(mm.j) FILTER (mm.d < ev.d), ev.i))) AS a FROM ev JOIN mm ON mm.i = ev.i GROUP BY step, ev.i),
+ri AS (SELECT step, list_sort(list_distinct(list_append(list(mm.j) FILTER (mm.d < ev.d), ev.j))) AS c FROM ev JOIN mm ON mm.i = ev.j GROUP BY step, ev.j)
+SELECT step, {r("d")} AS epsilon, array_to_string(a, ';') AS "left", array_to_string(c, ';') AS "right", array_to_string(list_sort(list_concat(a, c)), ';') AS merged FROM ev JOIN le USING (step) JOIN ri USING (step)"""
+#: The tree grown from the first vector, the nearest outside next; its lengths are the deaths.
+EMBEDDING_BARCODE_SQL = f"""WITH RECURSIVE lg AS (SELECT vec_id, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+sd AS (SELECT pos, avg(x) AS mu, stddev_samp(x) AS sd FROM lg GROUP BY pos),
+z AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, v FROM (SELECT vec_id, list(CASE WHEN sd > 0 THEN (x - mu) / sd ELSE 0 END ORDER BY pos) AS v FROM lg JOIN sd USING (pos) GROUP BY vec_id)),
+m AS MATERIALIZED (SELECT a.i AS i, list(list_distance(a.v, c.v) ORDER BY c.i) AS ds FROM z a, z c GROUP BY a.i),
+pr AS (
+  SELECT 1 AS step, CAST(1 AS BIGINT) AS cur, [CASE WHEN x = 1 THEN NULL ELSE CAST('Infinity' AS DOUBLE) END FOR x IN range(1, (SELECT count(*) FROM z) + 1)] AS best, CAST(NULL AS DOUBLE) AS death
+  UNION ALL
+  SELECT step + 1, list_position(near, list_min(near)), [CASE WHEN x = list_position(near, list_min(near)) THEN NULL ELSE near[x] END FOR x IN range(1, len(near) + 1)], list_min(near)
+  FROM (SELECT step, [CASE WHEN best[x] IS NULL THEN NULL ELSE least(best[x], ds[x]) END FOR x IN range(1, len(best) + 1)] AS near FROM pr JOIN m ON m.i = pr.cur) WHERE list_min(near) IS NOT NULL
+)
+SELECT row_number() OVER (ORDER BY death) AS bar, CAST(0 AS DOUBLE) AS birth, {r("death")} AS death FROM pr WHERE death IS NOT NULL UNION ALL SELECT count(*), CAST(0 AS DOUBLE), CAST('Infinity' AS DOUBLE) FROM z"""
 
 
 ORACLES = {
@@ -159,9 +232,11 @@ SELECT i AS sample_idx, s AS sample, dense_rank() OVER (ORDER BY root) AS raw_cl
 {r("x_b")} AS binding_score, {r("x_pc")} AS prevalence_score, CAST(ordinal AS BIGINT) AS ordinal FROM sc""",
     "greedy_first_pick": f"""WITH {BOUND}, {SCORES}, t AS (SELECT panel_group, p, ordinal, round({W["patient"]} * files / nf + {W["hla"]} * hlas / nh + {W["binding"]} * x_b + {W["prevalence"]} * x_pc + {W["novelty"]}, 9) AS x FROM sc)
 SELECT panel_group, p AS peptide, {r("x")} AS total_score FROM (SELECT *, row_number() OVER (PARTITION BY panel_group ORDER BY x DESC, ordinal) AS k FROM t) WHERE k = 1""",
-    "panel_jaccard": f"""WITH {BOUND}, {SCORES}, t AS (SELECT panel_group, p FROM (SELECT *, row_number() OVER (PARTITION BY panel_group ORDER BY round(x_b, 9) DESC, p) AS k FROM sc) WHERE k <= 20),
-q AS (SELECT p FROM t WHERE panel_group = 'all'), n AS (SELECT panel_group, count(*) AS a, count(*) FILTER (p IN (SELECT p FROM q)) AS o FROM t GROUP BY 1)
-SELECT panel_group, {r("o / (a + (SELECT count(*) FROM q) - o)")} AS jaccard, o = a AND a = (SELECT count(*) FROM q) AS exact FROM n""",
+    "greedy_panel": GREEDY_SQL,
+    "panel_jaccard": JACCARD_SQL,
+    "merge_events": MERGES_SQL,
+    "embedding_barcode": EMBEDDING_BARCODE_SQL,
+    "robustness_fast": SWEEP_SQL,
     "allele_panel_global": f"WITH {PANEL} {TOPN.format(f=r('mf'), w=r('ew'), where='')}",
     "allele_panel_region": f"WITH {PANEL} " + TOPN.format(f=r("mf"), w=r("ew"), where="WHERE lower(trim(region)) = 'europe'"),
     "locus_hit_pmf": f"{METRICS} SELECT population, locus, CAST(h AS BIGINT) AS h, {r('p', 9)} AS p FROM lp",
@@ -169,5 +244,5 @@ SELECT panel_group, {r("o / (a + (SELECT count(*) FROM q) - o)")} AS jaccard, o
     "population_metrics": f"""{METRICS}, tl AS (SELECT *, sum(p) OVER (PARTITION BY population ORDER BY h DESC) AS tail FROM pp)
 SELECT population, {r("any_value(weight)")} AS weight, {_MOMENTS} FROM tl JOIN wt USING (population) GROUP BY population""",
     "mixture_metrics": f"{METRICS}, tl AS (SELECT *, sum(p) OVER (ORDER BY h DESC) AS tail FROM mx) SELECT {_MOMENTS} FROM tl",
-    "robustness_grid": _grid_sql(),
+    "robustness_grid": GRID_SQL,
 }

@@ -77,14 +77,17 @@ def robustness_grid(spark, d):
 
 
 def panel_jaccard(spark, d):
-    """Top-20 peptides of each sample by binding score against those of the whole cohort."""
-    scores = panel.peptide_scores(_bound(spark, d), TAU)
-    from pyspark.sql.window import Window
+    """The panel of each sample compared with that of the whole cohort."""
+    picks = panel.greedy_panels(_bound(spark, d), PanelConfig()).groupBy(panel.GROUP).agg(F.collect_set("peptide").alias("p"))
+    picks = cut(picks)
+    base = picks.where("panel_group = 'all'").select(F.col("p").alias("q"))
+    return rounded(picks.join(base).select(panel.GROUP, robustness.jaccard(F.col("p"), F.col("q")).alias("jaccard"), (F.sort_array("p") == F.sort_array("q")).alias("exact")))
 
-    order = Window.partitionBy(panel.GROUP).orderBy(F.desc(F.round("binding_score", 9)), "peptide")
-    top = scores.withColumn("n", F.row_number().over(order)).where("n <= 20").groupBy(panel.GROUP).agg(F.collect_set("peptide").alias("p"))
-    base = top.where("panel_group = 'all'").select(F.col("p").alias("q"))
-    return rounded(top.join(F.broadcast(base)).select(panel.GROUP, robustness.jaccard(F.col("p"), F.col("q")).alias("jaccard"), (F.sort_array("p") == F.sort_array("q")).alias("exact")))
+
+def merge_trace(spark, d):
+    """Merges with their members as texts."""
+    lists = {c: F.array_join(c, ";") for c in ("left", "right", "merged")}
+    return rounded(_topology(spark, d).merge_events().withColumns(lists))
 
 
 def suite_results(spark, d):
@@ -95,7 +98,7 @@ def suite_results(spark, d):
 
 def sweep_fast(spark, d):
     rows = cut(_rows(spark, d))
-    return robustness.sweep(rows, _vectors(spark, d), robustness.grid("fast")).drop("weights", "group_sizes")
+    return rounded(robustness.sweep(rows, _vectors(spark, d), robustness.grid("fast")).drop("weights", "group_sizes"))
 
 
 def sweep_full(spark, d):
@@ -123,7 +126,7 @@ QUERIES = {
     "h0_threshold_pct": lambda s, d: rounded(_topology(s, d).threshold),
     "h0_threshold_gap": lambda s, d: rounded(_topology(s, d, TopologyConfig(rule="largest_gap")).threshold),
     "raw_clusters": lambda s, d: rounded(_topology(s, d).labels.select("sample_idx", F.col("id").alias("sample"), "raw_cluster")),
-    "merge_events": lambda s, d: _topology(s, d).merge_events(),
+    "merge_events": merge_trace,
     "embedding_barcode": lambda s, d: rounded(workflow.topology(_embedding_vectors(s, d)).barcode()),
     "practical_groups": lambda s, d: _topology(s, d, LIMITS).mapping(),
     "grouping_audit": lambda s, d: _topology(s, d, LIMITS).audit(),

@@ -138,12 +138,12 @@ def run_with(functions: tuple[Callable, Callable], data, mode: int | str, topolo
 
 def sweep(rows: DataFrame, vectors: DataFrame, runs: list[Run], topology: TopologyConfig = TopologyConfig(), panel: PanelConfig = PanelConfig()) -> DataFrame:
     """Summary of all runs: raw clusters for each percentile, panels of the whole cohort and of the clusters for each setting."""
-    from ..operators.distance import distances, weighted_vectors
+    from ..operators.distance import weighted_vectors
     from ..operators.panel import binders, greedy, panel_items
-    from ..operators.topology import percentile_threshold, raw_clusters, spanning_tree
+    from ..operators.topology import percentile_threshold, raw_clusters, tree_of
 
     spark = rows.sparkSession
-    tree = cut(spanning_tree(distances(cut(weighted_vectors(vectors, topology.weights)), topology.metric)))
+    tree = cut(tree_of(cut(weighted_vectors(vectors, topology.weights)), topology.metric))
     samples = vectors.select("sample_idx", "id")
     by_percent = None
     for p in sorted({r.percentile for r in runs}):

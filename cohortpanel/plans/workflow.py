@@ -12,7 +12,7 @@ from ..functions.lineage import cut
 from ..operators.distance import distances, weighted_vectors
 from ..operators.features import feature_vectors, sample_features
 from ..operators.grouping import grouping_audit, practical_groups
-from ..operators.topology import barcode, merge_events, raw_clusters, spanning_tree, threshold
+from ..operators.topology import barcode, merge_events, raw_clusters, threshold, tree_of
 from . import suite
 
 
@@ -39,11 +39,12 @@ class Topology:
 
 
 def topology(vectors: DataFrame, config: TopologyConfig = TopologyConfig()) -> Topology:
-    """Distances, tree, threshold and raw clusters of (sample_idx, id, features). Distances are computed once and kept: the
-    threshold must meet the very numbers that made it."""
+    """Tree, threshold and raw clusters of (sample_idx, id, features). The tree comes from the distances without keeping
+    them; ``edges`` measures them anew, in the same blocks and so to the same numbers, for who needs all."""
     vectors = cut(vectors)
-    edges = cut(distances(cut(weighted_vectors(vectors, config.weights)), config.metric))
-    tree = cut(spanning_tree(edges))
+    weighted = cut(weighted_vectors(vectors, config.weights))
+    edges = distances(weighted, config.metric)
+    tree = cut(tree_of(weighted, config.metric))
     epsilon = cut(threshold(tree, config))
     samples = vectors.select("sample_idx", "id")
     return Topology(samples, edges, tree, epsilon, cut(samples.join(raw_clusters(samples, tree, epsilon), "sample_idx")), config)
