@@ -55,26 +55,26 @@ def greedy(items: pd.DataFrame, config: PanelConfig) -> pd.DataFrame:
     """The panel of one group from its peptides in first-appearance order (peptide, patients, hlas, binding_score, prevalence_score).
 
     Every step takes the peptide of the highest score, the earliest of equals; scores may be negative. A panel of k
-    peptides is the beginning of one of more.
+    peptides is the beginning of one of more. Memory is linear in the pairs of peptides with patients, alleles and windows.
     """
     n = len(items)
     peptides = items["peptide"].tolist()
     family = families_of(peptides, config.family_overlap)
     members = [np.unique(np.concatenate([np.asarray(x, int) for x in items[c]])) for c in ("patients", "hlas")]
-    cover = []
-    for c, universe in zip(("patients", "hlas"), members):
-        matrix = np.zeros((n, len(universe)), np.float32)
-        for i, x in enumerate(items[c]):
-            matrix[i, np.searchsorted(universe, np.asarray(x, int))] = 1
-        cover.append(matrix)
+    cover = [[np.searchsorted(universe, np.asarray(x, int)) for x in items[c]] for c, universe in zip(("patients", "hlas"), members)]
+    covering = []  # the peptides of each patient and allele, one behind another
+    for sets, universe in zip(cover, members):
+        member = np.concatenate(sets)
+        order = np.argsort(member, kind="stable")
+        covering.append((np.repeat(np.arange(n), [len(x) for x in sets])[order], np.searchsorted(member[order], np.arange(len(universe) + 1))))
     holders: dict[str, list[int]] = {}
     k = config.redundancy_overlap
     for i, p in enumerate(peptides):
         for s in range(len(p) - k + 1):
             holders.setdefault(p[s : s + k], []).append(i)
     w = config.weights
-    open_ = [np.ones(len(u), np.float32) for u in members]
-    gain = [m.sum(axis=1) for m in cover]
+    open_ = [np.ones(len(u), bool) for u in members]
+    gain = [np.array([len(x) for x in sets]) for sets in cover]
     free, redundant = np.ones(n, bool), np.zeros(n)
     seen: set[int] = set()
     binding, prevalence = items["binding_score"].to_numpy(float), items["prevalence_score"].to_numpy(float)
@@ -88,9 +88,10 @@ def greedy(items: pd.DataFrame, config: PanelConfig) -> pd.DataFrame:
         free[best] = False
         seen.add(int(family[best]))
         for c in (0, 1):
-            fresh = cover[c][best] * open_[c]
-            open_[c] = open_[c] - fresh
-            gain[c] = gain[c] - cover[c] @ fresh
+            peptides_of, starts = covering[c]
+            for x in cover[c][best][open_[c][cover[c][best]]].tolist():
+                open_[c][x] = False
+                gain[c][peptides_of[starts[x] : starts[x + 1]]] -= 1
         before = redundant[best]
         for s in range(len(peptides[best]) - k + 1):
             redundant[holders[peptides[best][s : s + k]]] = 1
@@ -103,7 +104,7 @@ def panel_items(bound: DataFrame, threshold: float, within: list[str] = [GROUP])
     """Rows that ``greedy`` needs: peptide scores with the numbers of the patients and alleles each peptide has."""
     files = stable_index(bound, "file_name", "_file", None).withColumnRenamed("_file", "_f")
     hlas = stable_index(bound, "mhc", "_hla", None).withColumnRenamed("_hla", "_h")
-    coded = bound.join(F.broadcast(files), "file_name").join(F.broadcast(hlas), "mhc")
+    coded = bound.join(files, "file_name").join(hlas, "mhc")
     sets = coded.groupBy(*within, "peptide").agg(F.collect_set("_f").alias("patients"), F.collect_set("_h").alias("hlas"))
     return peptide_scores(bound, threshold, within).join(sets, [*within, "peptide"])
 

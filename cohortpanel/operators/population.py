@@ -37,10 +37,10 @@ def common_alleles(panel: DataFrame, config: PopulationConfig = PopulationConfig
     return pooled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.top_alleles)
 
 
-def hit_counts(pairs: DataFrame, mode: str = "multiplicity") -> DataFrame:
-    """(allele, hit_count) from (peptide, mhc): distinct peptides that hit an allele, or 1."""
-    hits = pairs.select("peptide", allele_name(F.col("mhc")).alias("allele")).where("allele != ''").distinct()
-    return hits.groupBy("allele").agg((F.count("*") if mode == "multiplicity" else F.lit(1).cast("long")).alias("hit_count"))
+def hit_counts(pairs: DataFrame, mode: str = "multiplicity", within: list[str] = []) -> DataFrame:  # noqa: B006
+    """(within..., allele, hit_count) from (within..., peptide, mhc): distinct peptides that hit an allele, or 1."""
+    hits = pairs.select(*within, "peptide", allele_name(F.col("mhc")).alias("allele")).where("allele != ''").distinct()
+    return hits.groupBy(*within, "allele").agg((F.count("*") if mode == "multiplicity" else F.lit(1).cast("long")).alias("hit_count"))
 
 
 def cleaned(panel: DataFrame, config: PopulationConfig = PopulationConfig()) -> DataFrame:
@@ -65,23 +65,61 @@ def locus_pmf(clean: DataFrame, hits: DataFrame) -> DataFrame:
     rest = total.select("population", "locus", F.lit(0).cast("long").alias("h"), F.lit(None).cast("string").alias("allele"), F.greatest(F.lit(0.0), 1 - F.col("known")).alias("f"))
     mass = named.unionByName(rest).groupBy("population", "locus", "h", "allele").agg(F.sum("f").alias("f"))
     whole = Window.partitionBy("population", "locus")
-    mass = mass.withColumn("f", F.col("f") / F.sum("f").over(whole)).withColumn("k", F.row_number().over(whole.orderBy("h", F.col("allele").asc_nulls_first())))
-    a, b = mass.alias("a"), mass.alias("b")
-    same = F.col("a.k") == F.col("b.k")
-    pairs = a.join(b, (F.col("a.population") == F.col("b.population")) & (F.col("a.locus") == F.col("b.locus")) & (F.col("a.k") <= F.col("b.k")))
-    h = F.when(same, F.col("a.h")).otherwise(F.col("a.h") + F.col("b.h"))
-    p = F.when(same, F.col("a.f") * F.col("b.f")).otherwise(2 * F.col("a.f") * F.col("b.f"))
-    return pairs.groupBy(F.col("a.population").alias("population"), F.col("a.locus").alias("locus"), h.alias("h")).agg(F.sum(p).alias("p"))
+    return genotypes(mass.withColumn("f", F.col("f") / F.sum("f").over(whole)), ["population", "locus"])
+
+
+def genotypes(mass: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., h, p) from the shares f of alleles (keys..., h, allele): hits of two alleles drawn at random."""
+    mass = mass.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", F.col("allele").asc_nulls_first())))
+    other = mass.select(*keys, F.col("k").alias("_k"), F.col("h").alias("_h"), F.col("f").alias("_f"))
+    same = F.col("k") == F.col("_k")
+    h = F.when(same, F.col("h")).otherwise(F.col("h") + F.col("_h"))
+    p = F.when(same, F.col("f") * F.col("_f")).otherwise(2 * F.col("f") * F.col("_f"))
+    pairs = mass.join(other, keys).where("k <= _k").select(*keys, h.alias("h"), p.alias("p"))
+    return pairs.groupBy(*keys, "h").agg(F.sum("p").alias("p"))
+
+
+def convolved(loci: DataFrame, start: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """(keys..., h, p): the distributions (keys..., locus, h, p) of the named loci convolved, from a point mass at 0 for each
+    row of ``start``; a locus that is missing adds nothing."""
+    acc = start.select(*keys).distinct().withColumns({"h": F.lit(0).cast("long"), "p": F.lit(1.0)})
+    for name in names:
+        step = loci.where(F.col("locus") == name).select(*keys, F.col("h").alias("h2"), F.col("p").alias("p2"))
+        joined = acc.join(step, keys, "left").withColumns({"h2": F.coalesce("h2", F.lit(0)), "p2": F.coalesce("p2", F.lit(1.0))})
+        acc = joined.groupBy(*keys, (F.col("h") + F.col("h2")).alias("h")).agg(F.sum(F.col("p") * F.col("p2")).alias("p"))
+    return acc
+
+
+def loci_of(clean: DataFrame) -> list[str]:
+    return sorted(r["locus"] for r in clean.select("locus").distinct().collect())
 
 
 def population_pmf(loci: DataFrame, clean: DataFrame) -> DataFrame:
     """(population, h, p): the distributions of the panel's loci convolved; a locus that a population lacks adds nothing."""
-    acc = clean.select("population").distinct().withColumns({"h": F.lit(0).cast("long"), "p": F.lit(1.0)})
-    for name in sorted(r["locus"] for r in clean.select("locus").distinct().collect()):
-        step = loci.where(F.col("locus") == name).select("population", F.col("h").alias("h2"), F.col("p").alias("p2"))
-        joined = acc.join(step, "population", "left").withColumns({"h2": F.coalesce("h2", F.lit(0)), "p2": F.coalesce("p2", F.lit(1.0))})
-        acc = joined.groupBy("population", (F.col("h") + F.col("h2")).alias("h")).agg(F.sum(F.col("p") * F.col("p2")).alias("p"))
-    return acc
+    return convolved(loci, clean, loci_of(clean), ["population"])
+
+
+def group_mixtures(pairs: DataFrame, panel: DataFrame, within: list[str], config: PopulationConfig = PopulationConfig()) -> DataFrame:
+    """(within..., num_hit_hlas, num_reference_populations, coverage_percent, expected_hits, conditional_mean_hits, pc90) of
+    the weighted mixture of all populations, for each group of (within..., peptide, mhc) that hits an allele.
+
+    Groups meet the panel on the alleles that they hit; loci and populations where they hit none have no hits for sure
+    and are left out of the work: what is missing of a mixture's mass is its share of no hits.
+    """
+    hits = cut(hit_counts(pairs, config.hit_mode, within))
+    clean = cut(cleaned(panel, config))
+    known = clean.groupBy("population", "locus").agg(F.greatest(F.lit(1.0), F.sum("frequency")).alias("total"))
+    keys = [*within, "population", "locus"]
+    named = hits.join(clean.select("population", "locus", "allele", "frequency"), "allele").join(known, ["population", "locus"])
+    named = named.select(*keys, F.col("hit_count").alias("h"), "allele", (F.col("frequency") / F.col("total")).alias("f"))
+    rest = named.groupBy(*keys).agg((1 - F.sum("f")).alias("f")).select(*keys, F.lit(0).cast("long").alias("h"), F.lit(None).cast("string").alias("allele"), "f")
+    loci = cut(genotypes(named.unionByName(rest), keys))
+    pmf = convolved(loci, loci, loci_of(clean), [*within, "population"])
+    mixed = pmf.where("h > 0").join(population_weights(clean, config.weight_mode), "population").groupBy(*within, "h").agg(F.sum(F.col("p") * F.col("weight")).alias("p"))
+    groups = hits.groupBy(*within).agg(F.count("*").alias("num_hit_hlas"))
+    none = groups.select(*within).join(mixed.groupBy(*within).agg(F.sum("p").alias("_some")), within, "left")
+    whole = mixed.unionByName(none.select(*within, F.lit(0).cast("long").alias("h"), F.greatest(F.lit(0.0), 1 - F.coalesce("_some", F.lit(0.0))).alias("p")))
+    return groups.withColumn("num_reference_populations", F.lit(clean.select("population").distinct().count())).join(_moments(whole, within), within)
 
 
 def _moments(pmf: DataFrame, by: list[str]) -> DataFrame:
@@ -103,14 +141,23 @@ def population_weights(clean: DataFrame, mode: str) -> DataFrame:
     return raw.select("population", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("weight"))
 
 
+#: Columns that a reference panel must have.
+REQUIRED = ("population", "locus", "allele", "allele_frequency")
+
+
 class PopulationMetrics:
-    """Frames of one evaluation; ``did_evaluate`` is false where nothing is hit or a table is empty.
+    """Frames of one evaluation; ``did_evaluate`` is false where nothing is hit, a table is empty or lacks a column.
 
     All loci of the panel count. Alleles of loci other than A, B and C get no prefix: hits and panel must name them alike.
     """
 
     def __init__(self, pairs: DataFrame, panel: DataFrame, config: PopulationConfig = PopulationConfig()):
         self.config = config
+        spark = pairs.sparkSession
+        if not {"peptide", "mhc"} <= set(pairs.columns):
+            pairs = spark.createDataFrame([], "peptide string, mhc string")
+        if not set(REQUIRED) <= set(panel.columns):
+            panel = spark.createDataFrame([], "population string, locus string, allele string, allele_frequency double, sample_size double")
         self.hits = hit_counts(pairs, config.hit_mode)
         self.clean = cleaned(panel, config)
         self.locus_pmf = cut(locus_pmf(self.clean, self.hits))
@@ -132,11 +179,21 @@ class PopulationMetrics:
         """One row of the weighted mixture of all populations."""
         return _moments(self.mixture_pmf(), [])
 
+    def result(self) -> DataFrame:
+        """One row: did_evaluate, num_hit_hlas, num_reference_populations and the mixture's figures; zeros where nothing is
+        evaluated."""
+        if not self.did_evaluate:
+            zero = "false AS did_evaluate, 0L AS num_hit_hlas, 0L AS num_reference_populations, 0D AS coverage_percent, 0D AS expected_hits, 0D AS conditional_mean_hits, 0L AS pc90"
+            return self.clean.sparkSession.range(1).selectExpr(*zero.split(", "))
+        counts = self.hits.agg(F.lit(True).alias("did_evaluate"), F.count("*").alias("num_hit_hlas")).join(self.clean.agg(F.count_distinct("population").alias("num_reference_populations")))
+        return counts.join(self.mixture())
+
     def warnings(self) -> DataFrame:
-        """(population, warning): few loci, loci whose known mass exceeds 1, sample sizes that are not positive."""
+        """(population, warning): few loci, loci whose known mass exceeds 1, sample sizes that are missing or not positive."""
         known = self.clean.groupBy("population", "locus").agg(F.sum("frequency").alias("mass"), F.max("sample_size").alias("size"))
         per = known.groupBy("population").agg(F.count("*").alias("loci"), F.max("mass").alias("mass"), F.max("size").alias("size"))
         said = F.array(
-            F.when(F.col("loci") < self.config.min_loci, F.lit("few loci")), F.when(F.col("mass") > 1 + self.config.tolerance, F.lit("frequencies of a locus sum to more than 1")), F.when(F.col("size") <= 0, F.lit("sample size not positive"))
+            F.when(F.col("loci") < self.config.min_loci, F.lit("few loci")), F.when(F.col("mass") > 1 + self.config.tolerance, F.lit("frequencies of a locus sum to more than 1")), F.when(F.col("size") <= 0, F.lit("sample size not positive")),
+            F.when(F.col("size").isNull() & F.lit(self.config.weight_mode == "sample_size"), F.lit("sample size missing, weighs 1")),
         )
         return per.select("population", F.explode(F.filter(said, lambda x: x.isNotNull())).alias("warning"))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 
+from ..config import FEATURE_WEIGHTS, PanelConfig, PopulationConfig
+from ..operators.panel import binders, peptide_scores
+
 log = logging.getLogger("cohortpanel")
 
 #: Tables of a full export, by file name.
@@ -32,13 +35,42 @@ def export(tables: dict[str, DataFrame], folder: str, kind: str = "csv") -> dict
         path = f"{folder}/{name}"
         try:
             out = flat(df) if kind == "csv" else df
-            out.coalesce(1).write.mode("overwrite").option("header", True).format(kind).save(path)
+            out.write.mode("overwrite").option("header", True).format(kind).save(path)
             written[name] = path
         except Exception as error:  # noqa: BLE001  one table's failure must not cost the others
             log.warning("could not write %s: %s", path, error)
     return written
 
 
+def tables_of(analysis, panel: PanelConfig = PanelConfig(), skipped: DataFrame | None = None, reference: DataFrame | None = None, population: PopulationConfig = PopulationConfig(), robustness: DataFrame | None = None, info: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The tables of a full export of a ``workflow.Analysis``; those whose input is not given are left out."""
+    from . import suite
+
+    spark, groups = analysis.rows.sparkSession, analysis.topology
+    context = lambda df: with_context(df, analysis.assigned)
+    bound = binders(analysis.rows, panel.rank_threshold).join(analysis.assigned.where("did_run").select(*suite.KEY, "file_name"), "file_name")
+    config = groups.config
+    described = {"threshold_rule": config.rule, "chosen_percentile": config.percentile, "distance_metric": config.metric, "weights": " ".join(map(str, config.weights or FEATURE_WEIGHTS.values()))}
+    failed = analysis.not_finite.select(F.col("file_name"), "reason")
+    tables = {
+        "run_info": spark.createDataFrame([{"program": "cohortpanel", **(info or {})}]).withColumn("exported_at", F.current_timestamp()),
+        "parsed_feature_summary": analysis.features,
+        "skipped_files": failed if skipped is None else skipped.select("file_name", "reason").unionByName(failed),
+        "tda_raw_clusters": analysis.samples.select("file_name", "raw_cluster"),
+        "tda_practical_groups": analysis.samples,
+        "tda_barcode": groups.barcode(),
+        "tda_summary": groups.threshold.withColumns({k: F.lit(v) for k, v in described.items()}),
+        "optimization_selected_peptides": context(suite.selected_by_group(analysis.history)),
+        "optimization_selection_history": context(analysis.history),
+        "optimization_peptide_features": context(peptide_scores(bound, panel.rank_threshold, suite.KEY)),
+    }
+    if reference is not None:
+        tables["optimization_reference_metrics"] = suite.reference_metrics(analysis.rows, analysis.assigned, analysis.history, reference, panel, population)
+    if robustness is not None:
+        tables["robustness_summary"] = robustness
+    return tables
+
+
 def with_context(df: DataFrame, assigned: DataFrame) -> DataFrame:
     """Rows keyed by mode, group and label with the names of the files of their group, joined by semicolons."""
     files = assigned.groupBy("mode", "group", "label").agg(F.array_join(F.sort_array(F.collect_set("file_name")), ";").alias("input_files"))

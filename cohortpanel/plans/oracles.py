@@ -184,6 +184,29 @@ SELECT CASE t.pct WHEN 75 THEN 0 WHEN 65 THEN 1 ELSE 2 END::BIGINT AS run_id, CA
 CAST(20 AS BIGINT) AS max_peptides, ng.groups AS num_groups, ng.groups = n0.groups AS same_num_groups, ag.same = 1 AS assignment_exact_match, {r("ag.same")} AS assignment_agreement, CAST(len(t.ps) AS BIGINT) AS num_selected_peptides,
 {r(JACCARD)} AS peptide_jaccard, list_sort(t.ps) = list_sort(q.ps) AS peptide_set_exact_match, ng.groups = n0.groups AND {JACCARD} >= 0.8 AS stable_overall
 FROM t JOIN ng USING (pct) JOIN ag USING (pct), (SELECT ps FROM t WHERE pct = 75) q, (SELECT groups FROM ng WHERE pct = 75) n0"""
+#: Panels of the cohort and of each cluster; every group meets every population, which the mixture weighs.
+SUITE_METRICS_SQL = f"""{BARS}, {PCT}, cl AS (SELECT i, dense_rank() OVER (ORDER BY min(j)) AS label FROM (SELECT i, j FROM mm, pct WHERE d <= threshold UNION SELECT i, i FROM es) GROUP BY i),
+{PANEL}, nm AS (SELECT DISTINCT i, s FROM z),
+bd AS (SELECT 'honest:' || label AS panel_group, b.* FROM b JOIN nm ON nm.s = b.s JOIN cl ON cl.i = nm.i WHERE r < {TAU} UNION ALL SELECT 'global:0', b.* FROM b JOIN nm ON nm.s = b.s WHERE r < {TAU}),
+{SCORES}, {GREEDY},
+ht AS (SELECT panel_group, m AS allele, count(DISTINCT bd.p) AS c FROM bd JOIN (SELECT panel_group, p FROM gr WHERE step > 0) USING (panel_group, p) GROUP BY ALL),
+gs AS (SELECT panel_group, count(*) AS alleles FROM ht GROUP BY 1),
+na AS (SELECT gs.panel_group, population, locus, coalesce(c, 0) AS h, CASE WHEN c > 0 THEN panel.allele END AS allele, sum(f) AS f FROM panel CROSS JOIN gs LEFT JOIN ht ON ht.panel_group = gs.panel_group AND ht.allele = 'HLA-' || panel.allele GROUP BY ALL),
+al AS (SELECT panel_group, population, locus, h, allele, sum(f) AS f FROM (SELECT * FROM na UNION ALL SELECT panel_group, population, locus, 0, NULL, greatest(0, 1 - sum(f)) FROM na GROUP BY panel_group, population, locus) GROUP BY ALL),
+ml AS (SELECT panel_group, population, locus, h, f / sum(f) OVER (PARTITION BY panel_group, population, locus) AS f, row_number() OVER (PARTITION BY panel_group, population, locus ORDER BY h, allele NULLS FIRST) AS k FROM al),
+lp AS (SELECT a.panel_group, a.population, a.locus, CASE WHEN a.k = c.k THEN a.h ELSE a.h + c.h END AS h, sum(CASE WHEN a.k = c.k THEN a.f * c.f ELSE 2 * a.f * c.f END) AS p
+  FROM ml a JOIN ml c ON a.panel_group = c.panel_group AND a.population = c.population AND a.locus = c.locus AND a.k <= c.k GROUP BY ALL),
+pp AS (SELECT panel_group, population, a.h + c.h + e.h AS h, sum(a.p * c.p * e.p) AS p FROM lp a JOIN lp c USING (panel_group, population) JOIN lp e USING (panel_group, population) WHERE a.locus = 'A' AND c.locus = 'B' AND e.locus = 'C' GROUP BY ALL),
+wt AS (SELECT population, max(w) / sum(max(w)) OVER () AS weight FROM panel GROUP BY population),
+mx AS (SELECT panel_group, h, sum(p * weight) AS p FROM pp JOIN wt USING (population) GROUP BY panel_group, h),
+tl AS (SELECT *, sum(p) OVER (PARTITION BY panel_group ORDER BY h DESC) AS tail FROM mx),
+mo AS (SELECT panel_group, {_MOMENTS} FROM tl GROUP BY panel_group),
+fc AS (SELECT panel_group, count(*) AS files FROM (SELECT 'honest:' || label AS panel_group FROM cl UNION ALL SELECT 'global:0' FROM cl) GROUP BY 1),
+pc AS (SELECT panel_group, count(*) AS picks FROM gr WHERE step > 0 GROUP BY 1),
+md(mode, base, name) AS (VALUES ('global', 'global', 'Global cohort'), ('honest', 'honest', 'Honest raw Group '), ('practical', 'honest', 'Practical Group '))
+SELECT mode, CAST(split_part(panel_group, ':', 2) AS BIGINT) AS "group", CASE WHEN mode = 'global' THEN name ELSE name || split_part(panel_group, ':', 2) END AS label, files AS num_files, picks AS num_selected_peptides,
+alleles AS num_hit_hlas, (SELECT count(DISTINCT population) FROM panel) AS num_reference_populations, coverage_percent, expected_hits, conditional_mean_hits, pc90
+FROM gs JOIN mo USING (panel_group) JOIN fc USING (panel_group) JOIN pc USING (panel_group) JOIN md ON md.base = split_part(panel_group, ':', 1)"""
 #: What each death joins: the samples that shorter ways reach from either end of its edge.
 MERGES_SQL = f"""{BARS}, ev AS (SELECT es.i, es.j, es.d, row_number() OVER (ORDER BY es.d, es.i, es.j) AS step FROM es JOIN mm USING (i, j) WHERE es.i < es.j AND es.d = mm.d),
 le AS (SELECT step, list_sort(list_distinct(list_append(list(mm.j) FILTER (mm.d < ev.d), ev.i))) AS a FROM ev JOIN mm ON mm.i = ev.i GROUP BY step, ev.i),
@@ -234,13 +257,14 @@ SELECT i AS sample_idx, s AS sample, dense_rank() OVER (ORDER BY root) AS raw_cl
 SELECT panel_group, p AS peptide, {r("x")} AS total_score FROM (SELECT *, row_number() OVER (PARTITION BY panel_group ORDER BY x DESC, ordinal) AS k FROM t) WHERE k = 1""",
     "greedy_panel": GREEDY_SQL,
     "panel_jaccard": JACCARD_SQL,
+    "suite_population_metrics": SUITE_METRICS_SQL,
     "merge_events": MERGES_SQL,
     "embedding_barcode": EMBEDDING_BARCODE_SQL,
     "robustness_fast": SWEEP_SQL,
     "allele_panel_global": f"WITH {PANEL} {TOPN.format(f=r('mf'), w=r('ew'), where='')}",
     "allele_panel_region": f"WITH {PANEL} " + TOPN.format(f=r("mf"), w=r("ew"), where="WHERE lower(trim(region)) = 'europe'"),
-    "locus_hit_pmf": f"{METRICS} SELECT population, locus, CAST(h AS BIGINT) AS h, {r('p', 9)} AS p FROM lp",
-    "population_hit_pmf": f"{METRICS} SELECT population, CAST(h AS BIGINT) AS h, {r('p', 9)} AS p FROM pp",
+    "locus_hit_pmf": f"{METRICS} SELECT population, locus, CAST(h AS BIGINT) AS h, {r('p + 1e-12', 9)} AS p FROM lp",
+    "population_hit_pmf": f"{METRICS} SELECT population, CAST(h AS BIGINT) AS h, {r('p + 1e-12', 9)} AS p FROM pp",
     "population_metrics": f"""{METRICS}, tl AS (SELECT *, sum(p) OVER (PARTITION BY population ORDER BY h DESC) AS tail FROM pp)
 SELECT population, {r("any_value(weight)")} AS weight, {_MOMENTS} FROM tl JOIN wt USING (population) GROUP BY population""",
     "mixture_metrics": f"{METRICS}, tl AS (SELECT *, sum(p) OVER (ORDER BY h DESC) AS tail FROM mx) SELECT {_MOMENTS} FROM tl",

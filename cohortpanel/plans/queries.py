@@ -62,16 +62,21 @@ def _metrics(spark, d):
     return population.PopulationMetrics(cut(pairs), cut(testdata.reference_panel(spark, d)))
 
 
+def _shares(pmf: DataFrame) -> DataFrame:
+    """Nine digits; shares that end with a 5 behind them go up, whatever order they were summed in."""
+    return rounded(pmf.withColumn("p", F.col("p") + 1e-12), 9)
+
+
 def hla_filtered_rows(spark, d):
     typed = population.common_alleles(testdata.reference_panel(spark, d)).where("rank <= 3").select(F.concat(F.lit("HLA-"), "allele").alias("mhc"))
-    return rounded(_rows(spark, d).join(F.broadcast(typed), "mhc", "left_semi").groupBy("identity", "mhc").agg(F.count("*").alias("n"), F.min("rank_el").alias("best")))
+    return rounded(_rows(spark, d).join(typed, "mhc", "left_semi").groupBy("identity", "mhc").agg(F.count("*").alias("n"), F.min("rank_el").alias("best")))
 
 
 def robustness_grid(spark, d):
     """Runs of the full sweep with the binder rows each would read."""
     runs = robustness.grid_table(spark, robustness.grid("full"))
     counts = _rows(spark, d).groupBy(F.floor(F.col("rank_el") * 10).alias("bin")).agg(F.count("*").alias("n"), F.max("rank_el").alias("high"))
-    used = runs.join(F.broadcast(counts), F.col("high") < F.col("rank_threshold"), "left").groupBy("run_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in_full_bins"))
+    used = runs.join(counts, F.col("high") < F.col("rank_threshold"), "left").groupBy("run_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in_full_bins"))
     weights = [F.get("weights", i).alias(f"w_{n}") for i, n in enumerate(PANEL_WEIGHTS)]
     return rounded(runs.join(used, "run_id").select("run_id", "percentile", "rank_threshold", "max_peptides", *weights, "rows_in_full_bins"))
 
@@ -96,9 +101,18 @@ def suite_results(spark, d):
     return suite.unions(analysis.history)
 
 
+def suite_population_metrics(spark, d):
+    """Population figures of the panels of the cohort and of each raw cluster, which stand for the practical groups too."""
+    rows = cut(_rows(spark, d))
+    samples = _topology(spark, d).labels.select(F.col("id").alias("file_name"), "raw_cluster")
+    assigned = cut(suite.assignments(samples))
+    history = cut(suite.run_suite(rows, assigned, PanelConfig()))
+    return rounded(suite.reference_metrics(rows, assigned, history, testdata.reference_panel(spark, d)))
+
+
 def sweep_fast(spark, d):
     rows = cut(_rows(spark, d))
-    return rounded(robustness.sweep(rows, _vectors(spark, d), robustness.grid("fast")).drop("weights", "group_sizes"))
+    return rounded(robustness.sweep(rows, _vectors(spark, d), robustness.grid("fast")).drop("weights", "weight_label", "group_sizes", "elapsed_sec"))
 
 
 def sweep_full(spark, d):
@@ -136,10 +150,11 @@ QUERIES = {
     "greedy_panel": lambda s, d: rounded(panel.greedy_panels(_bound(s, d), PanelConfig())),
     "suite_unions": suite_results,
     "panel_jaccard": panel_jaccard,
+    "suite_population_metrics": suite_population_metrics,
     "allele_panel_global": lambda s, d: rounded(population.common_alleles(testdata.reference_panel(s, d))),
     "allele_panel_region": lambda s, d: rounded(population.common_alleles(population.restricted(testdata.reference_panel(s, d), "region", " europe "))),
-    "locus_hit_pmf": lambda s, d: rounded(_metrics(s, d).locus_pmf, 9),
-    "population_hit_pmf": lambda s, d: rounded(_metrics(s, d).pmf, 9),
+    "locus_hit_pmf": lambda s, d: _shares(_metrics(s, d).locus_pmf),
+    "population_hit_pmf": lambda s, d: _shares(_metrics(s, d).pmf),
     "population_metrics": lambda s, d: rounded(_metrics(s, d).populations()),
     "mixture_metrics": lambda s, d: rounded(_metrics(s, d).mixture()),
     "robustness_grid": robustness_grid,

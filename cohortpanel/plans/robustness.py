@@ -81,8 +81,8 @@ def grid(mode: int | str, topology: TopologyConfig = TopologyConfig(), panel: Pa
 
 
 def grid_table(spark: SparkSession, runs: list[Run]) -> DataFrame:
-    rows = [(r.run_id, r.label, float(r.percentile), float(r.rank_threshold), int(r.max_peptides), [float(w) for w in r.weights]) for r in runs]
-    return spark.createDataFrame(rows, "run_id int, label string, percentile double, rank_threshold double, max_peptides int, weights array<double>")
+    rows = [(r.run_id, r.label, float(r.percentile), float(r.rank_threshold), int(r.max_peptides), [float(w) for w in r.weights], weight_label(r.weights)) for r in runs]
+    return spark.createDataFrame(rows, "run_id int, label string, percentile double, rank_threshold double, max_peptides int, weights array<double>, weight_label string")
 
 
 def estimate_seconds(mode: int | str, grouping_seconds: float, panel_seconds: float) -> float:
@@ -137,7 +137,11 @@ def run_with(functions: tuple[Callable, Callable], data, mode: int | str, topolo
 
 
 def sweep(rows: DataFrame, vectors: DataFrame, runs: list[Run], topology: TopologyConfig = TopologyConfig(), panel: PanelConfig = PanelConfig()) -> DataFrame:
-    """Summary of all runs: raw clusters for each percentile, panels of the whole cohort and of the clusters for each setting."""
+    """Summary of all runs: raw clusters for each percentile, panels of the whole cohort and of the clusters for each setting.
+
+    Runs share their work, so none has seconds of its own; ``elapsed_sec`` is the whole sweep's, dealt out evenly.
+    """
+    began = time.time()
     from ..operators.distance import weighted_vectors
     from ..operators.panel import binders, greedy, panel_items
     from ..operators.topology import percentile_threshold, raw_clusters, tree_of
@@ -162,7 +166,7 @@ def sweep(rows: DataFrame, vectors: DataFrame, runs: list[Run], topology: Topolo
         items = part if items is None else items.unionByName(part)
     # panels of one setting differ in length alone: the longest holds the others as its beginnings
     longest = table.groupBy("percentile", "rank_threshold", "weights").agg(F.max("max_peptides").alias("most"))
-    work = cut(items).join(F.broadcast(longest), ["percentile", "rank_threshold"])
+    work = cut(items).join(longest, ["percentile", "rank_threshold"])
 
     def pick(name, pdf):
         weights = dict(zip(PANEL_WEIGHTS, pdf["weights"].iloc[0]))
@@ -173,6 +177,6 @@ def sweep(rows: DataFrame, vectors: DataFrame, runs: list[Run], topology: Topolo
     picks = work.groupBy(*key, "weights").applyInPandas(pick, "step int, peptide string, percentile double, rank_threshold double, group int, weights array<double>")
     chosen = table.join(picks, ["percentile", "rank_threshold", "weights"]).where(F.col("step") <= F.col("max_peptides"))
     panels = cut(table.select("run_id").join(chosen.groupBy("run_id").agg(F.sort_array(F.collect_set("peptide")).alias("peptides")), "run_id", "left").withColumn("peptides", F.coalesce("peptides", F.array().cast("array<string>"))))
-    return stability(table, labels, panels)
+    return stability(table, labels, panels).withColumn("elapsed_sec", F.lit((time.time() - began) / len(runs)))
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import PanelConfig
+from ..config import PanelConfig, PopulationConfig
 from ..operators.panel import binders, greedy_panels
+from ..operators.population import group_mixtures
+from ..sources.bindings import first_column
 
 MODES = {
     "global": ("all", "main", "global_honest_practical", "global", "robustness"),
@@ -17,10 +19,20 @@ MODES = {
 KEY = ["mode", "group", "label"]
 
 
+#: Columns that raw labels are taken from, the first that is there; practical ones fall back on those.
+RAW_LABELS = ("raw_cluster", "group_label", "cluster")
+
+
 def assignments(samples: DataFrame, run_mode: str = "all", min_group_size: int = 1) -> DataFrame:
     """(mode, group, label, file_name, did_run, skip_reason) from (file_name, raw_cluster, practical_group).
 
-    Practical groups below the minimum size are listed, not run."""
+    Raw labels may be named otherwise (RAW_LABELS); without practical groups the raw ones stand for them. Practical groups
+    below the minimum size are listed, not run."""
+    raw = first_column(samples, RAW_LABELS)
+    if raw is None:
+        raise ValueError(f"samples need one of {', '.join(RAW_LABELS)}")
+    samples = samples.withColumn("raw_cluster", F.col(raw))
+    samples = samples if "practical_group" in samples.columns else samples.withColumn("practical_group", F.col("raw_cluster"))
     if run_mode not in {m for names in MODES.values() for m in names}:
         raise ValueError(f"unknown run mode {run_mode!r}")
     parts = []
@@ -41,6 +53,16 @@ def run_suite(rows: DataFrame, assigned: DataFrame, config: PanelConfig) -> Data
     return greedy_panels(binders(rows, config.rank_threshold).join(chosen, "file_name"), config, KEY)
 
 
+def reference_metrics(rows: DataFrame, assigned: DataFrame, history: DataFrame, reference: DataFrame, panel: PanelConfig = PanelConfig(), config: PopulationConfig = PopulationConfig()) -> DataFrame:
+    """Population figures of the panels: (mode, group, label, num_files, num_selected_peptides, and those of
+    ``group_mixtures``), for each group whose selected peptides hit an allele in its own binder rows."""
+    chosen = assigned.where("did_run").select(*KEY, "file_name")
+    picked = history.select(*KEY, "peptide").distinct()
+    pairs = binders(rows, panel.rank_threshold).select("file_name", "peptide", "mhc").join(chosen, "file_name").join(picked, [*KEY, "peptide"], "left_semi").select(*KEY, "peptide", "mhc").distinct()
+    found = group_mixtures(pairs, reference, KEY, config)
+    return all_results(assigned, history).drop("did_run").join(found, KEY)
+
+
 def selected_by_group(history: DataFrame) -> DataFrame:
     return history.select(*KEY, "step", "peptide")
 

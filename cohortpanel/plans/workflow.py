@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,10 @@ from ..operators.distance import distances, weighted_vectors
 from ..operators.features import feature_vectors, sample_features
 from ..operators.grouping import grouping_audit, practical_groups
 from ..operators.topology import barcode, merge_events, raw_clusters, threshold, tree_of
-from . import suite
+from ..sources.bindings import require_columns
+from . import suite, validate
+
+log = logging.getLogger("cohortpanel")
 
 
 @dataclass
@@ -37,6 +41,15 @@ class Topology:
     def audit(self) -> DataFrame:
         return grouping_audit(self.edges, self.labels, self.config)
 
+    def warnings(self, mapping: DataFrame | None = None) -> DataFrame:
+        """(practical_group, size, warning): groups that regrouping left out of their limits, as its steps ran out or no merge
+        or split could help."""
+        sizes = (self.mapping() if mapping is None else mapping).groupBy("practical_group").agg(F.count("*").alias("size"))
+        low, high = self.config.min_group_size, self.config.max_group_size
+        said = F.when(F.col("size") < low, f"group is below the minimum size of {low}")
+        said = said if high is None else said.when(F.col("size") > high, f"group is above the maximum size of {high}")
+        return sizes.withColumn("warning", said).where("warning IS NOT NULL")
+
 
 def topology(vectors: DataFrame, config: TopologyConfig = TopologyConfig()) -> Topology:
     """Tree, threshold and raw clusters of (sample_idx, id, features). The tree comes from the distances without keeping
@@ -52,18 +65,36 @@ def topology(vectors: DataFrame, config: TopologyConfig = TopologyConfig()) -> T
 
 @dataclass
 class Analysis:
+    rows: DataFrame
     features: DataFrame
     not_finite: DataFrame
     topology: Topology
+    samples: DataFrame  # file_name, raw_cluster, practical_group
     assigned: DataFrame
     history: DataFrame
 
 
-def analyse(rows: DataFrame, topology_config: TopologyConfig = TopologyConfig(), panel: PanelConfig = PanelConfig(), run_mode: str = "all") -> Analysis:
+def analyse(rows: DataFrame, topology_config: TopologyConfig = TopologyConfig(), panel: PanelConfig = PanelConfig(), run_mode: str = "all", checked: bool = True) -> Analysis:
+    """The whole analysis of prediction rows. ``checked`` holds every stage's result against what the next one needs and
+    raises ValueError where it fails."""
+    if checked:
+        require_columns(rows, ["file_name", "identity", "peptide", "mhc", "rank_el"])
     features = sample_features(rows)
     features = cut(features)
     vectors, bad = feature_vectors(features)
+    vectors = cut(vectors)
+    if checked:
+        validate.vectors(vectors)
     groups = topology(vectors, topology_config)
     samples = cut(groups.mapping().select(F.col("id").alias("file_name"), "raw_cluster", "practical_group"))
-    assigned = suite.assignments(samples, run_mode, topology_config.min_group_size)
-    return Analysis(features, bad, groups, assigned, cut(suite.run_suite(rows, assigned, panel)))
+    if checked:
+        validate.labels(samples, "raw_cluster")
+        validate.labels(samples, "practical_group")
+        for row in groups.warnings(samples).limit(20).collect():
+            log.warning("practical group %s of %s files: %s", row["practical_group"], row["size"], row["warning"])
+    assigned = cut(suite.assignments(samples, run_mode, topology_config.min_group_size))
+    history = cut(suite.run_suite(rows, assigned, panel))
+    if checked:
+        validate.history(history, suite.KEY, panel.max_peptides)
+        validate.union_identity(suite.unions(history), suite.selected_by_group(history))
+    return Analysis(rows, features, bad, groups, samples, assigned, history)

@@ -47,7 +47,7 @@ def read_rows(spark: SparkSession, folder: str, excluded: tuple[str, ...] = EXCL
     lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select(
         F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value"
     )
-    lines = lines.where(F.length(trimmed(F.col("value"))) > 0).join(F.broadcast(files.drop("path")), "file_name")
+    lines = lines.where(F.length(trimmed(F.col("value"))) > 0).join(files.drop("path"), "file_name")
     place = Window.partitionBy("file_name").orderBy("_block", "_id")
     lines = lines.withColumn("row_ordinal", (F.row_number().over(place) - 1).cast("long"))
     cells = F.transform(F.split(F.regexp_replace("value", r"^\x{FEFF}", ""), ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.regexp_replace(F.regexp_replace(trimmed(c), '^"(.*)"$', "$1"), '""', '"'))

@@ -1,4 +1,6 @@
 import math
+import random
+import statistics
 
 import pytest
 
@@ -68,3 +70,11 @@ def test_scalars(spark):
     assert tuple(row) == ("HLA-A*02:01", 1000.0, "s1.tar.csv", "s1.tar", [], ["AB", "BC"])
     odd = spark.createDataFrame([("1d",), ("nan",), ("-Inf",), ("x",), (None,)], "n string").select(number(F.col("n")).alias("n"))
     assert [r["n"] for r in odd.collect()] == [None, None, -math.inf, None, None]
+
+
+def test_medians_of_buckets(spark):
+    r = random.Random(3)
+    ranks = {f"s{n}": [round(r.choice((r.random(), 50 * r.random(), 3.0)), 3) for _ in range(n)] for n in (1, 2, 3, 10, 101, 500)} | {"same": [2.0] * 40, "apart": [0.0, 1e6]}
+    rows = spark.createDataFrame([(s, x) for s, xs in ranks.items() for x in xs] + [("s3", None), ("empty", None)], "file_name string, rank_el double")
+    got = {x["file_name"]: x["median_rank"] for x in features.medians(rows).collect()}
+    assert got == {s: pytest.approx(statistics.median(xs)) for s, xs in ranks.items()}

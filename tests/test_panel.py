@@ -1,8 +1,8 @@
 import pytest
 
-from cohortpanel.config import PANEL_WEIGHTS, PanelConfig
+from cohortpanel.config import PANEL_WEIGHTS, PanelConfig, TopologyConfig
 from cohortpanel.operators import panel
-from cohortpanel.plans import export, suite, validate
+from cohortpanel.plans import export, suite, validate, workflow
 
 ROWS = "file_name string, file_ordinal int, row_ordinal long, identity string, peptide string, mhc string, rank_el double"
 
@@ -55,6 +55,42 @@ def test_suite(spark):
     assert suite.all_results(assigned, history).count() == 4
 
 
+def test_labels_fall_back(spark):
+    raw = spark.createDataFrame([("f1", 1), ("f2", 2)], "file_name string, cluster int")
+    got = {(r["mode"], r["group"]) for r in suite.assignments(raw).collect()}
+    assert got == {("global", 0), ("honest", 1), ("honest", 2), ("practical", 1), ("practical", 2)}
+    with pytest.raises(ValueError):
+        suite.assignments(raw.select("file_name"))
+
+
+def test_reference_metrics_of_the_suite(spark):
+    samples = spark.createDataFrame([("f1", 1), ("f2", 2)], "file_name string, raw_cluster int")
+    reference = spark.createDataFrame([("Pop", "A", "A*01:01", 0.5, 10.0), ("Pop", "B", "B*07:02", 0.5, 10.0)], "population string, locus string, allele string, allele_frequency double, sample_size double")
+    assigned = suite.assignments(samples)
+    two = PanelConfig(max_peptides=2, weights=BINDING.weights)
+    got = {(r["mode"], r["group"]): (r["num_files"], r["num_selected_peptides"], r["num_hit_hlas"], r["coverage_percent"]) for r in suite.reference_metrics(data(spark), assigned, suite.run_suite(data(spark), assigned, two), reference, two).collect()}
+    assert got["global", 0] == (2, 2, 2, pytest.approx(93.75)) and got["honest", 1] == (1, 2, 1, pytest.approx(75)) and got["practical", 2] == (1, 2, 2, pytest.approx(93.75))
+
+
+def test_whole_analysis_and_its_tables(spark, tmp_path):
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    items = [(f"f{i}", "".join(letters[(i * 7 + k * 3 + j * (1 + k % 5)) % 20] for j in range(9)), f"HLA-{'ABC'[k % 3]}*0{1 + k % 4}:01", 0.5 + (i * 13 + k * 29) % 60) for i in range(5) for k in range(8 + i)]
+    done = workflow.analyse(rows(spark, items), TopologyConfig(merge_singletons=True, min_group_size=2, max_group_size=3))
+    reference = spark.createDataFrame([("Pop", "A", "A*01:01", 0.5, 10.0)], "population string, locus string, allele string, allele_frequency double, sample_size double")
+    skipped = spark.createDataFrame([("bad.csv", "no rows")], "file_name string, reason string")
+    tables = export.tables_of(done, skipped=skipped, reference=reference, robustness=skipped, info={"version": "1"})
+    assert set(tables) == set(export.TABLES)
+    written = export.export(tables, str(tmp_path))
+    assert set(written) == set(tables)
+    read = {name: spark.read.option("header", True).csv(path) for name, path in written.items()}
+    assert read["optimization_selection_history"].where("input_files IS NULL").count() == 0 and read["skipped_files"].count() == 1
+    assert read["tda_barcode"].count() == 5 and read["optimization_selected_peptides"].count() == done.history.count()
+    with pytest.raises(ValueError):
+        workflow.analyse(rows(spark, items[:8]))
+    with pytest.raises(ValueError):
+        workflow.analyse(rows(spark, items).drop("mhc"))
+
+
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([(1, [1, 2], 0.123456789)], "a int, b array<int>, c double")
     written = export.export({"tda_summary": df}, str(tmp_path))

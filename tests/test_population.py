@@ -1,7 +1,8 @@
 import pytest
 
 from cohortpanel.config import PopulationConfig
-from cohortpanel.operators.population import PopulationMetrics, common_alleles, restricted
+from cohortpanel.operators.population import PopulationMetrics, common_alleles, group_mixtures, restricted
+from pyspark.sql import functions as F
 
 PANEL = "population string, locus string, allele string, allele_frequency double, individuals_frequency double, sample_size double"
 
@@ -45,6 +46,25 @@ def test_all_loci_of_the_panel(spark):
     assert found.mixture().first()["coverage_percent"] == pytest.approx(0.2 * 93.75 + 0.6 * 19)
 
 
+def test_group_mixtures_equal_single_evaluations(spark):
+    rows = [("Pop1", "A", "A*01:01", 0.5, None, 100.0), ("Pop1", "A", "A*02:01", 0.7, None, 100.0), ("Pop1", "DRB1", "DRB1*01:01", 0.5, None, 100.0), ("Pop2", "DRB1", "DRB1*01:01", 0.1, None, 300.0), ("Pop3", "B", "B*07:02", 0.5, None, None)]
+    reference = spark.createDataFrame(rows, PANEL)
+    pairs = {"x": [("P1", "HLA-A*01:01"), ("P2", "A*01:01"), ("P2", "A*02:01"), ("P3", "DRB1*01:01")], "y": [("P1", "B*07:02")], "z": [("P1", "C*01:02")], "none": [("P1", "")]}
+    table = spark.createDataFrame([(g, p, m) for g, items in pairs.items() for p, m in items], "g string, peptide string, mhc string")
+    names = ["num_hit_hlas", "num_reference_populations", "coverage_percent", "expected_hits", "conditional_mean_hits", "pc90"]
+    for mode in ("multiplicity", "binary_per_allele"):
+        config = PopulationConfig(hit_mode=mode)
+        got = {r["g"]: tuple(r[n] for n in names) for r in group_mixtures(table, reference, ["g"], config).collect()}
+        assert set(got) == {"x", "y", "z"}
+        for g, found in got.items():
+            one = PopulationMetrics(table.where(F.col("g") == g).drop("g"), reference, config).result().first()
+            assert found == pytest.approx(tuple(one[n] for n in names)), g
+    nothing = PopulationMetrics(table.where("g = 'none'"), reference).result().first()
+    assert not nothing["did_evaluate"] and nothing["coverage_percent"] == 0
+    assert not PopulationMetrics(table.drop("mhc"), reference).result().first()["did_evaluate"]
+    assert PopulationMetrics(table, reference.drop("locus")).result().first()["num_hit_hlas"] == 0
+
+
 def test_errors_and_warnings(spark):
     with pytest.raises(Exception, match="out of"):
         metrics(spark, A, [("Pop1", "A", "A*01:01", 250.0, None, 1.0)]).mixture()
