@@ -54,6 +54,13 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), F.lit(1)).count() == 0
 
 
+def test_mixing_of_long_texts(spark):
+    docs = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "w " * 100, "a"), (3, "w " * 50, "b")], "doc_id int, text string, source string")
+    got = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix(docs, F.size(word_array(F.col("text")))).collect()}
+    # b stops at three times its 50 words
+    assert got[1][0] == 300_000 and got[3] == (50, 150) and got[1][1] + got[2][1] == 300_000
+
+
 def test_documents_without_words_are_repeated(spark):
     rows = [(i, "a b", "x") for i in range(4)] + [(10, None, "x"), (11, "", "x"), (12, " \n", "x")] + [(20 + i, "c d e f", "y") for i in range(4)] + [(30, None, "y"), (40, "", "z")]
     docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
@@ -354,3 +361,34 @@ def test_pipeline_stages(spark, tmp_path):
     total = lambda x: x["text"].str.split().str.len().sum()
     assert abs(total(kept["mixing"]) - total(kept["personal_data"])) <= 3
     assert set(kept["packing"]["doc_id"]) == set(kept["mixing"]["doc_id"])
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and clashing columns; then an empty table."""
+    r = random.Random(9)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 7))) for _ in range(500)]
+    text = lambda n: " ".join(r.choices(words, k=n))
+    long = text(20_000)
+    rows = [(i, text(60), "en", f"s{i % 2}", 1) for i in range(40)]
+    rows += [(100, None, None, None, None), (101, "", "en", "s0", 0), (102, " \n", "en", None, 0), (None, None, None, None, None), (None, text(50), "en", "s1", 0), (103, long, "en", "s1", 0), (104, long + " x", "en", "s1", 0)]
+    rows += [rows[3], rows[3], rows[40]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = {c: F.lit("clash") for c in ("score", "predicted", "kept", "key", "size", "target", "taken", "base", "spans", "_kept", "_source", "_mark", "start", "toxic", "component_id")}
+    spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, schema).withColumns(clash)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path)).cache()
+        found = got.collect()
+        ids = [x["doc_id"] for x in found]
+        if name == "toxicity":
+            assert ids.count(100) == 2 and len(found) >= 40
+        if name == "near_duplicates":
+            assert ids.count(3) == 1 and ids.count(100) == 1 and 103 in ids and 104 not in ids and len(set(ids)) == 45 and ids.count(None) == 2
+        if name == "personal_data":
+            assert len(found) == len(rows) and {x["text"] for x in found if x["doc_id"] == 100} == {None}
+        if name == "packing":
+            want = sum(-(-n // 2048) for n in [x["doc_tokens"] for x in found if x["start"] == 0])
+            assert len(found) == want and sum(x["start"] == 0 for x in found) == len(rows)
+        else:
+            assert got.columns == corpus_pipeline.COLUMNS
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -6,7 +6,9 @@ import itertools
 import random
 import re
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -161,15 +163,32 @@ def test_binomial_tail(spark):
 
 def test_quality_cutoffs(spark):
     good = [(i, " ".join(f"w{i}x{k}" for k in range(60)), "en") for i in range(1500)]
-    bad = [(5000 + i, " ".join(f"w{i}x{k}###" for k in range(60)), lang) for i in range(5) for lang in ("en", None)]
-    docs = spark.createDataFrame(good + bad + [(9000, None, "en"), (9000, None, "en")], "doc_id long, text string, lang string").withColumn("kept", F.lit("clash"))
+    bad = [(5000 + i + 500 * (lang is None), " ".join(f"w{i}x{k}###" for k in range(60)), lang) for i in range(5) for lang in ("en", None)]
+    extra = [(9000, None, "en"), (9000, None, "en"), (9001, "long words " * 100_000, "en")]
+    docs = spark.createDataFrame(good + bad + extra, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("kept", "stratum", "n_words", "held")})
     labels = spark.createDataFrame([(i, 1) for i in range(1500)] + [(7, None), (None, 1)], "doc_id long, quality int")
     got = quality.judge(docs, labels).collect()
-    assert len(got) == len(good) + len(bad) + 2
+    assert len(got) == len(good) + len(bad) + 3 and all(r["stratum"] == r["held"] == "clash" for r in got)
     kept = {(r["doc_id"], r["lang"]): r["kept"] for r in got}
-    assert all(kept[i, "en"] for i in range(1500)) and not kept[5000, "en"] and kept[5000, None]  # no labels, no cutoff
-    assert not kept[9000, "en"]
+    assert all(kept[i, "en"] for i in range(1500)) and not kept[5000, "en"] and kept[5500, None]  # no labels, no cutoff
+    assert not kept[9000, "en"] and not kept[9001, "en"]
     assert quality.judge(docs.limit(0), labels).count() == 0
+    # cutoffs and verdicts word by word, with the binomial sum in full
+    tables = {"documents": docs.select("doc_id", "text", "lang").where("doc_id < 9000").toPandas(), "labels": labels.toPandas()}
+    con = duckdb.connect()
+    for name, pdf in tables.items():
+        con.register(name, pa.Table.from_pandas(pdf))
+    want = con.sql(f"SELECT doc_id, lang, kept FROM ({quality.ORACLE_SQL}) JOIN documents USING (doc_id)").fetchall()
+    assert {(i, lang): k for i, lang, k in want} == {x: k for x, k in kept.items() if x[0] < 9000}
+
+
+def test_quality_of_repeated_ids(spark):
+    """Rows of one labelled id give one held-out row, the same one in every order."""
+    rows = [(i % 300, " ".join(f"w{i}x{k}{'#' * (i % 2)}" for k in range(60)), "en") for i in range(600)]
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    verdicts = [sorted((r["doc_id"], r["n_symbols"], r["kept"]) for r in quality.judge(d, labels).collect()) for d in (docs, docs.repartition(5, "text"))]
+    assert verdicts[0] == verdicts[1]
 
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -198,7 +217,7 @@ def test_terms_and_sanitised(spark):
     rows += [(10 + i, f"the office said the {w} is about to leave again", "x") for i, w in enumerate("abcdefghijklmnopqrstuvwxyz" * 8)]
     rows += [(500, None, "x"), (None, "Zorbix, alone", "x"), (0, rows[0][1], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, base string")
-    got = pii.with_spans(docs.drop("base")).select("doc_id", "text", pii.listed(F.col("spans")).alias("s"), F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("h")).collect()
+    got = pii.with_spans(docs).select("doc_id", "text", pii.listed(F.col("spans")).alias("s"), F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("h")).collect()
     assert len(got) == len(rows)
     for r in got:
         text = r["text"] or ""
@@ -229,6 +248,28 @@ def test_context_words_are_whole(spark):
     assert {r["term"] for r in pii.disclosures(docs).collect()} == {"farleft", "farright", "z" * 400}
 
 
+def test_toxicity_equals_a_plain_model(spark):
+    """Scores of a small table by counts and gradient steps written out plainly."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdef", k=3))
+    rows = [(" ".join(word() for _ in range(12)) + (" zzz" if i % 3 == 0 and i % 7 else ""), int(i % 3 == 0)) for i in range(60)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"), max_features=None, min_docs=1, bits=14, steps=200)
+    grams = [set(toxicity.ngrams(t, 14).tolist()) for t, _ in rows]
+    names = sorted(set().union(*grams))
+    x = np.array([[g in found for g in names] for found in grams], float)
+    y = np.array([toxic for _, toxic in rows], float)
+    pos, neg = (x[y == 1].sum(0) + 1) / (y.sum() + 2), (x[y == 0].sum(0) + 1) / ((1 - y).sum() + 2)
+    scaled = x * np.log(pos / neg)
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    w, b = np.zeros(len(names)), 0.0
+    for _ in range(4000):
+        error = share * (1 / (1 + np.exp(-(scaled @ w + b))) - y)
+        w, b = w - 0.2 * (scaled.T @ error + toxicity.RIDGE * w), b - 0.2 * error.sum()
+    plain = 1 / (1 + np.exp(-(scaled @ w + b)))
+    got = np.array([model.score(t) for t, _ in rows])
+    assert np.abs(got - plain).max() < 0.05 and ((got > 0.5) == (plain > 0.5)).all()
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choices("etaoinshrdlu", k=r.randint(2, 8)))
@@ -241,13 +282,14 @@ def test_toxicity(spark):
         rows.append((i, " ".join(words), "clash"))
         labels.append((i, int(toxic)))
     rows += [(1000, None, "clash"), (1001, "", "clash"), (1002, "fine words " * 5000, "clash"), (None, "grumblexa", "clash"), (0, rows[0][1], "clash")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").drop("score")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumn("predicted", F.lit("clash")).withColumn("toxic", F.lit("clash"))
     got = toxicity.classify(docs, spark.createDataFrame(labels + [(3, None), (None, 1)], "doc_id long, toxic int")).collect()
     assert len(got) == len(rows) and all(0 <= x["score"] <= 1 for x in got)
     held = [x for x in got if x["doc_id"] is not None and x["doc_id"] < 400]
     assert np.mean([x["predicted"] == (x["doc_id"] % 4 == 0) for x in held]) > 0.97
     by = {x["doc_id"]: x for x in got}
     assert by[1000]["score"] == by[1001]["score"] and not by[1002]["predicted"] and by[None]["predicted"]
+    assert all(x["toxic"] == "clash" for x in got) and toxicity.classify(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
     none = toxicity.classify(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert none.agg(F.max("predicted")).first()[0] == 0
     assert spark.createDataFrame([(5,), (None,)], "d long").select(toxicity.held_out(F.col("d"))).collect()[1][0]
