@@ -19,30 +19,55 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, doesn't predict to be toxic."""
+    """Documents that the classifier, fitted on the labelled ones, doesn't predict to be toxic.
+
+    Null and empty texts have the score of the model's bias and stay unless everything known is toxic. Documents without
+    id are judged like others, but teach nothing. Repeated rows go or stay together. Without labels all documents stay; an
+    empty table gives none. Columns beyond those of documents are dropped, whatever their names.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return toxicity.classify(docs.select(*COLUMNS), labels).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component; repeated rows go too."""
+    """The document of the smallest id of each component of near-copies, which share shingles of five words (op5's contract
+    states four for its query alone); repeated rows go too.
+
+    Null and empty texts are near-copies of nothing and stay, once an id. Documents without id stay, one for each text,
+    where no document with an id is their near-copy. Texts of any length count in full. Of rows with equal id and text one stays, any
+    of them. An empty table gives none; columns beyond those of documents are dropped.
+    """
     kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    near = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return near.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and the terms that disclose it replaced."""
+    """All documents, with personal data and the terms that disclose it replaced; n_chars is that of the new text.
+
+    Null texts stay null (n_chars null), empty ones empty; repeated rows and those without id are all kept. An empty table
+    gives none; columns beyond those of documents are dropped.
+    """
     return _documents(pii.sanitised(docs.select(*COLUMNS)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a row for each whole repetition, and one cut short where a run ends."""
+    """Documents as often as the mix takes them: a row for each whole repetition, and one cut short where a run ends.
+
+    A null source is one of its own, the last. Documents without words, null ones too, come as often as their source is
+    taken whole. Repeated rows count each by itself. A document that is cut short has its words joined by single spaces;
+    whole ones are as they were. An empty table gives none; columns beyond those of documents are dropped.
+    """
     mixed = mixing.mix(docs.select(*COLUMNS), F.size(word_array(F.col("text"))))
     return _documents(mixing.repeated(mixed))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences."""
+    """Pieces of all documents, placed in sequences.
+
+    Null and empty texts are their end id alone; long ones are cut at the capacity. Repeated rows and those without id are
+    documents of their own. An empty table gives none; other columns than id and text are dropped.
+    """
     return packing.pack(docs)
 
 
