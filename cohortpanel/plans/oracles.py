@@ -207,6 +207,49 @@ md(mode, base, name) AS (VALUES ('global', 'global', 'Global cohort'), ('honest'
 SELECT mode, CAST(split_part(panel_group, ':', 2) AS BIGINT) AS "group", CASE WHEN mode = 'global' THEN name ELSE name || split_part(panel_group, ':', 2) END AS label, files AS num_files, picks AS num_selected_peptides,
 alleles AS num_hit_hlas, (SELECT count(DISTINCT population) FROM panel) AS num_reference_populations, coverage_percent, expected_hits, conditional_mean_hits, pc90
 FROM gs JOIN mo USING (panel_group) JOIN fc USING (panel_group) JOIN pc USING (panel_group) JOIN md ON md.base = split_part(panel_group, ':', 1)"""
+
+
+def _repair(name: str, start: str, low: int, high: int = 20) -> str:
+    """Groups after the smallest one below ``low`` has joined its best neighbour again and again; ``hit`` marks those it took."""
+    fits = f"size_g + size_c - greatest({low}, least(size_g + size_c, {high}))"
+    return f"""{name} AS (
+  SELECT 0 AS it, i, label, 0 AS hit FROM {start}
+  UNION ALL
+  SELECT it + 1, i, CAST(dense_rank() OVER (ORDER BY first) AS INT), hit FROM (
+    SELECT it, i, hit, min(i) OVER (PARTITION BY joined) AS first FROM (
+      SELECT x.it, x.i, CASE WHEN x.label = b.g THEN b.c ELSE x.label END AS joined, CASE WHEN x.label IN (b.g, b.c) THEN 1 ELSE x.hit END AS hit
+      FROM {name} x, (
+        SELECT g, c FROM (
+          SELECT sm.g AS g, y.label AS c, any_value(sm.n) AS size_g, count(DISTINCT y.i) AS size_c, avg(es.d) AS apart
+          FROM (SELECT label AS g, count(*) AS n FROM {name} GROUP BY label HAVING count(*) < {low} ORDER BY count(*), label LIMIT 1) sm
+          JOIN {name} x ON x.label = sm.g JOIN {name} y ON y.label <> sm.g JOIN es ON es.i = x.i AND es.j = y.i GROUP BY sm.g, y.label
+        ) ORDER BY size_g + size_c > {high}, CASE WHEN size_g + size_c > {high} THEN apart ELSE apart + 1e-6 * abs({fits}) END, c LIMIT 1
+      ) b
+    )
+  )
+)"""
+
+
+#: Raw clusters as first groups, singletons joined, then what is below three. No group here is above twenty, so none is split.
+GROUPING = f"""rc AS (SELECT i, CAST(dense_rank() OVER (ORDER BY min(j)) AS INT) AS label FROM (SELECT i, j FROM mm, pct WHERE d <= threshold UNION SELECT i, i FROM es) GROUP BY i),
+{_repair("ra", "rc", 2)}, rb0 AS (SELECT i, label FROM ra WHERE it = (SELECT max(it) FROM ra)), {_repair("rb", "rb0", 3)},
+gm AS (
+  SELECT rc.i AS i, rc.label AS raw, rb.label AS label, a.hit AS merged, rb.hit AS repaired, nm.s AS s
+  FROM rc JOIN rb ON rb.i = rc.i AND rb.it = (SELECT max(it) FROM rb) JOIN (SELECT i, max(hit) AS hit FROM ra GROUP BY i) a ON a.i = rc.i JOIN (SELECT DISTINCT i, s FROM z) nm ON nm.i = rc.i
+)"""
+GROUPS_SQL = f"""{BARS}, {PCT}, {GROUPING} SELECT CAST(i AS INT) AS sample_idx, s AS id, raw AS raw_cluster, raw AS initial_group, label AS practical_group, raw <> label AS moved,
+CASE WHEN merged + repaired = 0 THEN 'unchanged' ELSE concat_ws(';', CASE WHEN merged = 1 THEN 'merge_small_group:merge' END, CASE WHEN repaired = 1 THEN 'repair_small_group:merge' END) END AS reason_code FROM gm"""
+AUDIT_SUMMARY_SQL = f"""{BARS}, {PCT}, {GROUPING}, ns AS (SELECT (SELECT max(it) FROM ra) AS a, (SELECT max(it) FROM rb) AS b)
+SELECT a + b + 2 AS num_events, a + b AS num_merges, 0 AS num_splits, b AS num_repair_steps, 0 AS num_relabels, 3 AS min_size, 20 AS max_size, (SELECT count(*) FROM gm WHERE raw <> label) AS num_files_changed,
+(SELECT string_agg(n, ';' ORDER BY label) FROM (SELECT label, count(*) AS n FROM gm GROUP BY label)) AS final_sizes FROM ns"""
+#: The panels of all three modes and what each mode, and all of them, take in first.
+UNIONS_SQL = f"""{BARS}, {PCT}, {GROUPING},
+bd AS (
+  SELECT 'global:0' AS panel_group, b.* FROM b WHERE r < {TAU} UNION ALL SELECT 'honest:' || raw, b.* FROM b JOIN gm ON gm.s = b.s WHERE r < {TAU} UNION ALL SELECT 'practical:' || label, b.* FROM b JOIN gm ON gm.s = b.s WHERE r < {TAU}
+), {SCORES}, {GREEDY},
+hs AS (SELECT split_part(panel_group, ':', 1) AS mode, CAST(split_part(panel_group, ':', 2) AS INT) AS grp, step, p FROM gr WHERE step > 0),
+fs AS (SELECT mode, p, min((CASE mode0 WHEN 'global' THEN 0 WHEN 'honest' THEN 1 ELSE 2 END, grp, step)) AS first FROM (SELECT mode, mode AS mode0, grp, step, p FROM hs UNION ALL SELECT 'all', mode, grp, step, p FROM hs) GROUP BY mode, p)
+SELECT mode, CAST(row_number() OVER (PARTITION BY mode ORDER BY first, p) AS INT) AS ordinal, p AS peptide FROM fs"""
 #: What each death joins: the samples that shorter ways reach from either end of its edge.
 MERGES_SQL = f"""{BARS}, ev AS (SELECT es.i, es.j, es.d, row_number() OVER (ORDER BY es.d, es.i, es.j) AS step FROM es JOIN mm USING (i, j) WHERE es.i < es.j AND es.d = mm.d),
 le AS (SELECT step, list_sort(list_distinct(list_append(list(mm.j) FILTER (mm.d < ev.d), ev.i))) AS a FROM ev JOIN mm ON mm.i = ev.i GROUP BY step, ev.i),
@@ -258,6 +301,9 @@ SELECT panel_group, p AS peptide, {r("x")} AS total_score FROM (SELECT *, row_nu
     "greedy_panel": GREEDY_SQL,
     "panel_jaccard": JACCARD_SQL,
     "suite_population_metrics": SUITE_METRICS_SQL,
+    "practical_groups": GROUPS_SQL,
+    "grouping_audit_summary": AUDIT_SUMMARY_SQL,
+    "suite_unions": UNIONS_SQL,
     "merge_events": MERGES_SQL,
     "embedding_barcode": EMBEDDING_BARCODE_SQL,
     "robustness_fast": SWEEP_SQL,

@@ -62,6 +62,12 @@ def _metrics(spark, d):
     return population.PopulationMetrics(cut(pairs), cut(testdata.reference_panel(spark, d)))
 
 
+def grouping_summary(spark, d):
+    """Counts of the trail, with the last sizes as a text."""
+    done = _topology(spark, d, LIMITS)
+    return rounded(audit_summary(cut(done.mapping()), cut(done.audit())).withColumn("final_sizes", F.array_join("final_sizes", ";")))
+
+
 def _shares(pmf: DataFrame) -> DataFrame:
     """Nine digits; shares that end with a 5 behind them go up, whatever order they were summed in."""
     return rounded(pmf.withColumn("p", F.col("p") + 1e-12), 9)
@@ -144,7 +150,7 @@ QUERIES = {
     "embedding_barcode": lambda s, d: rounded(workflow.topology(_embedding_vectors(s, d)).barcode()),
     "practical_groups": lambda s, d: _topology(s, d, LIMITS).mapping(),
     "grouping_audit": lambda s, d: _topology(s, d, LIMITS).audit(),
-    "grouping_audit_summary": lambda s, d: (lambda t: audit_summary(cut(t.mapping()), cut(t.audit())))(_topology(s, d, LIMITS)),
+    "grouping_audit_summary": grouping_summary,
     "peptide_scores": lambda s, d: rounded(panel.peptide_scores(_bound(s, d), TAU)),
     "greedy_first_pick": lambda s, d: rounded(panel.first_pick(_bound(s, d), PanelConfig())),
     "greedy_panel": lambda s, d: rounded(panel.greedy_panels(_bound(s, d), PanelConfig())),
