@@ -70,3 +70,18 @@ def spaceless(text: Column) -> Column:
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` (already materialised) with a broadcast hint only if a count proves it small."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+#: Keys that ``with_facts`` broadcasts at most.
+HOT_KEYS = 20_000
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``facts``, one row a key with the ``count`` of rows that hold it, ``total`` or fewer in all.
+
+    Keys with more than one part in HOT_KEYS of all rows are fewer than HOT_KEYS, so they are broadcast and their rows
+    stay where they are; no key of the shuffle holds more.
+    """
+    heavy = F.col(count) * HOT_KEYS > F.lit(total)
+    hot = F.broadcast(facts.where(heavy))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(facts.where(~heavy), key))

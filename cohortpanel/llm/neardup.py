@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, bounded_broadcast, checkpointed, table
+from .common import arrow_slices, bounded_broadcast, checkpointed, table, with_facts
 from .shingles import shingle_sets
 
 SHINGLE_WORDS, THRESHOLD = 5, 80  # percent
@@ -65,24 +65,24 @@ def needed(n: Column) -> Column:
     return F.when(n <= SKETCH, F.least(F.lit(NEED), F.ceil(n * 0.75))).otherwise(NEED).cast("int")
 
 
-def listed(classes: DataFrame) -> DataFrame:
+def listed(classes: DataFrame, total: int) -> DataFrame:
     """(value, cls, total, n): classes under the rarest values of their sketches, for values that two classes have at least.
 
-    Values of one class alone are its rarest; they are counted, not carried along.
+    Values of one class alone are its rarest; they are counted, not carried along. ``total``: number of classes.
     """
     spread = classes.select("cls", "n", F.explode("sketch").alias("value"))
     common = spread.groupBy("value").agg(F.count("*").alias("freq")).where("freq > 1")
-    ranked = spread.join(common, "value").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "value"))).alias("shared"))
+    ranked = with_facts(spread, common, "value", "freq", total * SKETCH).groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "value"))).alias("shared"))
     alone = F.least(F.col("n"), F.lit(SKETCH)).cast("int") - F.size("shared")
     ranked = ranked.withColumn("total", F.aggregate("shared", alone.cast("long"), lambda a, x: a + x["freq"]))
     prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.size("shared") - needed(F.col("n")) + 1))
     return ranked.select("cls", "total", "n", F.explode(prefix).alias("v")).select(F.col("v.value").alias("value"), "cls", "total", "n")
 
 
-def grouped(lists: DataFrame) -> DataFrame:
+def grouped(lists: DataFrame, total: int) -> DataFrame:
     """(pivot, cls, n): lists put together by their pivots; groups of one class are left out."""
     pivots = lists.groupBy("value").agg(F.max_by("cls", F.struct("total", -F.col("cls"))).alias("pivot"), F.count("*").alias("k")).where("k > 1")
-    return lists.join(pivots, "value").select("pivot", "cls", "n").distinct()
+    return with_facts(lists, pivots, "value", "k", total * SKETCH).select("pivot", "cls", "n").distinct()
 
 
 def blocks_of(members: DataFrame, side: Column, block: int) -> DataFrame:
@@ -298,7 +298,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     base = checkpointed(sketches(docs, key, text, n))
     classes = base.where("same is not null").groupBy("same").agg(F.min("key").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes.withColumn("cls", F.monotonically_increasing_id()))
-    members = checkpointed(grouped(listed(classes)))
+    total = classes.count()
+    members = checkpointed(grouped(checkpointed(listed(classes, total)), total))
 
     def full(batches):
         for batch in batches:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from cohortpanel.llm import archives, mixing, neardup, packing, search, urls
+from cohortpanel.llm import archives, common, mixing, neardup, packing, search, urls
 from cohortpanel.llm import shingles as shingles_of
 from cohortpanel.llm.common import word_array
 from pyspark.sql import functions as F
@@ -142,6 +142,14 @@ def test_shingle_sets_equal_words(monkeypatch):
             assert len(set(seen.values())) == len(seen)
 
 
+def test_with_facts_splits_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = [(7, k) for k in range(60)] + [(k % 9 + 10, k) for k in range(40)]
+    facts = collections.Counter(k for k, _ in rows)
+    got = common.with_facts(spark.createDataFrame(rows, "key int, v int"), spark.createDataFrame([(k, n) for k, n in facts.items() if k != 12], "key int, n long"), "key", "n", len(rows)).collect()
+    assert sorted(map(tuple, got)) == sorted((k, v, facts[k]) for k, v in rows if k != 12)
+
+
 def test_near_duplicates_of_one_hub(spark):
     """A family larger than a block, whose members are linked with the hub or only with one another."""
     r = random.Random(5)
