@@ -54,7 +54,7 @@ def families_of(peptides: list[str], k: int) -> np.ndarray:
 def greedy(items: pd.DataFrame, config: PanelConfig) -> pd.DataFrame:
     """The panel of one group from its peptides in first-appearance order (peptide, patients, hlas, binding_score, prevalence_score).
 
-    Every step takes the peptide of the highest score, the earliest of equals; scores may be negative. A panel of k
+    Every step takes the peptide of the highest score, the earliest of those equal to twelve digits; scores may be negative. A panel of k
     peptides is the beginning of one of more. Memory is linear in the pairs of peptides with patients, alleles and windows.
     """
     n = len(items)
@@ -84,7 +84,7 @@ def greedy(items: pd.DataFrame, config: PanelConfig) -> pd.DataFrame:
         novelty = np.array([f not in seen for f in family], float)
         terms = [w["patient"] * patient, w["hla"] * hla, w["binding"] * binding, w["prevalence"] * prevalence, w["novelty"] * novelty, -w["redundancy"] * redundant]
         score = ((((terms[0] + terms[1]) + terms[2]) + terms[3]) + terms[4]) + terms[5]
-        best = int(np.argmax(np.where(free, score, -np.inf)))
+        best = int(np.argmax(np.where(free, score.round(12), -np.inf)))  # sums differ in their last digits from run to run
         free[best] = False
         seen.add(int(family[best]))
         for c in (0, 1):

@@ -120,7 +120,7 @@ _MOMENTS = MOMENTS.format(by="", c=r(f"100 * {_P0}"), e=r("sum(h * p)"), m=r(f"C
 
 
 #: The six shifts by rule: what is raised, by how much, what is lowered by equal parts; then the full product, baseline first.
-GRID = f"""base AS (SELECT [{", ".join(map(repr, PANEL_WEIGHTS.values()))}] AS w),
+GRID = f"""base AS (SELECT CAST([{", ".join(map(repr, PANEL_WEIGHTS.values()))}] AS DOUBLE[]) AS w),
 shift(k, up, gain, down) AS (VALUES (1, 1, 0.08, [3, 6]), (2, 2, 0.08, [5, 6]), (3, 5, 0.06, [6]), (4, 3, 0.1, [1, 4]), (5, 4, 0.1, [5, 6]), (6, 6, 0.1, [1, 5])),
 moved AS (SELECT k, [CASE WHEN i = up THEN w[i] + gain WHEN list_contains(down, i) THEN greatest(0.0, w[i] - gain / len(down)) ELSE w[i] END FOR i IN range(1, 7)] AS m FROM shift, base),
 wset AS (SELECT 0 AS k, w FROM base UNION ALL SELECT k, [x / list_sum(m) FOR x IN m] FROM moved),
@@ -134,8 +134,11 @@ GRID_SQL = f"""WITH {BINDING}, {GRID}, bins AS (SELECT floor(r * 10) AS bin, cou
 SELECT CAST(run_id AS BIGINT) AS run_id, {r("CAST(pct AS DOUBLE)")} AS percentile, {r("CAST(thr AS DOUBLE)")} AS rank_threshold, CAST(most AS BIGINT) AS max_peptides,
 {", ".join(f"{r(f'CAST(w[{k + 1}] AS DOUBLE)')} AS w_{n}" for k, n in enumerate(PANEL_WEIGHTS))}, CAST((SELECT coalesce(sum(n), 0) FROM bins WHERE high < thr) AS BIGINT) AS rows_in_full_bins FROM g"""
 
-#: Panels step by step: items of each group with what they cover; families by the least ordinal that windows pass on.
-GREEDY = f"""km AS (SELECT DISTINCT p, CASE WHEN length(p) < 7 THEN '#' || p ELSE substr(p, CAST(i AS INT), 7) END AS g FROM (SELECT p, unnest(range(1, greatest(length(p) - 6, 1) + 1)) AS i FROM (SELECT DISTINCT p FROM bd))),
+
+def _greedy(weights: list[str], most: int = 20, more: str = "") -> str:
+    """Panels step by step: items of each group with what they cover; families by the least ordinal that windows pass on."""
+    w = dict(zip(PANEL_WEIGHTS, weights))
+    return f"""km AS (SELECT DISTINCT p, CASE WHEN length(p) < 7 THEN '#' || p ELSE substr(p, CAST(i AS INT), 7) END AS g FROM (SELECT p, unnest(range(1, greatest(length(p) - 6, 1) + 1)) AS i FROM (SELECT DISTINCT p FROM bd))),
 fl AS (
   SELECT 0 AS it, panel_group, p, ordinal AS lab FROM sc
   UNION ALL
@@ -143,23 +146,26 @@ fl AS (
 ), fm AS (SELECT panel_group, p, dense_rank() OVER (PARTITION BY panel_group ORDER BY lab) AS family FROM fl WHERE it = 30),
 cv AS (SELECT panel_group, p, list(DISTINCT s) AS fs, list(DISTINCT m) AS hs FROM bd GROUP BY ALL),
 kl AS (SELECT p, list(g) AS ks FROM km GROUP BY p),
-items AS (SELECT panel_group, p, ordinal, nf, nh, x_b, x_pc, family, fs, hs, ks FROM sc JOIN fm USING (panel_group, p) JOIN cv USING (panel_group, p) JOIN kl USING (p)),
-gr AS (
+items{'0' if more else ''} AS (SELECT panel_group, p, ordinal, nf, nh, x_b, x_pc, family, fs, hs, ks FROM sc JOIN fm USING (panel_group, p) JOIN cv USING (panel_group, p) JOIN kl USING (p)),
+{more}gr AS (
   SELECT DISTINCT 0 AS step, panel_group, CAST('' AS VARCHAR) AS p, CAST(0 AS BIGINT) AS family, CAST(0 AS DOUBLE) AS pat, CAST(0 AS DOUBLE) AS hla, CAST(0 AS DOUBLE) AS nov, CAST(0 AS DOUBLE) AS red, CAST(0 AS DOUBLE) AS bin, CAST(0 AS DOUBLE) AS prev,
          CAST(0 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS done_f, CAST(0 AS DOUBLE) AS done_h, CAST([] AS VARCHAR[]) AS cf, CAST([] AS VARCHAR[]) AS ch, CAST([] AS VARCHAR[]) AS ck, CAST([] AS VARCHAR[]) AS cp, CAST([] AS BIGINT[]) AS cm FROM items
   UNION ALL
   SELECT step + 1, panel_group, p, family, pat, hla, nov, red, x_b, x_pc, total, len(list_distinct(list_concat(cf, fs))) / nf, len(list_distinct(list_concat(ch, hs))) / nh,
          list_distinct(list_concat(cf, fs)), list_distinct(list_concat(ch, hs)), list_distinct(list_concat(ck, ks)), list_append(cp, p), list_distinct(list_append(cm, family))
   FROM (
-    SELECT *, row_number() OVER (PARTITION BY panel_group ORDER BY total DESC, ordinal) AS k FROM (
-      SELECT *, (((({W["patient"]} * pat + {W["hla"]} * hla) + {W["binding"]} * x_b) + {W["prevalence"]} * x_pc) + {W["novelty"]} * nov) - {W["redundancy"]} * red AS total FROM (
+    SELECT *, row_number() OVER (PARTITION BY panel_group ORDER BY round(total, 12) DESC, ordinal) AS place FROM (
+      SELECT *, (((({w["patient"]} * pat + {w["hla"]} * hla) + {w["binding"]} * x_b) + {w["prevalence"]} * x_pc) + {w["novelty"]} * nov) - {w["redundancy"]} * red AS total FROM (
         SELECT a.step, a.cf, a.ch, a.ck, a.cp, a.cm, i.*, len(list_filter(i.fs, lambda x: NOT list_contains(a.cf, x))) / i.nf AS pat, len(list_filter(i.hs, lambda x: NOT list_contains(a.ch, x))) / i.nh AS hla,
                CASE WHEN list_contains(a.cm, i.family) THEN 0.0 ELSE 1.0 END AS nov, CASE WHEN list_has_any(a.ck, i.ks) THEN 1.0 ELSE 0.0 END AS red
-        FROM gr a JOIN items i ON i.panel_group = a.panel_group WHERE a.step < 20 AND NOT list_contains(a.cp, i.p)
+        FROM gr a JOIN items i ON i.panel_group = a.panel_group WHERE a.step < {most} AND NOT list_contains(a.cp, i.p)
       )
     )
-  ) WHERE k = 1
+  ) WHERE place = 1
 )"""
+
+
+GREEDY = _greedy([repr(x) for x in W.values()])
 GREEDY_SQL = f"""WITH RECURSIVE {BOUND}, {SCORES}, {GREEDY} SELECT panel_group, CAST(step AS BIGINT) AS step, p AS peptide, family AS family_id, {r("pat")} AS incremental_patient_coverage, {r("hla")} AS incremental_hla_coverage,
 {r("nov")} AS family_novelty_score, {r("red")} AS redundancy_penalty, {r(f"{W['patient']} * pat")} AS patient_term, {r(f"{W['hla']} * hla")} AS hla_term, {r(f"{W['binding']} * bin")} AS binding_term, {r(f"{W['prevalence']} * prev")} AS prevalence_term,
 {r(f"{W['novelty']} * nov")} AS family_novelty_term, {r(f"-{W['redundancy']} * red")} AS redundancy_term, {r("total")} AS total_score, {r("done_f")} AS cumulative_patient_coverage, {r("done_h")} AS cumulative_hla_coverage,
@@ -184,6 +190,26 @@ SELECT CASE t.pct WHEN 75 THEN 0 WHEN 65 THEN 1 ELSE 2 END::BIGINT AS run_id, CA
 CAST(20 AS BIGINT) AS max_peptides, ng.groups AS num_groups, ng.groups = n0.groups AS same_num_groups, ag.same = 1 AS assignment_exact_match, {r("ag.same")} AS assignment_agreement, CAST(len(t.ps) AS BIGINT) AS num_selected_peptides,
 {r(JACCARD)} AS peptide_jaccard, list_sort(t.ps) = list_sort(q.ps) AS peptide_set_exact_match, ng.groups = n0.groups AND {JACCARD} >= 0.8 AS stable_overall
 FROM t JOIN ng USING (pct) JOIN ag USING (pct), (SELECT ps FROM t WHERE pct = 75) q, (SELECT groups FROM ng WHERE pct = 75) n0"""
+#: All 84 runs: scores for each percentile and threshold, panels for each set of weights, of 22 peptides of which 20 are the beginning.
+SWEEP_FULL_SQL = f"""{BARS}, {GRID}, ths AS (
+  SELECT pct, max(d) FILTER (k = floor(h)) + max(h - floor(h)) * (max(d) FILTER (k = least(floor(h) + 1, n)) - max(d) FILTER (k = floor(h))) AS threshold
+  FROM (SELECT *, greatest(1.0, least(n * pct / 100 + 0.5, CAST(n AS DOUBLE))) AS h FROM death, (SELECT DISTINCT CAST(pct AS DOUBLE) AS pct FROM g)) GROUP BY pct
+), cl AS (SELECT pct, i, dense_rank() OVER (PARTITION BY pct ORDER BY min(j)) AS label FROM (SELECT pct, i, j FROM mm, ths WHERE d <= threshold UNION SELECT pct, i, i FROM es, ths) GROUP BY pct, i),
+nm AS (SELECT DISTINCT i, s FROM z), thr AS (SELECT DISTINCT CAST(thr AS DOUBLE) AS thr FROM g),
+bd AS (
+  SELECT pct || ':' || thr || ':' || label AS panel_group, b.*, thr FROM b JOIN nm ON nm.s = b.s JOIN cl ON cl.i = nm.i, thr WHERE r < thr
+  UNION ALL SELECT pct || ':' || thr || ':0', b.*, thr FROM b, ths, thr WHERE r < thr
+), {SCORES.replace(f"1 - r / {TAU}", "1 - r / thr")},
+{_greedy([f"w[{k}]" for k in range(1, 7)], 22, "items AS (SELECT items0.* REPLACE (panel_group || ':' || k AS panel_group), w FROM items0, wset)," + chr(10))},
+t AS (
+  SELECT run_id, list(DISTINCT p) AS ps FROM g JOIN gr ON CAST(split_part(panel_group, ':', 1) AS DOUBLE) = pct AND CAST(split_part(panel_group, ':', 2) AS DOUBLE) = thr AND CAST(split_part(panel_group, ':', 4) AS INT) = g.k AND step BETWEEN 1 AND most GROUP BY run_id
+), ng AS (SELECT pct, count(DISTINCT label) AS groups FROM cl GROUP BY pct),
+ag AS (SELECT a.pct, avg(CASE WHEN a.label = c.label THEN 1.0 ELSE 0.0 END) AS same FROM cl a JOIN cl c ON c.i = a.i AND c.pct = 75 GROUP BY a.pct),
+su AS (
+  SELECT run_id, ng.groups = n0.groups AS alike, ag.same = 1 AS exact, {JACCARD} AS jaccard, list_sort(t.ps) = list_sort(q.ps) AS whole FROM t JOIN g USING (run_id) JOIN ng ON ng.pct = g.pct JOIN ag ON ag.pct = g.pct, (SELECT ps FROM t WHERE run_id = 0) q, (SELECT groups FROM ng WHERE pct = 75) n0
+)
+SELECT count(*) AS num_runs, count(*) FILTER (alike AND (jaccard >= 0.8 OR whole)) AS num_stable, {r("avg(CASE WHEN alike AND (jaccard >= 0.8 OR whole) THEN 1.0 ELSE 0.0 END)")} AS fraction_stable_overall, {r("avg(CASE WHEN alike THEN 1.0 ELSE 0.0 END)")} AS fraction_same_num_groups,
+{r("avg(CASE WHEN exact THEN 1.0 ELSE 0.0 END)")} AS fraction_assignment_exact_match, {r("avg(CASE WHEN whole THEN 1.0 ELSE 0.0 END)")} AS fraction_peptide_set_exact_match, {r("avg(jaccard)")} AS mean_peptide_jaccard FROM su"""
 #: Panels of the cohort and of each cluster; every group meets every population, which the mixture weighs.
 SUITE_METRICS_SQL = f"""{BARS}, {PCT}, cl AS (SELECT i, dense_rank() OVER (ORDER BY min(j)) AS label FROM (SELECT i, j FROM mm, pct WHERE d <= threshold UNION SELECT i, i FROM es) GROUP BY i),
 {PANEL}, nm AS (SELECT DISTINCT i, s FROM z),
@@ -307,6 +333,7 @@ SELECT panel_group, p AS peptide, {r("x")} AS total_score FROM (SELECT *, row_nu
     "merge_events": MERGES_SQL,
     "embedding_barcode": EMBEDDING_BARCODE_SQL,
     "robustness_fast": SWEEP_SQL,
+    "robustness_full": SWEEP_FULL_SQL,
     "allele_panel_global": f"WITH {PANEL} {TOPN.format(f=r('mf'), w=r('ew'), where='')}",
     "allele_panel_region": f"WITH {PANEL} " + TOPN.format(f=r("mf"), w=r("ew"), where="WHERE lower(trim(region)) = 'europe'"),
     "locus_hit_pmf": f"{METRICS} SELECT population, locus, CAST(h AS BIGINT) AS h, {r('p + 1e-12', 9)} AS p FROM lp",

@@ -123,7 +123,7 @@ def sweep_fast(spark, d):
 
 def sweep_full(spark, d):
     rows = cut(_rows(spark, d))
-    return robustness.overall(robustness.sweep(rows, _vectors(spark, d), robustness.grid("full")))
+    return rounded(robustness.overall(robustness.sweep(rows, _vectors(spark, d), robustness.grid("full"))))
 
 
 QUERIES = {
