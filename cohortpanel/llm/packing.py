@@ -21,7 +21,7 @@ END_ID = 1
 #: Pieces a group of first-fit decreasing holds about.
 GROUP_PIECES = 8192
 #: Bytes of words whose ids a Python worker remembers, about; and what a word takes beside its characters.
-CACHE_BYTES, WORD_BYTES = 48 << 20, 320
+CACHE_BYTES, WORD_BYTES = 144 << 20, 320
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 1 << 20
 #: The normaliser and pre-tokeniser that let words be encoded by themselves.
@@ -45,13 +45,13 @@ class WordTokenizer:
     All this holds for the steps named in BY_WORDS; texts are encoded in full by vocabularies that have others.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, cache_bytes: int = CACHE_BYTES):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         path = public_tokenizers.path(vocabulary)
         self.encoder, self.by_words = Tokenizer.from_file(path), steps_of(path) == BY_WORDS
-        self.tokenize = self.encoder.model.tokenize
+        self.tokenize, self.cache_bytes = self.encoder.model.tokenize, cache_bytes
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
         others = [b for b in range(256) if b not in set(plain)]
         self.byte = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
@@ -83,10 +83,10 @@ class WordTokenizer:
         self.bytes += sum(map(len, words)) + WORD_BYTES * len(words)
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text. The memory is emptied between calls once it holds more than CACHE_BYTES."""
+        """Ids of each text. The memory is emptied between calls once it holds more than ``cache_bytes``."""
         if not self.by_words:
             return [np.array(e.ids, "<u4") for e in self.encoder.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        if self.bytes > CACHE_BYTES:
+        if self.bytes > self.cache_bytes:
             self.clear()
         # str.split knows the tokenizer's white space and four control characters that are none to it
         split = [(_WORD.findall(t) if _CONTROL.search(t) else t.split()) if t else [] for t in texts]
@@ -117,9 +117,10 @@ def steps_of(path: str) -> tuple:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(vocabulary: str) -> WordTokenizer:
+def tokenizer(vocabulary: str, cache_bytes: int = CACHE_BYTES) -> WordTokenizer:
     if vocabulary not in _tokenizers:
         _tokenizers[vocabulary] = WordTokenizer(vocabulary)
+    _tokenizers[vocabulary].cache_bytes = cache_bytes
     return _tokenizers[vocabulary]
 
 
@@ -153,13 +154,13 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens): each document's ids and ``end_id``, cut every ``capacity`` ids."""
     kind = dict(docs.dtypes)[key]
     names = ["key", "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches):
-        words = tokenizer(vocabulary)
+        words = tokenizer(vocabulary, cache_bytes)
         try:
             for batch in batches:
                 for part in arrow_slices(batch, "text", SLICE_BYTES):
@@ -177,17 +178,17 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
     return cut_up.select(F.col("key").cast(kind).alias(key), *names[1:])
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, seed: int = 11, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, seed: int = 11, group_pieces: int = GROUP_PIECES, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Pieces of all documents with sequence_id and offset: gapless sequences of at most ``capacity`` ids.
 
     Pieces, written once, are dealt to groups of about ``group_pieces`` by a seeded hash of all of them and of their
     place in what was written, so neither one long document nor repeated rows make a large group; each group is packed
     by itself. Its pieces are taken in (length, key, start, crc) order. Null text: only the end id. Null keys and
     repeated rows are documents of their own. An empty table gives no rows. Other columns of docs are dropped, whatever
-    their names.
+    their names. ``cache_bytes`` bounds the words that a Python worker remembers, which changes nothing but its speed.
     """
     kind = dict(docs.dtypes)[key]
-    cut = pieces(docs, key, text, capacity, vocabulary).withColumn("key", F.col(key).cast("string"))
+    cut = pieces(docs, key, text, capacity, vocabulary, cache_bytes=cache_bytes).withColumn("key", F.col(key).cast("string"))
     cut = checkpointed(cut.select("key", "start", "length", "ids_crc32", "doc_tokens"))
     groups = max(1, -(-cut.count() // group_pieces))
 
