@@ -68,7 +68,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts are their end id alone; long ones are cut at the capacity. Repeated rows and those without id are
     documents of their own. An empty table gives none; other columns than id and text are dropped.
     """
-    return packing.pack(docs)
+    # workers beside executors that earlier stages have filled get less memory for words
+    return packing.pack(docs, cache_bytes=48 << 20)
 
 
 STAGES = [
