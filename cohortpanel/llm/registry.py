@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import archives, extraction, interaction, mixing, neardup, packing, pii, quality, search, toxicity, urls
+from . import alignment, archives, extraction, interaction, mixing, neardup, packing, pii, quality, search, toxicity, urls
 
 QUERIES = {
     "op1_main_text": extraction.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_url_rules": urls.query,
     "op10_arc_to_warc": archives.query,
     "op12_filter_interaction": interaction.query,
+    "op13_cross_alignment": alignment.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
