@@ -45,6 +45,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{_checkpoint_folder(spark)}/{spark.sql('SELECT uuid()').first()[0]}"
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a compressed table in the shared folder, where rows are many."""
+    path = f"{shared_folder(df.sparkSession)}/table"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def arrow_slices(batch: pa.RecordBatch, column: str, limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
     """Rows of a batch in slices of about ``limit`` bytes of a text column; a longer text is a slice of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))

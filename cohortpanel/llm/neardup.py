@@ -268,17 +268,52 @@ def components(links: DataFrame) -> DataFrame:
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = state(edges)
-    while True:
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k"))
+        # a hub's links stay where they are
+        large = with_facts(both.where("v > u"), least, "u", "k", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        small = with_facts(large, least, "u", "k", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpointed(small)
         after = state(edges)
         if after == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            break
         before = after
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def links_on_sets(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the pairs of blocks ``kept`` (ORDER, cls, side) on full sets, which are made anew from the texts.
+    ``classes``: cls, same (digest of the set), id (a document that has it)."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def full(batches):
+        for batch in batches:
+            for part in arrow_slices(batch, "text"):
+                sets = list(shingle_sets(part["text"], n))
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["same", "full"])
+
+    wanted = checkpointed(kept.select("cls").distinct().join(classes.select("cls", "same", "id"), "cls"))
+    ids = bounded_broadcast(wanted.select("id").distinct(), BROADCAST_IDS)
+    sources = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi").select("text")
+    sets = sources.mapInArrow(full, "same binary, full array<long>").join(wanted.select("cls", "same"), "same").dropDuplicates(["cls"])
+    faced = kept.join(sets.select("cls", "full"), "cls").select(*ORDER, "cls", "side", "full").repartition(parts, *ORDER).sortWithinPartitions(*ORDER)
+    return checkpointed(faced.mapInPandas(confirmed(percent), "a long, b long"))
+
+
+def with_components(base: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``base`` (key, n_shingles, same) with component_id, the least id of the documents that ``links`` between classes join;
+    that of documents without a set is their own. Texts of many copies meet their component by a broadcast, and what has
+    no set meets nothing."""
+    joined = classes.select("cls", "same", "id", "copies").join(components(links), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("component", "cls"))
+    joined = checkpointed(joined.select("same", "id", "copies", "root"))
+    least = joined.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("k"))
+    member = checkpointed(with_facts(joined, least, "root", "k", joined.count()).select("same", "component_id", "copies"))
+    own = base.where("same IS NOT NULL").select("key", "n_shingles", "same")
+    found = with_facts(own, member, "same", "copies", own.count())
+    return found.select("key", "n_shingles", "component_id").unionByName(base.where("same IS NULL").select("key", "n_shingles", F.col("key").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE_WORDS, percent: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -296,37 +331,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     # a stated number, as partitions of few bytes may hold much work
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = checkpointed(sketches(docs, key, text, n))
-    classes = base.where("same is not null").groupBy("same").agg(F.min("key").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = base.where("same is not null").groupBy("same").agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes.withColumn("cls", F.monotonically_increasing_id()))
     total = classes.count()
     members = checkpointed(grouped(checkpointed(listed(classes, total)), total))
 
-    def full(batches):
-        for batch in batches:
-            for part in arrow_slices(batch, "text"):
-                sets = list(shingle_sets(part["text"], n))
-                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["same", "full"])
-
     def links_of(pairs: DataFrame) -> DataFrame:
         """Links (a, b) of pairs of blocks: sketches first, then the full sets of what they leave."""
         paired = pairs.join(classes.select("cls", "n", needed(F.col("n")).alias("need"), "sketch"), "cls")
         paired = paired.select(*ORDER, "cls", "side", "n", "need", "sketch").repartition(parts, *ORDER).sortWithinPartitions(*ORDER)
         kept = checkpointed(paired.mapInPandas(survivors(percent), "pivot long, kind int, i int, j int, cls long, side boolean"))
-        wanted = checkpointed(kept.select("cls").distinct().join(classes.select("cls", "same", "id"), "cls"))
-        ids = bounded_broadcast(wanted.select("id").distinct(), BROADCAST_IDS)
-        sources = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi").select("text")
-        sets = sources.mapInArrow(full, "same binary, full array<long>").join(wanted.select("cls", "same"), "same").dropDuplicates(["cls"])
-        faced = kept.join(sets.select("cls", "full"), "cls").select(*ORDER, "cls", "side", "full").repartition(parts, *ORDER).sortWithinPartitions(*ORDER)
-        return checkpointed(faced.mapInPandas(confirmed(percent), "a long, b long"))
+        return links_on_sets(docs, key, text, n, classes, kept, percent)
 
     hubs = links_of(star(members, block))
     rest = links_of(dealt(members, hubs.select(F.col("b").alias("pivot"), F.col("a").alias("cls")), block))
-    joined = classes.select("cls", "same", "id").join(components(hubs.unionByName(rest)), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("component", "cls"))
-    least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
-    member = joined.join(least, "root").select("same", "component_id")
-    out = base.select("key", "n_shingles", "same").join(member, "same", "left").withColumn("component_id", F.when(F.col("same").isNull(), F.col("key")).otherwise(F.col("component_id")))
-    out = out.withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
+    out = with_components(base, classes, hubs.unionByName(rest)).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", "kept")
 
 
