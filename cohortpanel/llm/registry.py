@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import alignment, archives, extraction, interaction, mixing, neardup, packing, pii, quality, search, toxicity, urls
+from . import alignment, archives, extraction, interaction, mixing, neardup, packing, pii, quality, search, setjoin, toxicity, urls
 
 QUERIES = {
     "op1_main_text": extraction.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_url_rules": urls.query,
     "op10_arc_to_warc": archives.query,
+    "op11_jaccard_join": setjoin.query,
     "op12_filter_interaction": interaction.query,
     "op13_cross_alignment": alignment.query,
     "pipeline": corpus_pipeline.run,
@@ -29,6 +30,7 @@ ORACLES = {
     "op7_personal_data": pii.ORACLE_SQL,
     "op9_url_rules": urls.ORACLE_SQL,
     "op10_arc_to_warc": archives.ORACLE_SQL,
+    "op11_jaccard_join": setjoin.ORACLE_SQL,
     "op12_filter_interaction": interaction.ORACLE_SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
