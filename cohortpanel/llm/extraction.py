@@ -18,13 +18,16 @@ from .common import arrow_slices, table
 
 #: Elements that end a block; all others are inline.
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
-    " h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre search section select summary table"
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
+    " h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre search section summary table"
     " tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements whose content is no text of the page.
-RAW_TAGS = frozenset("script style template svg iframe noembed noframes object math canvas audio video".split())
+#: Elements whose content is no text of the page, up to their end tag or else the page's end; foreign ones may close themselves.
+RAW_TAGS = frozenset("script style template svg iframe noembed noframes object math canvas audio video textarea".split())
+FOREIGN_TAGS = frozenset(("svg", "math"))
+#: Controls and fallbacks, likewise; without an end tag their tag alone is skipped.
+CONTROL_TAGS = frozenset("button datalist noscript select".split())
 #: A start tag ends an open element of these, up to the scope's edge.
 ENDS = {
     "li": ({"li", "p"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}),
@@ -43,7 +46,7 @@ _TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"[\t\n\x0b\f\r ]+")
-_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW_TAGS}
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW_TAGS | CONTROL_TAGS}
 _ZEROS, _HUGE = re.compile("&#0+(?=[0-9])"), re.compile("&#[0-9]{8,};?")
 
 
@@ -164,12 +167,13 @@ def decoded(raw: str) -> str:
 def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks with text in page order, in time linear in the page. Markup need not be well-formed: unknown end tags are
     skipped, p, li, cells and head end where HTML says so, an unclosed comment or raw element takes the rest of the page,
-    and a ``<`` that begins no tag is text."""
+    controls and what stands in for scripts have no text, and a ``<`` that begins no tag is text."""
     page = page or ""
     blocks: list[Block] = []
     stack, tags = Stack(), Tags(page)
     parts: list[str] = []
     linked, in_link, at, done = 0, False, 0, 0  # done: what stands before is read
+    unended: set[str] = set()  # controls that no later end tag closes
 
     def add(raw: str):
         nonlocal linked
@@ -215,9 +219,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
         slash, name = found[1], found[2].lower()
         attributes = page[found.end() : end - 1]
         if name in RAW_TAGS:
-            if not slash and not attributes.endswith("/"):
+            if not slash and not (name in FOREIGN_TAGS and attributes.endswith("/")):
                 over = _RAW_ENDS[name].search(page, at, tags.last + 1)
                 at = done = over.end() if over else len(page)
+        elif name in CONTROL_TAGS:
+            close()
+            if not slash and name not in unended:
+                if over := _RAW_ENDS[name].search(page, at, tags.last + 1):
+                    at = done = over.end()
+                else:
+                    unended.add(name)
         elif name == "a":
             in_link = not slash
         elif name == "br":
@@ -388,13 +399,16 @@ MARK = "\ue000"
 class PageMaker:
     """Labelled pages: layouts, wrappers and boilerplate of many sites are drawn at random; labels come with them."""
 
-    ROOTS = ("<article>", "<article class=post>", "<main>", "<main><article>", '<div class="content">', '<div id="main-content">', '<div class="entry post-body">', "<section class=story>", '<div role="main">', "<table><tr><td class=text>")
+    ROOTS = ("<article>", "<article class=post>", "<main>", "<main><article>", '<div class="content">', '<div id="main-content">', '<div class="entry post-body">', "<section class=story>", '<div role="main">', "<table><tr><td class=text>", "<div>", "<div><div>", "")
     BOILER = (
         ("<nav>", "menu"), ('<div class="menu">', "menu"), ("<ul id=navigation>", "menu"), ("<header>", "short"), ('<div id="header">', "short"), ("<footer>", "legal"), ('<div class="footer">', "legal"),
         ("<aside>", "mixed"), ('<div class="sidebar">', "mixed"), ('<div id="sidebar" class="widget">', "menu"), ('<div class="ad">', "prose"), ('<div class="advert banner">', "short"), ('<div class="sponsored promo">', "prose"),
         ('<div class="notice cookie">', "prose"), ('<div id="cookie-notice">', "short"), ('<section class="comments">', "prose"), ('<div id="comments"><div class="comment">', "prose"), ('<ol class="comment-list">', "items"),
         ("<form>", "short"), ('<div class="newsletter subscribe"><form>', "short"), ('<div class="related">', "menu"), ('<div class="share social">', "menu"), ('<div class="breadcrumb">', "menu"), ('<div role="alert">', "prose"), ("<dialog>", "prose"),
+        ('<section id="disqus_thread">', "thread"), ('<div class="responses">', "thread"), ('<div id="respond">', "thread"), ('<ul class="discussion">', "items"), ('<div class="replies">', "thread"), ("<div>", "thread"), ("<section>", "thread"),
+        ("<div>", "menu"), ("<div>", "legal"), ("<noscript>", "prose"), ("<select>", "options"), ("<form>", "controls"),
     )
+    THREADS = ("Leave a reply", "Comments", "3 comments", "Join the discussion", "Responses", "12 replies", "Leave a comment", "What do you think?")
     LETTERS = ("etaoinshrdlucm", "enisratdhulcgmäöüß", "esaitnrulodcpmvéèçê", "eaosrnidlctumpñóíá")
 
     def __init__(self, seed: int, roots=ROOTS, boiler=BOILER):
@@ -441,12 +455,17 @@ class PageMaker:
         r = self.r
         start, kind = r.choice(kinds)
         link = lambda: f'<a href="/{self.word()}">{self.word()} {self.word() if r.random() < 0.3 else ""}</a>'
+        head, item = r.choice(("h2", "h3", "h4", "p", "div")), r.choice(("p", "div", "li"))
         body = {
             "menu": lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 8))) + "</ul>",
             "short": lambda: "".join(f"<div>{self.word()} {r.choice(sorted(CUES))}</div>" for _ in range(r.randint(1, 3))),
             "legal": lambda: f"&copy; {self.word()} &middot; {self.prose('')}",
             "prose": lambda: r.choice(("", "<p>")) + self.prose(""),
             "items": lambda: "".join(f"<li>{self.prose('')}</li>" for _ in range(r.randint(1, 4))),
+            "thread": lambda: f"<{head}>{r.choice(self.THREADS)}{r.choice(('', '.', ':'))}</{head}>"
+            + "".join(f"<{item}>{self.word().capitalize()} {r.choice(('says:', 'wrote:', 'said'))} {self.prose('')}{r.choice(('', ' <a href=#>Reply</a>'))}</{item}>" for _ in range(r.randint(1, 4))),
+            "options": lambda: "".join(f"<option>{self.prose('')}" for _ in range(r.randint(2, 5))),
+            "controls": lambda: f"<label>{self.word()}</label><textarea>{self.prose('')}</textarea><button>{self.word()}</button>",
             "mixed": lambda: f"<h3>{self.word()}</h3><p>{self.prose('')}</p>{link()}",
         }[kind]()
         tags = re.findall(r"<(\w+)", start)
@@ -455,11 +474,14 @@ class PageMaker:
     def page(self) -> str:
         r = self.r
         self.letters = r.choice(self.LETTERS)
+        if r.random() < 0.04:  # no markup at all
+            return " ".join(self.prose(MARK if k == 0 else "") for k in range(r.randint(1, 4)))
         root = r.choice(self.roots)
         before = "".join(self.boiler(self.boilers) for _ in range(r.randint(0, 4)))
         after = "".join(self.boiler(self.boilers) for _ in range(r.randint(0, 4)))
         ends = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", root)))
-        return f"<html><head><title>{self.prose('')}</title></head><body>{before}{root}{self.content()}{ends}{after}</body></html>"
+        head = f"<html><head><title>{self.prose('')}</title></head>" if r.random() < 0.75 else r.choice(("", "<html>"))
+        return f"{head}<body>{before}{root}{self.content()}{ends}{after}</body></html>"
 
 
 def labelled_pages(n: int, seed: int, roots=PageMaker.ROOTS, boiler=PageMaker.BOILER) -> list[tuple[list[Block], list[bool]]]:
