@@ -82,8 +82,8 @@ def greedy(items: pd.DataFrame, config: PanelConfig) -> pd.DataFrame:
     for step in range(1, min(config.max_peptides, n) + 1):
         patient, hla = gain[0] / len(members[0]), gain[1] / len(members[1])
         novelty = np.array([f not in seen for f in family], float)
-        terms = [w["patient"] * patient, w["hla"] * hla, w["binding"] * binding, w["prevalence"] * prevalence, w["novelty"] * novelty, -w["redundancy"] * redundant]
-        score = ((((terms[0] + terms[1]) + terms[2]) + terms[3]) + terms[4]) + terms[5]
+        terms = [w["patient"] * patient, w["hla"] * hla, w["binding"] * binding, w["prevalence"] * prevalence, w["novelty"] * novelty, w["redundancy"] * redundant]
+        score = ((((terms[0] + terms[1]) + terms[2]) + terms[3]) + terms[4]) - terms[5]
         best = int(np.argmax(np.where(free, score.round(12), -np.inf)))  # sums differ in their last digits from run to run
         free[best] = False
         seen.add(int(family[best]))

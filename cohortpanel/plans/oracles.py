@@ -129,10 +129,10 @@ opts AS (
 ), g AS (
   SELECT row_number() OVER (ORDER BY NOT (pct = 75 AND thr = {TAU} AND most = 20 AND k = 0), place) - 1 AS run_id, * FROM opts
 )"""
-#: Rows of each minute's bin of ranks, whole bins below a threshold.
-GRID_SQL = f"""WITH {BINDING}, {GRID}, bins AS (SELECT floor(r * 10) AS bin, count(*) AS n, max(r) AS high FROM b GROUP BY 1)
+#: How many rows are below each run's threshold.
+GRID_SQL = f"""WITH {BINDING}, {GRID}, bound AS (SELECT thr AS t, (SELECT count(*) FROM b WHERE r < thr) AS n FROM (SELECT DISTINCT thr FROM g))
 SELECT CAST(run_id AS BIGINT) AS run_id, {r("CAST(pct AS DOUBLE)")} AS percentile, {r("CAST(thr AS DOUBLE)")} AS rank_threshold, CAST(most AS BIGINT) AS max_peptides,
-{", ".join(f"{r(f'CAST(w[{k + 1}] AS DOUBLE)')} AS w_{n}" for k, n in enumerate(PANEL_WEIGHTS))}, CAST((SELECT coalesce(sum(n), 0) FROM bins WHERE high < thr) AS BIGINT) AS rows_in_full_bins FROM g"""
+{", ".join(f"{r(f'CAST(w[{k + 1}] AS DOUBLE)')} AS w_{n}" for k, n in enumerate(PANEL_WEIGHTS))}, CAST(bound.n AS BIGINT) AS num_binders FROM g JOIN bound ON bound.t = g.thr"""
 
 
 def _greedy(weights: list[str], most: int = 20, more: str = "") -> str:
@@ -168,7 +168,7 @@ items{'0' if more else ''} AS (SELECT panel_group, p, ordinal, nf, nh, x_b, x_pc
 GREEDY = _greedy([repr(x) for x in W.values()])
 GREEDY_SQL = f"""WITH RECURSIVE {BOUND}, {SCORES}, {GREEDY} SELECT panel_group, CAST(step AS BIGINT) AS step, p AS peptide, family AS family_id, {r("pat")} AS incremental_patient_coverage, {r("hla")} AS incremental_hla_coverage,
 {r("nov")} AS family_novelty_score, {r("red")} AS redundancy_penalty, {r(f"{W['patient']} * pat")} AS patient_term, {r(f"{W['hla']} * hla")} AS hla_term, {r(f"{W['binding']} * bin")} AS binding_term, {r(f"{W['prevalence']} * prev")} AS prevalence_term,
-{r(f"{W['novelty']} * nov")} AS family_novelty_term, {r(f"-{W['redundancy']} * red")} AS redundancy_term, {r("total")} AS total_score, {r("done_f")} AS cumulative_patient_coverage, {r("done_h")} AS cumulative_hla_coverage,
+{r(f"{W['novelty']} * nov")} AS family_novelty_term, {r(f"{W['redundancy']} * red")} AS redundancy_term, {r("total")} AS total_score, {r("done_f")} AS cumulative_patient_coverage, {r("done_h")} AS cumulative_hla_coverage,
 CAST(len(cm) AS BIGINT) AS num_families_represented FROM gr WHERE step > 0"""
 PANEL_SETS = "t AS (SELECT panel_group, list(p) AS ps FROM gr WHERE step > 0 GROUP BY panel_group)"
 JACCARD = "len(list_intersect(t.ps, q.ps)) / len(list_distinct(list_concat(t.ps, q.ps)))"
@@ -236,20 +236,21 @@ FROM gs JOIN mo USING (panel_group) JOIN fc USING (panel_group) JOIN pc USING (p
 
 
 def _repair(name: str, start: str, low: int, high: int = 20) -> str:
-    """Groups after the smallest one below ``low`` has joined its best neighbour again and again; ``hit`` marks those it took."""
+    """Groups after the smallest one below ``low`` has joined its best neighbour again and again. ``took`` marks the members
+    that a step moved, ``hit`` those that any step has; ``score`` is what the step chose by."""
     fits = f"size_g + size_c - greatest({low}, least(size_g + size_c, {high}))"
     return f"""{name} AS (
-  SELECT 0 AS it, i, label, 0 AS hit FROM {start}
+  SELECT 0 AS it, i, label, 0 AS hit, 0 AS took, CAST(NULL AS DOUBLE) AS score FROM {start}
   UNION ALL
-  SELECT it + 1, i, CAST(dense_rank() OVER (ORDER BY first) AS INT), hit FROM (
-    SELECT it, i, hit, min(i) OVER (PARTITION BY joined) AS first FROM (
-      SELECT x.it, x.i, CASE WHEN x.label = b.g THEN b.c ELSE x.label END AS joined, CASE WHEN x.label IN (b.g, b.c) THEN 1 ELSE x.hit END AS hit
+  SELECT it + 1, i, CAST(dense_rank() OVER (ORDER BY first) AS INT), hit, took, score FROM (
+    SELECT it, i, hit, took, score, min(i) OVER (PARTITION BY joined) AS first FROM (
+      SELECT x.it, x.i, CASE WHEN x.label = b.g THEN b.c ELSE x.label END AS joined, CASE WHEN x.label = b.g THEN 1 ELSE x.hit END AS hit, CASE WHEN x.label = b.g THEN 1 ELSE 0 END AS took, b.score
       FROM {name} x, (
-        SELECT g, c FROM (
+        SELECT g, c, CASE WHEN size_g + size_c > {high} THEN apart ELSE apart + 1e-6 * abs({fits}) END AS score FROM (
           SELECT sm.g AS g, y.label AS c, any_value(sm.n) AS size_g, count(DISTINCT y.i) AS size_c, avg(es.d) AS apart
           FROM (SELECT label AS g, count(*) AS n FROM {name} GROUP BY label HAVING count(*) < {low} ORDER BY count(*), label LIMIT 1) sm
           JOIN {name} x ON x.label = sm.g JOIN {name} y ON y.label <> sm.g JOIN es ON es.i = x.i AND es.j = y.i GROUP BY sm.g, y.label
-        ) ORDER BY size_g + size_c > {high}, CASE WHEN size_g + size_c > {high} THEN apart ELSE apart + 1e-6 * abs({fits}) END, c LIMIT 1
+        ) ORDER BY size_g + size_c > {high}, score, c LIMIT 1
       ) b
     )
   )
@@ -268,6 +269,31 @@ CASE WHEN merged + repaired = 0 THEN 'unchanged' ELSE concat_ws(';', CASE WHEN m
 AUDIT_SUMMARY_SQL = f"""{BARS}, {PCT}, {GROUPING}, ns AS (SELECT (SELECT max(it) FROM ra) AS a, (SELECT max(it) FROM rb) AS b)
 SELECT a + b + 2 AS num_events, a + b AS num_merges, 0 AS num_splits, b AS num_repair_steps, 0 AS num_relabels, 3 AS min_size, 20 AS max_size, (SELECT count(*) FROM gm WHERE raw <> label) AS num_files_changed,
 (SELECT string_agg(n, ';' ORDER BY label) FROM (SELECT label, count(*) AS n FROM gm GROUP BY label)) AS final_sizes FROM ns"""
+#: Every step with what it moved: the first groups, steps of either repair, the last groups.
+AUDIT_SQL = f"""{BARS}, {PCT}, {GROUPING},
+trail AS (
+  SELECT 1 AS step, 'initial' AS stage, 'noop' AS action, 3 AS low, i, label AS before, label AS after, 1 AS took, CAST(NULL AS DOUBLE) AS score FROM rc
+  UNION ALL SELECT y.it + 1, 'merge_small_group', 'merge', 2, y.i, x.label, y.label, y.took, y.score FROM ra x JOIN ra y ON y.i = x.i AND y.it = x.it + 1
+  UNION ALL SELECT (SELECT max(it) FROM ra) + y.it + 1, 'repair_small_group', 'merge', 3, y.i, x.label, y.label, y.took, y.score FROM rb x JOIN rb y ON y.i = x.i AND y.it = x.it + 1
+  UNION ALL SELECT (SELECT max(it) FROM ra) + (SELECT max(it) FROM rb) + 2, 'final', 'noop', 3, i, label, label, 1, NULL FROM rb WHERE it = (SELECT max(it) FROM rb)
+),
+heads AS (SELECT step, any_value(stage) AS stage, any_value(action) AS action, any_value(low) AS low, max(score) AS score FROM trail GROUP BY step),
+whom AS (
+  SELECT step, string_agg(trail.i, ';' ORDER BY trail.i) AS affected, string_agg(gm.s, ';' ORDER BY trail.i) AS affected_ids FROM trail JOIN gm USING (i) WHERE took = 1 GROUP BY step
+), named AS (
+  SELECT step, kind, string_agg(x, ';' ORDER BY first) AS names FROM (
+    SELECT step, 'raw' AS kind, gm.raw AS x, min(trail.i) AS first FROM trail JOIN gm USING (i) WHERE took = 1 GROUP BY ALL
+    UNION ALL SELECT step, 'before', before, min(i) FROM trail WHERE took = 1 GROUP BY ALL UNION ALL SELECT step, 'after', after, min(i) FROM trail WHERE took = 1 GROUP BY ALL
+  ) GROUP BY step, kind
+), sized AS (
+  SELECT step, kind, string_agg(n, ';' ORDER BY x) AS sizes FROM (
+    SELECT step, 'before' AS kind, before AS x, count(*) AS n FROM trail GROUP BY ALL UNION ALL SELECT step, 'after', after, count(*) FROM trail GROUP BY ALL
+  ) GROUP BY step, kind
+)
+SELECT heads.step::BIGINT AS step, stage, action, a.names AS raw_groups, b.names AS groups_before, c.names AS groups_after, affected, affected_ids, d.sizes AS sizes_before, e.sizes AS sizes_after,
+{r("score")} AS distance_evidence, CAST(low AS BIGINT) AS min_size, CAST(20 AS BIGINT) AS max_size
+FROM heads JOIN whom USING (step) JOIN named a ON a.step = heads.step AND a.kind = 'raw' JOIN named b ON b.step = heads.step AND b.kind = 'before' JOIN named c ON c.step = heads.step AND c.kind = 'after'
+JOIN sized d ON d.step = heads.step AND d.kind = 'before' JOIN sized e ON e.step = heads.step AND e.kind = 'after'"""
 #: The panels of all three modes and what each mode, and all of them, take in first.
 UNIONS_SQL = f"""{BARS}, {PCT}, {GROUPING},
 bd AS (
@@ -328,6 +354,7 @@ SELECT panel_group, p AS peptide, {r("x")} AS total_score FROM (SELECT *, row_nu
     "panel_jaccard": JACCARD_SQL,
     "suite_population_metrics": SUITE_METRICS_SQL,
     "practical_groups": GROUPS_SQL,
+    "grouping_audit": AUDIT_SQL,
     "grouping_audit_summary": AUDIT_SUMMARY_SQL,
     "suite_unions": UNIONS_SQL,
     "merge_events": MERGES_SQL,

@@ -62,6 +62,12 @@ def _metrics(spark, d):
     return population.PopulationMetrics(cut(pairs), cut(testdata.reference_panel(spark, d)))
 
 
+def grouping_trail(spark, d):
+    """Every step of regrouping, its lists as texts."""
+    lists = ("raw_groups", "groups_before", "groups_after", "affected", "affected_ids", "sizes_before", "sizes_after")
+    return rounded(_topology(spark, d, LIMITS).audit().withColumns({c: F.array_join(c, ";") for c in lists}).drop("reason"))
+
+
 def grouping_summary(spark, d):
     """Counts of the trail, with the last sizes as a text."""
     done = _topology(spark, d, LIMITS)
@@ -79,12 +85,14 @@ def hla_filtered_rows(spark, d):
 
 
 def robustness_grid(spark, d):
-    """Runs of the full sweep with the binder rows each would read."""
-    runs = robustness.grid_table(spark, robustness.grid("full"))
-    counts = _rows(spark, d).groupBy(F.floor(F.col("rank_el") * 10).alias("bin")).agg(F.count("*").alias("n"), F.max("rank_el").alias("high"))
-    used = runs.join(counts, F.col("high") < F.col("rank_threshold"), "left").groupBy("run_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in_full_bins"))
+    """Runs of the full sweep with how many rows bind at their thresholds, which are few and counted in one pass."""
+    grid = robustness.grid("full")
+    runs = robustness.grid_table(spark, grid)
+    limits = sorted({float(x.rank_threshold) for x in grid})
+    below = F.explode(F.array(*[F.struct(F.lit(t).alias("rank_threshold"), F.col(f"n{k}").alias("num_binders")) for k, t in enumerate(limits)])).alias("x")
+    used = _rows(spark, d).agg(*[F.count_if(F.col("rank_el") < t).alias(f"n{k}") for k, t in enumerate(limits)]).select(below).select("x.*")
     weights = [F.get("weights", i).alias(f"w_{n}") for i, n in enumerate(PANEL_WEIGHTS)]
-    return rounded(runs.join(used, "run_id").select("run_id", "percentile", "rank_threshold", "max_peptides", *weights, "rows_in_full_bins"))
+    return rounded(runs.join(used, "rank_threshold").select("run_id", "percentile", "rank_threshold", "max_peptides", *weights, "num_binders"))
 
 
 def panel_jaccard(spark, d):
@@ -149,7 +157,7 @@ QUERIES = {
     "merge_events": merge_trace,
     "embedding_barcode": lambda s, d: rounded(workflow.topology(_embedding_vectors(s, d)).barcode()),
     "practical_groups": lambda s, d: _topology(s, d, LIMITS).mapping(),
-    "grouping_audit": lambda s, d: _topology(s, d, LIMITS).audit(),
+    "grouping_audit": grouping_trail,
     "grouping_audit_summary": grouping_summary,
     "peptide_scores": lambda s, d: rounded(panel.peptide_scores(_bound(s, d), TAU)),
     "greedy_first_pick": lambda s, d: rounded(panel.first_pick(_bound(s, d), PanelConfig())),

@@ -84,3 +84,26 @@ def test_average_linkage_split():
     x = np.array([0.0, 0.4, 5.0, 5.3, 5.9])
     second, score = grouping.split(np.abs(x[:, None] - x[None]), 1, 3)
     assert second.tolist() == [False, False, True, True, True] and score == 1
+
+
+def test_steps_say_what_they_moved():
+    """Singletons are merged, then the small group they made: those that are joined stay unchanged."""
+    x = np.array([0.0, 1.0, 10.0, 11.0, 12.0, 30.0])
+    raw = np.array([1, 2, 3, 3, 3, 4])
+    done = grouping.Regrouping(np.abs(x[:, None] - x[None]), raw, list("abcdef"), TopologyConfig(merge_singletons=True, min_group_size=3))
+    assert [done.reason(i) for i in range(6)] == ["merge_small_group:merge;repair_small_group:merge", "repair_small_group:merge", "unchanged", "unchanged", "unchanged", "merge_small_group:merge"]
+    events = [dict(zip([c.split()[0] for c in grouping.EVENT.split(",")], e)) for e in done.events]
+    merges = [e for e in events if e["action"] == "merge"]
+    assert [(e["affected_ids"], e["raw_groups"], e["groups_before"], e["groups_after"], e["min_size"]) for e in merges] == [
+        (["a"], [1], [1], [1], 2), (["f"], [4], [3], [2], 2), (["a", "b"], [1, 2], [1], [1], 3),
+    ]
+    assert [e["distance_evidence"] for e in merges] == pytest.approx([1, 19, 15.25])
+    assert (events[0]["min_size"], events[-1]["affected"], events[-1]["sizes_after"]) == (3, [1, 2, 3, 4, 5, 6], [6])
+
+
+def test_split_scores_add_up_how_far_sizes_are_out_of_bounds():
+    x = np.array([0.0, 0.1, 5.0, 5.1, 5.2, 5.3, 5.4, 5.5])
+    d = np.abs(x[:, None] - x[None])
+    assert grouping.split(d, 1, 3)[1] == 3_000_004 and grouping.split(d, 4, 6)[1] == 2_000_004
+    x = np.array([0.0, 5.0, 5.1, 5.2, 5.3])
+    assert grouping.split(np.abs(x[:, None] - x[None]), 3, np.inf)[1] == 2_000_003
