@@ -249,7 +249,7 @@ def confirmed(percent: int):
     """Links (a, b) of each pair of blocks on full sets; with a pivot as the one side, all of its links (cls, pivot)."""
 
     def confirm(pdf: pd.DataFrame):
-        a, b, same = sides(pdf)
+        a, b, same = sides(each_once(pdf))
         if not len(a) or not len(b) or (same and len(a) < 2):
             return None
         xs, ys = [np.asarray(x) for x in a["full"]], [np.asarray(y) for y in b["full"]]
@@ -283,24 +283,42 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def links_on_sets(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the pairs of blocks ``kept`` (ORDER, cls, side) on full sets, which are made anew from the texts.
-    ``classes``: cls, same (digest of the set), id (a document that has it)."""
+def beside(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, kept: DataFrame, share: float = 1.0) -> DataFrame:
+    """The pairs of blocks ``kept`` (ORDER, cls, side) with the sizes of their sets (n) and the sets (full), made anew from
+    the texts and sorted by ORDER. ``classes``: cls, same (digest of the set), id (a document that has it). A ``share``
+    below 1 gives the elements of the lowest part of the hashes alone, in 32 bits."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = int(-(2**63) + share * 2**64)
 
     def full(batches):
+        seen: set[bytes] = set()  # repeated rows once a task
         for batch in batches:
             for part in arrow_slices(batch, "text"):
-                sets = list(shingle_sets(part["text"], n))
-                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["same", "full"])
+                sets = [(s, d) for s in shingle_sets(part["text"], n) if (d := digest(s)) not in seen and not seen.add(d)]
+                sizes, names, shown = [len(s) for s, _ in sets], [d for _, d in sets], [s for s, _ in sets]
+                if share < 1:
+                    shown = [np.unique(s[: np.searchsorted(s, limit)] >> 32).astype(np.int32) for s in shown]
+                ends = np.cumsum([0, *map(len, shown)], dtype=np.int32)
+                values = np.concatenate([np.empty(0, np.int32 if share < 1 else np.int64), *shown])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["same", "n", "full"])
 
     wanted = checkpointed(kept.select("cls").distinct().join(classes.select("cls", "same", "id"), "cls"))
     ids = bounded_broadcast(wanted.select("id").distinct(), BROADCAST_IDS)
     sources = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi").select("text")
-    sets = sources.mapInArrow(full, "same binary, full array<long>").join(wanted.select("cls", "same"), "same").dropDuplicates(["cls"])
-    faced = kept.join(sets.select("cls", "full"), "cls").select(*ORDER, "cls", "side", "full").repartition(parts, *ORDER).sortWithinPartitions(*ORDER)
-    return checkpointed(faced.mapInPandas(confirmed(percent), "a long, b long"))
+    sets = sources.mapInArrow(full, f"same binary, n long, full array<{'int' if share < 1 else 'long'}>").join(wanted.select("cls", "same"), "same")
+    faced = kept.join(sets.select("cls", "n", "full"), "cls").select(*ORDER, "cls", "side", "n", "full")
+    return faced.repartition(parts, *ORDER).sortWithinPartitions(*ORDER)
+
+
+def each_once(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of several tasks for one class count once."""
+    place = pdf["cls"].to_numpy() * 2 + pdf["side"].to_numpy(bool)
+    return pdf if len(np.unique(place)) == len(place) else pdf[~pd.Series(place).duplicated().to_numpy()]
+
+
+def links_on_sets(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the pairs of blocks ``kept`` on full sets."""
+    return checkpointed(beside(docs, key, text, n, classes, kept).mapInPandas(confirmed(percent), "a long, b long"))
 
 
 def with_components(base: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@
 3. Costs decide what is looked up: the content of a segment that many sets have (an empty one, or one element of a common
    passage) is left out by a set that looks up a one-deletion neighbourhood instead. That finds one difference more, so
    the pigeonhole stands: differences that are to be outlasted stay one fewer than what is looked up.
-4. Sets that meet are groups around a pivot, verified on full sets as near-duplicates are: with the pivot first, then what
-   the pivot leaves over, in blocks. Links are contracted to components.
+4. Sets that meet are groups around a pivot: compared with the pivot first, then what the pivot leaves over, in blocks.
+   Differences within a quarter of the universe are differences of the sets, so pairs that have too many there are not
+   linked; the others are verified on full sets. Links are contracted to components.
 
 Keys are dealt to buckets of about BUCKET entries as packed numbers. A content that a batch of sets has LOCAL times or more
 stays out of its bucket, which is told its count alone; such rows are dealt at random and joined with their counts.
@@ -20,12 +21,13 @@ stays out of its bucket, which is told its count alone; such rows are dealt at r
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_slices, bounded_broadcast, checkpointed, saved, table, with_facts
-from .neardup import BLOCK, BROADCAST_IDS, dealt, digest, links_on_sets, star, with_components
+from .neardup import BLOCK, BROADCAST_IDS, ORDER, _batched, beside, by_group, dealt, digest, each_once, links_on_sets, overlaps, sides, star, with_components
 from .shingles import _mixed, shingle_sets
 
 SHINGLE_WORDS, THRESHOLD = 4, 85  # percent
@@ -37,6 +39,8 @@ DELETION_SHARE = 24
 CHEAP = 32
 #: Entries that a bucket has about, entries that a task packs at once, and sets of such a pack that make a content a hot one.
 BUCKET, PACK, LOCAL = 1 << 18, 1 << 20, 64
+#: Part of the universe that pairs are compared in first.
+SHARE = 0.25
 #: Bits of a tag, above the segment's number: looked up in the smaller band's scheme; of a deletion; to be looked up.
 LOWER, DELETED, PROBE = 1 << 30, 1 << 29, 1 << 28
 PACKED = "bucket int, marks boolean, value binary, cls binary, tag binary"
@@ -335,6 +339,34 @@ def candidates(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame,
     return members.join(classes.select("cls", "n"), "cls").select("pivot", "cls", "n")
 
 
+def possible(percent: int):
+    """Keep the sets of each pair of blocks that have a partner with few enough differences in a part of the universe."""
+
+    def few(pdf: pd.DataFrame):
+        a, b, same = sides(each_once(pdf))
+        if not len(a) or not len(b) or (same and len(a) < 2):
+            return None
+        xs, ys = [np.asarray(x) for x in a["full"]], [np.asarray(y) for y in b["full"]]
+        some = np.array([len(x) for x in xs]).min() and np.array([len(y) for y in ys]).min()
+        both = overlaps(xs, ys) if some else np.array([[len(np.intersect1d(x, y)) for y in ys] for x in xs])
+        apart = np.array([len(x) for x in xs])[:, None] + np.array([len(y) for y in ys])[None, :] - 2 * both
+        n, m = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
+        fits = ((100 + percent) * apart <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        if same:
+            np.fill_diagonal(fits, False)
+        left, right = fits.any(axis=1), fits.any(axis=0)
+        kept = a[left | right] if same else pd.concat([a[left], b[right]])
+        return kept[[*ORDER, "cls", "side"]] if len(kept) > 1 else None
+
+    return lambda batches: _batched(by_group(batches, ORDER), few)
+
+
+def verified(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the pairs of blocks."""
+    near = beside(docs, key, text, n, classes, pairs, SHARE).mapInPandas(possible(percent), "pivot long, kind int, i int, j int, cls long, side boolean")
+    return links_on_sets(docs, key, text, n, classes, checkpointed(near), percent)
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE_WORDS, percent: int = THRESHOLD, block: int = BLOCK, **costs: int) -> DataFrame:
     """(key, n_shingles, component_id) of every row: components of sets whose Jaccard similarity is ``percent`` or more.
 
@@ -351,9 +383,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = base.where("same IS NOT NULL").groupBy("same").agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
     classes = checkpointed(classes.withColumn("cls", F.monotonically_increasing_id()))
     members = saved(candidates(docs, key, text, n, classes, percent, **costs))
-    hubs = links_on_sets(docs, key, text, n, classes, saved(star(members, block)), percent)
+    hubs = verified(docs, key, text, n, classes, saved(star(members, block)), percent)
     left = dealt(members, hubs.select(F.col("b").alias("pivot"), F.col("a").alias("cls")), block)
-    rest = links_on_sets(docs, key, text, n, classes, saved(left), percent)
+    rest = verified(docs, key, text, n, classes, saved(left), percent)
     return with_components(base, classes, hubs.unionByName(rest)).select(F.col("key").alias(key), "n_shingles", "component_id")
 
 
