@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -19,6 +18,11 @@ BLOCK = 512
 METRICS = ("euclidean", "squaredeuclidean", "cityblock", "chebychev", "cosine")
 
 
+def check_metric(metric: str) -> None:
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
+
+
 def zscores(vectors: DataFrame) -> DataFrame:
     """(sample_idx, id, pos, z): each feature by its mean and sample deviation; 0 where it does not vary."""
     long = vectors.select("sample_idx", "id", F.posexplode("features").alias("pos", "x")).withColumn("x", finite_or_zero(F.col("x")))
@@ -59,11 +63,10 @@ def pairwise(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(out) if metric == "euclidean" else out
 
 
-def distances(vectors: DataFrame, metric: str = "euclidean", block: int = BLOCK, thinned: Callable[[pd.DataFrame], pd.DataFrame] = lambda edges: edges) -> DataFrame:
+def distances(vectors: DataFrame, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
     """(i, j, d) for all i < j. The work is dealt as pairs of blocks of ``block`` samples, so a task's memory does not grow
-    with their number. The result is quadratic, unless ``thinned`` leaves less of each pair of blocks."""
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
+    with their number. The result is quadratic by what it is; the tree (``operators.tree``) does without it."""
+    check_metric(metric)
     blocks = max(1, -(-vectors.count() // block))
     own = vectors.select("sample_idx", "v", F.pmod("sample_idx", F.lit(blocks)).cast("int").alias("b"))
     dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "sample_idx", "v")
@@ -76,7 +79,7 @@ def distances(vectors: DataFrame, metric: str = "euclidean", block: int = BLOCK,
         d = pairwise(np.stack(left["v"].to_list()), np.stack(right["v"].to_list()), metric)
         i, j = np.meshgrid(left["sample_idx"].to_numpy(), right["sample_idx"].to_numpy(), indexing="ij")
         keep = i < j if p == q else np.ones_like(i, dtype=bool)
-        return thinned(pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "d": d[keep]}))
+        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "d": d[keep]})
 
     return dealt.groupBy("p", "q").applyInPandas(measure, "i int, j int, d double")
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..config import FEATURES
 from ..functions.lineage import cut
+from ..functions.placing import numbered
 from .families import peptide_families
 
 #: Keeps ln(p + EPS) finite.
@@ -133,5 +134,5 @@ def feature_vectors(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     doubles = F.array(*[F.col(c).cast("double") for c in FEATURES])
     whole = F.forall(doubles, lambda x: finite(x))
     order = [c for c in ("file_ordinal",) if c in features.columns] + [SAMPLE]
-    good = features.where(whole).withColumn("sample_idx", F.row_number().over(Window.orderBy(*order)))
-    return good.select("sample_idx", F.col(SAMPLE).alias("id"), doubles.alias("features")), features.where(~whole).select(SAMPLE, F.lit("a feature is not finite").alias("reason"))
+    good = numbered(features.where(whole), "sample_idx", *order)
+    return good.select(F.col("sample_idx").cast("int").alias("sample_idx"), F.col(SAMPLE).alias("id"), doubles.alias("features")), features.where(~whole).select(SAMPLE, F.lit("a feature is not finite").alias("reason"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.placing import numbered
+
 PLACE = ("file_ordinal", "row_ordinal")
 
 
@@ -13,5 +15,7 @@ def stable_index(rows: DataFrame, item: str, name: str, within: list[str] | None
     """(within..., item, name): distinct items numbered from 1 by first appearance, ties by the item itself."""
     within = within or []
     first = rows.groupBy(*within, item).agg(F.min(F.struct(*PLACE)).alias("_first"))
-    over = Window.partitionBy(*within).orderBy("_first", item) if within else Window.orderBy("_first", item)
+    if not within:
+        return numbered(first, name, "_first", item).drop("_first")
+    over = Window.partitionBy(*within).orderBy("_first", item)
     return first.withColumn(name, F.row_number().over(over)).drop("_first")

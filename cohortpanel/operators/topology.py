@@ -6,100 +6,77 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import TopologyConfig
-from .distance import distances
-
-EDGE = "i int, j int, d double"
-
-
-def _forest(batches):
-    """The minimum spanning forest of a partition's edges, by (d, i, j). Batches are folded in, so a task holds one batch
-    and a forest, which has fewer edges than there are samples."""
-    kept = pd.DataFrame({"i": [], "j": [], "d": []})
-    for pdf in batches:
-        kept = spanning_forest(pd.concat([kept, pdf]) if len(kept) else pdf)
-    if len(kept):
-        yield kept.astype({"i": "int32", "j": "int32"})
-
-
-def spanning_forest(edges: pd.DataFrame) -> pd.DataFrame:
-    edges = edges.sort_values(["d", "i", "j"], kind="stable")
-    nodes, codes = np.unique(np.concatenate([edges["i"].to_numpy(), edges["j"].to_numpy()]), return_inverse=True)
-    parent, left, take = list(range(len(nodes))), len(nodes) - 1, []
-    for k, (x, y) in enumerate(zip(codes[: len(edges)].tolist(), codes[len(edges) :].tolist())):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            take.append(k)
-            left -= 1
-            if not left:
-                break
-    return edges.iloc[take]
-
-
-def spanning_tree(edges: DataFrame, fan_in: int = 8) -> DataFrame:
-    """(i, j, d) of the minimum spanning tree; equal distances go by i, then j.
-
-    A tree edge of the whole is one of any part that holds it, so partitions are thinned to forests first and merged
-    ``fan_in`` at a time: the last task sees at most fan_in forests.
-    """
-    forests = edges.mapInPandas(_forest, EDGE)
-    parts = max(1, edges.sparkSession.sparkContext.defaultParallelism)
-    while parts > 1:
-        parts = -(-parts // fan_in)
-        forests = forests.repartition(parts, F.pmod(F.hash("i"), F.lit(parts))).mapInPandas(_forest, EDGE) if parts > 1 else forests.coalesce(1).mapInPandas(_forest, EDGE)
-    return forests
+from ..functions.components import components, meet
+from ..functions.lineage import table
+from ..functions.placing import Ordered, numbered, ordered
+from .distance import check_metric
+from .tree import spanning_tree
+
+#: Edges that one task labels; more are contracted by many.
+SMALL = 500_000
 
 
 def tree_of(vectors: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """The minimum spanning tree of (sample_idx, v). Pairs of blocks leave only their forests, so no more than the number
-    of samples times that of blocks ever leaves a task, and not all pairs."""
-    return spanning_tree(distances(vectors, metric, thinned=spanning_forest))
+    """(i, j, d): the minimum spanning tree of (sample_idx, v)."""
+    check_metric(metric)
+    return spanning_tree(vectors, metric)
+
+
+def deaths(tree: DataFrame) -> Ordered:
+    """The tree's edges in the order of their deaths, over ranges: bars, percentiles and gaps all follow from it."""
+    return ordered(tree, "d", "i", "j", value="d")
 
 
 def barcode(tree: DataFrame) -> DataFrame:
     """(bar, birth, death): deaths in order, then one bar that never ends."""
-    finite = tree.select(F.row_number().over(Window.orderBy("d", "i", "j")).alias("bar"), F.lit(0.0).alias("birth"), F.col("d").alias("death"))
-    last = finite.agg((F.count("*") + 1).cast("int").alias("bar")).select("bar", F.lit(0.0).alias("birth"), F.lit(float("inf")).alias("death"))
-    return finite.unionByName(last)
+    order = deaths(tree)
+    finite = order.numbered("bar").select(F.col("bar").cast("int").alias("bar"), F.lit(0.0).alias("birth"), F.col("d").alias("death"))
+    return finite.unionByName(tree.sparkSession.createDataFrame([(order.size + 1, 0.0, float("inf"))], "bar int, birth double, death double"))
+
+
+def percentiles(order: Ordered, wanted: list[float]) -> dict[float, float]:
+    """Percentiles of deaths by the midpoint rule (the k-th of n stands at 100 (k - 0.5) / n), from one order; 0 without deaths."""
+    n = order.size
+    places = {p: max(1.0, min(n * (p / 100) + 0.5, float(n))) for p in wanted}
+    at = order.values_at("d", [k for h in places.values() for k in (int(h), min(int(h) + 1, n))]) if n else {}
+    return {p: at[int(h)] + (h - int(h)) * (at[min(int(h) + 1, n)] - at[int(h)]) if n else 0.0 for p, h in places.items()}
+
+
+def _one(tree: DataFrame, value: float) -> DataFrame:
+    return tree.sparkSession.createDataFrame([(float(value),)], "threshold double")
 
 
 def percentile_threshold(tree: DataFrame, percentile: float) -> DataFrame:
-    """One row ``threshold``: the percentile of deaths by the midpoint rule (the k-th of n stands at 100 (k - 0.5) / n); 0 without deaths."""
-    ranked = tree.select(F.col("d"), F.row_number().over(Window.orderBy("d")).alias("k"), F.count("*").over(Window.partitionBy()).alias("n"))
-    h = F.greatest(F.lit(1.0), F.least(F.col("n") * (percentile / 100) + 0.5, F.col("n").cast("double")))
-    lower, upper = F.floor(h), F.least(F.floor(h) + 1, F.col("n"))
-    picked = ranked.agg(F.max(F.when(F.col("k") == lower, F.col("d"))).alias("a"), F.max(F.when(F.col("k") == upper, F.col("d"))).alias("b"), F.max(h - lower).alias("part"))
-    return picked.select(F.coalesce(F.col("a") + F.col("part") * (F.col("b") - F.col("a")), F.lit(0.0)).alias("threshold"))
+    """One row ``threshold``: the percentile of deaths."""
+    return _one(tree, percentiles(deaths(tree), [percentile])[percentile])
 
 
 def gap_threshold(tree: DataFrame) -> DataFrame:
-    """One row ``threshold``: the lower end of the first largest gap between deaths; a single death is its own threshold."""
-    order = Window.orderBy("d")
-    gaps = tree.select("d", F.row_number().over(order).alias("k"), (F.lead("d").over(order) - F.col("d")).alias("gap"))
-    best = gaps.agg(F.max_by("d", F.struct(F.coalesce("gap", F.lit(-1.0)), -F.col("k"))).alias("threshold"))
-    return best.select(F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
+    """One row ``threshold``: the lower end of the first largest gap between deaths; a single death is its own threshold; 0
+    without deaths."""
+    return _one(tree, deaths(tree).largest_gap("d") or 0.0)
 
 
 def threshold(tree: DataFrame, config: TopologyConfig) -> DataFrame:
     return percentile_threshold(tree, config.percentile) if config.rule == "percentile" else gap_threshold(tree)
 
 
-def raw_clusters(samples: DataFrame, tree: DataFrame, epsilon: DataFrame) -> DataFrame:
+def raw_clusters(samples: DataFrame, tree: DataFrame, epsilon: DataFrame, small: int = SMALL) -> DataFrame:
     """(sample_idx, raw_cluster): components of distances up to the threshold, numbered by their smallest member.
 
-    Tree edges connect what all edges up to the threshold connect; a task sees fewer of them than there are samples.
+    Tree edges connect what all edges up to the threshold connect. Up to ``small`` of them are labelled in one task; more
+    are contracted, and clusters numbered by the order of their first members.
     """
     short = tree.join(F.broadcast(epsilon)).where(F.col("d") <= F.col("threshold")).select("i", "j")
     edges = short.unionByName(samples.select(F.col("sample_idx").alias("i"), F.col("sample_idx").alias("j")))
-    return edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_label, "sample_idx int, raw_cluster int")
+    if edges.limit(small + 1).count() <= small:
+        return edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_label, "sample_idx int, raw_cluster int")
+    found = components(edges.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    least = found.groupBy("root").agg(F.min("node").alias("_first"), F.count("*").alias("k"))
+    named = meet(found, table(numbered(least, "raw_cluster", "_first")), "root", found.count())
+    return named.select(F.col("node").alias("sample_idx"), F.col("raw_cluster").cast("int").alias("raw_cluster"))
 
 
 def _label(pdf: pd.DataFrame) -> pd.DataFrame:

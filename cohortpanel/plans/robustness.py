@@ -144,14 +144,15 @@ def sweep(rows: DataFrame, vectors: DataFrame, runs: list[Run], topology: Topolo
     began = time.time()
     from ..operators.distance import weighted_vectors
     from ..operators.panel import binders, greedy, panel_items
-    from ..operators.topology import percentile_threshold, raw_clusters, tree_of
+    from ..operators.topology import deaths, percentiles, raw_clusters, tree_of
 
     spark = rows.sparkSession
     tree = cut(tree_of(cut(weighted_vectors(vectors, topology.weights)), topology.metric))
     samples = vectors.select("sample_idx", "id")
     by_percent = None
-    for p in sorted({r.percentile for r in runs}):
-        part = raw_clusters(samples, tree, percentile_threshold(tree, p)).withColumn("percentile", F.lit(float(p)))
+    wanted = sorted({r.percentile for r in runs})
+    for p, value in percentiles(deaths(tree), wanted).items():
+        part = raw_clusters(samples, tree, spark.createDataFrame([(value,)], "threshold double")).withColumn("percentile", F.lit(float(p)))
         by_percent = part if by_percent is None else by_percent.unionByName(part)
     by_percent = cut(by_percent)
     table = grid_table(spark, runs)

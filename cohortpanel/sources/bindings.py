@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.normalize import allele_name, file_key, number, trimmed
+from ..functions.placing import numbered
+from .ragged_csv import read_records
 
 REQUIRED = ("Identity", "Peptide", "MHC", "%Rank_EL")
 #: File names that begin so are results, not samples.
@@ -31,7 +32,7 @@ def list_samples(spark: SparkSession, folder: str, excluded: tuple[str, ...] = E
     files = files.withColumn("file_name", F.regexp_extract("path", r"([^/]*)$", 1))
     for prefix in excluded:
         files = files.where(~F.col("file_name").startswith(prefix))
-    files = files.withColumn("file_ordinal", F.row_number().over(Window.orderBy("file_name")))
+    files = numbered(files, "file_ordinal", "file_name").withColumn("file_ordinal", F.col("file_ordinal").cast("int"))
     files = files.where(F.col("file_ordinal") <= limit) if limit else files
     if files.limit(1).count() == 0:
         raise FileNotFoundError(f"no sample files in {folder}")
@@ -39,32 +40,21 @@ def list_samples(spark: SparkSession, folder: str, excluded: tuple[str, ...] = E
 
 
 def read_rows(spark: SparkSession, folder: str, excluded: tuple[str, ...] = EXCLUDED, required: tuple[str, ...] = REQUIRED, limit: int | None = None) -> DataFrame:
-    """Raw rows of all sample files: file_name, file_ordinal, row_ordinal, header (the file's own), and the required columns as text.
-
-    Headers may differ from file to file, so lines are read as text and split by each file's own header.
-    """
+    """Raw rows of all sample files: file_name, file_ordinal, row_ordinal, header (the file's own), problem, and the required
+    columns as text. Each file has one row more, without row_ordinal, for its header or what is wrong with it."""
     files = list_samples(spark, folder, excluded, limit)
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value"
-    )
-    lines = lines.where(F.length(trimmed(F.col("value"))) > 0).join(files.drop("path"), "file_name")
-    place = Window.partitionBy("file_name").orderBy("_block", "_id")
-    lines = lines.withColumn("row_ordinal", (F.row_number().over(place) - 1).cast("long"))
-    cells = F.transform(F.split(F.regexp_replace("value", r"^\x{FEFF}", ""), ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.regexp_replace(F.regexp_replace(trimmed(c), '^"(.*)"$', "$1"), '""', '"'))
-    lines = lines.withColumn("_cells", cells)
-    header = lines.where("row_ordinal = 0").select("file_name", F.col("_cells").alias("header"))
-    rows = lines.where("row_ordinal > 0").join(header, "file_name", "right")
-    wanted = [F.get("_cells", (F.array_position("header", c) - 1).cast("int")).alias(c) for c in required]
-    return rows.select("file_name", "file_ordinal", "row_ordinal", "header", *wanted)
+    rows = read_records(spark, folder, files).join(files.drop("path"), "file_name")
+    wanted = [F.get("cells", (F.array_position("header", c) - 1).cast("int")).alias(c) for c in required]
+    return rows.select("file_name", "file_ordinal", "row_ordinal", "header", "problem", *wanted)
 
 
 def read_bindings(spark: SparkSession, folder: str, typing: DataFrame | None = None, excluded: tuple[str, ...] = EXCLUDED, limit: int | None = None) -> Bindings:
-    """Valid samples' rows, and why others are skipped: a missing column, no rows, a blank allele or peptide, several
+    """Valid samples' rows, and why others are skipped: a file that is no CSV, a missing column, no rows, a blank allele or peptide, several
     identities, no numeric rank, or, where ``typing`` (file_key, file_stem, alleles) is given, no typed allele among the rows."""
     raw = read_rows(spark, folder, excluded, REQUIRED, limit)
     missing = F.array_except(F.array(*[F.lit(c) for c in REQUIRED]), "header")
     rows = raw.select(
-        "file_name", "file_ordinal", "row_ordinal", missing.alias("_missing"), trimmed(F.col("Identity")).alias("identity"), F.col("Peptide").alias("peptide"),
+        "file_name", "file_ordinal", "row_ordinal", "problem", missing.alias("_missing"), trimmed(F.col("Identity")).alias("identity"), F.col("Peptide").alias("peptide"),
         allele_name(F.col("MHC")).alias("mhc"), number(F.col("`%Rank_EL`")).alias("rank_el"),
     )
     rows = keep_typed(rows, typing) if typing is not None else rows.withColumn("_typed", F.lit(True))
@@ -84,12 +74,12 @@ def keep_typed(rows: DataFrame, typing: DataFrame) -> DataFrame:
 def validated(rows: DataFrame) -> Bindings:
     kept = F.col("_typed") & F.col("row_ordinal").isNotNull()
     facts = rows.groupBy("file_name").agg(
-        F.max(F.size("_missing")).alias("missing"), F.max(F.array_join("_missing", ", ")).alias("names"), F.count("row_ordinal").alias("n"), F.count_if(kept).alias("kept"), F.max(F.col("_typed").isNull().cast("int")).alias("untyped"),
+        F.max("problem").alias("problem"), F.max(F.size("_missing")).alias("missing"), F.max(F.array_join("_missing", ", ")).alias("names"), F.count("row_ordinal").alias("n"), F.count_if(kept).alias("kept"), F.max(F.col("_typed").isNull().cast("int")).alias("untyped"),
         F.count_if(kept & (F.col("mhc") == "")).alias("blank"), F.count_if(kept & (F.coalesce(trimmed(F.col("peptide")), F.lit("")) == "")).alias("no_peptide"),
         F.count_distinct(F.when(kept, F.col("identity"))).alias("ids"), F.count_if(kept & F.col("rank_el").isNotNull()).alias("ranks"),
     )
     reason = (
-        F.when(F.col("missing") > 0, F.concat(F.lit("missing column: "), F.col("names"))).when(F.col("n") == 0, "no rows").when(F.col("untyped") == 1, "no typing")
+        F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("missing") > 0, F.concat(F.lit("missing column: "), F.col("names"))).when(F.col("n") == 0, "no rows").when(F.col("untyped") == 1, "no typing")
         .when(F.col("blank") > 0, "blank MHC").when(F.col("kept") == 0, "no rows remain after the allele filter").when(F.col("no_peptide") > 0, "blank peptide")
         .when(F.col("ids") != 1, "not exactly one identity").when(F.col("ranks") == 0, "no numeric rank")
     )
@@ -112,6 +102,6 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
 
 def feature_rows(df: DataFrame, order: str) -> DataFrame:
     """Rows (sample_idx, id, features) of a direct feature matrix; ids default to case_1, case_2, ..."""
-    indexed = df.withColumn("sample_idx", F.row_number().over(Window.orderBy(order)))
+    indexed = numbered(df, "sample_idx", order).withColumn("sample_idx", F.col("sample_idx").cast("int"))
     name = F.col("id").cast(T.StringType()) if "id" in df.columns else F.concat(F.lit("case_"), F.col("sample_idx"))
     return indexed.select("sample_idx", name.alias("id"), F.transform("features", lambda x: x.cast("double")).alias("features"))

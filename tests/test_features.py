@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 import statistics
@@ -6,7 +7,7 @@ import pytest
 
 from cohortpanel.config import FEATURES
 from cohortpanel.functions.normalize import allele_name, file_key, kmers, number
-from cohortpanel.operators import features
+from cohortpanel.operators import families, features
 from cohortpanel.sources import bindings
 from cohortpanel.sources.typing_table import read_typing
 from pyspark.sql import functions as F
@@ -78,3 +79,32 @@ def test_medians_of_buckets(spark):
     rows = spark.createDataFrame([(s, x) for s, xs in ranks.items() for x in xs] + [("s3", None), ("empty", None)], "file_name string, rank_el double")
     got = {x["file_name"]: x["median_rank"] for x in features.medians(rows).collect()}
     assert got == {s: pytest.approx(statistics.median(xs)) for s, xs in ranks.items()}
+
+
+def test_families_of_a_large_sample_equal_those_of_one_task(spark):
+    """One sample above the bound has one family of most of its peptides."""
+    r = random.Random(6)
+    letters = "".join(r.choices("ACDEFGHIKL", k=300))
+    rows = [("big.csv", letters[k : k + 9]) for k in range(0, 290, 2)] + [("big.csv", "".join(r.choices("MNPQRSTVWY", k=9))) for _ in range(40)] + [("big.csv", "SHORT")]
+    rows += [("small.csv", p) for _, p in rows[::9]]
+    peptides = spark.createDataFrame(rows, "file_name string, peptide string")
+    found = lambda small: sorted(map(tuple, families.peptide_families(peptides, 7, small=small).collect()))
+    assert found(50) == found(10_000) and max(collections.Counter(f for s, _, f in found(50) if s == "big.csv").values()) == 145
+
+
+def test_csv_records_of_any_shape(spark, tmp_path):
+    """Quoted commas, line ends and quotes, byte order marks, other encodings, ragged records; broken files have a reason."""
+    head = "Identity,Peptide,MHC,%Rank_EL"
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + (head + ',Note\r\n\r\n"S","PEP", A*02:01 ,1,"two\nlines, one ""cell"""\r\nS,PEP2,A*02:01,2\r\n').encode())
+    (tmp_path / "b.csv").write_bytes((head + "\nS\u00e9,PEP,A*02:01,1,more,than,the,header\n").encode("cp1252"))
+    (tmp_path / "c.csv").write_text(head + '\nS,"PEP,A*02:01,1\n')
+    (tmp_path / "d.csv").write_text("\n \n")
+    (tmp_path / "e.csv").write_text(head + "\n")
+    (tmp_path / "f.csv").write_text('Note,Identity,Peptide,MHC,"%Rank_EL"\n"' + "x" * 300_000 + '\n",S,PEP,A*02:01,3\n')
+    read = bindings.read_bindings(spark, str(tmp_path))
+    reasons = {r["file_name"]: r["reason"] for r in read.skipped.collect()}
+    assert reasons.pop("c.csv").startswith("not CSV") and reasons == {"d.csv": "empty file", "e.csv": "no rows"}
+    rows = sorted((r["file_name"], r["row_ordinal"], r["identity"], r["peptide"], r["mhc"], r["rank_el"]) for r in read.rows.collect())
+    assert rows == [
+        ("a.csv", 1, "S", "PEP", "HLA-A*02:01", 1.0), ("a.csv", 2, "S", "PEP2", "HLA-A*02:01", 2.0), ("b.csv", 1, "S\u00e9", "PEP", "HLA-A*02:01", 1.0), ("f.csv", 1, "S", "PEP", "HLA-A*02:01", 3.0),
+    ]

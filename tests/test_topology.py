@@ -1,11 +1,14 @@
 import math
+import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cohortpanel.config import TopologyConfig
 from cohortpanel.operators import grouping, topology
-from cohortpanel.operators.distance import distances, weighted_vectors
+from cohortpanel.operators import tree as tree_module
+from cohortpanel.operators.distance import distances, pairwise, weighted_vectors
 from cohortpanel.plans import validate
 from cohortpanel.plans.workflow import topology as analyse_topology
 
@@ -51,10 +54,42 @@ def test_tree_is_minimal(spark):
         expected.append(best[k])
         seen.add(k)
         best = np.minimum(best, d[k])
-    got = sorted(r["d"] for r in topology.spanning_tree(edges, fan_in=2).collect())
+    got = sorted(r["d"] for r in topology.tree_of(weighted_vectors(vectors(spark, points))).collect())
     assert got == pytest.approx(sorted(expected))
 
 
+def plain_tree(x, metric):
+    i, j = np.triu_indices(len(x), 1)
+    d = pairwise(x, x, metric)[i, j]
+    found = tree_module.spanning_forest(pd.DataFrame({"i": i + 1, "j": j + 1, "d": d}))
+    return sorted(zip(found["i"], found["j"]))
+
+
+@pytest.mark.parametrize("kind", ["clusters", "ties"])
+def test_tree_measures_few_pairs(spark, kind):
+    """The tree of all pairs from some of them: clustered points leave most pairs of blocks unmeasured."""
+    r = np.random.default_rng(2)
+    x = {
+        "clusters": np.concatenate([r.normal(size=(24, 3)) * 0.1 + c for c in r.uniform(-20, 20, size=(8, 3))]),
+        "ties": np.repeat(r.integers(0, 4, size=(15, 2)), 3, axis=0).astype(float),
+    }[kind]
+    metric = {"clusters": "euclidean", "ties": "cityblock"}[kind]
+    rows = spark.createDataFrame([(k + 1, [float(v) for v in row]) for k, row in enumerate(x)], "sample_idx int, v array<double>")
+    found = tree_module.PrunedTree(rows, metric, block=15, pivots=16)
+    assert sorted((q["i"], q["j"]) for q in found.tree.collect()) == plain_tree(x, metric)
+    every = len(x) * (len(x) - 1) // 2
+    assert found.measured <= every and (kind != "clusters" or found.measured < every / 3), (found.measured, every)
+
+
+def test_clusters_of_many_edges_equal_those_of_one_task(spark):
+    r = random.Random(4)
+    samples = spark.createDataFrame([(k,) for k in range(1, 121)], "sample_idx int")
+    tree = spark.createDataFrame([(k, r.randrange(1, k), r.random()) for k in range(2, 121)], "j int, i int, d double")
+    epsilon = spark.createDataFrame([(0.8,)], "threshold double")
+    labels = lambda small: sorted(map(tuple, topology.raw_clusters(samples, tree, epsilon, small).collect()))
+    assert labels(10) == labels(1000) and len({c for _, c in labels(10)}) > 5
+
+
 def test_constant_features_and_metrics(spark):
     same = weighted_vectors(vectors(spark, [[1, 2], [1, 4]]))
     assert all(r["v"][0] == 0 for r in same.collect())
