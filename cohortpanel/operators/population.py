@@ -189,11 +189,16 @@ class PopulationMetrics:
         return counts.join(self.mixture())
 
     def warnings(self) -> DataFrame:
-        """(population, warning): few loci, loci whose known mass exceeds 1, sample sizes that are missing or not positive."""
-        known = self.clean.groupBy("population", "locus").agg(F.sum("frequency").alias("mass"), F.max("sample_size").alias("size"))
-        per = known.groupBy("population").agg(F.count("*").alias("loci"), F.max("mass").alias("mass"), F.max("size").alias("size"))
+        """(population, warning): few loci, loci of fewer than two alleles or whose known mass exceeds 1, sample sizes that are
+        missing or not positive, and weights that are alike as no population has a size."""
+        known = self.clean.groupBy("population", "locus").agg(F.sum("frequency").alias("mass"), F.count_distinct("allele").alias("alleles"), F.max("sample_size").alias("size"))
+        per = known.groupBy("population").agg(
+            F.count("*").alias("loci"), F.max("mass").alias("mass"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("alleles") < 2, F.col("locus")))), ", ").alias("sparse"), F.max("size").alias("size")
+        )
+        sized = F.lit(self.config.weight_mode == "sample_size" and not self.clean.where("sample_size > 0").limit(1).count())
         said = F.array(
             F.when(F.col("loci") < self.config.min_loci, F.lit("few loci")), F.when(F.col("mass") > 1 + self.config.tolerance, F.lit("frequencies of a locus sum to more than 1")), F.when(F.col("size") <= 0, F.lit("sample size not positive")),
             F.when(F.col("size").isNull() & F.lit(self.config.weight_mode == "sample_size"), F.lit("sample size missing, weighs 1")),
+            F.when(F.col("sparse") != "", F.concat(F.lit("fewer than two alleles of locus "), F.col("sparse"))), F.when(sized, F.lit("no sample sizes: populations weigh alike")),
         )
         return per.select("population", F.explode(F.filter(said, lambda x: x.isNotNull())).alias("warning"))

@@ -39,10 +39,35 @@ def history(df: DataFrame, by: list[str], most: int) -> DataFrame:
     return df
 
 
+def panel_input(rows: DataFrame) -> DataFrame:
+    """Rows of samples, peptides and alleles to pick panels from: at least one, none of them blank."""
+    if not rows.limit(1).count():
+        raise ValueError("panels need at least one row of predictions")
+    for c in ("file_name", "peptide", "mhc"):
+        _none(rows, F.col(c).isNull() | (F.trim(c) == ""), f"{c} must not be blank")
+    return rows
+
+
+def picked_within(history: DataFrame, items: DataFrame, by: list[str]) -> DataFrame:
+    """Panels pick among the peptides of their own group, and a family's number goes with one family in its group: ``items``
+    (by, peptide) are those of the groups."""
+    if history.select(*by, "peptide").join(items.select(*by, "peptide"), [*by, "peptide"], "left_anti").limit(1).count():
+        raise ValueError("a panel holds a peptide that its group doesn't have")
+    _none(history, F.col("family_id").isNull() | (F.col("family_id") < 1), "families must be numbered from 1")
+    counted = history.groupBy(*by).agg(F.count_distinct("family_id").alias("n"), F.max("num_families_represented").alias("said"))
+    _none(counted, "n <> said", "the number of families must be that of the picked peptides")
+    return history
+
+
 def audit(mapping: DataFrame, events: DataFrame) -> DataFrame:
-    """At least a first and a last event; practical groups consecutive."""
-    if events.count() < 2:
-        raise ValueError("an audit needs at least two events")
+    """At least a first and a last event, steps that count up from 1; practical groups consecutive, a row a sample."""
+    found = events.agg(F.count("*").alias("n"), F.count_distinct("step").alias("steps"), F.max("step").alias("last"), F.min_by("stage", "step").alias("first"), F.max_by("stage", "step").alias("end")).first()
+    if found["n"] < 2 or (found["first"], found["end"]) != ("initial", "final"):
+        raise ValueError("an audit needs a first and a last event")
+    if found["steps"] != found["n"] or found["last"] != found["n"]:
+        raise ValueError("steps of an audit must count up from 1")
+    if mapping.count() != mapping.select("sample_idx").distinct().count():
+        raise ValueError("an audit's mapping needs one row a sample")
     return labels(mapping, "practical_group")
 
 

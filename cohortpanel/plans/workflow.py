@@ -13,6 +13,7 @@ from ..functions.lineage import cut
 from ..operators.distance import distances, weighted_vectors
 from ..operators.features import feature_vectors, sample_features
 from ..operators.grouping import grouping_audit, practical_groups
+from ..operators.panel import binders
 from ..operators.topology import barcode, merge_events, raw_clusters, threshold, tree_of
 from ..sources.bindings import require_columns
 from . import suite, validate
@@ -86,15 +87,20 @@ def analyse(rows: DataFrame, topology_config: TopologyConfig = TopologyConfig(),
     if checked:
         validate.vectors(vectors)
     groups = topology(vectors, topology_config)
-    samples = cut(groups.mapping().select(F.col("id").alias("file_name"), "raw_cluster", "practical_group"))
+    mapping = cut(groups.mapping())
+    samples = cut(mapping.select(F.col("id").alias("file_name"), "raw_cluster", "practical_group"))
     if checked:
+        validate.audit(mapping, cut(groups.audit()))
+        validate.panel_input(rows)
         validate.labels(samples, "raw_cluster")
         validate.labels(samples, "practical_group")
-        for row in groups.warnings(samples).limit(20).collect():
+        for row in groups.warnings(samples).collect():  # a row a group out of its limits
             log.warning("practical group %s of %s files: %s", row["practical_group"], row["size"], row["warning"])
     assigned = cut(suite.assignments(samples, run_mode, topology_config.min_group_size))
     history = cut(suite.run_suite(rows, assigned, panel))
     if checked:
         validate.history(history, suite.KEY, panel.max_peptides)
+        bound = binders(rows, panel.rank_threshold).join(assigned.where("did_run").select(*suite.KEY, "file_name"), "file_name")
+        validate.picked_within(history, bound, suite.KEY)
         validate.union_identity(suite.unions(history), suite.selected_by_group(history))
     return Analysis(rows, features, bad, groups, samples, assigned, history)

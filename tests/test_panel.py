@@ -1,7 +1,7 @@
 import pytest
 
 from cohortpanel.config import PANEL_WEIGHTS, PanelConfig, TopologyConfig
-from cohortpanel.operators import panel
+from cohortpanel.operators import panel, population
 from cohortpanel.plans import export, suite, validate, workflow
 
 ROWS = "file_name string, file_ordinal int, row_ordinal long, identity string, peptide string, mhc string, rank_el double"
@@ -98,3 +98,32 @@ def test_export(spark, tmp_path):
     assert "0.123457" in export.report(df)
     both = export.union_with_blanks(df.select("a"), df.select("c"))
     assert both.columns == ["a", "c"] and {r["a"] for r in both.collect()} == {"1", ""}
+
+
+def test_each_rule_of_the_boundaries_has_a_breach(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    mapping = frame([(1, 1), (2, 2)], "sample_idx int, practical_group int")
+    event = "step int, stage string"
+    validate.audit(mapping, frame([(1, "initial"), (2, "final")], event))
+    for events in ([(1, "initial")], [(1, "initial"), (2, "repair")], [(1, "initial"), (3, "final")], [(1, "initial"), (2, "x"), (2, "x"), (4, "final")]):
+        with pytest.raises(ValueError):
+            validate.audit(mapping, frame(events, event))
+    with pytest.raises(ValueError):
+        validate.audit(mapping.unionByName(mapping), frame([(1, "initial"), (2, "final")], event))
+    predicted = "file_name string, peptide string, mhc string"
+    validate.panel_input(frame([("f", "P", "A")], predicted))
+    for bad in ([], [("f", "", "A")], [("f", "P", None)], [(" ", "P", "A")]):
+        with pytest.raises(ValueError):
+            validate.panel_input(frame(bad, predicted))
+    picks = "mode string, peptide string, family_id int, num_families_represented int"
+    items = frame([("global", "P"), ("global", "Q")], "mode string, peptide string")
+    validate.picked_within(frame([("global", "P", 1, 1), ("global", "Q", 2, 2)], picks), items, ["mode"])
+    for bad in ([("global", "Z", 1, 1)], [("honest", "P", 1, 1)], [("global", "P", 0, 1)], [("global", "P", None, 1)], [("global", "P", 1, 1), ("global", "Q", 1, 2)]):
+        with pytest.raises(ValueError):
+            validate.picked_within(frame(bad, picks), items, ["mode"])
+
+
+def test_population_warnings(spark):
+    panel = spark.createDataFrame([("P", "A", "A*01:01", 0.5, None), ("P", "B", "B*07:02", 0.3, None), ("P", "B", "B*08:01", 0.9, None)], "population string, locus string, allele string, allele_frequency double, sample_size double")
+    said = {r["warning"] for r in population.PopulationMetrics(spark.createDataFrame([("X", "HLA-A*01:01")], "peptide string, mhc string"), panel).warnings().collect()}
+    assert said == {"fewer than two alleles of locus A", "frequencies of a locus sum to more than 1", "sample size missing, weighs 1", "no sample sizes: populations weigh alike"}

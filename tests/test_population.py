@@ -69,7 +69,7 @@ def test_errors_and_warnings(spark):
     with pytest.raises(Exception, match="out of"):
         metrics(spark, A, [("Pop1", "A", "A*01:01", 250.0, None, 1.0)]).mixture()
     found = metrics(spark, A, [("Pop1", "A", "A*01:01", 0.8, None, 0.0), ("Pop1", "A", "A*02:01", 0.7, None, 0.0)])
-    assert {r["warning"] for r in found.warnings().collect()} == {"few loci", "frequencies of a locus sum to more than 1", "sample size not positive"}
+    assert {r["warning"] for r in found.warnings().collect()} == {"few loci", "frequencies of a locus sum to more than 1", "sample size not positive", "no sample sizes: populations weigh alike"}
     assert not metrics(spark, [("PEP", "")], MIX).did_evaluate
 
 
