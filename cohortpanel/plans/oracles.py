@@ -321,6 +321,28 @@ pr AS (
 SELECT row_number() OVER (ORDER BY death) AS bar, CAST(0 AS DOUBLE) AS birth, {r("death")} AS death FROM pr WHERE death IS NOT NULL UNION ALL SELECT count(*), CAST(0 AS DOUBLE), CAST('Infinity' AS DOUBLE) FROM z"""
 
 
+def _component(name: str, start: str) -> str:
+    """The first eigenvector of the symmetric matrix ``start`` (r, q, x): the matrix is squared again and again, until its columns
+    are multiples of it; of its entries the largest is positive."""
+    return f"""{name}m AS (
+  SELECT 0 AS it, r, q, x FROM {start}
+  UNION ALL
+  SELECT it + 1, r, q, x / max(abs(x)) OVER () FROM (SELECT a.it AS it, a.r AS r, c.q AS q, sum(a.x * c.x) AS x FROM {name}m a JOIN {name}m c ON c.it = a.it AND c.r = a.q WHERE a.it < 16 GROUP BY a.it, a.r, c.q)
+), {name} AS (
+  SELECT r AS pos, x / sqrt(sum(x * x) OVER ()) * sign(max_by(x, abs(x)) OVER ()) AS x FROM {name}m
+  WHERE it = 16 AND q = (SELECT max_by(r, x) FROM {name}m WHERE it = 16 AND r = q)
+)"""
+
+
+#: Two components of the weighted features, the second of what the first leaves.
+PCA_SQL = f"""{WITH}, {ZSCORES}, {EDGES},
+cw AS (SELECT i, pos, v - avg(v) OVER (PARTITION BY pos) AS v FROM w),
+c1 AS (SELECT a.pos AS r, c.pos AS q, sum(a.v * c.v) AS x FROM cw a JOIN cw c ON c.i = a.i GROUP BY ALL), {_component("p1", "c1")},
+l1 AS (SELECT sum(a.x * c1.x * c.x) AS l FROM c1 JOIN p1 a ON a.pos = c1.r JOIN p1 c ON c.pos = c1.q),
+c2 AS (SELECT r, q, c1.x - l * a.x * c.x AS x FROM c1 JOIN p1 a ON a.pos = c1.r JOIN p1 c ON c.pos = c1.q, l1), {_component("p2", "c2")}
+SELECT CAST(i AS BIGINT) AS sample_idx, {r("sum(cw.v * p1.x)")} AS pc1, {r("sum(cw.v * p2.x)")} AS pc2 FROM cw JOIN p1 ON p1.pos = cw.pos JOIN p2 ON p2.pos = cw.pos GROUP BY i"""
+
+
 ORACLES = {
     "binders": f"WITH {BINDING} SELECT s AS identity, p AS peptide, m AS mhc, {r('r')} AS rank_el FROM b WHERE r < {TAU}",
     "hla_filtered_rows": f"""WITH {BINDING}, {PANEL}, t AS ({TOPN.format(f="mf", w="ew", where="")})
@@ -369,4 +391,5 @@ SELECT panel_group, p AS peptide, {r("x")} AS total_score FROM (SELECT *, row_nu
 SELECT population, {r("any_value(weight)")} AS weight, {_MOMENTS} FROM tl JOIN wt USING (population) GROUP BY population""",
     "mixture_metrics": f"{METRICS}, tl AS (SELECT *, sum(p) OVER (ORDER BY h DESC) AS tail FROM mx) SELECT {_MOMENTS} FROM tl",
     "robustness_grid": GRID_SQL,
+    "sample_feature_pca": PCA_SQL,
 }

@@ -174,5 +174,5 @@ QUERIES = {
     "robustness_grid": robustness_grid,
     "robustness_fast": sweep_fast,
     "robustness_full": sweep_full,
-    "sample_feature_pca": lambda s, d: export.principal_components(distance.weighted_vectors(_vectors(s, d))),
+    "sample_feature_pca": lambda s, d: rounded(export.principal_components(distance.weighted_vectors(_vectors(s, d)))),
 }
