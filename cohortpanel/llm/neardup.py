@@ -263,11 +263,39 @@ def confirmed(percent: int):
     return lambda batches: _batched(by_group(batches, ORDER), confirm)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of links (a, b): the smallest node reachable, by alternating large-star and small-star steps."""
+#: Links that one task joins; more are contracted by many.
+FEW_LINKS = 200_000
+
+
+def joined_links(batches):
+    """(node, component) of links (u, v) of one partition, by union-find."""
+    links = pd.concat([pdf for pdf in batches] or [pd.DataFrame({"u": [], "v": []}, dtype="int64")])
+    names, codes = np.unique(links.to_numpy(dtype=np.int64), return_inverse=True)
+    codes, parent = codes.reshape(-1, 2), list(range(len(names)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in codes.tolist():
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    roots = np.array([root(x) for x in range(len(names))], dtype=np.int64)
+    moved = roots != np.arange(len(names))
+    yield pd.DataFrame({"node": names[moved], "component": names[roots[moved]]})
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """(node, component) of the nodes of links (a, b) that have a smaller one in reach, the smallest: by alternating
+    large-star and small-star steps, or in one task if there are at most ``few`` links."""
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = state(edges)
+    if before[0] <= few:
+        return checkpointed(edges.coalesce(1).mapInPandas(joined_links, "node long, component long"))
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k"))
@@ -283,12 +311,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def beside(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, kept: DataFrame, share: float = 1.0) -> DataFrame:
-    """The pairs of blocks ``kept`` (ORDER, cls, side) with the sizes of their sets (n) and the sets (full), made anew from
-    the texts and sorted by ORDER. ``classes``: cls, same (digest of the set), id (a document that has it). A ``share``
-    below 1 gives the elements of the lowest part of the hashes alone, in 32 bits."""
+def beside(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, kept: DataFrame, brief=None) -> DataFrame:
+    """The pairs of blocks ``kept`` (ORDER, cls, side and others) with the sizes of their sets (n) and the sets (full), made
+    anew from the texts and sorted by ORDER. ``classes``: cls, same (digest of the set), id (a document that has it).
+    With ``brief``, which makes bytes of a set, these (bits) are there in place of the sets."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    limit = int(-(2**63) + share * 2**64)
+    column, kind = ("full", "array<long>") if brief is None else ("bits", "binary")
 
     def full(batches):
         seen: set[bytes] = set()  # repeated rows once a task
@@ -296,17 +324,18 @@ def beside(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, kep
             for part in arrow_slices(batch, "text"):
                 sets = [(s, d) for s in shingle_sets(part["text"], n) if (d := digest(s)) not in seen and not seen.add(d)]
                 sizes, names, shown = [len(s) for s, _ in sets], [d for _, d in sets], [s for s, _ in sets]
-                if share < 1:
-                    shown = [np.unique(s[: np.searchsorted(s, limit)] >> 32).astype(np.int32) for s in shown]
-                ends = np.cumsum([0, *map(len, shown)], dtype=np.int32)
-                values = np.concatenate([np.empty(0, np.int32 if share < 1 else np.int64), *shown])
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["same", "n", "full"])
+                if brief is None:
+                    ends = np.cumsum([0, *map(len, shown)], dtype=np.int32)
+                    made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *shown])))
+                else:
+                    made = pa.array([brief(s) for s in shown], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), made], ["same", "n", column])
 
     wanted = checkpointed(kept.select("cls").distinct().join(classes.select("cls", "same", "id"), "cls"))
     ids = bounded_broadcast(wanted.select("id").distinct(), BROADCAST_IDS)
     sources = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi").select("text")
-    sets = sources.mapInArrow(full, f"same binary, n long, full array<{'int' if share < 1 else 'long'}>").join(wanted.select("cls", "same"), "same")
-    faced = kept.join(sets.select("cls", "n", "full"), "cls").select(*ORDER, "cls", "side", "n", "full")
+    sets = sources.mapInArrow(full, f"same binary, n long, {column} {kind}").join(wanted.select("cls", "same"), "same")
+    faced = kept.join(sets.select("cls", "n", column), "cls").select(*ORDER, *[c for c in kept.columns if c not in ORDER], "n", column)
     return faced.repartition(parts, *ORDER).sortWithinPartitions(*ORDER)
 
 

@@ -10,9 +10,11 @@
 3. Costs decide what is looked up: the content of a segment that many sets have (an empty one, or one element of a common
    passage) is left out by a set that looks up a one-deletion neighbourhood instead. That finds one difference more, so
    the pigeonhole stands: differences that are to be outlasted stay one fewer than what is looked up.
-4. Sets that meet are groups around a pivot: compared with the pivot first, then what the pivot leaves over, in blocks.
-   Differences within a quarter of the universe are differences of the sets, so pairs that have too many there are not
-   linked; the others are verified on full sets. Links are contracted to components.
+4. Sets that meet are compared with the least of their list, the pivot, first by parities: a set's elements toggle bits at
+   hashed places, so two sets differ in at least as many elements as their bits do. What may be linked is verified on full
+   sets, each set with its first pivot, then with those that are not in its component yet.
+5. In lists with sets of other components than the pivot's these are compared with the rest of the list, in blocks: by
+   parities, by parities of more bits, and on full sets. Links are contracted to components.
 
 Keys are dealt to buckets of about BUCKET entries as packed numbers. A content that a batch of sets has LOCAL times or more
 stays out of its bucket, which is told its count alone; such rows are dealt at random and joined with their counts.
@@ -21,13 +23,12 @@ stays out of its bucket, which is told its count alone; such rows are dealt at r
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_slices, bounded_broadcast, checkpointed, saved, table, with_facts
-from .neardup import BLOCK, BROADCAST_IDS, ORDER, _batched, beside, by_group, dealt, digest, each_once, links_on_sets, overlaps, sides, star, with_components
+from .neardup import BLOCK, BROADCAST_IDS, ORDER, beside, components, dealt, digest, links_on_sets, star, with_components
 from .shingles import _mixed, shingle_sets
 
 SHINGLE_WORDS, THRESHOLD = 4, 85  # percent
@@ -39,12 +40,13 @@ DELETION_SHARE = 24
 CHEAP = 32
 #: Entries that a bucket has about, entries that a task packs at once, and sets of such a pack that make a content a hot one.
 BUCKET, PACK, LOCAL = 1 << 18, 1 << 20, 64
-#: Part of the universe that pairs are compared in first.
-SHARE = 0.25
+#: Bits of the parities of a set of n elements: the least power of two from 64 that is n or more; of fine ones so many times.
+LEAST_BITS, FINE = 64, 8
 #: Bits of a tag, above the segment's number: looked up in the smaller band's scheme; of a deletion; to be looked up.
 LOWER, DELETED, PROBE = 1 << 30, 1 << 29, 1 << 28
 PACKED = "bucket int, marks boolean, value binary, cls binary, tag binary"
-FOUND = "pivot long, cls long, value long, tag long, freq long"
+#: ``list`` names a list of three sets or more.
+FOUND = "pivot long, cls long, list long, value long, tag long, freq long"
 
 
 def differences(r: np.ndarray, percent: int) -> np.ndarray:
@@ -144,7 +146,7 @@ def packed(value: np.ndarray, cls: np.ndarray, tag: np.ndarray, buckets: int, pl
 
 
 def met(value: np.ndarray, cls: np.ndarray, tag: np.ndarray, marked: np.ndarray, counts: np.ndarray, most: int = CHEAP) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Of a bucket: (pivot, cls) of cheap contents, and rows (value, cls, tag, freq) of costly ones, of hot ones (one row
+    """Of a bucket: (pivot, cls, list) of cheap contents (list 0: of two sets), and rows (value, cls, tag, freq) of costly ones, of hot ones (one row
     without cls has the count) and of those that a deletion has too. Contents of one set, or without one that is indexed as
     a whole, are left out."""
     order = np.lexsort((cls, value))
@@ -166,7 +168,11 @@ def met(value: np.ndarray, cls: np.ndarray, tag: np.ndarray, marked: np.ndarray,
     mine = pairs[of] & whole
     pivot = np.full(len(begin), np.iinfo(np.int64).max)
     np.minimum.at(pivot, of[mine], cls[mine])
-    met_pairs = np.stack([pivot[of[mine]], cls[mine]], axis=1)
+    # equal lists have equal names
+    names_of = np.zeros(len(begin), np.uint64)
+    np.add.at(names_of, of[mine], _mixed(cls[mine].astype(np.uint64) + np.uint64(1)))
+    names_of = np.where(n_whole > 2, (names_of | np.uint64(1)).view(np.int64), 0)
+    met_pairs = np.stack([pivot[of[mine]], cls[mine], names_of[of[mine]]], axis=1)
     freq = size.copy()
     freq[hot] += extra[np.searchsorted(names, value[begin[hot]])] if hot.any() else 0
     mine = rows[of]
@@ -199,13 +205,13 @@ def gathered(batches, most: int = CHEAP):
         null = pa.nulls(n, pa.int64())
         cls = pa.array(rows["cls"], pa.int64(), mask=rows["cls"] < 0)
         freq = pa.array(rows["freq"], pa.int64()) if "freq" in rows else null
-        return pa.RecordBatch.from_arrays([null, cls, pa.array(rows["value"].view(np.int64)), pa.array(rows["tag"], pa.int64()), freq], schema=schema)
+        return pa.RecordBatch.from_arrays([null, cls, null, pa.array(rows["value"].view(np.int64)), pa.array(rows["tag"], pa.int64()), freq], schema=schema)
 
     def pair_batch():
         found = np.unique(np.concatenate(pairs), axis=0)
         pairs.clear()
         null = pa.nulls(len(found), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), null, null, null], schema=schema)
+        return pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(3)), null, null, null], schema=schema)
 
     def finished():
         entries, marks = [h[1:] for h in held if not h[0]], [h[1:] for h in held if h[0]]
@@ -263,20 +269,39 @@ def allocated(values: np.ndarray, tags: np.ndarray, freqs: np.ndarray, deletions
     return values[np.concatenate([np.array(use, np.int64), np.flatnonzero(probe & gone & np.isin(segment, list(taken)))]).astype(np.int64)]
 
 
+KEPT = "pivot long, kind int, i int, j int, cls long, side boolean"
+
+
+def parity(elements: np.ndarray, times: int = 1) -> bytes:
+    """Bits that the elements toggle, as bytes; of as many bits as the size of the set asks for, times a power of two."""
+    bits = max(LEAST_BITS, 1 << (max(len(elements), 1) - 1).bit_length()) * times
+    places = _mixed(elements.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(places.astype(np.int64), minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """Parities of fewer bits: halves toggle one another, as the place of an element is its hash's last bits."""
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def shingle_rows(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, n_shingles, same): ``same`` is a digest of the set, null for the empty set."""
+    """(key, n_shingles, same, bits): ``same`` is a digest of the set, null for the empty set; ``bits`` its parities."""
 
     def make(batches):
         for batch in batches:
             for part in arrow_slices(batch, "text"):
                 sets = list(shingle_sets(part["text"], n))
-                yield pa.RecordBatch.from_arrays([part["key"], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(digest, sets), pa.binary())], ["key", "n_shingles", "same"])
+                rows = [part["key"], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(digest, sets), pa.binary()), pa.array([parity(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, ["key", "n_shingles", "same", "bits"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(make, "key long, n_shingles long, same binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(make, "key long, n_shingles long, same binary, bits binary")
 
 
 def candidates(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, percent: int, most: int = CHEAP, local: int = LOCAL, pack: int = PACK) -> DataFrame:
-    """(pivot, cls, n): groups of classes that meet under a key that one of them looks up, each by its pivot."""
+    """(pivot, cls, list): classes that meet under a key that one of them looks up, with the least of them; the pivot is a
+    row of its own. ``list`` (not 0) tells apart who met whom, where there are three or more."""
     spark = docs.sparkSession
     figures = classes.agg(F.max("n"), F.sum("n")).first()
     scheme = Scheme(max(figures[0] or 1, 1), percent)
@@ -334,37 +359,123 @@ def candidates(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame,
     by_class = rows.groupBy("cls", F.col("tag").bitwiseAND(LOWER).alias("role")).agg(F.collect_list(F.struct("value", "tag", "freq")).alias("items")).join(classes.select("cls", "n"), "cls")
     active = by_class.select("n", "items").mapInArrow(allocate, "value long").distinct()
     lists = rows.groupBy("value").agg(F.min("cls").alias("pivot"), F.count("*").alias("k")).where("k > 1").join(active, "value", "left_semi")
-    costly = with_facts(rows.select("value", "cls"), checkpointed(lists), "value", "k", n_rows).select("pivot", "cls")
-    members = found.where("pivot IS NOT NULL").select("pivot", "cls").unionByName(costly).distinct()
-    return members.join(classes.select("cls", "n"), "cls").select("pivot", "cls", "n")
+    costly = with_facts(rows.select("value", "cls"), checkpointed(lists), "value", "k", n_rows).select("pivot", "cls", F.col("value").alias("list"))
+    return found.where("pivot IS NOT NULL").select("pivot", "cls", "list").unionByName(costly).distinct()
+
+
+def few_apart(bits: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets (places left, right) have few enough differences in their parities to be linked."""
+    words = [np.frombuffer(b, "<u8") for b in bits]
+    size = np.array([len(w) for w in words])
+    least, fits = np.minimum(size[left], size[right]), np.zeros(len(left), bool)
+    for w in np.unique(least).tolist():
+        at = np.flatnonzero(least == w)
+        names, codes = np.unique(np.concatenate([left[at], right[at]]), return_inverse=True)
+        rows = np.stack([folded(words[k], w) for k in names.tolist()])
+        step = max(1, (1 << 20) // w)  # bounded scratch
+        for x in range(0, len(at), step):
+            part = slice(x, x + step)
+            i, j = codes[: len(at)][part], codes[len(at) :][part]
+            apart = np.bitwise_count(rows[i] ^ rows[j]).sum(axis=1, dtype=np.int64)
+            fits[at[part]] = (100 + percent) * apart <= (100 - percent) * (n[left[at[part]]] + n[right[at[part]]])
+    return fits
+
+
+def survivors_of(side: np.ndarray, same: bool, n: np.ndarray, root: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Places of the sets of a pair of blocks that have a partner in the other block which they may be linked with."""
+    if same:
+        left, right = np.triu_indices(len(n), 1)
+    else:
+        left, right = (x.ravel() for x in np.meshgrid(np.flatnonzero(~side), np.flatnonzero(side), indexing="ij"))
+    fits = (root[left] != root[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
+    left, right = left[fits], right[fits]
+    if not len(left):
+        return left
+    fits = few_apart(bits, n, left, right, percent)
+    return np.unique(np.concatenate([left[fits], right[fits]]))
 
 
 def possible(percent: int):
-    """Keep the sets of each pair of blocks that have a partner with few enough differences in a part of the universe."""
-
-    def few(pdf: pd.DataFrame):
-        a, b, same = sides(each_once(pdf))
-        if not len(a) or not len(b) or (same and len(a) < 2):
-            return None
-        xs, ys = [np.asarray(x) for x in a["full"]], [np.asarray(y) for y in b["full"]]
-        some = np.array([len(x) for x in xs]).min() and np.array([len(y) for y in ys]).min()
-        both = overlaps(xs, ys) if some else np.array([[len(np.intersect1d(x, y)) for y in ys] for x in xs])
-        apart = np.array([len(x) for x in xs])[:, None] + np.array([len(y) for y in ys])[None, :] - 2 * both
-        n, m = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
-        fits = ((100 + percent) * apart <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-        if same:
-            np.fill_diagonal(fits, False)
-        left, right = fits.any(axis=1), fits.any(axis=0)
-        kept = a[left | right] if same else pd.concat([a[left], b[right]])
-        return kept[[*ORDER, "cls", "side"]] if len(kept) > 1 else None
-
-    return lambda batches: _batched(by_group(batches, ORDER), few)
+    """Keep the sets of each pair of blocks that have a partner of another component with few enough differences in their
+    parities, and with a size that a linked one may have. Batches are sorted by ORDER; a pair of blocks may lie across them."""
 
-
-def verified(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the pairs of blocks."""
-    near = beside(docs, key, text, n, classes, pairs, SHARE).mapInPandas(possible(percent), "pivot long, kind int, i int, j int, cls long, side boolean")
-    return links_on_sets(docs, key, text, n, classes, checkpointed(near), percent)
+    def kept(batches):
+        held = []
+        for batch in batches:
+            held.append(batch)
+            keys = [batch[c].to_numpy() for c in ORDER]
+            if batch.num_rows and any(k[0] != k[-1] for k in keys):
+                whole = pa.Table.from_batches(held).combine_chunks()
+                last = np.flatnonzero(np.any([np.diff(whole[c].to_numpy()) != 0 for c in ORDER], axis=0))[-1] + 1
+                yield from chosen(whole.slice(0, last))
+                held = whole.slice(last).to_batches()
+        if held:
+            yield from chosen(pa.Table.from_batches(held).combine_chunks())
+
+    def chosen(rows: pa.Table):
+        keys = [rows[c].to_numpy() for c in ORDER]
+        cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1 if len(rows) else []
+        side, n, root = rows["side"].to_numpy(), rows["n"].to_numpy(), rows["root"].to_numpy()
+        cls, bits = rows["cls"].to_numpy(), rows["bits"].to_pylist()
+        places = []
+        for x, y in zip([0, *cuts], [*cuts, len(rows)]):
+            if y - x > 1:
+                same = keys[1][x] == 0 and keys[2][x] == keys[3][x]
+                once = x + np.sort(np.unique(cls[x:y] * 2 + side[x:y], return_index=True)[1])  # several tasks may have made one
+                found = survivors_of(side[once], same, n[once], root[once], [bits[k] for k in once.tolist()], percent)
+                if len(found):
+                    places.append(once[found])
+        if places:
+            yield from rows.select([*ORDER, "cls", "side"]).take(pa.array(np.concatenate(places))).to_batches()
+
+    return kept
+
+
+def near(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """What ``possible`` leaves of pairs of blocks (ORDER, cls, side); ``facts``: cls, n, bits, root (its component so far)."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    faced = pairs.join(facts, "cls").select(*ORDER, "cls", "side", "n", "bits", "root").repartition(parts, *ORDER).sortWithinPartitions(*ORDER)
+    return saved(faced.mapInArrow(possible(percent), KEPT))
+
+
+def rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(cls, root): components of all classes."""
+    return saved(classes.select("cls").join(components(links), F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("root")))
+
+
+def links_of(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, members: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that join the components of all links among ``members`` (pivot, cls, list)."""
+    verified = lambda pairs: links_on_sets(docs, key, text, n, classes, pairs, percent)
+    around = members.select("pivot", "cls").distinct().join(classes.select("cls", "n"), "cls")
+    facts = classes.select("cls", "n", "bits")
+    hubs = near(star(around, block), facts.withColumn("root", F.col("cls")), percent)
+    # a block keeps its pivot with any of the others; each set is verified with its first pivot at first
+    spokes = saved(hubs.where("NOT side").select("pivot", "cls"))
+    first = spokes.groupBy("cls").agg(F.min("pivot").alias("pivot"))
+    links = verified(saved(paired(first)))
+    roots = rooted(classes, links)
+    later = spokes.join(first, ["cls", "pivot"], "left_anti").join(roots, "cls")
+    counts = spokes.groupBy("pivot").agg(F.count("*").alias("k"))
+    ends = counts.join(roots.select(F.col("cls").alias("pivot"), F.col("root").alias("_at")), "pivot")
+    later = with_facts(later, ends, "pivot", "k", spokes.count()).where("root <> _at").select("pivot", "cls")
+    links = links.unionByName(verified(saved(paired(later))))
+    # lists in which not all are of the pivot's component; the pivot has been compared with all
+    listed = members.where("list <> 0").join(roots, "cls")
+    heads = listed.where("cls = pivot").select("list", F.col("root").alias("_at")).dropDuplicates(["list"])
+    sizes = listed.groupBy("list").agg(F.count("*").alias("k"), (F.min("root") != F.max("root")).alias("mixed")).join(heads, "list")
+    mixed = saved(sizes.where("mixed").select("list", "k", "_at"))
+    open_ = saved(with_facts(listed.where("cls <> pivot").select("list", "cls", "root"), mixed, "list", "k", members.count()))
+    rest = open_.join(classes.select("cls", "n"), "cls").select(F.col("list").alias("pivot"), "cls", "n")
+    done = open_.where("root = _at").select(F.col("list").alias("pivot"), "cls")
+    left = near(dealt(rest, done, block), facts.join(roots, "cls"), percent)
+    fine = beside(docs, key, text, n, classes, left.join(roots, "cls"), brief=lambda s: parity(s, FINE))
+    return links.unionByName(verified(saved(fine.mapInArrow(possible(percent), KEPT))))
+
+
+def paired(spokes: DataFrame) -> DataFrame:
+    """Pairs of blocks (ORDER, cls, side) of pivots with their sets."""
+    hubs = spokes.select("pivot", F.col("pivot").alias("cls")).distinct()
+    return star(spokes.select("pivot", "cls").unionByName(hubs).withColumn("n", F.lit(1 << 12)), BLOCK)  # about 256 sets a block
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE_WORDS, percent: int = THRESHOLD, block: int = BLOCK, **costs: int) -> DataFrame:
@@ -380,13 +491,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     if not 50 <= percent < 100:
         raise ValueError("percent must be from 50 to 99")
     base = saved(shingle_rows(docs, key, text, n))
-    classes = base.where("same IS NOT NULL").groupBy("same").agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
-    classes = checkpointed(classes.withColumn("cls", F.monotonically_increasing_id()))
+    groups = base.where("same IS NOT NULL").groupBy("same")
+    classes = groups.agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()))
     members = saved(candidates(docs, key, text, n, classes, percent, **costs))
-    hubs = verified(docs, key, text, n, classes, saved(star(members, block)), percent)
-    left = dealt(members, hubs.select(F.col("b").alias("pivot"), F.col("a").alias("cls")), block)
-    rest = verified(docs, key, text, n, classes, saved(left), percent)
-    return with_components(base, classes, hubs.unionByName(rest)).select(F.col("key").alias(key), "n_shingles", "component_id")
+    links = links_of(docs, key, text, n, classes, members, percent, block)
+    return with_components(base, classes, links).select(F.col("key").alias(key), "n_shingles", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

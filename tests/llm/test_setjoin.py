@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from cohortpanel.llm import setjoin
+from cohortpanel.llm import neardup, setjoin
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -133,3 +133,26 @@ def test_hot_contents_stay_out_of_their_bucket():
     hot = sum(len(v) // 8 for v, b in zip(batch["value"], batch["bucket"]) if b < 0)
     counts = [int.from_bytes(c, "little") for c, m in zip(batch["cls"], batch["marks"]) if m]
     assert (entries, hot, counts) == (50, 100, [100])
+
+
+def test_parities_bound_differences():
+    """Never more bits than elements differ, whatever the sizes; unrelated sets differ in far more than linked ones may."""
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        a = np.unique(r.integers(-(2**62), 2**62, int(r.integers(1, 900))))
+        b = np.unique(np.concatenate([a[: int(r.integers(0, len(a) + 1))], r.integers(-(2**62), 2**62, int(r.integers(1, 900)))]))
+        size = np.array([len(a), len(b)])
+        x, y = (np.frombuffer(setjoin.parity(s), "<u8") for s in (a, b))
+        least = min(len(x), len(y))
+        apart = int(np.bitwise_count(setjoin.folded(x, least) ^ setjoin.folded(y, least)).sum())
+        assert apart <= len(np.setxor1d(a, b))
+        linked = 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+        fits = setjoin.few_apart([setjoin.parity(a), setjoin.parity(b)], size, np.array([0]), np.array([1]), 85)
+        assert fits[0] or not linked
+
+
+def test_components_in_one_task_and_by_stars_agree(spark):
+    r = random.Random(8)
+    links = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(400, k) for k in range(401, 440)], "a long, b long")
+    found = [sorted((x["node"], x["component"]) for x in neardup.components(links, few).collect() if x["node"] != x["component"]) for few in (0, 10_000)]
+    assert found[0] == found[1]
