@@ -14,7 +14,8 @@
    hashed places, so two sets differ in at least as many elements as their bits do. What may be linked is verified on full
    sets, each set with its first pivot, then with those that are not in its component yet.
 5. In lists with sets of other components than the pivot's these are compared with the rest of the list, in blocks: by
-   parities, by parities of more bits, and on full sets. Links are contracted to components.
+   parities, by parities of more bits, and on full sets; of each block the pairs that would join most come first, and what
+   they have not joined after. Links are contracted to components.
 
 Keys are dealt to buckets of about BUCKET entries as packed numbers. A content that a batch of sets has LOCAL times or more
 stays out of its bucket, which is told its count alone; such rows are dealt at random and joined with their counts.
@@ -381,23 +382,41 @@ def few_apart(bits: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndar
     return fits
 
 
-def survivors_of(side: np.ndarray, same: bool, n: np.ndarray, root: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
-    """Places of the sets of a pair of blocks that have a partner in the other block which they may be linked with."""
+def near_pairs(side: np.ndarray, same: bool, n: np.ndarray, root: np.ndarray, bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of the sets of a pair of blocks that may be linked."""
     if same:
         left, right = np.triu_indices(len(n), 1)
     else:
         left, right = (x.ravel() for x in np.meshgrid(np.flatnonzero(~side), np.flatnonzero(side), indexing="ij"))
     fits = (root[left] != root[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
     left, right = left[fits], right[fits]
-    if not len(left):
-        return left
-    fits = few_apart(bits, n, left, right, percent)
-    return np.unique(np.concatenate([left[fits], right[fits]]))
+    fits = few_apart(bits, n, left, right, percent) if len(left) else np.zeros(0, bool)
+    return left[fits], right[fits]
 
 
-def possible(percent: int):
+def forest_of(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Of pairs of places those that join as much as all of them do."""
+    parent: dict[int, int] = {}
+
+    def end(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(left.tolist(), right.tolist()):
+        x, y = end(i), end(j)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
+def possible(percent: int, forests: bool = False):
     """Keep the sets of each pair of blocks that have a partner of another component with few enough differences in their
-    parities, and with a size that a linked one may have. Batches are sorted by ORDER; a pair of blocks may lie across them."""
+    parities, and with a size that a linked one may have; with ``forests`` (pivot, cls), pairs that join as much as all such
+    pairs of the two blocks. Batches are sorted by ORDER; a pair of blocks may lie across them."""
 
     def kept(batches):
         held = []
@@ -422,10 +441,13 @@ def possible(percent: int):
             if y - x > 1:
                 same = keys[1][x] == 0 and keys[2][x] == keys[3][x]
                 once = x + np.sort(np.unique(cls[x:y] * 2 + side[x:y], return_index=True)[1])  # several tasks may have made one
-                found = survivors_of(side[once], same, n[once], root[once], [bits[k] for k in once.tolist()], percent)
-                if len(found):
-                    places.append(once[found])
-        if places:
+                left, right = near_pairs(side[once], same, n[once], root[once], [bits[k] for k in once.tolist()], percent)
+                if len(left):
+                    places.append(once[forest_of(left, right)] if forests else once[np.unique(np.concatenate([left, right]))])
+        if places and forests:
+            ends = np.sort(cls[np.concatenate(places)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["pivot", "cls"])
+        elif places:
             yield from rows.select([*ORDER, "cls", "side"]).take(pa.array(np.concatenate(places))).to_batches()
 
     return kept
@@ -468,8 +490,13 @@ def links_of(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, m
     rest = open_.join(classes.select("cls", "n"), "cls").select(F.col("list").alias("pivot"), "cls", "n")
     done = open_.where("root = _at").select(F.col("list").alias("pivot"), "cls")
     left = near(dealt(rest, done, block), facts.join(roots, "cls"), percent)
-    fine = beside(docs, key, text, n, classes, left.join(roots, "cls"), brief=lambda s: parity(s, FINE))
-    return links.unionByName(verified(saved(fine.mapInArrow(possible(percent), KEPT))))
+    fine = lambda pairs, roots: beside(docs, key, text, n, classes, pairs.join(roots, "cls"), brief=lambda s: parity(s, FINE))
+    # pairs of one list are those of many: those that join most come first, each once
+    joining = saved(fine(left, roots).mapInArrow(possible(percent, forests=True), "pivot long, cls long").distinct())
+    links = links.unionByName(verified(saved(paired(joining))))
+    roots = rooted(classes, links)
+    left = near(left, facts.join(roots, "cls"), percent)
+    return links.unionByName(verified(saved(fine(left, roots).mapInArrow(possible(percent), KEPT))))
 
 
 def paired(spokes: DataFrame) -> DataFrame:
