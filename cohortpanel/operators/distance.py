@@ -12,15 +12,29 @@ from pyspark.sql.window import Window
 
 from ..config import FEATURE_WEIGHTS
 from ..functions.normalize import finite_or_zero
+from .metrics import MAPPED, mapped
 
 #: Samples in a block; a task holds two.
 BLOCK = 512
-METRICS = ("euclidean", "squaredeuclidean", "cityblock", "chebychev", "cosine")
+METRICS = ("euclidean", "squaredeuclidean", "cityblock", "chebychev", "cosine", "hamming", "jaccard", "minkowski", *MAPPED)
+
+
+def exponent(metric: str) -> float:
+    """That of ``minkowski``, 2, or of ``minkowski:p``."""
+    return float(metric.partition(":")[2] or 2)
 
 
 def check_metric(metric: str) -> None:
-    if metric not in METRICS:
+    """Accepts the names of METRICS and ``minkowski:p`` with an exponent of at least 1."""
+    name, colon, power = metric.partition(":")
+    if name not in METRICS or (colon and name != "minkowski"):
         raise ValueError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
+    try:
+        fits = not colon or 1 <= float(power) < float("inf")
+    except ValueError:
+        fits = False
+    if not fits:
+        raise ValueError(f"the exponent of {metric!r} must be a number of at least 1")
 
 
 def zscores(vectors: DataFrame) -> DataFrame:
@@ -51,22 +65,40 @@ def weighted_vectors(vectors: DataFrame, weights: tuple[float, ...] | None = Non
 
 
 def pairwise(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of all rows of a and b. Differences are taken outright, so equal rows have distance 0 exactly."""
+    """Distances of all rows of a and b by a plain metric. Differences are taken outright, so equal rows have distance 0
+    exactly. hamming: share of coordinates that differ; jaccard: among those that are not 0 in both, no number without any."""
     if metric == "cosine":
         norm = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.where(norm > 0, 1 - (a @ b.T) / norm, np.nan)
-    out = np.zeros((len(a), len(b)))
+    out, either = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+    power = exponent(metric) if metric.startswith("minkowski") else {"cityblock": 1.0}.get(metric, 2.0)
     for k in range(a.shape[1]):
-        gap = np.abs(a[:, k][:, None] - b[:, k][None, :])
-        out = np.maximum(out, gap) if metric == "chebychev" else out + (gap if metric == "cityblock" else gap * gap)
-    return np.sqrt(out) if metric == "euclidean" else out
+        x, y = a[:, k][:, None], b[:, k][None, :]
+        if metric in ("hamming", "jaccard"):
+            out += x != y
+            either += (x != 0) | (y != 0)
+            continue
+        gap = np.abs(x - y)
+        if metric == "chebychev":
+            out = np.maximum(out, gap)
+        else:
+            out += gap if power == 1 else gap * gap if power == 2 else gap**power
+    if metric == "hamming":
+        return out / max(1, a.shape[1])
+    if metric == "jaccard":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(either > 0, out / either, np.nan)
+    if metric == "euclidean" or metric.startswith("minkowski"):
+        return np.sqrt(out) if power == 2 else out ** (1 / power)
+    return out
 
 
 def distances(vectors: DataFrame, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
     """(i, j, d) for all i < j. The work is dealt as pairs of blocks of ``block`` samples, so a task's memory does not grow
     with their number. The result is quadratic by what it is; the tree (``operators.tree``) does without it."""
     check_metric(metric)
+    vectors, metric = mapped(vectors, metric)
     blocks = max(1, -(-vectors.count() // block))
     own = vectors.select("sample_idx", "v", F.pmod("sample_idx", F.lit(blocks)).cast("int").alias("b"))
     dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "sample_idx", "v")
@@ -81,7 +113,7 @@ def distances(vectors: DataFrame, metric: str = "euclidean", block: int = BLOCK)
         keep = i < j if p == q else np.ones_like(i, dtype=bool)
         return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "d": d[keep]})
 
-    return dealt.groupBy("p", "q").applyInPandas(measure, "i int, j int, d double")
+    return dealt.groupBy("p", "q").applyInPandas(measure, "i int, j int, d double").withColumn("d", F.coalesce("d", F.lit(float("nan"))))
 
 
 def minmax(x: str, within: list[str]):

@@ -20,6 +20,7 @@ from ..functions.components import components
 from ..functions.lineage import table
 from ..functions.placing import numbered
 from .distance import pairwise
+from .metrics import mapped
 
 EDGE = "i int, j int, d double"
 #: Points in a block; a task holds two.
@@ -27,13 +28,18 @@ BLOCK = 512
 #: Points that distances are bounded by, each the farthest from those before among a sample of so many.
 PIVOTS, SAMPLE = 32, 1024
 #: Metrics with a triangle inequality, by themselves or by way of another whose order is the same: (metric, power).
-BOUNDED = {"euclidean": ("euclidean", 1), "squaredeuclidean": ("euclidean", 2), "cityblock": ("cityblock", 1), "chebychev": ("chebychev", 1)}
+BOUNDED = {"euclidean": ("euclidean", 1), "squaredeuclidean": ("euclidean", 2), "cityblock": ("cityblock", 1), "chebychev": ("chebychev", 1), "hamming": ("hamming", 1)}
 #: Lower bounds are lowered by this share, for rounding.
 SLACK = 1e-9
 #: Intervals of the first pivot's distances in which pairs of blocks are looked for.
 SLICES = 256
 
 
+def bounded(metric: str) -> tuple[str, int] | None:
+    """The entry of BOUNDED, to which every exponent of minkowski belongs."""
+    return (metric, 1) if metric.startswith("minkowski") else BOUNDED.get(metric)
+
+
 def spanning_forest(edges: pd.DataFrame) -> pd.DataFrame:
     """The minimum spanning forest of edges (i, j, d); equal distances go by i, then j."""
     edges = edges.sort_values(["d", "i", "j"], kind="stable")
@@ -72,6 +78,7 @@ class PrunedTree:
     """The tree of (sample_idx, v) and how it was found: ``tree`` (i, j, d), ``measured``, how many pairs of points were."""
 
     def __init__(self, vectors: DataFrame, metric: str = "euclidean", block: int = BLOCK, pivots: int = PIVOTS):
+        vectors, metric = mapped(vectors, metric)
         self.metric, self.block = metric, block
         self.blocks = self._placed(vectors, pivots)
         self.sizes = table(self.blocks.groupBy("b").agg(F.count("*").alias("n")))
@@ -83,7 +90,7 @@ class PrunedTree:
     def _placed(self, vectors: DataFrame, pivots: int) -> DataFrame:
         """(sample_idx, v, near, b): ``near`` are the distances from the pivots, a few rows of the table."""
         n = vectors.count()
-        own, pivots = BOUNDED.get(self.metric) if n > self.block else None, min(pivots, -(-n // self.block) * 2)
+        own, pivots = bounded(self.metric) if n > self.block else None, min(pivots, -(-n // self.block) * 2)
         sample = vectors.orderBy(F.xxhash64("sample_idx"), "sample_idx").limit(SAMPLE).collect() if own else []  # SAMPLE rows
         points = _apart(np.array([r["v"] for r in sample], dtype=float), own[0], pivots) if sample else None
         self.width = 0 if points is None else len(points)
@@ -121,7 +128,8 @@ class PrunedTree:
             found = pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "d": d[keep]})
             return spanning_forest(found) if len(found) else found
 
-        return table(dealt.groupBy("p", "q").applyInPandas(forest, EDGE))
+        # pandas hands no numbers over as nulls, which would be the least
+        return table(dealt.groupBy("p", "q").applyInPandas(forest, EDGE).withColumn("d", F.coalesce("d", F.lit(float("nan")))))
 
     def _summaries(self) -> DataFrame:
         """(b, low, high): distances of each block's points from the pivots."""
@@ -138,7 +146,7 @@ class PrunedTree:
         """
         at = self.blocks.select("sample_idx", "b").join(labels, "sample_idx").join(best.select("root", F.col("e.d").alias("upto")), "root", "left")
         reach = at.groupBy("b").agg(F.max(F.coalesce("upto", F.lit(float("inf")))).alias("reach"), F.min("root").alias("one"), F.max("root").alias("other"))
-        metric = BOUNDED.get(self.metric)
+        metric = bounded(self.metric)
         reach = table(summaries.join(reach, "b").withColumn("single", F.when(F.col("one") == F.col("other"), F.col("one"))).withColumn("reach", F.pow("reach", F.lit(1.0 / metric[1])) if metric else F.col("reach")))
         if metric:
             line = reach.agg(F.min(F.get("low", F.lit(0))).alias("a"), F.max(F.get("high", F.lit(0))).alias("z")).first()
@@ -199,6 +207,6 @@ def _least(crossing: DataFrame) -> DataFrame:
 
 def spanning_tree(vectors: DataFrame, metric: str = "euclidean", block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """(i, j, d) of the minimum spanning tree of (sample_idx, v); equal distances go by i, then j. Metrics without a bound
-    (cosine) measure all pairs of blocks, once. A distance that is no number is taken last."""
+    (cosine, jaccard, correlation, spearman) measure all pairs of blocks, once. A distance that is no number is taken last."""
     return PrunedTree(vectors, metric, block, pivots).tree
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import logging
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FEATURE_WEIGHTS, PanelConfig, PopulationConfig
+from ..operators.metrics import moments
 from ..operators.panel import binders, peptide_scores
 
 log = logging.getLogger("cohortpanel")
@@ -88,20 +88,11 @@ def principal_components(weighted: DataFrame, k: int = 2) -> DataFrame:
     """(sample_idx, pc1..pck) of weighted vectors, centred. The scatter matrix is summed in tasks, so the driver holds one of
     the vectors' width alone; of a component's loadings the one of the largest size is positive."""
 
-    def scatter(batches):
-        for pdf in batches:
-            if len(pdf):
-                v = np.stack(pdf["v"].to_list())
-                whole = np.concatenate([np.ones((len(v), 1)), v], axis=1)  # with a column of ones: counts and sums too
-                yield pd.DataFrame({"place": np.arange(whole.shape[1] ** 2), "x": (whole.T @ whole).ravel()})
-
-    sums = weighted.select("v").mapInPandas(scatter, "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).orderBy("place").collect()  # the square of the width
-    if not sums:
+    found = moments(weighted)
+    if found is None:
         return weighted.select("sample_idx", *[F.lit(0.0).alias(f"pc{i + 1}") for i in range(k)])
-    width = round(len(sums) ** 0.5)
-    both = np.array([r["x"] for r in sums]).reshape(width, width)
-    n, mean = both[0, 0], both[0, 1:] / both[0, 0]
-    loadings = np.linalg.eigh(both[1:, 1:] - n * np.outer(mean, mean))[1][:, ::-1][:, :k].T
+    _, mean, scatter = found
+    loadings = np.linalg.eigh(scatter)[1][:, ::-1][:, :k].T
     loadings *= np.sign(loadings[np.arange(len(loadings)), np.abs(loadings).argmax(axis=1)])[:, None]
     array = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     score = lambda load: F.aggregate(F.zip_with(F.zip_with("v", array(mean), lambda x, m: x - m), array(load), lambda x, w: x * w), F.lit(0.0), lambda t, x: t + x)

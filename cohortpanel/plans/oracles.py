@@ -77,6 +77,10 @@ z AS (SELECT s, dense_rank() OVER (ORDER BY s) AS i, pos, CASE WHEN sd > 0 THEN
 EDGES = f"""w AS (SELECT i, s, pos, z * [{", ".join(map(str, FEATURE_WEIGHTS.values()))}][pos + 1] AS v FROM z),
 e AS (SELECT a.i AS i, c.i AS j, sqrt(sum((a.v - c.v) * (a.v - c.v))) AS d FROM w a JOIN w c ON a.pos = c.pos AND a.i <= c.i GROUP BY a.i, c.i),
 es AS (SELECT i, j, d FROM e UNION SELECT j, i, d FROM e)"""
+#: z-scores of the embeddings, which weigh 1 each.
+EMBEDDED = """WITH lg AS (SELECT vec_id + 1 AS i, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+sd AS (SELECT pos, avg(x) AS mu, stddev_samp(x) AS sd FROM lg GROUP BY pos),
+e AS (SELECT i, pos, CASE WHEN sd > 0 THEN (x - mu) / sd ELSE 0 END AS v FROM lg JOIN sd USING (pos))"""
 TREE = """fw AS (
   SELECT 0 AS k, i, j, d FROM es
   UNION ALL
@@ -359,9 +363,17 @@ SELECT s AS identity, m AS mhc, count(*) AS n, {r("min(r)")} AS best FROM b WHER
     "sample_features": f"{WITH} SELECT {_columns(*_PARTS)} FROM {_ALL}",
     "feature_zscores": f"{WITH}, {ZSCORES} SELECT s AS sample, CAST(pos AS BIGINT) AS pos, {r('z')} AS z FROM z",
     "sample_distances": f"{WITH}, {ZSCORES}, {EDGES} SELECT i, j, {r('d')} AS d FROM e WHERE i < j",
-    "embedding_distances": f"""WITH lg AS (SELECT vec_id + 1 AS i, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
-sd AS (SELECT pos, avg(x) AS mu, stddev_samp(x) AS sd FROM lg GROUP BY pos),
-z AS (SELECT i, list(CASE WHEN sd > 0 THEN (x - mu) / sd ELSE 0 END ORDER BY pos) AS v FROM lg JOIN sd USING (pos) GROUP BY i)
+    "sample_distances_seuclidean": f"""{WITH}, {ZSCORES}, {EDGES}, u AS (SELECT pos, stddev_samp(v) AS spread FROM w GROUP BY pos),
+q AS (SELECT i, pos, CASE WHEN spread > 0 THEN v / spread ELSE 0 END AS v FROM w JOIN u USING (pos))
+SELECT a.i AS i, c.i AS j, {r("sqrt(sum((a.v - c.v) * (a.v - c.v)))")} AS d FROM q a JOIN q c ON a.pos = c.pos AND a.i < c.i GROUP BY a.i, c.i""",
+    "sample_distances_correlation": f"""{WITH}, {ZSCORES}, {EDGES}
+SELECT a.i AS i, c.i AS j, {r("1 - corr(a.v, c.v)")} AS d FROM w a JOIN w c ON a.pos = c.pos AND a.i < c.i GROUP BY a.i, c.i""",
+    "embedding_distances_spearman": f"""{EMBEDDED}, k AS (SELECT i, pos, rank() OVER (PARTITION BY i ORDER BY v) + (count(*) OVER (PARTITION BY i, v) - 1) / 2 AS v FROM e),
+l AS (SELECT i, list(v - 0.5 - n / 2 ORDER BY pos) AS v FROM (SELECT *, count(*) OVER (PARTITION BY i) AS n FROM k) GROUP BY i)
+SELECT a.i AS i, c.i AS j, {r("1 - list_cosine_similarity(a.v, c.v)")} AS d FROM l a JOIN l c ON a.i < c.i""",
+    "embedding_distances_minkowski": f"""{EMBEDDED} SELECT a.i AS i, c.i AS j, {r("pow(sum(pow(abs(a.v - c.v), 3)), 1 / 3)")} AS d
+FROM e a JOIN e c ON a.pos = c.pos AND a.i < c.i GROUP BY a.i, c.i""",
+    "embedding_distances": f"""{EMBEDDED}, z AS (SELECT i, list(v ORDER BY pos) AS v FROM e GROUP BY i)
 SELECT a.i AS i, c.i AS j, {r("list_distance(a.v, c.v)")} AS d FROM z a JOIN z c ON a.i < c.i""",
     "h0_barcode": f"{BARS} SELECT k AS bar, CAST(0 AS DOUBLE) AS birth, {r('d')} AS death FROM death UNION ALL SELECT count(*) + 1, CAST(0 AS DOUBLE), CAST('Infinity' AS DOUBLE) FROM death",
     "h0_threshold_pct": f"{BARS}, {PCT} SELECT {r('threshold')} AS threshold FROM pct",

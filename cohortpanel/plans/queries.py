@@ -150,6 +150,10 @@ QUERIES = {
     "feature_zscores": lambda s, d: rounded(distance.zscores(_vectors(s, d)).select(F.col("id").alias("sample"), "pos", "z")),
     "sample_distances": lambda s, d: rounded(distance.distances(distance.weighted_vectors(_vectors(s, d)))),
     "embedding_distances": lambda s, d: rounded(distance.distances(distance.weighted_vectors(_embedding_vectors(s, d)))),
+    "sample_distances_seuclidean": lambda s, d: rounded(distance.distances(distance.weighted_vectors(_vectors(s, d)), "seuclidean")),
+    "sample_distances_correlation": lambda s, d: rounded(distance.distances(distance.weighted_vectors(_vectors(s, d)), "correlation")),
+    "embedding_distances_spearman": lambda s, d: rounded(distance.distances(distance.weighted_vectors(_embedding_vectors(s, d)), "spearman")),
+    "embedding_distances_minkowski": lambda s, d: rounded(distance.distances(distance.weighted_vectors(_embedding_vectors(s, d)), "minkowski:3")),
     "h0_barcode": lambda s, d: rounded(_topology(s, d).barcode().select("bar", "birth", "death")),
     "h0_threshold_pct": lambda s, d: rounded(_topology(s, d).threshold),
     "h0_threshold_gap": lambda s, d: rounded(_topology(s, d, TopologyConfig(rule="largest_gap")).threshold),

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..config import PanelConfig, TopologyConfig
 from ..functions.lineage import cut
-from ..operators.distance import distances, weighted_vectors
+from ..operators.distance import check_metric, distances, weighted_vectors
 from ..operators.features import feature_vectors, sample_features
 from ..operators.grouping import grouping_audit, practical_groups
+from ..operators.metrics import mapped
 from ..operators.panel import binders
 from ..operators.topology import barcode, merge_events, raw_clusters, threshold, tree_of
 from ..sources.bindings import require_columns
@@ -29,6 +30,8 @@ class Topology:
     threshold: DataFrame
     labels: DataFrame  # sample_idx, id, raw_cluster
     config: TopologyConfig
+    weighted: DataFrame  # sample_idx, v, mapped for the metric
+    metric: str  # the plain one that the mapped vectors are measured by
 
     def barcode(self) -> DataFrame:
         return barcode(self.tree)
@@ -56,12 +59,14 @@ def topology(vectors: DataFrame, config: TopologyConfig = TopologyConfig()) -> T
     """Tree, threshold and raw clusters of (sample_idx, id, features). The tree comes from the distances without keeping
     them; ``edges`` measures them anew, in the same blocks and so to the same numbers, for who needs all."""
     vectors = cut(vectors)
-    weighted = cut(weighted_vectors(vectors, config.weights))
-    edges = distances(weighted, config.metric)
-    tree = cut(tree_of(weighted, config.metric))
+    check_metric(config.metric)
+    weighted, metric = mapped(cut(weighted_vectors(vectors, config.weights)), config.metric)
+    weighted = cut(weighted)
+    edges = distances(weighted, metric)
+    tree = cut(tree_of(weighted, metric))
     epsilon = cut(threshold(tree, config))
     samples = vectors.select("sample_idx", "id")
-    return Topology(samples, edges, tree, epsilon, cut(samples.join(raw_clusters(samples, tree, epsilon), "sample_idx")), config)
+    return Topology(samples, edges, tree, epsilon, cut(samples.join(raw_clusters(samples, tree, epsilon), "sample_idx")), config, weighted, metric)
 
 
 @dataclass

@@ -142,3 +142,70 @@ def test_split_scores_add_up_how_far_sizes_are_out_of_bounds():
     assert grouping.split(d, 1, 3)[1] == 3_000_004 and grouping.split(d, 4, 6)[1] == 2_000_004
     x = np.array([0.0, 5.0, 5.1, 5.2, 5.3])
     assert grouping.split(np.abs(x[:, None] - x[None]), 3, np.inf)[1] == 2_000_003
+
+
+def plain_distance(x, a, b, metric):
+    """By the definition of the metric, one pair at a time."""
+    if metric == "seuclidean":
+        sd = x.std(axis=0, ddof=1)
+        return math.sqrt(sum(((a[k] - b[k]) / sd[k]) ** 2 for k in range(len(a)) if sd[k] > 0))
+    if metric == "mahalanobis":
+        return math.sqrt((a - b) @ np.linalg.solve(np.cov(x.T), a - b))
+    if metric == "spearman":
+        a, b = (np.array([sum(y < v for y in z) + (sum(y == v for y in z) + 1) / 2 for v in z]) for z in (a, b))
+    if metric in ("correlation", "spearman"):
+        return 1 - np.corrcoef(a, b)[0, 1]
+    if metric == "hamming":
+        return np.mean(a != b)
+    if metric == "jaccard":
+        return sum(a != b) / sum((a != 0) | (b != 0))
+    p = float(metric.partition(":")[2] or 2)
+    return sum(abs(a - b) ** p) ** (1 / p)
+
+
+def placed_rows(spark, x):
+    return spark.createDataFrame([(k + 1, [float(v) for v in row]) for k, row in enumerate(x)], "sample_idx int, v array<double>")
+
+
+@pytest.mark.parametrize("metric", ["seuclidean", "mahalanobis", "correlation", "spearman", "hamming", "jaccard", "minkowski", "minkowski:1", "minkowski:3"])
+def test_metrics_equal_their_definitions(spark, metric):
+    """On whole numbers with ties and zeros, in blocks; the tree of one is that of all its pairs."""
+    x = np.random.default_rng(5).integers(-2, 4, size=(24, 5)).astype(float)
+    x[:, 0] += 1  # away from rows of zeros alone
+    x[3], x[3, 0] = x[4], 9
+    rows = placed_rows(spark, x)
+    got = {(r["i"], r["j"]): r["d"] for r in distances(rows, metric, block=12).collect()}
+    assert len(got) == 24 * 23 // 2
+    for (i, j), d in got.items():
+        assert d == pytest.approx(plain_distance(x, x[i - 1], x[j - 1], metric), abs=1e-9), (i, j)
+    if metric != "minkowski:3":
+        return
+    total = sum(r["d"] for r in tree_module.spanning_tree(rows, metric, block=12).collect())
+    best = tree_module.spanning_forest(pd.DataFrame([(i, j, d) for (i, j), d in got.items()], columns=["i", "j", "d"]))
+    assert total == pytest.approx(best["d"].sum(), abs=1e-9)
+
+
+def test_odd_vectors_of_metrics(spark):
+    flat = np.array([[1.0, 2, 5], [1, 2, 7], [1, 4, 9], [1, 1, 1]])  # the first coordinate does not vary, the last row neither
+    with pytest.raises(ValueError, match="full rank"):
+        distances(placed_rows(spark, flat), "mahalanobis")
+    found = {(r["i"], r["j"]): r["d"] for r in distances(placed_rows(spark, flat), "seuclidean").collect()}
+    assert found[1, 2] == pytest.approx(2 / flat[:, 2].std(ddof=1))
+    for metric in ("correlation", "spearman"):
+        d = {(r["i"], r["j"]): r["d"] for r in distances(placed_rows(spark, flat), metric).collect()}
+        assert math.isnan(d[1, 4]) and not math.isnan(d[1, 2])
+    empty = placed_rows(spark, flat).limit(0)
+    for metric in ("seuclidean", "mahalanobis", "spearman", "jaccard"):
+        assert distances(empty, metric).count() == 0
+    for wrong in ("minkowski:0.5", "minkowski:x", "minkowski:inf", "cosine:2"):
+        with pytest.raises(ValueError):
+            distances(placed_rows(spark, flat), wrong)
+
+
+def test_analysis_by_a_mapped_metric(spark):
+    x = np.random.default_rng(8).normal(size=(12, 3))
+    done = analyse_topology(vectors(spark, x), TopologyConfig(metric="mahalanobis", percentile=60))
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    pairs = pd.DataFrame([(i + 1, j + 1, plain_distance(z, z[i], z[j], "mahalanobis")) for i in range(12) for j in range(i + 1, 12)], columns=["i", "j", "d"])
+    bars = [r["death"] for r in done.barcode().orderBy("bar").collect()][:-1]
+    assert bars == pytest.approx(sorted(tree_module.spanning_forest(pairs)["d"]))
