@@ -21,11 +21,11 @@ SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 20
 #: Bound of the fit: labelled documents, those of the smallest hash of doc_id.
 MAX_TRAIN_ROWS = 20_000
-#: Defaults of the model: features (buckets of the highest chi-square; None for all) that at least MIN_DOCS documents hold.
-MAX_FEATURES: int | None = 16_384
-MIN_DOCS = 4
-#: Steps of the fit at most, and weight of the squared weights in its loss.
-STEPS, RIDGE = 60, 2e-4
+#: Least chi-square of a feature with the label: the 0.1 % level, at every size. 0 keeps all n-grams.
+MIN_CHI = 10.83
+#: Weight of the squared weights in the loss. The fit ends when the gradient's norm is this share of the first one's;
+#: STEPS only ends a fit that doesn't get there.
+RIDGE, CLOSE, STEPS = 2e-4, 1e-4, 1000
 FIT_TASKS = 16
 CHUNK = 1 << 12
 HOLD_OUT = 5
@@ -76,8 +76,8 @@ def present(place: np.ndarray, text: str | None, bits: int = BUCKET_BITS) -> np.
     return np.unique(found[found >= 0])
 
 
-def counted(train: DataFrame, min_docs: int = MIN_DOCS, bits: int = BUCKET_BITS) -> DataFrame:
-    """(bucket, pos, neg): documents of each class that hold an n-gram, for buckets in at least ``min_docs`` documents."""
+def counted(train: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
+    """(bucket, pos, neg): documents of each class that hold an n-gram of the bucket, for all buckets that some document holds."""
     buckets = 1 << bits
     chunk = min(CHUNK, buckets)
 
@@ -94,15 +94,15 @@ def counted(train: DataFrame, min_docs: int = MIN_DOCS, bits: int = BUCKET_BITS)
 
     def add(key, pdf):
         pos, neg = np.sum(np.stack(pdf["pos"].to_list()), axis=0), np.sum(np.stack(pdf["neg"].to_list()), axis=0)
-        keep = np.flatnonzero(pos + neg >= min_docs)
+        keep = np.flatnonzero(pos + neg)
         return pd.DataFrame({"bucket": keep + key[0] * chunk, "pos": pos[keep], "neg": neg[keep]})
 
     parts = train.mapInArrow(count, "chunk long, neg array<int>, pos array<int>")
     return parts.groupBy("chunk").applyInPandas(add, "bucket long, pos long, neg long")
 
 
-def fit(train: DataFrame, max_features: int | None = MAX_FEATURES, min_docs: int = MIN_DOCS, bits: int = BUCKET_BITS, steps: int = STEPS) -> Model:
-    """Fit on rows (text, toxic). What reaches the driver is bounded by the features, at most 2**bits, not by the rows."""
+def fit(train: DataFrame, min_chi: float = MIN_CHI, bits: int = BUCKET_BITS, steps: int = STEPS) -> Model:
+    """Fit on rows (text, toxic). What reaches the driver is bounded by the 2**bits buckets, not by the rows."""
     train = checkpointed(train.repartition(FIT_TASKS))
     n = {int(r["toxic"]): r["count"] for r in train.groupBy("toxic").count().collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
@@ -113,8 +113,7 @@ def fit(train: DataFrame, max_features: int | None = MAX_FEATURES, min_docs: int
     total = float(n_pos + n_neg)
     gap = a * n_neg - b * n_pos
     chi = total * gap * gap / (n_pos * n_neg * (a + b) * (total - a - b + 1))
-    found = counted(train, min_docs, bits)
-    best = (found if max_features is None else found.withColumn("chi", chi).orderBy(F.desc("chi"), "bucket").limit(max_features)).toPandas()
+    best = counted(train, bits).where(chi >= min_chi).toArrow().to_pandas().sort_values("bucket")
     if best.empty:
         return Model(place, np.empty(0), float(np.log(n_pos / n_neg)), bits)
     place[best["bucket"].to_numpy()] = np.arange(len(best))
@@ -158,11 +157,15 @@ def loss(rows: DataFrame, scale: np.ndarray, w: np.ndarray, share: dict[int, flo
     return sum(p["value"] for p in parts) + ridge / 2 * float(w[:-1] @ w[:-1]), grad
 
 
-def minimised(f, x: np.ndarray, steps: int, memory: int = 10, close: float = 1e-2) -> np.ndarray:
-    """The least of a smooth convex function by L-BFGS with halved steps; ends when a step gains less than ``close`` of it."""
+def minimised(f, x: np.ndarray, steps: int, memory: int = 10, close: float = CLOSE) -> np.ndarray:
+    """The least of a smooth convex function by L-BFGS with halved steps; ends when the gradient's norm is at most ``close``
+    of what it was at first."""
     value, grad = f(x)
+    enough = close * np.linalg.norm(grad)
     moves: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
+        if np.linalg.norm(grad) <= enough:
+            break
         way, parts = -grad, []
         for s, y in reversed(moves):
             part = (s @ way) / (s @ y)
@@ -186,9 +189,7 @@ def minimised(f, x: np.ndarray, steps: int, memory: int = 10, close: float = 1e-
         s, y = step * way, new_grad - grad
         if s @ y > 1e-12:
             moves = [*moves[1 - memory :], (s, y)]
-        gained, x, value, grad = value - new_value, x + s, new_value, new_grad
-        if gained < close * value:
-            break
+        x, value, grad = x + s, new_value, new_grad
     return x
 
 
@@ -218,7 +219,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """Fit on the labelled documents that are not held out, then score every document. Without labels of both classes the
-    score is constant (0 where nothing is known to be toxic)."""
+    score is constant (0 where nothing is known to be toxic). Texts of any length count and are scored in full."""
     return scored(docs, fit(training_rows(docs, labels, max_rows)))
 
 
