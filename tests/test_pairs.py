@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from cohortpanel.operators import families, panel
 from cohortpanel.operators.distance import distances, weighted_vectors
 
 
@@ -32,3 +33,26 @@ def test_pairs_over_many_blocks(spark, metric, power):
     found = {(r["i"], r["j"]): r["d"] for r in distances(weighted_vectors(table_of(spark, points)), metric, block=9).collect()}
     whole = (np.abs(z[:, None] - z[None]) ** power).sum(-1) ** (1 / power)
     assert found == pytest.approx({(i + 1, j + 1): whole[i, j] for i in range(70) for j in range(i + 1, 70)}) and found[4, 41] == 0
+
+
+def test_repeated_rows_stay_in_one_task(spark):
+    rows = spark.createDataFrame([("s", "ABCDEFGH" + "XY"[k % 2]) for k in range(60)] + [("t", "QRSTUVW")], "file_name string, peptide string")
+    made = []
+    label, families.components = families.components, lambda edges: made.append(edges) or label(edges)
+    try:
+        found = {tuple(r) for r in families.peptide_families(rows, 7, small=5).collect()}
+    finally:
+        families.components = label
+    assert found == {("s", "ABCDEFGHX", "ABCDEFGHX"), ("s", "ABCDEFGHY", "ABCDEFGHX"), ("t", "QRSTUVW", "QRSTUVW")}
+    assert not made  # two distinct peptides, whatever the number of rows
+
+
+def test_panels_from_cells(spark):
+    some = [("f%d" % (k % 3), k % 3, k, "PEPTIDEA%s" % "KLM"[k % 2], "HLA-A*0%d:01" % (k % 4), float(1 + k % 5)) for k in range(40)]
+    rows = spark.createDataFrame(some * 3, "file_name string, file_ordinal int, row_ordinal long, peptide string, mhc string, rank_el double")
+    found = panel.cells(rows)
+    assert found.count() == len({(r[0], r[3], r[4]) for r in some}) < len(some)
+    one = lambda x: sorted(map(tuple, panel.peptide_scores(panel.all_files(x), 10.0).collect()))
+    assert one(found) == one(rows)
+    items = lambda x: sorted((r["peptide"], r["ordinal"], sorted(r["patients"]), sorted(r["hlas"]), r["binding_score"]) for r in panel.panel_items(panel.all_files(x), 10.0).collect())
+    assert items(found) == items(rows)
