@@ -143,7 +143,7 @@ def sweep(rows: DataFrame, vectors: DataFrame, runs: list[Run], topology: Topolo
     """
     began = time.time()
     from ..operators.distance import weighted_vectors
-    from ..operators.panel import binders, greedy, panel_items
+    from ..operators.panel import binders, cells, greedy, panel_items
     from ..operators.topology import deaths, percentiles, raw_clusters, tree_of
 
     spark = rows.sparkSession
@@ -162,7 +162,7 @@ def sweep(rows: DataFrame, vectors: DataFrame, runs: list[Run], topology: Topolo
     key = ["percentile", "rank_threshold", "group"]
     items = None
     for t in sorted({r.rank_threshold for r in runs}):
-        bound = binders(rows, t).withColumn("rank_threshold", F.lit(float(t))).join(groups, "file_name")
+        bound = cells(binders(rows, t)).withColumn("rank_threshold", F.lit(float(t))).join(groups, "file_name")
         part = panel_items(bound, t, key)
         items = part if items is None else items.unionByName(part)
     # panels of one setting differ in length alone: the longest holds the others as its beginnings
