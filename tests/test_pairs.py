@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 
-from cohortpanel.operators import families, panel
-from cohortpanel.operators.distance import distances, weighted_vectors
+from cohortpanel.operators import families, panel, tree
+from cohortpanel.operators.distance import distances, pairwise, weighted_vectors
 
 
 def table_of(spark, points):
@@ -56,3 +57,19 @@ def test_panels_from_cells(spark):
     assert one(found) == one(rows)
     items = lambda x: sorted((r["peptide"], r["ordinal"], sorted(r["patients"]), sorted(r["hlas"]), r["binding_score"]) for r in panel.panel_items(panel.all_files(x), 10.0).collect())
     assert items(found) == items(rows)
+
+
+def test_forest_of_blocks_with_ties():
+    draw = np.random.default_rng(0)
+    for _ in range(60):
+        n, m = draw.integers(1, 20, 2)
+        points = draw.integers(0, 4, (n + m, 2)).astype(float)
+        numbers = draw.permutation(500)[: n + m]
+        left, right = np.sort(numbers[:n]), np.sort(numbers[n:])
+        for same in (False, True):
+            other, at = (left, points[:n]) if same else (right, points[n:])
+            d = pairwise(points[:n], at, "euclidean")
+            edges = [(min(a, b), max(a, b), d[x, y]) for x, a in enumerate(left) for y, b in enumerate(other) if not same or a < b]
+            whole = tree.spanning_forest(pd.DataFrame(edges, columns=["i", "j", "d"]))
+            got = sorted(zip(*(x.tolist() for x in tree.block_forest(left, other, d, same))))
+            assert got == sorted(map(tuple, whole.astype(object).to_numpy().tolist()))
