@@ -85,10 +85,10 @@ def grouped(lists: DataFrame, total: int) -> DataFrame:
     return with_facts(lists, pivots, "value", "k", total * SKETCH).select("pivot", "cls", "n").distinct()
 
 
-def blocks_of(members: DataFrame, side: Column, block: int) -> DataFrame:
+def blocks_of(members: DataFrame, side: Column, block: int, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``members`` with ``left`` and ``right``, the blocks of the rows of its group with and without ``side``, and ``b``,
     the row's own block. Groups of several blocks are few; their members are salted to meet them."""
-    count = lambda cond: F.ceil(F.greatest(F.count_if(cond) / block, F.sum(F.when(cond, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    count = lambda cond: F.ceil(F.greatest(F.count_if(cond) / block, F.sum(F.when(cond, F.col("n")).otherwise(0)) / shingles)).cast("int")
     members = members.withColumn("_side", side)
     sizes = members.groupBy("pivot").agg(count(F.col("_side")).alias("left"), count(~F.col("_side")).alias("right"))
     large = sizes.where("left > 1 OR right > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -107,11 +107,11 @@ def star(members: DataFrame, block: int) -> DataFrame:
     return placed.select("pivot", F.lit(2).alias("kind"), at.alias("i"), F.lit(0).alias("j"), "cls", hub.alias("side"))
 
 
-def dealt(members: DataFrame, linked: DataFrame, block: int) -> DataFrame:
+def dealt(members: DataFrame, linked: DataFrame, block: int, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(pivot, kind, i, j, cls, side): what ``linked`` (pivot, cls) leaves over, once for every pair of blocks i <= j of its
     own (kind 0) and every block of linked classes (kind 1: i of the rest, j of the linked, side True)."""
     marked = members.where("cls <> pivot").join(linked.select("pivot", "cls", F.lit(True).alias("done")), ["pivot", "cls"], "left").withColumn("open", F.col("done").isNull())
-    placed = blocks_of(marked, F.col("open"), block).where("left > 0")
+    placed = blocks_of(marked, F.col("open"), block, shingles).where("left > 0")
     other = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
     among = F.transform(other(F.col("left")), lambda o: place(0, F.least("b", o), F.greatest("b", o), F.col("b") > o))

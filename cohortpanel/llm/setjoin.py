@@ -15,7 +15,9 @@
    sets, each set with its first pivot, then with those that are not in its component yet.
 5. In lists with sets of other components than the pivot's these are compared with the rest of the list, in blocks: by
    parities, by parities of more bits, and on full sets; of each block the pairs that would join most come first, and what
-   they have not joined after. Links are contracted to components.
+   they have not joined after. Parities are short, so their blocks are wide ones, whose tiles a task looks at in turn: a
+   list has few pairs of blocks, and only tiles with pairs that are still open become blocks of full sets. Links are
+   contracted to components.
 
 Keys are dealt to buckets of about BUCKET entries as packed numbers. A content that a batch of sets has LOCAL times or more
 stays out of its bucket, which is told its count alone; such rows are dealt at random and joined with their counts.
@@ -23,13 +25,15 @@ stays out of its bucket, which is told its count alone; such rows are dealt at r
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_slices, bounded_broadcast, checkpointed, saved, table, with_facts
-from .neardup import BLOCK, BROADCAST_IDS, ORDER, beside, components, dealt, digest, links_on_sets, star, with_components
+from .neardup import BLOCK, BLOCK_SHINGLES, BROADCAST_IDS, ORDER, beside, components, dealt, digest, links_on_sets, star, with_components
 from .shingles import _mixed, shingle_sets
 
 SHINGLE_WORDS, THRESHOLD = 4, 85  # percent
@@ -43,6 +47,8 @@ CHEAP = 32
 BUCKET, PACK, LOCAL = 1 << 18, 1 << 20, 64
 #: Bits of the parities of a set of n elements: the least power of two from 64 that is n or more; of fine ones so many times.
 LEAST_BITS, FINE = 64, 8
+#: Blocks of parities are so many times as large as blocks of full sets; shingles of the sets of one; tiles it has at most.
+WIDE, WIDE_SHINGLES, TILES = 16, 1 << 22, 1 << 15
 #: Bits of a tag, above the segment's number: looked up in the smaller band's scheme; of a deletion; to be looked up.
 LOWER, DELETED, PROBE = 1 << 30, 1 << 29, 1 << 28
 PACKED = "bucket int, marks boolean, value binary, cls binary, tag binary"
@@ -394,8 +400,28 @@ def near_pairs(side: np.ndarray, same: bool, n: np.ndarray, root: np.ndarray, bi
     return left[fits], right[fits]
 
 
-def forest_of(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Of pairs of places those that join as much as all of them do."""
+def tiles(side: np.ndarray, same: bool, n: np.ndarray, block: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """(s, t, places, side, same) of the pairs of tiles of a pair of blocks: tiles have ``block`` sets or about BLOCK_SHINGLES
+    shingles at most."""
+
+    def cut(places: np.ndarray) -> list[np.ndarray]:
+        full = np.maximum(np.arange(len(places)) // block, np.cumsum(n[places]) // BLOCK_SHINGLES)
+        return np.split(places, np.flatnonzero(np.diff(full)) + 1)
+
+    if same:
+        parts = cut(np.arange(len(n)))
+        pairs = [(s, t, parts[s], parts[t]) for s in range(len(parts)) for t in range(s, len(parts))]
+    else:
+        pairs = [(s, t, a, b) for s, a in enumerate(cut(np.flatnonzero(~side))) for t, b in enumerate(cut(np.flatnonzero(side)))]
+    for s, t, a, b in pairs:
+        if same and s == t:
+            yield s, t, a, np.zeros(len(a), bool), True
+        else:
+            yield s, t, np.concatenate([a, b]), np.arange(len(a) + len(b)) >= len(a), False
+
+
+def forest_of(pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Of pairs of places, given as arrays, those that join as much as all of them do."""
     parent: dict[int, int] = {}
 
     def end(x):
@@ -405,18 +431,20 @@ def forest_of(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for i, j in zip(left.tolist(), right.tolist()):
-        x, y = end(i), end(j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((i, j))
+    for left, right in pairs:
+        for i, j in zip(left.tolist(), right.tolist()):
+            x, y = end(i), end(j)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((i, j))
     return out
 
 
-def possible(percent: int, forests: bool = False):
+def possible(percent: int, forests: bool = False, block: int = BLOCK, tiled: bool = False):
     """Keep the sets of each pair of blocks that have a partner of another component with few enough differences in their
     parities, and with a size that a linked one may have; with ``forests`` (pivot, cls), pairs that join as much as all such
-    pairs of the two blocks. Batches are sorted by ORDER; a pair of blocks may lie across them."""
+    pairs of the two blocks; if ``tiled``, for each pair of tiles (of ``block`` sets at most) its own, as a pair of blocks.
+    Batches are sorted by ORDER; a pair of blocks may lie across them."""
 
     def kept(batches):
         held = []
@@ -436,28 +464,47 @@ def possible(percent: int, forests: bool = False):
         cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1 if len(rows) else []
         side, n, root = rows["side"].to_numpy(), rows["n"].to_numpy(), rows["root"].to_numpy()
         cls, bits = rows["cls"].to_numpy(), rows["bits"].to_pylist()
-        places = []
+        out, kept = [], np.zeros(len(rows), bool)
+
+        def pairs_of(once, same):
+            """(s, t, left, right, side) of the pairs of tiles that have pairs of places."""
+            for s, t, at, beyond, alone in tiles(side[once], same, n[once], block):
+                at = once[at]
+                left, right = near_pairs(beyond, alone, n[at], root[at], [bits[k] for k in at.tolist()], percent)
+                if len(left):
+                    yield s, t, at[left], at[right], not alone
+
         for x, y in zip([0, *cuts], [*cuts, len(rows)]):
             if y - x > 1:
                 same = keys[1][x] == 0 and keys[2][x] == keys[3][x]
                 once = x + np.sort(np.unique(cls[x:y] * 2 + side[x:y], return_index=True)[1])  # several tasks may have made one
-                left, right = near_pairs(side[once], same, n[once], root[once], [bits[k] for k in once.tolist()], percent)
-                if len(left):
-                    places.append(once[forest_of(left, right)] if forests else once[np.unique(np.concatenate([left, right]))])
-        if places and forests:
-            ends = np.sort(cls[np.concatenate(places)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["pivot", "cls"])
-        elif places:
-            yield from rows.select([*ORDER, "cls", "side"]).take(pa.array(np.concatenate(places))).to_batches()
+                if forests:
+                    joined = np.array(forest_of((left, right) for *_, left, right, _ in pairs_of(once, same)), np.int64).reshape(-1, 2)
+                    out.append(np.sort(cls[joined], axis=1))
+                elif tiled:
+                    for s, t, left, right, two in pairs_of(once, same):
+                        left, right = np.unique(left), np.unique(right)
+                        at = np.concatenate([left, right]) if two else np.union1d(left, right)
+                        tile = np.broadcast_to([keys[0][x], keys[1][x], keys[2][x] * TILES + s, keys[3][x] * TILES + t], (len(at), 4))
+                        out.append(np.column_stack([tile, cls[at], (np.arange(len(at)) >= len(left)) & two]))
+                else:
+                    for *_, left, right, _ in pairs_of(once, same):
+                        kept[left] = kept[right] = True
+        if kept.any():
+            out.append(np.column_stack([*(k[kept] for k in keys), cls[kept], side[kept]]))
+        found = np.concatenate(out) if out else np.empty((0, 0))
+        if len(found):
+            names, kinds = (["pivot", "cls"], [pa.int64()] * 2) if forests else ([*ORDER, "cls", "side"], [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.bool_()])
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, k]).cast(kind) for k, kind in enumerate(kinds)], names)
 
     return kept
 
 
-def near(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+def near(pairs: DataFrame, facts: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """What ``possible`` leaves of pairs of blocks (ORDER, cls, side); ``facts``: cls, n, bits, root (its component so far)."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     faced = pairs.join(facts, "cls").select(*ORDER, "cls", "side", "n", "bits", "root").repartition(parts, *ORDER).sortWithinPartitions(*ORDER)
-    return saved(faced.mapInArrow(possible(percent), KEPT))
+    return saved(faced.mapInArrow(possible(percent, block=block), KEPT))
 
 
 def rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -489,14 +536,14 @@ def links_of(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame, m
     open_ = saved(with_facts(listed.where("cls <> pivot").select("list", "cls", "root"), mixed, "list", "k", members.count()))
     rest = open_.join(classes.select("cls", "n"), "cls").select(F.col("list").alias("pivot"), "cls", "n")
     done = open_.where("root = _at").select(F.col("list").alias("pivot"), "cls")
-    left = near(dealt(rest, done, block), facts.join(roots, "cls"), percent)
+    left = near(dealt(rest, done, WIDE * block, WIDE_SHINGLES), facts.join(roots, "cls"), percent, block)
     fine = lambda pairs, roots: beside(docs, key, text, n, classes, pairs.join(roots, "cls"), brief=lambda s: parity(s, FINE))
     # pairs of one list are those of many: those that join most come first, each once
-    joining = saved(fine(left, roots).mapInArrow(possible(percent, forests=True), "pivot long, cls long").distinct())
+    joining = saved(fine(left, roots).mapInArrow(possible(percent, forests=True, block=block), "pivot long, cls long").distinct())
     links = links.unionByName(verified(saved(paired(joining))))
     roots = rooted(classes, links)
-    left = near(left, facts.join(roots, "cls"), percent)
-    return links.unionByName(verified(saved(fine(left, roots).mapInArrow(possible(percent), KEPT))))
+    left = near(left, facts.join(roots, "cls"), percent, block)
+    return links.unionByName(verified(saved(fine(left, roots).mapInArrow(possible(percent, block=block, tiled=True), KEPT))))
 
 
 def paired(spokes: DataFrame) -> DataFrame:

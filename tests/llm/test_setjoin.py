@@ -5,9 +5,11 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortpanel.llm import neardup, setjoin
+from cohortpanel.llm.shingles import shingle_sets
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -156,3 +158,56 @@ def test_components_in_one_task_and_by_stars_agree(spark):
     links = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(400, k) for k in range(401, 440)], "a long, b long")
     found = [sorted((x["node"], x["component"]) for x in neardup.components(links, few).collect() if x["node"] != x["component"]) for few in (0, 10_000)]
     assert found[0] == found[1]
+
+
+def families(k):
+    """Sets of eight families around one text; families differ too much for a link, members of one in their last words."""
+    r = random.Random(3)
+    base, rows = [f"w{i}" for i in range(64)], []
+    for i in range(k):
+        words = list(base)
+        for at in (8 + 6 * (i % 8), 11 + 6 * (i % 8)):
+            words[at] = f"x{i % 8}y{at}"
+        words[-1 - r.randrange(3)] = f"z{i}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_rows_of_a_large_list_grow_with_its_sets(spark, monkeypatch):
+    """A list of many components leaves no more rows a set for parities when it is twice as long."""
+    near, left = setjoin.near, []
+
+    def counted(*args):
+        left.append((found := near(*args)).count())
+        return found
+
+    monkeypatch.setattr(setjoin, "near", counted)
+    rows, sums = families(200), []
+    for k in (100, 200):
+        left.clear()
+        docs = spark.createDataFrame(rows[:k], "doc_id long, text string")
+        got = collections.Counter(map(tuple, setjoin.jaccard_components(docs, block=8).collect()))
+        assert got == plainly(rows[:k], 85)
+        sums.append(sum(left))
+    assert 100 < sums[0] and sums[1] <= 2.5 * sums[0], sums
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_tiles_have_all_open_pairs(kind):
+    """Of a block with itself and of two blocks, sorted rows in several batches."""
+    sets = list(shingle_sets(pa.array([t for _, t in families(60)]), 4))
+    rows = {"pivot": np.zeros(60, np.int64), "kind": np.full(60, kind, np.int32), "i": np.full(60, 2, np.int32), "j": np.full(60, 2 + kind, np.int32), "cls": np.arange(60), "side": np.arange(60) % 3 == 0, "n": np.array([len(s) for s in sets]), "root": np.arange(60) // 9, "bits": [setjoin.parity(s, 8) for s in sets]}
+    table = pa.table({c: pa.array(v) for c, v in rows.items()})
+    left, right = setjoin.near_pairs(rows["side"], kind == 0, rows["n"], rows["root"], rows["bits"], 85)
+    want, got = {tuple(sorted(p)) for p in zip(left.tolist(), right.tolist())}, set()
+    tiled = pa.Table.from_batches(setjoin.possible(85, block=7, tiled=True)(iter(table.to_batches(13)))).to_pandas()
+    for (_, _, i, j), part in tiled.groupby(setjoin.ORDER):
+        assert len(part) <= 14 and i // setjoin.TILES == 2 and j // setjoin.TILES == 2 + kind
+        alone = kind == 0 and i == j
+        got |= {tuple(sorted((a, b))) for a, x in zip(part["cls"], part["side"]) for b, y in zip(part["cls"], part["side"]) if a != b and (alone or (not x and y))}
+    assert want and want <= got
+    forest = pa.Table.from_batches(setjoin.possible(85, forests=True, block=7)(iter(table.to_batches(13)))).to_pandas()
+    joins = lambda pairs: sorted(map(sorted, setjoin.forest_of([(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))])))
+    assert set(map(tuple, forest.to_numpy().tolist())) <= want and len(forest) == len(joins(sorted(want)))
+    kept = pa.Table.from_batches(setjoin.possible(85, block=7)(iter(table.to_batches(13)))).to_pandas()
+    assert set(kept["cls"]) == {x for p in want for x in p}
