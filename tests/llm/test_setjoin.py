@@ -173,23 +173,20 @@ def families(k):
     return rows
 
 
-def test_rows_of_a_large_list_grow_with_its_sets(spark, monkeypatch):
-    """A list of many components leaves no more rows a set for parities when it is twice as long."""
-    near, left = setjoin.near, []
+def test_sets_of_a_large_list_are_dealt_a_few_times(spark, monkeypatch):
+    """Lists of many components and of many blocks of full sets are dealt to few pairs of blocks of parities."""
+    dealt, rows = setjoin.dealt, []
 
-    def counted(*args):
-        left.append((found := near(*args)).count())
+    def counted(members, *args):
+        rows.append((members.count(), (found := dealt(members, *args)).count()))
         return found
 
-    monkeypatch.setattr(setjoin, "near", counted)
-    rows, sums = families(200), []
-    for k in (100, 200):
-        left.clear()
-        docs = spark.createDataFrame(rows[:k], "doc_id long, text string")
-        got = collections.Counter(map(tuple, setjoin.jaccard_components(docs, block=8).collect()))
-        assert got == plainly(rows[:k], 85)
-        sums.append(sum(left))
-    assert 100 < sums[0] and sums[1] <= 2.5 * sums[0], sums
+    monkeypatch.setattr(setjoin, "dealt", counted)
+    docs = spark.createDataFrame(families(100), "doc_id long, text string")
+    got = collections.Counter(map(tuple, setjoin.jaccard_components(docs, block=2).collect()))
+    assert got == plainly(families(100), 85)
+    ((sets, placed),) = rows
+    assert sets and placed <= 6 * sets, rows
 
 
 @pytest.mark.parametrize("kind", [0, 1])
