@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 SPACE = "\t\n\x0b\x0c\r "
 #: Bytes of text that a Python task works on at once, about; Spark bounds the batches that it gets by bytes too.
 TEXT_BYTES = 4 << 20
+#: Bytes of an Arrow batch where tasks hold much beside it.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +55,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of jobs that run meanwhile have about ``limit`` bytes at most, in place of Spark's 64 MB, which each
+    task holds in the JVM and in its Python worker. Results don't depend on it; the session's own limit is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name)
+    given = re.fullmatch(r"(\d+)b?", own)  # with another unit it is left as the user has set it
+    if given and int(given[1]) > limit:
+        spark.conf.set(name, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def arrow_slices(batch: pa.RecordBatch, column: str, limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
     """Rows of a batch in slices of about ``limit`` bytes of a text column; a longer text is a slice of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, bounded_broadcast, checkpointed, saved, table, with_facts
+from .common import arrow_slices, bounded_broadcast, checkpointed, saved, small_batches, table, with_facts
 from .neardup import BLOCK, BLOCK_SHINGLES, BROADCAST_IDS, ORDER, beside, components, dealt, digest, links_on_sets, star, with_components
 from .shingles import _mixed, shingle_sets
 
@@ -51,6 +51,8 @@ LEAST_BITS, FINE = 64, 8
 WIDE, WIDE_SHINGLES, TILES = 16, 1 << 22, 1 << 15
 #: Bits of a tag, above the segment's number: looked up in the smaller band's scheme; of a deletion; to be looked up.
 LOWER, DELETED, PROBE = 1 << 30, 1 << 29, 1 << 28
+#: Bytes of text whose keys a task makes at once, about.
+KEYED_BYTES = 1 << 20
 PACKED = "bucket int, marks boolean, value binary, cls binary, tag binary"
 #: ``list`` names a list of three sets or more.
 FOUND = "pivot long, cls long, list long, value long, tag long, freq long"
@@ -129,6 +131,7 @@ def packed(value: np.ndarray, cls: np.ndarray, tag: np.ndarray, buckets: int, pl
     places, rows."""
     order = np.argsort(value, kind="stable")
     value, cls, tag = value[order], cls[order], tag[order]
+    del order
     begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
     count = np.diff(np.append(begin, len(value)))
     hot = count >= local
@@ -136,16 +139,19 @@ def packed(value: np.ndarray, cls: np.ndarray, tag: np.ndarray, buckets: int, pl
     rows = []
 
     def row(bucket, marks, v, c, t):
-        rows.append((bucket, marks, v.astype("<u8").tobytes(), c.astype("<i8").tobytes(), t.astype("<u4").tobytes()))
+        rows.append((bucket, marks, v.astype("<u8").tobytes(), c.astype("<i8").tobytes(), t.astype("<u4", copy=False).tobytes()))
 
     bucket_of = lambda v: ((v >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    for marks, v, c, t in ((False, value[~spread], cls[~spread], tag[~spread]), (True, value[begin[hot]], count[hot], np.zeros(int(hot.sum()), np.int64))):
+    for marks, v, c, t, own in ((False, value, cls, tag, ~spread), (True, value[begin[hot]], count[hot], np.zeros(int(hot.sum()), np.int64), np.ones(int(hot.sum()), bool))):
         if len(v):
             b = bucket_of(v)
             cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
             for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(b)]):
-                by_class = np.argsort(c[x:y], kind="stable")  # compresses better
-                row(int(b[x]), marks, v[x:y][by_class], c[x:y][by_class], t[x:y][by_class])
+                at = x + np.flatnonzero(own[x:y])
+                at = at[np.argsort(c[at], kind="stable")]  # by class: compresses better
+                if len(at):
+                    row(int(b[x]), marks, v[at], c[at], t[at])
+            del b
     v, c, t = value[spread], cls[spread], tag[spread]
     for k, x in enumerate(range(0, len(v), 1 << 14)):
         row(-1 - (place + k) % 9973, False, v[x : x + (1 << 14)], c[x : x + (1 << 14)], t[x : x + (1 << 14)])
@@ -230,7 +236,8 @@ def gathered(batches, most: int = CHEAP):
             yield pair_batch()
 
     for batch in batches:
-        for b, marks, value, cls, tag in zip(*(batch[c].to_pylist() for c in ("bucket", "marks", "value", "cls", "tag"))):
+        # a row's bytes are copied as it comes, not the batch's
+        for b, marks, value, cls, tag in (tuple(batch[c][k].as_py() for c in ("bucket", "marks", "value", "cls", "tag")) for k in range(batch.num_rows)):
             if b < 0:  # hot rows meet their counts later
                 rows = {"value": np.frombuffer(value, "<u8"), "cls": np.frombuffer(cls, "<i8"), "tag": np.frombuffer(tag, "<u4").astype(np.int64)}
                 yield batch_of(rows)
@@ -321,11 +328,12 @@ def candidates(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame,
         held, n_held, place, seen = [], 0, 0, set()
 
         def flushed():
-            v, c, t = (np.concatenate([h[k] for h in held]) for k in range(3))
-            return packed(v, c, t, buckets, int(c[0]) + place, local)
+            columns = [np.concatenate([h[k] for h in held]) for k in range(3)]
+            held.clear()
+            return packed(*columns, buckets, int(columns[1][0]) + place, local)
 
         for batch in batches:
-            for part in arrow_slices(batch, "text"):
+            for part in arrow_slices(batch, "text", KEYED_BYTES):
                 sets, cls, want = list(shingle_sets(part["text"], n)), part["cls"].to_pylist(), part["same"].to_pylist()
                 mine = [k for k, s in enumerate(sets) if digest(s) == want[k] and not (cls[k] in seen or seen.add(cls[k]))]  # repeated rows once
                 own = np.array([cls[k] for k in mine], np.int64)
@@ -333,11 +341,11 @@ def candidates(docs: DataFrame, key: str, text: str, n: int, classes: DataFrame,
                 for lower in (False, True):
                     of, value, tag = scheme.entries(sets, lower)
                     if len(of):
-                        held.append((value, own[of], tag))
+                        held.append((value, own[of], tag.astype(np.uint32)))
                         n_held += len(of)
                 if n_held >= pack:
                     out = flushed()
-                    held, n_held, place = [], 0, place + 1
+                    n_held, place = 0, place + 1
                     if out is not None:
                         yield out
         if held and (out := flushed()) is not None:
@@ -564,13 +572,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     if not 50 <= percent < 100:
         raise ValueError("percent must be from 50 to 99")
-    base = saved(shingle_rows(docs, key, text, n))
-    groups = base.where("same IS NOT NULL").groupBy("same")
-    classes = groups.agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
-    classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()))
-    members = saved(candidates(docs, key, text, n, classes, percent, **costs))
-    links = links_of(docs, key, text, n, classes, members, percent, block)
-    return with_components(base, classes, links).select(F.col("key").alias(key), "n_shingles", "component_id")
+    with small_batches(docs.sparkSession):
+        base = saved(shingle_rows(docs, key, text, n))
+        groups = base.where("same IS NOT NULL").groupBy("same")
+        classes = groups.agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+        classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()))
+        members = saved(candidates(docs, key, text, n, classes, percent, **costs))
+        links = links_of(docs, key, text, n, classes, members, percent, block)
+        return with_components(base, classes, links).select(F.col("key").alias(key), "n_shingles", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,15 @@
 import collections
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cohortpanel.llm import neardup, setjoin
+from cohortpanel.llm.common import small_batches
 from cohortpanel.llm.shingles import shingle_sets
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -208,3 +211,54 @@ def test_tiles_have_all_open_pairs(kind):
     assert set(map(tuple, forest.to_numpy().tolist())) <= want and len(forest) == len(joins(sorted(want)))
     kept = pa.Table.from_batches(setjoin.possible(85, block=7)(iter(table.to_batches(13)))).to_pandas()
     assert set(kept["cls"]) == {x for p in want for x in p}
+
+
+def peak(work):
+    """Bytes that Python and NumPy take at most during ``work``, beyond what they had."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_buckets_are_read_one_after_the_other():
+    """A batch of many buckets is not copied whole."""
+    r = np.random.default_rng(3)
+    entries = lambda b: (b, False, r.integers(0, 1 << 62, 4000).astype("<u8").tobytes(), r.integers(0, 1 << 40, 4000).astype("<i8").tobytes(), np.full(4000, setjoin.PROBE, "<u4").tobytes())
+    rows = [entries(b) for b in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "marks", "value", "cls", "tag"])
+    assert peak(lambda: list(setjoin.gathered([batch]))) < batch.nbytes / 4
+
+
+def test_jobs_of_the_join_have_small_arrow_batches(spark, monkeypatch):
+    name, limits = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, saved = spark.conf.get(name), setjoin.saved
+
+    def noted(df):
+        limits.append(int(spark.conf.get(name).rstrip("b")))
+        return saved(df)
+
+    monkeypatch.setattr(setjoin, "saved", noted)
+    docs = spark.createDataFrame([(i, f"a{i % 3} b c d e") for i in range(9)], "doc_id long, text string")
+    assert setjoin.jaccard_components(docs).count() == 9
+    assert limits and max(limits) <= 4 << 20
+    assert spark.conf.get(name) == before
+
+
+def test_small_batches_bound_what_a_task_gets(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(64, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 17).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    with small_batches(spark, 1 << 20):
+        got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert len(got) > 4 and max(got) <= 2 << 20 and sum(got) >= 64 << 17
+    own = spark.conf.get(name)
+    for given in ("1000", "64MB"):  # a smaller limit, and one with a unit, are the user's own
+        spark.conf.set(name, given)
+        with pytest.raises(ZeroDivisionError), small_batches(spark):
+            assert spark.conf.get(name) == given
+            1 / 0
+        assert spark.conf.get(name) == given
+    spark.conf.set(name, own)
