@@ -73,3 +73,71 @@ def test_forest_of_blocks_with_ties():
             whole = tree.spanning_forest(pd.DataFrame(edges, columns=["i", "j", "d"]))
             got = sorted(zip(*(x.tolist() for x in tree.block_forest(left, other, d, same))))
             assert got == sorted(map(tuple, whole.astype(object).to_numpy().tolist()))
+
+
+def placed(spark, points):
+    return spark.createDataFrame([(k + 1, [float(x) for x in p]) for k, p in enumerate(points)], "sample_idx int, v array<double>").repartition(3)
+
+
+def every_pair(points, metric):
+    i, j = np.triu_indices(len(points), 1)
+    return pd.DataFrame({"i": i + 1, "j": j + 1, "d": pairwise(points, points, metric)[i, j]})
+
+
+def rows_of(edges):
+    return sorted(map(tuple, edges.astype(object).to_numpy().tolist()))
+
+
+def test_tree_without_clusters_measures_few_pairs(spark):
+    """In many dimensions no block is far from another, yet few pairs of points are within what is known of the tree."""
+    points = np.random.default_rng(3).normal(size=(900, 24))
+    found = tree.PrunedTree(placed(spark, points), "euclidean", block=16)
+    every = every_pair(points, "euclidean")
+    assert rows_of(found.tree.toPandas()) == rows_of(tree.spanning_forest(every))
+    assert found.measured < len(every) / 20, (found.measured, len(every))
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "squaredeuclidean"])
+@pytest.mark.parametrize("kind", ["ties", "clusters", "far", "huge"])
+def test_tree_by_bounds(spark, metric, kind):
+    r = np.random.default_rng(4)
+    points = {
+        "ties": lambda: np.repeat(r.integers(0, 4, size=(70, 2)), 3, axis=0),
+        "clusters": lambda: np.concatenate([r.normal(size=(30, 3)) * 0.1 + c for c in r.uniform(-20, 20, size=(7, 3))]),
+        "far": lambda: np.concatenate([r.normal(size=(200, 3)), r.normal(size=(3, 3)) * 1e9, np.zeros((7, 3))]),
+        "huge": lambda: np.concatenate([r.normal(size=(200, 2)) * 1e-150, r.normal(size=(8, 2)) * 1e200]),  # squares are not finite
+    }[kind]().astype(float)
+    with np.errstate(over="ignore", invalid="ignore"):
+        found = tree.PrunedTree(placed(spark, points), metric, block=4)
+        assert rows_of(found.tree.toPandas()) == rows_of(tree.spanning_forest(every_pair(points, metric)))
+    assert found.n_blocks > tree.PART
+
+
+def test_bounds_of_a_tree():
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        n = int(r.integers(2, 40))
+        points, numbers, blocks = r.integers(0, 5, (n, 2)).astype(float), r.permutation(500)[:n], r.integers(0, 4, n)
+        x, y = tree.short_tree(points)
+        edges = pd.DataFrame({"i": numbers[x], "j": numbers[y], "d": tree.outright(points[x], points[y], "euclidean")})
+        longest = np.full((n, n), np.inf)
+        longest[x, y] = longest[y, x] = edges["d"]
+        np.fill_diagonal(longest, 0)
+        for k in range(n):
+            longest = np.minimum(longest, np.maximum(longest[:, [k]], longest[[k]]))
+        found = tree.reached(edges, pd.DataFrame({"sample_idx": numbers, "b": blocks}))
+        roots = found[found["place"] >= 0].sort_values("place")
+        root = {b: k for k, b in zip(roots.index, roots["b"])}
+        assert found["reach"].tolist() == [longest[k, root[b]] for k, b in enumerate(blocks)]
+        steps = roots["step"].to_numpy()
+        for k, p in enumerate(roots.index):
+            assert [steps[k:m].max(initial=0.0) for m in range(k, len(roots))] == longest[p, roots.index[k:]].tolist()
+
+
+def test_distances_one_by_one_are_those_of_blocks():
+    r = np.random.default_rng(6)
+    for n in (0, 1, 2, 3, 9, 40):
+        for width in (1, 7, 64, 200):
+            a, b = r.normal(size=(n, width)), r.normal(size=(n, width))
+            for metric in ("euclidean", "squaredeuclidean"):
+                assert tree.outright(a, b, metric).tolist() == np.diag(pairwise(a, b, metric)).tolist()
