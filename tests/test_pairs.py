@@ -1,9 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cohortpanel.operators import families, panel, tree
-from cohortpanel.operators.distance import distances, pairwise, weighted_vectors
+from cohortpanel.operators.distance import distances, half_up, pairwise, weighted_vectors
 
 
 def table_of(spark, points):
@@ -75,6 +76,25 @@ def test_forest_of_blocks_with_ties():
             assert got == sorted(map(tuple, whole.astype(object).to_numpy().tolist()))
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "minkowski:3"])
+def test_pairs_in_order_of_distance(spark, metric):
+    """All pairs of large tables, rounded alike, with equal distances beside each other."""
+    rows = placed(spark, np.random.default_rng(9).normal(size=(1200, 4)))
+    plain = distances(rows, metric, block=140).withColumn("d", F.round("d", 2)).toPandas()
+    found = distances(rows, metric, block=140, wide=140, digits=2).toPandas()
+    changes = lambda x: int((np.diff(x["d"]) != 0).sum())
+    assert changes(found) < len(found) / 10 < len(found) / 2 < changes(plain)
+    both = [x.sort_values(["i", "j"]).reset_index(drop=True) for x in (plain, found)]
+    assert len(found) == 1200 * 1199 // 2 and both[0].equals(both[1])
+
+
+def test_rounding_is_that_of_spark(spark):
+    r = np.random.default_rng(11)
+    x = np.concatenate([r.uniform(0, 30, 3000), r.integers(0, 10**8, 3000) / 1e7, r.integers(0, 10**6, 500) / 64, [0, 5e-7, 1.0000005, 2.5e-7, 1e12, 123456789.1234565, 1e300, np.inf, np.nan]])
+    asked = [row[0] for row in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert half_up(x, 6).tolist() == pytest.approx(asked, rel=0, abs=0, nan_ok=True)
+
+
 def placed(spark, points):
     return spark.createDataFrame([(k + 1, [float(x) for x in p]) for k, p in enumerate(points)], "sample_idx int, v array<double>").repartition(3)
 
